@@ -1,28 +1,20 @@
-"""Declared schemas of the streams, envelopes and change events."""
+"""Declared schemas of the streams, envelopes and change events, as DDL text."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
 
-MONEY = T.DecimalType(10, 2)
-
-
-def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
-
-
-COMPETITOR_PRICE = _struct(
+COMPETITOR_PRICE = (
     "product_sku string, competitor_name string, price decimal(10,2), in_stock boolean, source_sku string, "
     "api_collection_ts_ms bigint, data_ts_ms bigint"
 )
 
-USER_BEHAVIOR = _struct(
+USER_BEHAVIOR = (
     "sku string, title string, category string, unique_visitors bigint, page_views bigint, searches bigint, "
     "cart_additions bigint, purchases bigint, price_comparisons bigint, dwell_seconds double, "
     "api_collection_ts_ms bigint, data_ts_ms bigint, collection_source string, producer_timestamp string"
 )
 
-MARKET_ENVELOPE = _struct(
+MARKET_ENVELOPE = (
     "product struct<sku:string,title:string,category:string>, "
     "data_sources struct<"
     "competitors:map<string,struct<price:decimal(10,2),in_stock:boolean,sku:string,url:string,data_timestamp:string>>,"
@@ -32,50 +24,43 @@ MARKET_ENVELOPE = _struct(
     "collection_timestamp string, collection_status string"
 )
 
-BEHAVIOR_ENVELOPE = _struct(
+BEHAVIOR_ENVELOPE = (
     "product struct<sku:string,title:string,category:string>, "
     "user_behavior struct<page_views:bigint,unique_visitors:bigint,dwell_seconds:double,searches:bigint,"
     "cart_additions:bigint,purchases:bigint,price_comparisons:bigint,data_timestamp:string>, "
     "data_source string, collection_timestamp string"
 )
 
-PRODUCT = _struct(
+PRODUCT = (
     "sku string, name string, category string, brand string, cost decimal(10,2), min_viable_price decimal(10,2), "
     "current_price decimal(10,2), price_sensitivity string, price_elasticity decimal(6,3), "
     "sensitivity_last_updated timestamp, sensitivity_observations int, in_stock boolean, is_active boolean, "
     "created_at timestamp, updated_at timestamp"
 )
 
-COMPETITOR = _struct(
+COMPETITOR = (
     "id bigint, name string, code string, website string, is_active boolean, created_at timestamp"
 )
 
-PRICE_SIGNAL = _struct(
+PRICE_SIGNAL = (
     "product_sku string, competitor_id bigint, signal_type string, platform_price decimal(10,2), "
     "competitor_price decimal(10,2), percentage_diff decimal(5,2), recommendation string, priority smallint, "
     "in_stock boolean, signal_timestamp timestamp, is_active boolean"
 )
 
-BEHAVIOR_SUMMARY = _struct(
+BEHAVIOR_SUMMARY = (
     "product_sku string, window_start timestamp, window_end timestamp, page_views bigint, unique_visitors bigint, "
     "searches bigint, cart_additions bigint, purchases bigint, price_comparisons bigint, search_rate double, "
     "search_cart_rate double, cart_purchase_rate double, view_compare_rate double, avg_dwell_seconds double"
 )
 
-FORECAST = _struct(
+FORECAST = (
     "sku string, competitor_id bigint, horizon int, prediction double, last_price double, n_samples int, "
     "alpha double, cv_mae double, cv_rmse double, cv_r2 double, baseline_mae double, pred_diff double, "
     "pred_diff_pct double"
 )
 
 
-def change_event(row: T.StructType) -> T.StructType:
+def change_event(row: str) -> str:
     """Envelope of a captured row change: operation, commit time, row before and after."""
-    return T.StructType(
-        [
-            T.StructField("op", T.StringType()),
-            T.StructField("op_ts", T.TimestampType()),
-            T.StructField("before", row),
-            T.StructField("after", row),
-        ]
-    )
+    return f"op string, op_ts timestamp, before struct<{row}>, after struct<{row}>"
