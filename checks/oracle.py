@@ -206,7 +206,7 @@ CTE["rise"] = signal(
 
 CTE["live_signal"] = """
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sku, rival_id, kind
-                                            ORDER BY tick DESC, price DESC, advice DESC, stock DESC) AS rn
+                                            ORDER BY tick DESC, price DESC, stock DESC) AS rn
                FROM (SELECT * FROM under UNION ALL SELECT * FROM over UNION ALL SELECT * FROM out
                      UNION ALL SELECT * FROM rise)) WHERE rn = 1"""
 
@@ -491,7 +491,7 @@ SELECT sku AS product_sku, 'pricewatch' AS aggregator_name, true AS available, {
        epoch_ms(minute * 60000) AS collection_timestamp FROM enveloped GROUP BY sku, minute"""
 SQL["flatten_user_behavior"] = f"""
 SELECT sku, 'Item ' || user_id::VARCHAR AS title, event_type AS category, views AS page_views, visitors AS unique_visitors,
-       {six('dwell', 'dwell_seconds')}, searches, carts AS cart_additions, bought AS purchases,
+       {six('dwell', 'dwell_seconds')}, {six('searches', 'searches')}, carts AS cart_additions, bought AS purchases,
        compared AS price_comparisons, api_ms AS api_collection_ts_ms, ms AS data_ts_ms,
        'user_behavior_api' AS collection_source, 'user_interaction' AS data_type FROM visit"""
 SQL["map_source_skus"] = f"""
@@ -543,7 +543,7 @@ SQL["signals_dim"] = SQL["current_signals"] = f"SELECT {SIGNAL_COLUMNS} FROM liv
 # ---- prices ---------------------------------------------------------------------------
 SQL["competitor_prices"] = f"""
 SELECT sku AS product_sku, rival_name AS competitor_name, {dollars('price', 'price')}, stock AS in_stock, src AS source_sku,
-       api_ms AS api_collection_ts_ms, data_ms AS data_ts_ms, broker_ts AS kafka_ts, tick AS event_time FROM quote"""
+       api_ms AS api_collection_ts_ms, broker_ts AS kafka_ts, tick AS event_time FROM quote"""
 SQL["dedup_prices"] = f"""
 SELECT sku AS product_sku, rival_name AS competitor_name, data_ms AS data_ts_ms, {dollars('price', 'price')},
        stock AS in_stock, src AS source_sku, api_ms AS api_collection_ts_ms, broker_ts AS kafka_ts FROM unique_quote"""
@@ -583,7 +583,7 @@ SQL["product_market_summary"] = f"SELECT sku AS product_sku, rival_id AS cheapes
 
 # ---- behaviour and demand -------------------------------------------------------------
 SQL["behavior_events"] = f"""
-SELECT sku AS product_sku, views AS page_views, visitors AS unique_visitors, {six('dwell', 'dwell_seconds')}, searches,
+SELECT sku AS product_sku, views AS page_views, visitors AS unique_visitors, {six('dwell', 'dwell_seconds')}, {six('searches', 'searches')},
        carts AS cart_additions, bought AS purchases, compared AS price_comparisons, tick AS data_timestamp,
        epoch_ms(api_ms) AS collection_timestamp FROM visit"""
 SQL["signal_windows"] = f"""

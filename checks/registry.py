@@ -37,6 +37,11 @@ def plain(df: DataFrame) -> DataFrame:
     return df.select(*[convert(f) for f in df.schema.fields])
 
 
+def _wide(df: DataFrame) -> DataFrame:
+    """The one nullable counter as a double, so every engine hands it over in the same type."""
+    return df.withColumn("searches", F.col("searches").cast("double"))
+
+
 # ---- shared frames -------------------------------------------------------------------
 
 
@@ -201,7 +206,7 @@ QUERIES: dict[str, Query] = {
     # ingest
     "flatten_competitor_prices": lambda t: ingest.flatten_competitor_prices(t.market_envelopes),
     "flatten_aggregator_prices": lambda t: ingest.flatten_aggregator_prices(t.market_envelopes),
-    "flatten_user_behavior": lambda t: ingest.flatten_user_behavior(t.behavior_envelopes),
+    "flatten_user_behavior": lambda t: _wide(ingest.flatten_user_behavior(t.behavior_envelopes)),
     "map_source_skus": lambda t: ingest.map_source_skus(_quotes(t), _mapping(t), SHOPS),
     "with_lineage": _lineage,
     "archive_raw": lambda t: _archive(t).select(
@@ -214,7 +219,7 @@ QUERIES: dict[str, Query] = {
     "behavior_dim": lambda t: dims.behavior_dim(t.behavior_summary).drop("op_ts"),
     "signals_dim": lambda t: dims.signals_dim(t.signals).drop("op_ts"),
     # prices
-    "competitor_prices": lambda t: t.prices,
+    "competitor_prices": lambda t: t.prices.drop("data_ts_ms"),
     "dedup_prices": lambda t: prices.dedup_prices(t.prices),
     "competitor_price_history": lambda t: t.history,
     "price_window_stats": lambda t: prices.price_window_stats(t.prices),
@@ -233,7 +238,7 @@ QUERIES: dict[str, Query] = {
     "cheapest_competitor": lambda t: market.cheapest_competitor(market.latest_prices(t.prices)),
     "product_market_summary": lambda t: t.summary,
     # behaviour and demand
-    "behavior_events": lambda t: behavior.behavior_events(t.behavior),
+    "behavior_events": lambda t: _wide(behavior.behavior_events(t.behavior)),
     "behavior_summary": lambda t: t.behavior_summary,
     "signal_windows": lambda t: demand.signal_windows(t.signals),
     "behavior_with_previous": lambda t: demand.behavior_with_previous(t.behavior_summary),

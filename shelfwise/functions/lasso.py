@@ -1,17 +1,18 @@
 """Penalised two-feature fit used inside the grouped forecast task.
 
-One call sees one series of five-minute windows (a few thousand rows at most). With two
-features the lasso has a closed form per sign pattern, so there is no iteration and no
-convergence tolerance.
+One call sees one series of five-minute windows (a few thousand rows at most). Training
+parts are prefixes of the series, so running sums give every fold's moments, and with two
+features the lasso has a closed form per sign pattern: all folds and penalties are solved
+at once, without iteration or a convergence tolerance.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 
 ALPHAS = np.logspace(-3, 1, 30)[::-1]  # strongest penalty first: ties pick the simpler model
 MIN_ROWS = 8
+SIGNS = np.array([(1, 1), (1, -1), (-1, 1), (-1, -1)], dtype=float)
 
 
 def fold_bounds(n: int, splits: int) -> list[tuple[int, int]]:
@@ -22,54 +23,91 @@ def fold_bounds(n: int, splits: int) -> list[tuple[int, int]]:
     return [(n - (splits - i) * test, n - (splits - i - 1) * test) for i in range(splits)]
 
 
-def _standardize(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    scale = x.std(axis=0)
-    scale[scale == 0] = 1.0
-    return x.mean(axis=0), scale
+def solve(gram: np.ndarray, corr: np.ndarray, alphas: np.ndarray) -> np.ndarray:
+    """Weights minimising ``w G w / 2 - c w + alpha |w|_1`` for a batch of problems.
 
-
-def solve(x: np.ndarray, y: np.ndarray, alphas: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Minimise ``|y - b - xw|^2 / 2n + alpha |w|_1`` for every alpha; returns weights and intercepts."""
-    n = len(y)
-    x_mean, y_mean = x.mean(axis=0), y.mean()
-    xc, yc = x - x_mean, y - y_mean
-    gram, corr = xc.T @ xc / n, xc.T @ yc / n
-    m = len(alphas)
-    candidates = [np.zeros((m, 2))]
+    ``gram`` is (p, 2, 2), ``corr`` (p, 2), ``alphas`` (p, a); the result is (p, a, 2). The
+    minimum is the best of: nothing, one feature alone, or both under one sign pattern.
+    """
+    p, a = alphas.shape
+    options = [np.zeros((p, a, 2))]
     for j in range(2):
-        if gram[j, j] > 1e-15:
-            w = np.zeros((m, 2))
-            w[:, j] = np.sign(corr[j]) * np.maximum(abs(corr[j]) - alphas, 0.0) / gram[j, j]
-            candidates.append(w)
-    det = gram[0, 0] * gram[1, 1] - gram[0, 1] ** 2
-    if det > 1e-12 * max(gram[0, 0] * gram[1, 1], 1e-300):
-        inverse = np.array([[gram[1, 1], -gram[0, 1]], [-gram[0, 1], gram[0, 0]]]) / det
-        for signs in ((1, 1), (1, -1), (-1, 1), (-1, -1)):
-            s = np.array(signs, dtype=float)
-            w = (corr - alphas[:, None] * s) @ inverse
-            w[~(w * s > 0).all(axis=1)] = 0.0
-            candidates.append(w)
-    stack = np.stack(candidates)
-    cost = 0.5 * np.einsum("cai,ij,caj->ca", stack, gram, stack) - stack @ corr + alphas * np.abs(stack).sum(axis=2)
-    weights = stack[cost.argmin(axis=0), np.arange(m)]
-    return weights, y_mean - weights @ x_mean
-
-
-def fit(x: np.ndarray, y: np.ndarray, splits: int):
-    """Scale, choose the penalty over inner expanding folds, refit; None when there are too few rows."""
-    folds = fold_bounds(len(y), splits)
-    if not folds:
-        return None
-    mean, scale = _standardize(x)
-    z = (x - mean) / scale
-    errors = np.zeros((len(folds), len(ALPHAS)))
-    for i, (train, end) in enumerate(folds):
-        w, b = solve(z[:train], y[:train], ALPHAS)
-        predicted = z[train:end] @ w.T + b
-        errors[i] = ((predicted - y[train:end, None]) ** 2).mean(axis=0)
-    best = ALPHAS[errors.mean(axis=0).argmin()]
-    w, b = solve(z, y, np.array([best]))
-    return best, lambda rows: (rows - mean) / scale @ w[0] + b[0]
+        var, c = gram[:, j, j, None], corr[:, j, None]
+        w = np.zeros((p, a, 2))
+        shrunk = np.sign(c) * np.maximum(np.abs(c) - alphas, 0.0)
+        w[:, :, j] = np.where(var > 1e-15, shrunk / np.where(var > 1e-15, var, 1.0), 0.0)
+        options.append(w)
+    g11, g22, g12 = gram[:, 0, 0], gram[:, 1, 1], gram[:, 0, 1]
+    det = g11 * g22 - g12**2
+    regular = det > 1e-12 * np.maximum(g11 * g22, 1e-300)
+    safe = np.where(regular, det, 1.0)[:, None]
+    for sign in SIGNS:
+        r1, r2 = corr[:, 0, None] - alphas * sign[0], corr[:, 1, None] - alphas * sign[1]
+        w = np.stack(
+            [(g22[:, None] * r1 - g12[:, None] * r2) / safe, (g11[:, None] * r2 - g12[:, None] * r1) / safe], axis=2
+        )
+        valid = regular[:, None] & (w[:, :, 0] * sign[0] > 0) & (w[:, :, 1] * sign[1] > 0)
+        options.append(np.where(valid[:, :, None], w, 0.0))
+    stack = np.stack(options)
+    w1, w2 = stack[..., 0], stack[..., 1]
+    cost = (
+        0.5 * (g11[:, None] * w1**2 + g22[:, None] * w2**2) + g12[:, None] * w1 * w2
+        - corr[:, 0, None] * w1 - corr[:, 1, None] * w2 + alphas * (np.abs(w1) + np.abs(w2))
+    )
+    best = cost.argmin(axis=0)
+    return np.take_along_axis(stack, best[None, :, :, None], axis=0)[0]
+
+
+class Moments:
+    """Running sums of a series, so that any slice's means and covariances are two lookups."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray):
+        self.shift = np.r_[x.mean(axis=0), y.mean()]
+        v = np.column_stack([x, y]) - self.shift
+        terms = np.column_stack([v, v[:, [0]] * v, v[:, [1]] * v[:, 1:], v[:, [2]] * v[:, [2]]])
+        self.sums = np.vstack([np.zeros(terms.shape[1]), terms.cumsum(axis=0)])
+
+    def slice(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Means (p, 3) and raw second moments (p, 3, 3) of (x1, x2, y), both about the shift."""
+        m = (self.sums[end] - self.sums[start]) / (end - start)[:, None]
+        second = m[:, [3, 4, 5, 4, 6, 7, 5, 7, 8]].reshape(-1, 3, 3)
+        return m[:, :3], second
+
+
+def _problem(mean: np.ndarray, second: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gram matrix and correlation of centred, scaled features."""
+    cov = second - mean[:, :, None] * mean[:, None, :]
+    gram = cov[:, :2, :2] / (scale[:, :, None] * scale[:, None, :])
+    return gram, cov[:, :2, 2] / scale
+
+
+def fit_prefixes(moments: Moments, lengths: np.ndarray, splits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fit every training prefix: penalties (p,), weights on raw features (p, 2), intercepts (p,).
+
+    Features are scaled on the prefix; the penalty with the least mean squared error over the
+    prefix's own expanding folds wins and the prefix is refitted with it.
+    """
+    zero = np.zeros(len(lengths), dtype=int)
+    mean, second = moments.slice(zero, lengths)
+    scale = np.sqrt(np.maximum(np.einsum("pii->pi", second)[:, :2] - mean[:, :2] ** 2, 0.0))
+    scale[scale < 1e-9] = 1.0
+    folds = np.array([fold_bounds(n, splits) for n in lengths])  # (p, splits, 2)
+    train, end = folds[:, :, 0].ravel(), folds[:, :, 1].ravel()
+    fold_scale = np.repeat(scale, splits, axis=0)
+    f_mean, f_second = moments.slice(np.zeros_like(train), train)
+    w = solve(*_problem(f_mean, f_second, fold_scale), np.broadcast_to(ALPHAS, (len(train), len(ALPHAS))))
+    w = w / fold_scale[:, None, :]
+    b = f_mean[:, 2, None] - np.einsum("paj,pj->pa", w, f_mean[:, :2])
+    t_mean, t_second = moments.slice(train, end)
+    loss = np.concatenate([-w, np.ones(w.shape[:2] + (1,))], axis=2)  # residual = loss . (x, y) - b
+    errors = (
+        np.einsum("pai,pij,paj->pa", loss, t_second, loss) - 2 * b * np.einsum("pai,pi->pa", loss, t_mean) + b**2
+    )
+    alphas = ALPHAS[errors.reshape(len(lengths), splits, -1).mean(axis=1).argmin(axis=1)]
+    w = solve(*_problem(mean, second, scale), alphas[:, None])[:, 0, :] / scale
+    x_shift, y_shift = moments.shift[:2], moments.shift[2]
+    intercept = mean[:, 2] + y_shift - ((mean[:, :2] + x_shift) * w).sum(axis=1)
+    return alphas, w, intercept
 
 
 def _r2(y: np.ndarray, predicted: np.ndarray) -> float:
@@ -81,36 +119,37 @@ def _r2(y: np.ndarray, predicted: np.ndarray) -> float:
     return 1.0 - residual / total
 
 
-def forecast_series(key: tuple, pdf: pd.DataFrame, splits: int) -> pd.DataFrame:
-    pdf = pdf.sort_values("window_end")
-    series = pdf[["lag_1", "price_volatility", "target"]].astype(float)
-    complete = series.dropna().to_numpy()
-    last = float(pdf["avg_price"].iloc[-1])
-    row = {
-        "sku": key[0], "competitor_id": int(key[1]), "horizon": int(pdf["horizon"].iloc[0]),
-        "prediction": last, "last_price": last, "n_samples": len(complete),
+def evaluate(x: np.ndarray, y: np.ndarray, latest: np.ndarray, splits: int) -> dict[str, float | None]:
+    """Cross-validated errors beside the repeat-last baseline, and the prediction for ``latest``."""
+    # a training part shorter than its inner folds need cannot be fitted; its fold counts nowhere
+    folds = [f for f in fold_bounds(len(y), splits) if f[0] > splits]
+    lengths = np.array([train for train, _ in folds] + [len(y)])
+    alphas, w, b = fit_prefixes(Moments(x, y), lengths, splits)
+    scores = []
+    for i, (train, end) in enumerate(folds):
+        actual, predicted = y[train:end], x[train:end] @ w[i] + b[i]
+        off = np.abs(actual - predicted)
+        scores.append((off.mean(), np.sqrt((off**2).mean()), _r2(actual, predicted), np.abs(actual - y[train - 1]).mean()))
+    mae, rmse, r2, base = np.mean(scores, axis=0) if scores else (None,) * 4
+    return {
+        "alpha": alphas[-1], "cv_mae": mae, "cv_rmse": rmse, "cv_r2": r2, "baseline_mae": base,
+        "prediction": float(latest @ w[-1] + b[-1]),
     }
-    numbers = ["alpha", "cv_mae", "cv_rmse", "cv_r2", "baseline_mae", "pred_diff", "pred_diff_pct"]
-    row.update(dict.fromkeys(numbers))
-    if len(complete) >= MIN_ROWS:
-        x, y = complete[:, :2], complete[:, 2]
-        scores = []
-        for train, end in fold_bounds(len(y), splits):
-            model = fit(x[:train], y[:train], splits)
-            if model is None:
-                continue
-            predicted, actual = model[1](x[train:end]), y[train:end]
-            off = actual - predicted
-            scores.append(
-                (abs(off).mean(), np.sqrt((off**2).mean()), _r2(actual, predicted), abs(actual - y[train - 1]).mean())
-            )
-        if scores:
-            row["cv_mae"], row["cv_rmse"], row["cv_r2"], row["baseline_mae"] = np.mean(scores, axis=0)
-        alpha, predict = fit(x, y, splits)
-        ahead = float(predict(np.array([[last, float(series["price_volatility"].iloc[-1])]]))[0])
-        row.update(
-            prediction=ahead, alpha=alpha, pred_diff=ahead - last, pred_diff_pct=(ahead - last) / last if last > 0 else 0.0
-        )
-    out = pd.DataFrame([row])
-    out[numbers] = out[numbers].astype(float)
-    return out
+
+
+def forecast_series(windows: dict[str, np.ndarray], splits: int) -> dict[str, float | int | None]:
+    """Forecast of one series given its columns; too few complete rows repeat the last average."""
+    order = np.argsort(windows["window_end"], kind="stable")
+    price, spread, before, target = (
+        windows[c][order].astype(float) for c in ("avg_price", "price_volatility", "lag_1", "target")
+    )
+    complete = ~(np.isnan(before) | np.isnan(target))
+    last = float(price[-1])
+    row = dict.fromkeys(["alpha", "cv_mae", "cv_rmse", "cv_r2", "baseline_mae", "pred_diff", "pred_diff_pct"])
+    row.update(prediction=last, last_price=last, n_samples=int(complete.sum()))
+    if row["n_samples"] >= MIN_ROWS:
+        x = np.column_stack([before, spread])[complete]
+        row.update(evaluate(x, target[complete], np.array([last, spread[-1]]), splits))
+        row["pred_diff"] = row["prediction"] - last
+        row["pred_diff_pct"] = row["pred_diff"] / last if last > 0 else 0.0
+    return row

@@ -1,10 +1,11 @@
-"""Ordered-per-key computations that do not put a whole key in one task.
+"""Ordered-per-key computations that survive a hot key.
 
-A plain ``lag`` or ``RANGE`` window partitioned by key sorts every row of the key in one
-task, and a sliding minimum re-scans its frame. Both break down when one key holds a large
-share of the rows. Here time is cut into fixed buckets: rows are windowed per
-(key, bucket), and what crosses a bucket edge travels through a small per-bucket summary
-that is aggregated map-side first.
+A plain ``lag`` sorts every row of a key in one task, and a plain ``RANGE`` minimum also
+re-scans its frame for every row. Keys with many rows are therefore treated apart: time is
+cut into fixed buckets and rows are windowed per (key, bucket). What crosses a bucket edge
+comes from a small per-bucket summary, aggregated map-side and worked out per key; it joins
+the rows of its bucket as one extra row that sorts first, so the rows themselves are
+shuffled once and never joined. All paths give the same result.
 """
 
 from __future__ import annotations
@@ -15,12 +16,56 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET = "_bucket"
+HOT_ROWS = 1_000_000
+HOT_KEYS = 10_000
 
 
 def _bucket_of(ts: str, seconds: int) -> Column:
     return F.floor(F.unix_seconds(F.col(ts)) / F.lit(seconds))
 
 
+def _padded(df: DataFrame, like: DataFrame) -> DataFrame:
+    """``df`` with the missing columns of ``like`` as typed NULLs."""
+    have = set(df.columns)
+    return df.select(
+        *[F.col(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in like.schema.fields]
+    )
+
+
+def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Rows of ordinary keys and rows of the largest keys beyond ``hot_rows``.
+
+    At most ``HOT_KEYS`` keys count as hot, which bounds what is broadcast; every other key,
+    whatever its size, stays in the ordinary part. When no key is hot, the adaptive planner
+    drops the hot branch at run time.
+    """
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
+    hot = F.broadcast(counted.orderBy(F.col("_n").desc()).limit(HOT_KEYS).select(*keys))
+    return df.join(hot, list(keys), "left_anti"), df.join(hot, list(keys), "left_semi")
+
+
+def ordered_lag(
+    df: DataFrame, keys: Sequence[str], ts: str, ties: Sequence[str], value: str, out: str, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Previous ``value`` per key in (ts, ties) order."""
+    ordinary, hot = split_hot(df, keys, hot_rows)
+    by_time = Window.partitionBy(*keys).orderBy(ts, *ties)
+    return ordinary.withColumn(out, F.lag(value).over(by_time)).unionByName(
+        bucketed_lag(hot, keys, ts, ties, value, out)
+    )
+
+
+def ordered_range_min(
+    df: DataFrame, keys: Sequence[str], ts: str, value: str, out: str, span_seconds: int = 24 * 3600,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Minimum of ``value`` over ``[ts - span, ts]`` per key; buckets as wide as the span unless a key is hot."""
+    ordinary, hot = split_hot(df, keys, hot_rows)
+    return bucketed_range_min(ordinary, keys, ts, value, out, span_seconds, span_seconds).unionByName(
+        bucketed_range_min(hot, keys, ts, value, out, span_seconds)
+    )
+
+
 def bucketed_lag(
     df: DataFrame,
     keys: Sequence[str],
@@ -37,22 +82,18 @@ def bucketed_lag(
         F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_edge")
     )
     across = Window.partitionBy(*keys).orderBy(BUCKET)
-    carried = edges.select(
-        *keys, BUCKET, F.lag("_edge").over(across).alias("_carry")
-    )
-    inside = Window.partitionBy(*keys, BUCKET).orderBy(*order)
-    numbered = rows.select(
-        "*",
-        F.lag(value).over(inside).alias("_inside"),
-        F.row_number().over(inside).alias("_n"),
+    carried = (
+        edges.select(*keys, BUCKET, F.lag("_edge").over(across).alias("_carry"))
+        .filter(F.col("_carry").isNotNull())
+        .select(*keys, BUCKET, F.col("_carry.v").alias(value), F.lit(False).alias("_own"))
     )
+    own = rows.withColumn("_own", F.lit(True))
+    inside = Window.partitionBy(*keys, BUCKET).orderBy("_own", *order)
     return (
-        numbered.join(carried, [*keys, BUCKET], "left")
-        .withColumn(
-            out,
-            F.when(F.col("_n") == 1, F.col("_carry.v")).otherwise(F.col("_inside")),
-        )
-        .drop(BUCKET, "_carry", "_inside", "_n")
+        own.unionByName(_padded(carried, own))
+        .withColumn(out, F.lag(value).over(inside))
+        .filter("_own")
+        .drop(BUCKET, "_own")
     )
 
 
@@ -68,41 +109,43 @@ def bucketed_range_min(
     """Minimum of ``value`` over ``[ts - span, ts]`` per key, peers included.
 
     The frame of a row splits into three parts: rows of its own bucket up to ``ts`` (a
-    running minimum), whole buckets strictly inside the frame (minimum over the per-bucket
-    summary), and the tail of the bucket exactly one span earlier (a running minimum from
-    the other end over a copy of those rows moved forward by the span).
+    running minimum), whole buckets strictly inside the frame (the summary row, which sorts
+    first and so is part of that running minimum), and the tail of the bucket exactly one
+    span earlier (a running minimum from the other end over copies of those rows moved
+    forward by the span).
     """
     if span_seconds % bucket_seconds:
         raise ValueError("the span must be a whole number of buckets")
     steps = span_seconds // bucket_seconds
-    micros = F.unix_micros(F.col(ts))
-    rows = df.withColumn(BUCKET, _bucket_of(ts, bucket_seconds))
-    low = rows.groupBy(*keys, BUCKET).agg(F.min(value).alias("_low"))
-    whole = Window.partitionBy(*keys).orderBy(BUCKET).rangeBetween(-(steps - 1), -1)
-    inner = low.select(*keys, BUCKET, F.min("_low").over(whole).alias("_inner"))
-
-    own = rows.select("*", micros.alias("_at"), F.lit(True).alias("_own"))
-    payload = [c for c in rows.columns if c not in (*keys, BUCKET, value)]
-    moved = rows.select(
-        *[
-            F.lit(None).cast(rows.schema[c].dataType).alias(c) if c in payload else F.col(c)
-            for c in rows.columns
-            if c != BUCKET
-        ],
-        (F.col(BUCKET) + steps).alias(BUCKET),
-        (micros + span_seconds * 1_000_000).alias("_at"),
-        F.lit(False).alias("_own"),
+    rows = df.withColumn(BUCKET, _bucket_of(ts, bucket_seconds)).withColumn("_at", F.unix_micros(F.col(ts)))
+    # one scan yields both the row and its moved copy; the copy carries only what the minimum needs
+    copies = rows.withColumn("_moved", F.explode(F.array(F.lit(0), F.lit(1))))
+    slim = [c for c in df.columns if c not in (*keys, value)]
+    both = copies.select(
+        *keys,
+        value,
+        *[F.when(F.col("_moved") == 0, F.col(c)).alias(c) for c in slim],
+        (F.col(BUCKET) + F.col("_moved") * steps).alias(BUCKET),
+        (F.col("_at") + F.col("_moved") * (span_seconds * 1_000_000)).alias("_at"),
+        "_moved",
     )
-    both = own.unionByName(moved)
-    upto = Window.partitionBy(*keys, BUCKET).orderBy("_at")
-    since = Window.partitionBy(*keys, BUCKET).orderBy(F.col("_at").desc())
-    edged = both.select(
-        "*",
-        F.min(F.when(F.col("_own"), F.col(value))).over(upto).alias("_head"),
-        F.min(F.when(~F.col("_own"), F.col(value))).over(since).alias("_tail"),
-    ).filter("_own")
+    upto = Window.partitionBy(*keys, BUCKET).orderBy(F.col("_at").asc_nulls_first())
+    since = Window.partitionBy(*keys, BUCKET).orderBy(F.col("_at").desc_nulls_last())
+    moved = F.col("_moved") == 1
+    if steps > 1:
+        low = rows.groupBy(*keys, BUCKET).agg(F.min(value).alias("_low"))
+        between = Window.partitionBy(*keys).orderBy(BUCKET).rangeBetween(-(steps - 1), -1)
+        inner = (
+            low.select(*keys, BUCKET, F.min("_low").over(between).alias(value))
+            .filter(F.col(value).isNotNull())
+            .withColumn("_at", F.lit(None).cast("bigint"))
+            .withColumn("_moved", F.lit(0))
+        )
+        both = both.unionByName(_padded(inner, both))
     return (
-        edged.join(inner, [*keys, BUCKET], "left")
-        .withColumn(out, F.least("_head", "_inner", "_tail"))
-        .drop(BUCKET, "_at", "_own", "_head", "_tail", "_inner")
+        both.withColumn("_head", F.min(F.when(~moved, F.col(value))).over(upto))
+        .withColumn("_tail", F.min(F.when(moved, F.col(value))).over(since))
+        .filter(~moved & F.col("_at").isNotNull())
+        .withColumn(out, F.least("_head", "_tail"))
+        .select(*df.columns, out)
     )

@@ -7,7 +7,7 @@ DataFrame work; the fit runs per series in Arrow batches spread over the executo
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +18,12 @@ from shelfwise.functions.lasso import forecast_series
 
 SERIES = ["product_sku", "competitor_id"]
 MAX_SPLITS = 5
+FORECAST_ARROW = pa.schema(
+    [("sku", pa.string()), ("competitor_id", pa.int64()), ("horizon", pa.int32())]
+    + [(c, pa.float64()) for c in ("prediction", "last_price")]
+    + [("n_samples", pa.int32())]
+    + [(c, pa.float64()) for c in ("alpha", "cv_mae", "cv_rmse", "cv_r2", "baseline_mae", "pred_diff", "pred_diff_pct")]
+)
 
 
 def history_windows(history: DataFrame, as_of, days: int = DEFAULTS.forecast_days, minutes: int = 5) -> DataFrame:
@@ -121,8 +127,11 @@ def baseline_mae(features: DataFrame, min_rows: int = DEFAULTS.forecast_min_rows
     return per_fold.groupBy(*SERIES, "n_samples").agg(F.avg("mae").alias("baseline_mae"))
 
 
-def _fit_series(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    return forecast_series(key, pdf, MAX_SPLITS)
+def _fit_series(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    columns = {c: table[c].to_numpy() for c in ("window_end", "avg_price", "price_volatility", "lag_1", "target")}
+    row = forecast_series(columns, MAX_SPLITS)
+    row.update(sku=key[0].as_py(), competitor_id=key[1].as_py(), horizon=table["horizon"][0].as_py())
+    return pa.Table.from_pylist([row], schema=FORECAST_ARROW)
 
 
 def score_reliability(forecasts: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
@@ -145,7 +154,7 @@ def forecast_competitor_prices(
     """Next-step forecast per (sku, competitor) with its cross-validated quality."""
     windows = history_windows(history, as_of, settings.forecast_days, minutes)
     series = _series_features(windows, horizon).withColumn("horizon", F.lit(horizon))
-    fitted = series.groupBy(*SERIES).applyInPandas(_fit_series, schemas.FORECAST)
+    fitted = series.groupBy(*SERIES).applyInArrow(_fit_series, schemas.FORECAST)
     digits = {
         "prediction": 2, "last_price": 2, "alpha": 4, "cv_mae": 4, "cv_rmse": 4, "cv_r2": 3,
         "baseline_mae": 4, "confidence": 4, "pred_diff": 4, "pred_diff_pct": 4,

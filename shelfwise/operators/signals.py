@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.config import DEFAULTS, Settings
 from shelfwise.functions.columns import ago, by_sensitivity, pct_of, signal_priority
-from shelfwise.functions.ordered import bucketed_lag, bucketed_range_min
+from shelfwise.functions.ordered import ordered_lag, ordered_range_min
 
 PAIR = ["product_sku", "competitor_name"]
 TIES = ["api_collection_ts_ms", "source_sku", "price"]
@@ -116,6 +116,17 @@ def increase_case(threshold: float, as_of, settle_minutes: int) -> Case:
     return cond, _row("PRICE_INCREASE_24H", pct, _text(INCREASE_TEXT, pct), (2, 3, 3))
 
 
+def _output() -> list:
+    return [
+        "product_sku",
+        "competitor_id",
+        "_s.*",
+        "in_stock",
+        F.col("event_time").alias("signal_timestamp"),
+        F.lit(True).alias("is_active"),
+    ]
+
+
 def _emit(joined: DataFrame, *cases: Case) -> DataFrame:
     """Rows of every case that holds. Several cases share one pass through an exploded array."""
     if len(cases) == 1:
@@ -124,14 +135,7 @@ def _emit(joined: DataFrame, *cases: Case) -> DataFrame:
     else:
         rows = F.array_compact(F.array(*[F.when(cond, row) for cond, row in cases]))
         hits = joined.withColumn("_s", F.explode(rows))
-    return hits.select(
-        "product_sku",
-        "competitor_id",
-        "_s.*",
-        "in_stock",
-        F.col("event_time").alias("signal_timestamp"),
-        F.lit(True).alias("is_active"),
-    )
+    return hits.select(*_output())
 
 
 def undercut_signals(prices, products, competitors, strict: bool = False, threshold: float = DEFAULTS.undercut_pct):
@@ -148,7 +152,7 @@ def stockout_signals(prices, products, competitors):
 
 def with_low_24h(joined: DataFrame) -> DataFrame:
     """Lowest price of the pair over the preceding 24 hours, both ends included."""
-    return bucketed_range_min(joined, PAIR, "event_time", "price", "low_24h")
+    return ordered_range_min(joined, PAIR, "event_time", "price", "low_24h")
 
 
 def price_increase_signals(
@@ -163,7 +167,7 @@ def price_increase_signals(
 def price_movements(prices, products, competitors, threshold: float = DEFAULTS.movement_pct):
     """Consecutive price changes of a pair of at least ``threshold`` percent."""
     joined = with_dimensions(prices, products, competitors).filter(sellable())
-    return movement_rows(bucketed_lag(joined, PAIR, "event_time", TIES, "price", "previous_price"), threshold)
+    return movement_rows(ordered_lag(joined, PAIR, "event_time", TIES, "price", "previous_price"), threshold)
 
 
 def movement_rows(lagged: DataFrame, threshold: float = DEFAULTS.movement_pct) -> DataFrame:
@@ -188,7 +192,7 @@ SIGNAL_KEY = ["product_sku", "competitor_id", "signal_type"]
 def newest_per_key(signals: DataFrame) -> DataFrame:
     """One row per (sku, competitor, type): the newest qualifying event."""
     rest = [c for c in signals.columns if c not in SIGNAL_KEY]
-    order = F.struct("signal_timestamp", "competitor_price", "recommendation", "in_stock")
+    order = F.struct("signal_timestamp", "competitor_price", "in_stock")
     return (
         signals.groupBy(*SIGNAL_KEY)
         .agg(F.max_by(F.struct(*rest), order).alias("_s"))
@@ -197,18 +201,39 @@ def newest_per_key(signals: DataFrame) -> DataFrame:
     )
 
 
+def _cases(as_of, settings: Settings) -> dict[str, Case]:
+    return {
+        "UNDERCUT": undercut_case(False, settings.undercut_pct),
+        "OVERPRICED": overpriced_case(settings.overpriced_pct),
+        "STOCKOUT": stockout_case(),
+        "PRICE_INCREASE_24H": increase_case(settings.increase_24h_pct, as_of, settings.settle_minutes),
+    }
+
+
 def all_signals(prices, products, competitors, as_of, settings: Settings = DEFAULTS) -> DataFrame:
     """Every signal event of the four rules, from one scan and one pass over the joined rows."""
-    joined = with_low_24h(with_dimensions(prices, products, competitors))
-    return _emit(
-        joined,
-        undercut_case(False, settings.undercut_pct),
-        overpriced_case(settings.overpriced_pct),
-        stockout_case(),
-        increase_case(settings.increase_24h_pct, as_of, settings.settle_minutes),
-    )
+    joined = with_dimensions(with_low_24h(prices), products, competitors)
+    return _emit(joined, *_cases(as_of, settings).values())
 
 
 def current_signals(prices, products, competitors, as_of, settings: Settings = DEFAULTS) -> DataFrame:
-    return newest_per_key(all_signals(prices, products, competitors, as_of, settings))
+    """Newest qualifying event per (sku, competitor, type).
 
+    Equal to ``newest_per_key(all_signals(...))``, but the four rules fold into four maxima of
+    one aggregation that combines map-side, and texts are only written for the survivors.
+    """
+    cases = _cases(as_of, settings)
+    hit = F.struct("event_time", "price", "in_stock", "low_24h")
+    per_pair = (
+        with_dimensions(with_low_24h(prices), products, competitors)
+        .groupBy("product_sku", "competitor_id", "platform_price", "price_sensitivity")
+        .agg(*[F.max(F.when(cond, hit)).alias(kind) for kind, (cond, _) in cases.items()])
+    )
+    found = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(kind).alias("hit")) for kind in cases])
+    events = (
+        per_pair.withColumn("_f", F.explode(found))
+        .filter(F.col("_f.hit").isNotNull())
+        .select("product_sku", "competitor_id", "platform_price", "price_sensitivity", "_f.kind", "_f.hit.*")
+    )
+    row = F.coalesce(*[F.when(F.col("kind") == kind, made) for kind, (_, made) in cases.items()])
+    return events.withColumn("_s", row).select(*_output())

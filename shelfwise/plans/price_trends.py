@@ -81,9 +81,12 @@ def hourly_prices(trends: DataFrame) -> DataFrame:
 
 def hourly_price_pivot(trends: DataFrame, hours: Sequence[str]) -> DataFrame:
     """One column per given hour (``HH:mm``); naming the hours spares a pass to discover them."""
-    label = F.date_format(F.date_trunc("hour", "window_end"), "HH:mm")
-    pair = F.concat_ws(" | ", *PAIR).alias("product_competitor")
-    return trends.groupBy(pair).pivot(label, list(hours)).agg(exact_avg(F.col("avg_price")))
+    labelled = trends.select(
+        F.concat_ws(" | ", *PAIR).alias("product_competitor"),
+        F.date_format(F.date_trunc("hour", "window_end"), "HH:mm").alias("hour"),
+        "avg_price",
+    )
+    return labelled.groupBy("product_competitor").pivot("hour", list(hours)).agg(exact_avg(F.col("avg_price")))
 
 
 def volatility_by_pair(trends: DataFrame) -> DataFrame:

@@ -15,9 +15,32 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
+# Settings that must be in place when the session starts.
+STARTUP_CONF = {
+    # call-site capture costs several gateway calls per column expression
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+    "spark.sql.execution.arrow.pyspark.enabled": "true",
+}
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g", **conf: str) -> SparkSession:
+    """A local session for tests and the benchmark; on a cluster the submitter makes the session."""
+    builder = SparkSession.builder.master(f"local[{cores}]").appName("shelfwise")
+    fixed = {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.driver.memory": memory,
+        "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
+    }
+    for key, value in {**STARTUP_CONF, **RUNTIME_CONF, **fixed, **conf}.items():
+        builder = builder.config(key, value)
+    spark = builder.getOrCreate()
+    spark.sparkContext.setLogLevel("ERROR")
+    return configure(spark)
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the batch settings to an existing session and return it."""
     for key, value in RUNTIME_CONF.items():

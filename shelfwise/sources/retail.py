@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions.columns import sensitivity_label
 from shelfwise.operators import behavior, demand, forecast, market, prices, signals
+from shelfwise.sources.tables import read_table
+
+# Key to spread a table by when its files give fewer splits than there are cores.
+ROW_KEY = {"lineitem": "l_orderkey", "orders": "o_orderkey", "events": "event_id"}
 
 AS_OF = "2024-01-04 00:00:00"
 T0_MS = 1704067200000  # 2024-01-01 00:00:00 UTC
@@ -44,7 +48,7 @@ class RetailTables:
         self.folder = folder
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return read_table(self.spark, f"{self.folder}/{name}.parquet", spread_by=ROW_KEY.get(name))
 
     # ---- dimensions -------------------------------------------------------------
 
