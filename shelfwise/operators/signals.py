@@ -127,7 +127,7 @@ def _output() -> list:
     ]
 
 
-def _emit(joined: DataFrame, *cases: Case) -> DataFrame:
+def emit(joined: DataFrame, *cases: Case) -> DataFrame:
     """Rows of every case that holds. Several cases share one pass through an exploded array."""
     if len(cases) == 1:
         cond, row = cases[0]
@@ -139,15 +139,15 @@ def _emit(joined: DataFrame, *cases: Case) -> DataFrame:
 
 
 def undercut_signals(prices, products, competitors, strict: bool = False, threshold: float = DEFAULTS.undercut_pct):
-    return _emit(with_dimensions(prices, products, competitors), undercut_case(strict, threshold))
+    return emit(with_dimensions(prices, products, competitors), undercut_case(strict, threshold))
 
 
 def overpriced_signals(prices, products, competitors, threshold: float = DEFAULTS.overpriced_pct):
-    return _emit(with_dimensions(prices, products, competitors), overpriced_case(threshold))
+    return emit(with_dimensions(prices, products, competitors), overpriced_case(threshold))
 
 
 def stockout_signals(prices, products, competitors):
-    return _emit(with_dimensions(prices, products, competitors), stockout_case())
+    return emit(with_dimensions(prices, products, competitors), stockout_case())
 
 
 def with_low_24h(joined: DataFrame) -> DataFrame:
@@ -161,7 +161,7 @@ def price_increase_signals(
 ):
     # the dimension filters hold for whole pairs, so they may run before the ordered computation
     joined = with_dimensions(prices, products, competitors).filter(sellable())
-    return _emit(with_low_24h(joined), increase_case(threshold, as_of, settle_minutes))
+    return emit(with_low_24h(joined), increase_case(threshold, as_of, settle_minutes))
 
 
 def price_movements(prices, products, competitors, threshold: float = DEFAULTS.movement_pct):
@@ -213,7 +213,7 @@ def _cases(as_of, settings: Settings) -> dict[str, Case]:
 def all_signals(prices, products, competitors, as_of, settings: Settings = DEFAULTS) -> DataFrame:
     """Every signal event of the four rules, from one scan and one pass over the joined rows."""
     joined = with_dimensions(with_low_24h(prices), products, competitors)
-    return _emit(joined, *_cases(as_of, settings).values())
+    return emit(joined, *_cases(as_of, settings).values())
 
 
 def current_signals(prices, products, competitors, as_of, settings: Settings = DEFAULTS) -> DataFrame:

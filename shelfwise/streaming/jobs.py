@@ -54,13 +54,13 @@ def price_increases_of(
 ) -> DataFrame:
     """24-hour increases of a micro-batch of ``stream_low_24h`` rows."""
     joined = enrich_batch(batch, products, competitors)
-    return signals._emit(joined, signals.increase_case(settings.increase_24h_pct, as_of, settings.settle_minutes))
+    return signals.emit(joined, signals.increase_case(settings.increase_24h_pct, as_of, settings.settle_minutes))
 
 
 def row_signals_of(batch: DataFrame, products: DimReader, competitors: DimReader, settings: Settings = DEFAULTS):
     """Undercut, overpriced and stock-out signals of a micro-batch of plain prices."""
     joined = enrich_batch(batch, products, competitors)
-    return signals._emit(
+    return signals.emit(
         joined,
         signals.undercut_case(False, settings.undercut_pct),
         signals.overpriced_case(settings.overpriced_pct),

@@ -1,0 +1,98 @@
+import numpy as np
+import pytest
+
+from shelfwise.functions import lasso
+
+
+def descend(x, y, alpha, rounds=20000):
+    """Plain coordinate descent for |y - b - xw|^2 / 2n + alpha |w|_1."""
+    xc, yc, w, n = x - x.mean(0), y - y.mean(), np.zeros(2), len(y)
+    for _ in range(rounds):
+        old = w.copy()
+        for j in range(2):
+            var = xc[:, j] @ xc[:, j] / n
+            if var == 0:
+                continue
+            rho = xc[:, j] @ (yc - xc @ w + xc[:, j] * w[j]) / n
+            w[j] = np.sign(rho) * max(abs(rho) - alpha, 0) / var
+        if np.abs(w - old).max() < 1e-13:
+            break
+    return w, y.mean() - x.mean(0) @ w
+
+
+def brute(x, y, latest, splits=5):
+    """The cross-validated forecast written out with loops."""
+
+    def folds(n):
+        test = n // (splits + 1)
+        return [(n - (splits - i) * test, n - (splits - 1 - i) * test) for i in range(splits)]
+
+    def fit(xt, yt):
+        mean, sd = xt.mean(0), xt.std(0)
+        sd[sd == 0] = 1
+        z = (xt - mean) / sd
+        loss = {}
+        for alpha in np.logspace(-3, 1, 30)[::-1]:
+            per = []
+            for a, b in folds(len(yt)):
+                w, c = descend(z[:a], yt[:a], alpha)
+                per.append(((z[a:b] @ w + c - yt[a:b]) ** 2).mean())
+            loss[alpha] = np.mean(per)
+        best = min(loss, key=lambda a: (loss[a], -a))
+        w, c = descend(z, yt, best)
+        return best, lambda q: (q - mean) / sd @ w + c
+
+    maes, bases = [], []
+    for a, b in folds(len(y)):
+        if a < splits + 1:
+            continue
+        _, predict = fit(x[:a], y[:a])
+        maes.append(np.abs(predict(x[a:b]) - y[a:b]).mean())
+        bases.append(np.abs(y[a - 1] - y[a:b]).mean())
+    alpha, predict = fit(x, y)
+    return alpha, np.mean(maes), np.mean(bases), predict(latest)
+
+
+@pytest.mark.parametrize("seed,n", [(0, 8), (1, 13), (2, 40)])
+def test_evaluate_matches_loops(seed, n):
+    rng = np.random.default_rng(seed)
+    price = 900 + np.cumsum(rng.normal(0, 3, n + 2))
+    x = np.column_stack([price[:n], np.abs(rng.normal(0, 1, n))])
+    y = 0.7 * price[2:] + 0.3 * price[:n]
+    latest = np.array([price[-1], 0.5])
+    got = lasso.evaluate(x, y, latest, 5)
+    alpha, mae, base, ahead = brute(x, y, latest)
+    assert got["alpha"] == pytest.approx(alpha)
+    assert got["cv_mae"] == pytest.approx(mae, rel=1e-5)
+    assert got["baseline_mae"] == pytest.approx(base, rel=1e-9)
+    assert got["prediction"] == pytest.approx(ahead, rel=1e-7)
+
+
+@pytest.mark.parametrize("alpha", [0.001, 0.1, 1.0, 5.0])
+def test_optimality_conditions(alpha):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(50, 2)) @ np.array([[1.0, 0.6], [0.0, 0.8]])
+    y = x @ np.array([2.0, -0.5]) + rng.normal(0, 0.3, 50)
+    xc, yc = x - x.mean(0), y - y.mean()
+    w = lasso.solve((xc.T @ xc / 50)[None], (xc.T @ yc / 50)[None], np.array([[alpha]]))[0, 0]
+    pull = xc.T @ (yc - xc @ w) / 50
+    for j in range(2):
+        if w[j] != 0:
+            assert pull[j] == pytest.approx(alpha * np.sign(w[j]), abs=1e-9)
+        else:
+            assert abs(pull[j]) <= alpha + 1e-9
+
+
+def test_constant_volatility_and_perfect_fit():
+    x = np.column_stack([np.arange(30.0), np.zeros(30)])
+    got = lasso.evaluate(x, np.arange(30.0) + 2, np.array([30.0, 0.0]), 5)
+    assert got["prediction"] == pytest.approx(32, abs=0.01)
+    flat = lasso.evaluate(np.full((20, 2), 5.0), np.full(20, 5.0), np.array([5.0, 5.0]), 5)
+    assert flat["prediction"] == pytest.approx(5.0) and flat["cv_mae"] == pytest.approx(0, abs=1e-9)
+
+
+def test_fold_lengths():
+    for n in range(6, 80):
+        folds = lasso.fold_bounds(n, 5)
+        assert len(folds) == 5 and folds[-1][1] == n and all(b - a == n // 6 for a, b in folds)
+    assert lasso.fold_bounds(5, 5) == []
