@@ -1010,6 +1010,15 @@ SELECT coalesce(j.sku, l.sku) AS sku, CASE WHEN NOT apart THEN s END AS domain_s
        CASE WHEN apart OR e IS NULL OR t > e THEN t ELSE e END AS domain_end FROM j FULL JOIN l ON l.sku = j.sku"""
 SQL["adjusted_skus"] = f"SELECT sku FROM offer UNION SELECT sku FROM repriced WHERE tick >= {ago(hour=24)}"
 
+# ---- streaming: what the watermark has closed when the input ends ---------------------
+PRICE_MARK = "(SELECT max(tick) - INTERVAL 10 MINUTE FROM quote)"
+SQL["stream_price_trends"] = SQL["price_trends"] + f" WHERE w + INTERVAL 5 MINUTE <= {PRICE_MARK}"
+SQL["stream_behavior_summary"] = (
+    SQL["behavior_summary"] + " WHERE w_end <= (SELECT max(tick) - INTERVAL 5 MINUTE FROM visit)"
+)
+SQL["stream_price_movements"] = SQL["price_movements"] + f" WHERE tick < {PRICE_MARK}"
+SQL["stream_price_increases"] = SQL["price_increase_signals"] + f" WHERE tick < {PRICE_MARK}"
+
 
 def _needed(sql: str) -> list[str]:
     """Expressions a statement names, dependencies first."""

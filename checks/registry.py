@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +14,11 @@ from shelfwise import configure
 from shelfwise.operators import behavior, demand, dims, elasticity, forecast, ingest, market, prices, proposals, signals
 from shelfwise.plans import adjustments, competitors, demand_signals, overview, price_signals, price_trends
 from shelfwise.plans import elasticity as elasticity_reports
-from shelfwise.sources.retail import AS_OF, RetailTables, sku_of
+from shelfwise.session import checkpoint_dir, configure_streaming
+from shelfwise.sinks.tables import append
+from shelfwise.sources.retail import AS_OF, RetailStreams, RetailTables, sku_of
+from shelfwise.streaming import jobs
+from shelfwise.streaming.ordered import stream_low_24h, stream_previous_price
 
 Query = Callable[[RetailTables], DataFrame]
 RUN_ID = 7
@@ -200,6 +206,27 @@ def _series(t: RetailTables):
     return ours, theirs, points
 
 
+def _drained(t: RetailTables, build) -> DataFrame:
+    """Run a streaming job over all of the streamed table and return the rows it emitted."""
+    configure_streaming(t.spark)
+    live = RetailStreams(t.spark, t.folder)
+    stream = build(live)
+    place = f"{checkpoint_dir(t.spark, tempfile.gettempdir())}/shelfwise-{uuid.uuid4().hex}"
+    write = lambda df, batch_id: append(df, f"{place}/rows", batch_id)
+    jobs.start(stream, write, f"{place}/checkpoint", trigger=None).awaitTermination()
+    return t.spark.read.schema(stream.schema).parquet(f"{place}/rows/batch=*")
+
+
+def _stream_movements(t: RetailTables) -> DataFrame:
+    lagged = _drained(t, lambda s: stream_previous_price(s.marked_prices))
+    return jobs.price_movements_of(lagged, lambda: t.products, lambda: t.competitors)
+
+
+def _stream_increases(t: RetailTables) -> DataFrame:
+    lows = _drained(t, lambda s: stream_low_24h(s.marked_prices))
+    return jobs.price_increases_of(lows, lambda: t.products, lambda: t.competitors, AS_OF)
+
+
 HOURS = [f"{h:02d}:00" for h in range(24)]
 
 QUERIES: dict[str, Query] = {
@@ -385,6 +412,11 @@ QUERIES: dict[str, Query] = {
     "upcoming_proposals": lambda t: adjustments.upcoming_proposals(t.proposals, AS_OF),
     "series_overlap": lambda t: adjustments.series_overlap(*_series(t)),
     "adjusted_skus": lambda t: adjustments.adjusted_skus(t.proposals, t.price_history, AS_OF),
+    # streaming
+    "stream_price_trends": lambda t: _drained(t, lambda s: jobs.stream_price_trends(s.marked_prices)),
+    "stream_behavior_summary": lambda t: _drained(t, lambda s: jobs.stream_behavior_summary(s.marked_behavior)),
+    "stream_price_movements": _stream_movements,
+    "stream_price_increases": _stream_increases,
 }
 
 

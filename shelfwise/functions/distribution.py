@@ -21,7 +21,8 @@ def value_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 def histogram(df: DataFrame, value: str, bins: int, by: Sequence[str] = ()) -> DataFrame:
     """Equal-width bins between the minimum and maximum of each group; empty bins are left out."""
     counts = value_counts(df, by, value)
-    bounds = F.struct(F.min("_v").alias("lo"), F.max("_v").alias("hi")).alias("_b")
+    # the row total is read too: with equal columns the planner reuses the shuffled counts for the bounds
+    bounds = F.struct(F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.sum("_n").alias("rows")).alias("_b")
     if by:
         ranged = counts.join(counts.groupBy(*by).agg(bounds), list(by))
     else:

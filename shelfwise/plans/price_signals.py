@@ -91,7 +91,8 @@ def signals_per_hour(enriched: DataFrame) -> DataFrame:
     counts = actionable(enriched).groupBy(F.date_trunc("hour", "signal_timestamp").alias("hour")).agg(
         F.count(F.lit(1)).alias("signals")
     )
-    span = counts.agg(F.min("hour").alias("a"), F.max("hour").alias("b")).filter(F.col("a").isNotNull())
+    # reading the counts as well keeps both uses of them on one shuffle
+    span = counts.agg(F.min("hour").alias("a"), F.max("hour").alias("b"), F.sum("signals").alias("n")).filter("n > 0")
     hours = span.select(F.explode(F.sequence("a", "b", F.expr("interval 1 hour"))).alias("hour"))
     return hours.join(counts, "hour", "left").select("hour", F.coalesce("signals", F.lit(0)).alias("signals")).orderBy("hour")
 
@@ -121,10 +122,10 @@ def competitor_aggression(enriched: DataFrame) -> DataFrame:
         count_where(_undercut()).alias("undercuts"),
         F.coalesce(exact_avg(F.when(_undercut(), _gap())), F.lit(0.0)).alias("avg_gap"),
     )
-    everything = per.agg(F.greatest(F.lit(1), F.sum("signals"))).scalar()
-    return per.select(
-        "competitor_name", "signals", "undercuts", (F.col("undercuts") / everything * F.col("avg_gap")).alias("aggression")
-    )
+    # all columns are read on both sides, so the total reuses the shuffle of the per-competitor rows
+    totals = per.agg(F.struct(F.sum("signals").alias("n"), F.sum("undercuts"), F.max("avg_gap"))).scalar()
+    share = F.col("undercuts") / F.greatest(F.lit(1), totals["n"])
+    return per.select("competitor_name", "signals", "undercuts", (share * F.col("avg_gap")).alias("aggression"))
 
 
 def top_affected_products(enriched: DataFrame, n: int = 20) -> DataFrame:

@@ -13,8 +13,10 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfwise.config import DEFAULTS
 from shelfwise.functions.columns import sensitivity_label
 from shelfwise.operators import behavior, demand, forecast, market, prices, signals
+from shelfwise.sources.streams import with_watermark
 from shelfwise.sources.tables import read_table
 
 # Key to spread a table by when its files give fewer splits than there are cores.
@@ -427,3 +429,23 @@ class RetailTables:
             ((mae <= 0.5) & (F.lit(1.0) - mae / base >= 0.2)).alias("reliable"),
             before_as_of((F.col("k") * 5 + F.col("competitor_id")) * 60).alias("created_at"),
         )
+
+
+class RetailStreams(RetailTables):
+    """The same tables with order lines and events read as streams; dimensions stay batch tables."""
+
+    STREAMED = ("lineitem", "events")
+
+    def raw(self, name: str) -> DataFrame:
+        if name not in self.STREAMED:
+            return super().raw(name)
+        path = f"{self.folder}/{name}*.parquet"
+        return self.spark.readStream.schema(self.spark.read.parquet(path).schema).parquet(path)
+
+    @cached_property
+    def marked_prices(self) -> DataFrame:
+        return with_watermark(self.prices, "event_time", DEFAULTS.price_watermark)
+
+    @cached_property
+    def marked_behavior(self) -> DataFrame:
+        return with_watermark(self.behavior, "event_time", DEFAULTS.behavior_watermark)
