@@ -213,7 +213,13 @@ def _drained(t: RetailTables, build) -> DataFrame:
     stream = build(live)
     place = f"{checkpoint_dir(t.spark, tempfile.gettempdir())}/shelfwise-{uuid.uuid4().hex}"
     write = lambda df, batch_id: append(df, f"{place}/rows", batch_id)
-    jobs.start(stream, write, f"{place}/checkpoint", trigger=None).awaitTermination()
+    # state is split by the shuffle partitions at the first start; more of them than cores only adds idle stores
+    wanted = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    t.spark.conf.set("spark.sql.shuffle.partitions", str(min(wanted, t.spark.sparkContext.defaultParallelism)))
+    try:
+        jobs.start(stream, write, f"{place}/checkpoint", trigger=None).awaitTermination()
+    finally:
+        t.spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
     return t.spark.read.schema(stream.schema).parquet(f"{place}/rows/batch=*")
 
 
