@@ -397,11 +397,7 @@ go AS (
   SELECT q.sku, q.i, CASE WHEN q.old_c IS NULL OR q.old_c = go.price THEN q.new_c ELSE go.price END, q.id, q.old_c,
          q.new_c, q.reason, q.old_c IS NULL OR q.old_c = go.price
   FROM go JOIN q ON q.sku = go.sku AND q.i = go.i + 1)
-SELECT *, last(price ORDER BY i) OVER (PARTITION BY sku ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS final_c FROM go"""
-CTE["verdict"] = CTE["verdict"].replace(
-    "last(price ORDER BY i) OVER (PARTITION BY sku ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)",
-    "last_value(price) OVER (PARTITION BY sku ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)",
-)
+SELECT *, last_value(price) OVER (PARTITION BY sku ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS final_c FROM go"""
 CTE["outcome"] = "SELECT * FROM verdict WHERE i > 0"
 
 CTE["card"] = f"""
