@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from shelfwise.llm.line_dedup import drop_boilerplate_lines
 from shelfwise.llm.minhash import near_duplicates
+from shelfwise.llm.packing import pack
+from shelfwise.llm.quality_rules import quality_rules
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -17,8 +20,26 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_table(spark, folder, "documents"), width=3, percent=85)
 
 
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    cleaned = drop_boilerplate_lines(_table(spark, folder, "documents"))
+    return cleaned.select("doc_id", "source", "lines_total", "lines_removed", "text")
+
+
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(_table(spark, folder, "documents"))
+
+
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    judged = quality_rules(_table(spark, folder, "documents"))
+    base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return judged.select("doc_id", *[f"quality.{c}" for c in base])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1,
+    "op2_line_dedup": op2,
+    "op7_best_fit_packing": op7,
+    "op10_quality_rules": op10,
 }
 
 SQL: dict[str, str] = {}
