@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from shelfwise.llm.line_dedup import drop_boilerplate_lines
 from shelfwise.llm.minhash import near_duplicates
 from shelfwise.llm.packing import pack
+from shelfwise.llm.pii import personal_data, span_digest
 from shelfwise.llm.quality_rules import quality_rules
 from shelfwise.llm.warc import archived_pages
 
@@ -26,6 +27,10 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return cleaned.select("doc_id", "source", "lines_total", "lines_removed", "text")
 
 
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return span_digest(personal_data(_table(spark, folder, "documents")))
+
+
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return archived_pages(_table(spark, folder, "pages"))
 
@@ -43,6 +48,7 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1,
     "op2_line_dedup": op2,
+    "op4_pii": op4,
     "op5_warc": op5,
     "op7_best_fit_packing": op7,
     "op10_quality_rules": op10,
