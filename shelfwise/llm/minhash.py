@@ -15,10 +15,11 @@ from shelfwise.llm.components import components
 from shelfwise.llm.shared import narrowed, settled, union
 
 BAND_ROWS = 4
-BITS = 2
+BITS = 1
+FIELDS = 1024
+QUICK = 256
 SLICE = 2000
-_FIELDS = 64 // BITS
-_LOW = sum(1 << (BITS * i) for i in range(_FIELDS))
+_LOW = sum(1 << (BITS * i) for i in range(64 // BITS)) if BITS > 1 else -1
 
 
 def bands_for(percent: int, miss: float) -> int:
@@ -27,14 +28,14 @@ def bands_for(percent: int, miss: float) -> int:
 
 
 def least_matches(percent: int, n: int) -> int:
-    """Equal b-bit fields of ``n`` that a pair at the threshold falls short of once in 10^8.
+    """Equal b-bit fields of ``n`` that a pair at the threshold falls short of once in three million.
 
     Unequal minima still agree in their low bits once in 2^b, so J of similarity shows as
-    J + (1 - J) / 2^b of equal fields; the slack is 5.6 standard deviations of that share.
+    J + (1 - J) / 2^b of equal fields; the slack is 5 standard deviations of that share.
     """
     chance = 2.0**-BITS
     share = percent / 100 * (1 - chance) + chance
-    return max(0, math.floor(n * share - 5.6 * math.sqrt(n * share * (1 - share))))
+    return max(0, math.floor(n * share - 5 * math.sqrt(n * share * (1 - share))))
 
 
 def shingle_sets(column: pa.Array, width: int) -> Iterator[list[np.ndarray]]:
@@ -55,74 +56,85 @@ def _lists(values: np.ndarray, size: int, present: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at), pa.array(values.view(np.int64).ravel()))
 
 
+def _minima(sets: list[np.ndarray], random: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which sets have shingles, their minima under each permutation x -> a x + b of the 64-bit hashes)."""
+    sizes = np.array([len(s) for s in sets])
+    present = sizes > 0
+    at = np.concatenate([[0], np.cumsum(sizes[present])])[:-1]
+    least = np.zeros((at.size, random.shape[1]), np.uint64)
+    if at.size:
+        flat = np.concatenate(sets)
+        for j, (a, b) in enumerate(random.T):
+            least[:, j] = np.minimum.reduceat(flat * a + b, at)
+    return present, least
+
+
+def _permutations(n: int, seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).integers(0, 1 << 63, (2, n), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _set_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """128 bits that tell sets apart, 0 for the empty set."""
+    salts = (np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F))
+    return np.array([[np.sum(mixed(s ^ salt), dtype=np.uint64) for s in sets] for salt in salts], np.uint64)
+
+
 def _sketches(width: int, bands: int):
-    n = bands * BAND_ROWS
-    random = np.random.default_rng(7).integers(0, 1 << 63, (2, n), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    longs = -(-n // _FIELDS)
+    random = _permutations(bands * BAND_ROWS, 7)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row = 0
             for sets in shingle_sets(batch.column(1), width):
-                sizes = np.array([len(s) for s in sets])
-                present = sizes > 0
-                flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-                at = np.concatenate([[0], np.cumsum(sizes[present])])[:-1]
-                key = np.zeros((2, len(sets)), np.uint64)
-                least = np.zeros((at.size, n), np.uint64)
-                if at.size:
-                    key[0, present] = np.add.reduceat(mixed(flat ^ np.uint64(0x5851F42D4C957F2D)), at)
-                    key[1, present] = np.add.reduceat(mixed(flat ^ np.uint64(0x14057B7EF767814F)), at)
-                    for j in range(n):
-                        least[:, j] = np.minimum.reduceat(flat * random[0, j] + random[1, j], at)
-                grouped = least.reshape(at.size, bands, BAND_ROWS)
-                band = np.full((at.size, bands), 1, np.uint64) * np.arange(1, bands + 1, dtype=np.uint64)
+                present, least = _minima(sets, random)
+                grouped = least.reshape(-1, bands, BAND_ROWS)
+                band = np.full((len(least), bands), 1, np.uint64) * np.arange(1, bands + 1, dtype=np.uint64)
                 for j in range(BAND_ROWS):
                     band = mixed(band * np.uint64(0xD6E8FEB86659FD93) + grouped[:, :, j])
-                fields = np.zeros((at.size, longs * _FIELDS), np.uint64)
-                fields[:, :n] = mixed(least) & np.uint64((1 << BITS) - 1)
-                shifts = np.arange(_FIELDS, dtype=np.uint64) * np.uint64(BITS)
-                packed = np.bitwise_or.reduce(fields.reshape(at.size, longs, _FIELDS) << shifts, axis=2)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(row, len(sets)),
-                        pa.array(sizes.astype(np.int64)),
-                        pa.array(key[0].view(np.int64)),
-                        pa.array(key[1].view(np.int64)),
-                        _lists(np.ascontiguousarray(band), bands, present),
-                        _lists(np.ascontiguousarray(packed), longs, present),
-                    ],
-                    ["id", "n", "k1", "k2", "bands", "sig"],
-                )
+                keys = _set_keys(sets).view(np.int64)
+                sizes = pa.array([len(s) for s in sets], pa.int64())
+                columns = [batch.column(0).slice(row, len(sets)), sizes, pa.array(keys[0]), pa.array(keys[1]), _lists(band, bands, present)]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "n", "k1", "k2", "bands"])
                 row += len(sets)
 
-    return sketch, longs
+    return sketch
+
 
+def _signatures(width: int):
+    """Full sets of the candidates, and their packed b-bit signatures."""
+    random = _permutations(FIELDS, 11)
+    each = 64 // BITS
+    shifts = np.arange(each, dtype=np.uint64) * np.uint64(BITS)
 
-def _full_sets(width: int):
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row = 0
             for sets in shingle_sets(batch.column(1), width):
+                present, least = _minima(sets, random)
+                low = (mixed(least) & np.uint64((1 << BITS) - 1)).reshape(len(least), -1, each)
+                packed = np.bitwise_or.reduce(low << shifts, axis=2)
                 at = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                flat = np.concatenate(sets).view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(at), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([*(c.slice(row, len(sets)) for c in (batch.column(0), batch.column(2))), lists], ["id", "sig", "shingles"])
+                full = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(sets).view(np.int64)))
+                columns = [batch.column(0).slice(row, len(sets)), _lists(packed, FIELDS // each, present), full]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "sig", "shingles"])
                 row += len(sets)
 
     return build
 
 
-def _equal_fields(longs: int, n: int):
-    """Number of equal b-bit fields of the packed signatures ``sa`` and ``sb``: XOR, fold each field to a bit, count."""
-    missed = F.lit(0)
-    for i in range(longs):
-        x = F.col("sa")[i].bitwiseXOR(F.col("sb")[i])
-        folded = x
-        for j in range(1, BITS):
-            folded = folded.bitwiseOR(F.shiftrightunsigned(x, j))
-        missed = missed + F.bit_count(folded.bitwiseAND(F.lit(_LOW)))
-    return F.lit(n) - missed
+def _unequal(x, y):
+    """Fields in which two packed longs differ: XOR, fold each field to its lowest bit, count."""
+    folded = both = x.bitwiseXOR(y)
+    for j in range(1, BITS):
+        folded = folded.bitwiseOR(F.shiftrightunsigned(both, j))
+    return F.bit_count(folded.bitwiseAND(F.lit(_LOW)))
+
+
+def _may_link(percent: int):
+    """Whether the signatures ``sa`` and ``sb`` leave the threshold possible: their first fields, then all."""
+    longs = [_unequal(F.col("sa")[i], F.col("sb")[i]) for i in range(FIELDS * BITS // 64)]
+    quick = sum(longs[: QUICK * BITS // 64], F.lit(0))
+    return (quick <= QUICK - least_matches(percent, QUICK)) & (sum(longs, F.lit(0)) <= FIELDS - least_matches(percent, FIELDS))
 
 
 def estimated_similarity(matches, n: int):
@@ -131,13 +143,13 @@ def estimated_similarity(matches, n: int):
     return (matches / F.lit(n) - F.lit(chance)) / F.lit(1 - chance)
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int, longs: int, n: int) -> DataFrame:
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of the candidate ``pairs`` (a, b) those whose full sets meet the threshold; signatures sort out most before."""
     sig = sets.select("id", "sig")
     near = (
         pairs.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a")
         .join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
-        .filter(_equal_fields(longs, n) >= least_matches(percent, n))
+        .filter(_may_link(percent))
         .select("a", "b")
     )
     full = sets.select("id", "shingles")
@@ -172,11 +184,9 @@ def near_duplicates(
     document: linked through any of its texts, each row in the result. Other columns are ignored.
     """
     bands = bands_for(percent, miss)
-    n = bands * BAND_ROWS
-    sketch, longs = _sketches(width, bands)
     docs = docs.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     sketched = settled(
-        docs.mapInArrow(sketch, "id long, n long, k1 long, k2 long, bands array<long>, sig array<long>")
+        docs.mapInArrow(_sketches(width, bands), "id long, n long, k1 long, k2 long, bands array<long>")
     )
     known = sketched.filter("id is not null and n > 0")
     classes = settled(
@@ -191,20 +201,16 @@ def near_duplicates(
     )
     rows = settled(keys.join(buckets, "key"))
     wanted = settled(rows.select("id").distinct())
-    sets = settled(
-        docs.join(wanted, "id")
-        .join(sketched.filter("n > 0").groupBy("id").agg(F.first("sig").alias("sig")), "id")
-        .select("id", "text", "sig")
-        .mapInArrow(_full_sets(width), "id long, sig array<long>, shingles array<long>")
-    )
+    candidates = docs.join(wanted, "id").select("id", "text")
+    sets = settled(candidates.mapInArrow(_signatures(width), "id long, sig array<long>, shingles array<long>").filter(F.size("shingles") > 0))
     ends = F.explode(F.array("low", "high"))
     stars = rows.select(F.col("id").alias("a"), ends.alias("b")).filter("a != b")
     stars = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    links = settled(_linked(stars, sets, percent, longs, n))
+    links = settled(_linked(stars, sets, percent))
     found = settled(components(links))
-    rest = _across(rows, sets, found, percent, longs, n)
+    rest = _across(rows, sets, found, percent)
     if rest is not None:
-        links = union(links, _linked(rest, sets, percent, longs, n))
+        links = union(links, _linked(rest, sets, percent))
     found = settled(components(union(links, member)))
     return (
         sketched.select("id", F.col("n").alias("n_shingles"))
@@ -218,7 +224,7 @@ def near_duplicates(
     )
 
 
-def _across(rows: DataFrame, sets: DataFrame, found: DataFrame, percent: int, longs: int, n: int) -> DataFrame | None:
+def _across(rows: DataFrame, sets: DataFrame, found: DataFrame, percent: int) -> DataFrame | None:
     """Candidate pairs of different components in one bucket, those of its main component against all its members."""
     labelled = rows.join(found, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
     labelled = settled(labelled.select("key", "id", "low", "size", "component_id"))
@@ -259,7 +265,7 @@ def _across(rows: DataFrame, sets: DataFrame, found: DataFrame, percent: int, lo
         asked.join(all_, ["key", "slice"])
         .filter(F.col("ca") != F.col("cb"))
         .filter(F.col("in_main") | (F.col("a") < F.col("b")))
-        .filter(_equal_fields(longs, n) >= least_matches(percent, n))
+        .filter(_may_link(percent))
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         .distinct()
     )
