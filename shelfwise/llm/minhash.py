@@ -16,8 +16,8 @@ from shelfwise.llm.shared import narrowed, settled, union
 
 BAND_ROWS = 4
 BITS = 1
-FIELDS = 1024
-QUICK = 256
+FIELDS = 2048
+QUICK = 512
 SLICE = 2000
 _LOW = sum(1 << (BITS * i) for i in range(64 // BITS)) if BITS > 1 else -1
 
@@ -143,19 +143,22 @@ def estimated_similarity(matches, n: int):
     return (matches / F.lit(n) - F.lit(chance)) / F.lit(1 - chance)
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the candidate ``pairs`` (a, b) those whose full sets meet the threshold; signatures sort out most before."""
+def _promising(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The candidate ``pairs`` (a, b) whose signatures leave the threshold possible."""
     sig = sets.select("id", "sig")
-    near = (
+    return (
         pairs.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a")
         .join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
         .filter(_may_link(percent))
         .select("a", "b")
     )
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of the ``pairs`` (a, b) those whose full sets meet the threshold."""
     full = sets.select("id", "shingles")
     both = (
-        settled(near)
-        .join(full.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
+        pairs.join(full.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
         .join(full.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
         .select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), F.size(F.array_intersect("x", "y")).alias("common"))
     )
@@ -206,7 +209,7 @@ def near_duplicates(
     ends = F.explode(F.array("low", "high"))
     stars = rows.select(F.col("id").alias("a"), ends.alias("b")).filter("a != b")
     stars = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    links = settled(_linked(stars, sets, percent))
+    links = settled(_linked(settled(_promising(stars, sets, percent)), sets, percent))
     found = settled(components(links))
     rest = _across(rows, sets, found, percent)
     if rest is not None:
