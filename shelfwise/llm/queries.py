@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from shelfwise.llm.line_dedup import drop_boilerplate_lines
 from shelfwise.llm.minhash import near_duplicates
 from shelfwise.llm.packing import pack
+from shelfwise.llm.phrase_dedup import remove_recurring_phrases
 from shelfwise.llm.pii import personal_data, span_digest
 from shelfwise.llm.quality_rules import quality_rules
+from shelfwise.llm.suffix_dedup import remove_repeated_bytes
 from shelfwise.llm.warc import archived_pages
 
 
@@ -35,10 +37,20 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return archived_pages(_table(spark, folder, "pages"))
 
 
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    cut = remove_repeated_bytes(_table(spark, folder, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return pack(_table(spark, folder, "documents"))
 
 
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    cut = remove_recurring_phrases(_table(spark, folder, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality_rules(_table(spark, folder, "documents"))
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
@@ -50,7 +62,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2,
     "op4_pii": op4,
     "op5_warc": op5,
+    "op6_suffix_array_dedup": op6,
     "op7_best_fit_packing": op7,
+    "op9_substring_dedup": op9,
     "op10_quality_rules": op10,
 }
 
