@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from shelfwise.llm.decontaminate import benchmark_passages
 from shelfwise.llm.line_dedup import drop_boilerplate_lines
 from shelfwise.llm.minhash import near_duplicates
 from shelfwise.llm.packing import pack
@@ -46,6 +47,10 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return pack(_table(spark, folder, "documents"))
 
 
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return benchmark_passages(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     cut = remove_recurring_phrases(_table(spark, folder, "documents"))
     return cut.select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_warc": op5,
     "op6_suffix_array_dedup": op6,
     "op7_best_fit_packing": op7,
+    "op8_benchmark_decontamination": op8,
     "op9_substring_dedup": op9,
     "op10_quality_rules": op10,
 }
