@@ -12,6 +12,7 @@ from shelfwise.llm.minhash import near_duplicates
 from shelfwise.llm.packing import pack
 from shelfwise.llm.phrase_dedup import remove_recurring_phrases
 from shelfwise.llm.pii import personal_data, span_digest
+from shelfwise.llm.quality_classifier import quality_scores
 from shelfwise.llm.quality_rules import quality_rules
 from shelfwise.llm.suffix_dedup import remove_repeated_bytes
 from shelfwise.llm.warc import archived_pages
@@ -30,6 +31,10 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return cleaned.select("doc_id", "source", "lines_total", "lines_removed", "text")
 
 
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return span_digest(personal_data(_table(spark, folder, "documents")))
 
@@ -65,6 +70,7 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1,
     "op2_line_dedup": op2,
+    "op3_quality_classifier": op3,
     "op4_pii": op4,
     "op5_warc": op5,
     "op6_suffix_array_dedup": op6,
