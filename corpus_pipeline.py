@@ -12,7 +12,7 @@ from shelfwise.llm.line_dedup import drop_boilerplate_lines
 from shelfwise.llm.minhash import near_duplicates
 from shelfwise.llm.packing import pack
 from shelfwise.llm.quality_rules import quality_rules
-from shelfwise.llm.shared import shared_folder
+from shelfwise.llm.shared import settled, shared_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -35,7 +35,9 @@ def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     dropped = near_duplicates(docs).filter("not kept").select("doc_id").distinct()
     kept = docs.join(dropped, "doc_id", "left_anti")
-    often = docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id")
+    often = settled(docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"))
+    if often.isEmpty():
+        return kept.select(COLUMNS)
     once = kept.join(often, "doc_id", "left_anti")
     repeated = kept.join(often, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return once.select(COLUMNS).unionByName(repeated.select(COLUMNS))

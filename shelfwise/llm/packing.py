@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -118,16 +119,21 @@ def plan_bins(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ..
     return [x for gap in sorted(bins) for x in bins[gap]]
 
 
-def _slots(bins: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int]]:
-    """(length, first rank, end rank, sequence of the first rank, offset): where the pieces of each length go, by rank."""
+def _slots(bins: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int, int]]:
+    """(length, first rank, end rank, first sequence, first offset, copies in a sequence): where the pieces of each length go, by rank.
+
+    Every length adds two kinds of bin at most, and a bin's distinct lengths add up to its capacity
+    at most, so for 1024 there are some 2,400 kinds with under 45 slots each, whatever the input.
+    """
     used: dict[int, int] = defaultdict(int)
     out, sequence = [], 0
     for lengths, times in bins:
         offset = 0
-        for k in lengths:
-            out.append((k, used[k], used[k] + times, sequence, offset))
-            used[k] += times
-            offset += k
+        for k, group in groupby(lengths):
+            copies = len(list(group))
+            out.append((k, used[k], used[k] + times * copies, sequence, offset, copies))
+            used[k] += times * copies
+            offset += k * copies
         sequence += times
     return out
 
@@ -163,12 +169,15 @@ def pack(
     pieces = settled(tokenised_pieces(docs, id=id, text=text, capacity=capacity, vocabulary=vocabulary, with_ids=with_ids))
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     slots = docs.sparkSession.createDataFrame(
-        _slots(plan_bins(counts, capacity)), "length long, low long, high long, first long, offset long"
+        _slots(plan_bins(counts, capacity)), "length long, low long, high long, first long, at long, copies long"
     )
-    held = F.broadcast(slots)  # a few slots for each of ``capacity`` lengths
+    held = F.broadcast(slots)  # bounded by the capacity alone
     placed = ranked(pieces, partitions(docs)).join(held, "length").filter("rank >= low and rank < high")
     ids = ["ids"] if with_ids else []
-    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", *ids, (F.col("first") + F.col("rank") - F.col("low")).alias("sequence_id"), "offset")
+    nth = F.col("rank") - F.col("low")
+    sequence = F.col("first") + F.floor(nth / F.col("copies")).cast("long")
+    offset = F.col("at") + F.pmod(nth, "copies") * F.col("length")
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", *ids, sequence.alias("sequence_id"), offset.alias("offset"))
 
 
 def sequences(packed: DataFrame) -> DataFrame:

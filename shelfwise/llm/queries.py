@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from shelfwise.llm import oracle
 from shelfwise.llm.decontaminate import benchmark_passages
 from shelfwise.llm.line_dedup import drop_boilerplate_lines
 from shelfwise.llm.minhash import near_duplicates
@@ -80,4 +81,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = oracle.SQL
