@@ -10,8 +10,8 @@ anchor; equal windows have equal anchors. Only anchors found in two different te
    answer, so an anchor in a third of all documents costs one entry a block;
 2. documents with such anchors are read again, and the stretch of text around each (all windows
    with that anchor, some 60 bytes) goes once a block to the anchor's shard;
-3. a shard compares its stretches by the method of the operator and answers each block with the
-   smallest document id of every window;
+3. a shard collapses equal stretches, compares those that differ around one anchor by the method
+   of the operator, and answers each block with the smallest document id of every window;
 4. the block marks, in each of its documents, the windows whose id is smaller than its own.
 
 Equal texts are one member of the collection, under their smallest id; the later copies are
@@ -22,16 +22,18 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.llm.blocks import _BYTES, _INVERSE, _STEP, Words, column_bytes, mixed, powers, runs_of, sliced
-from shelfwise.llm.shared import partitions, settled, union
+from shelfwise.llm.shared import partitions, settled
 
 # Bytes of text in a block of the first and of the second step; a longer document is a block of its own.
 ANNOUNCED, ASKED = 2 << 20, 1 << 20
@@ -66,6 +68,9 @@ class Bytes:
     def joined(self, parts: list) -> bytes:
         return b"".join(parts)
 
+    def windows(self, stretch: bytes) -> int:
+        return len(stretch) - self.width + 1
+
 
 @dataclass(frozen=True)
 class WordUnits:
@@ -87,6 +92,9 @@ class WordUnits:
     def joined(self, parts: list) -> bytes:
         return b" ".join(w for part in parts for w in part)
 
+    def windows(self, stretch: bytes) -> int:
+        return stretch.count(b" ") + 2 - self.width
+
 
 def anchor_runs(grams: np.ndarray, bounds: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
     """(document, anchor hash, first window, last window) of every run of windows with the same anchor.
@@ -160,17 +168,17 @@ def _by_document(ids: np.ndarray, shorts: np.ndarray) -> tuple[list[int], list[b
     return ids[order][starts].tolist(), [p.tobytes() for p in parts]
 
 
-_SENT = "kind int, id long, bucket int, part binary"
+_SENT = "bucket int, id long, part binary"
 
 
 def _sent(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary()]
-    columns = list(zip(*rows)) or [[], [], [], []]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["kind", "id", "bucket", "part"])
+    kinds = [pa.int32(), pa.int64(), pa.binary()]
+    columns = list(zip(*rows)) or [[], [], []]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["bucket", "id", "part"])
 
 
 def _announce(units, buckets: int):
-    """Step 1 in the block: anchors to their buckets (kind 0), and answers the block can give itself (kind 1)."""
+    """Step 1 in the block: anchors to their buckets, and (with an id) answers the block can give itself, which any bucket passes on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,7 +199,7 @@ def _announce(units, buckets: int):
                 many = _several(text, heads)
                 sizes = np.diff(np.append(heads, len(shorts)))
                 local = np.repeat(many, sizes)
-                rows = [(1, i, None, p) for i, p in zip(*_by_document(of[local], shorts[local]))]
+                rows = [(i % buckets, i, p) for i, p in zip(*_by_document(of[local], shorts[local]))]
                 single = ~local
                 known = shorts[heads][many]
                 at = np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32)
@@ -206,7 +214,7 @@ def _announce(units, buckets: int):
                     order, starts = _groups(o, t)
                     counts = np.diff(np.append(starts, len(order))).astype(np.uint32)
                     low = (s[order] & _LOW).astype(np.uint32)
-                    rows.append((0, None, k, _pack(o[order][starts], t[order][starts], counts, low, (told & _LOW).astype(np.uint32))))
+                    rows.append((k, None, _pack(o[order][starts], t[order][starts], counts, low, (told & _LOW).astype(np.uint32))))
                 yield _sent(rows)
 
     return run
@@ -214,9 +222,11 @@ def _announce(units, buckets: int):
 
 def _answer(table: pa.Table) -> pa.Table:
     """Step 1 in the bucket: for each document its anchors that a different text holds too."""
-    ids, texts, lows, told = [], [], [], []
+    none = np.zeros(0, np.int64)
+    ids, texts, lows, told = [none], [none], [none.astype(np.uint32)], [none.astype(np.uint32)]
     bucket = table.column("bucket")[0].as_py()
-    for part in table.column("part"):
+    given = table.filter(pc.is_valid(table.column("id"))).select(["id", "part"])
+    for part in table.filter(pc.is_null(table.column("id"))).column("part"):
         i, t, n, low, many = _unpack(part.as_buffer(), "i8", "i8", "u4", "u4", "u4")
         ids.append(np.repeat(i, n))
         texts.append(np.repeat(t, n))
@@ -227,7 +237,8 @@ def _answer(table: pa.Table) -> pa.Table:
     shared = _several(t[order], starts) | np.isin(low[order][starts], np.unique(np.concatenate(told)))
     keep = order[np.repeat(shared, np.diff(np.append(starts, len(order))))]
     who, parts = _by_document(i[keep], low[keep].astype(np.uint64) | np.uint64(bucket << 32))
-    return pa.table({"id": pa.array(who, pa.int64()), "part": pa.array(parts, pa.binary())})
+    found = pa.table({"id": pa.array(who, pa.int64()), "part": pa.array(parts, pa.binary())})
+    return pa.concat_tables([found, given.cast(found.schema)])
 
 
 _ASKED = "kind int, block string, shard int, part binary, ids array<long>, t1 array<long>, t2 array<long>, texts array<string>"
@@ -249,6 +260,7 @@ def _ask(units, buckets: int, shards: int):
                 whole = data[offsets[a] : offsets[b]].tobytes()
                 contents: dict[bytes, int] = {}
                 shard_of: list[int] = []
+                anchor: list[int] = []
                 lowest: list[int] = []
                 highest: list[int] = []
                 found: list[tuple[int, int, int]] = []
@@ -264,6 +276,7 @@ def _ask(units, buckets: int, shards: int):
                         g = contents.setdefault(stretch, len(contents))
                         if g == len(shard_of):
                             shard_of.append(int(shard[r]))
+                            anchor.append(int(hashes[r]))
                             lowest.append(me)
                             highest.append(me)
                         elif me < lowest[g]:
@@ -273,6 +286,7 @@ def _ask(units, buckets: int, shards: int):
                         found.append((d, g, first))
                 block = uuid.uuid4().hex
                 of, low, high = np.array(shard_of, np.int64), np.array(lowest, np.int64), np.array(highest, np.int64)
+                by = np.array(anchor, np.uint64)
                 texts = list(contents)
                 order = np.argsort(of, kind="stable")
                 cuts = np.searchsorted(of[order], np.arange(shards + 1))
@@ -282,7 +296,7 @@ def _ask(units, buckets: int, shards: int):
                     if len(mine):
                         joined = [texts[g] for g in mine.tolist()]
                         sizes = np.array([len(x) for x in joined], np.int64)
-                        rows.append((0, block, k, _pack(sizes, low[mine], high[mine]) + b"".join(joined), None, None, None, None))
+                        rows.append((0, block, k, zlib.compress(_pack(sizes, low[mine], high[mine], by[mine]) + b"".join(joined), 1), None, None, None, None))
                 places = np.array(found, np.int64).reshape(-1, 3)
                 held = pa.array([None] * len(rows) + [batch.column(3).slice(a, b - a).to_pylist()], pa.list_(pa.string()))
                 rows.append((1, block, None, _pack(of, places.ravel()), ids[a:b].tolist(), t1[a:b].tolist(), t2[a:b].tolist(), None))
@@ -293,37 +307,43 @@ def _ask(units, buckets: int, shards: int):
     return run
 
 
-def _compare(width: int, method: Method):
+def _compare(width: int, windows_of: Callable[[bytes], int], method: Method):
     """Step 3: the shard's distinct stretches through the operator's method; runs of windows with one smallest id go back."""
 
     def run(table: pa.Table) -> pa.Table:
         contents: dict[bytes, int] = {}
         lowest: list[int] = []
+        anchors: list[int] = []
         asked = []
         for part in table.column("part"):
-            data = part.as_py()
-            sizes, low, high = _unpack(data, "i8", "i8", "i8")
-            at = 24 + 24 * len(sizes)
+            data = zlib.decompress(part.as_py())
+            sizes, low, high, by = _unpack(data, "i8", "i8", "i8", "u8")
+            at = 32 + 32 * len(sizes)
             which = []
-            for n, me in zip(sizes.tolist(), low.tolist()):
+            for n, me, anchor in zip(sizes.tolist(), low.tolist(), by.tolist()):
                 g = contents.setdefault(data[at : at + n], len(contents))
                 at += n
                 if g == len(lowest):
                     lowest.append(me)
+                    anchors.append(anchor)
                 elif me < lowest[g]:
                     lowest[g] = me
                 which.append(g)
             asked.append((which, high))
-        windows = method(list(contents), np.array(lowest, np.int64), width)
-        runs = []
-        for w in windows:
+        _, group, sizes = np.unique(np.array(anchors, np.uint64), return_inverse=True, return_counts=True)
+        contested = np.flatnonzero(sizes[group] > 1).tolist()
+        texts = list(contents)
+        windows = method([texts[g] for g in contested], np.array(lowest, np.int64)[contested], width)
+        # a stretch alone with its anchor is the same wherever it stands: one smallest id for all its windows
+        runs: list = [([0], [windows_of(t)], [me]) for t, me in zip(texts, lowest)]
+        for g, w in zip(contested, windows):
             heads = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
-            runs.append((heads, np.append(heads[1:], len(w)), w[heads]))
+            runs[g] = (heads.tolist(), [*heads[1:].tolist(), len(w)], w[heads].tolist())
         answers = []
         for which, high in asked:
             rows = []
             for i, (g, top) in enumerate(zip(which, high.tolist())):
-                rows.extend((i, x, y, m) for x, y, m in zip(*(r.tolist() for r in runs[g])) if m < top)
+                rows.extend((i, x, y, m) for x, y, m in zip(*runs[g]) if m < top)
             answers.append(np.array(rows, np.int64).tobytes())
         return pa.table({"block": table.column("block"), "shard": table.column("shard"), "answer": pa.array(answers, pa.binary())})
 
@@ -406,9 +426,9 @@ def remove_shared(docs: DataFrame, units, method: Method, *, id: str, text: str,
     later = settled(long_enough.join(groups, ["t1", "t2"]).filter("id > rep").select(keys).distinct())
 
     able = keyed.filter(F.col("id").isNotNull())
-    sent = settled(able.select("id", "t1", "text").mapInArrow(_announce(units, buckets), _SENT))
-    answered = sent.filter("kind = 0").groupBy("bucket").applyInArrow(_answer, "id long, part binary")
-    parts = union(answered, sent.filter("kind = 1").select("id", "part")).groupBy("id").agg(F.collect_list("part").alias("parts"))
+    sent = able.select("id", "t1", "text").mapInArrow(_announce(units, buckets), _SENT)
+    answered = settled(sent.groupBy("bucket").applyInArrow(_answer, "id long, part binary"))
+    parts = answered.groupBy("id").agg(F.collect_list("part").alias("parts"))
     wanted = settled(parts.join(long_enough.select(keys).distinct(), "id").join(later, keys, "left_anti").select(*keys, "parts"))
 
     chosen = able.join(wanted, keys).select(*keys, "text", "parts")
@@ -417,7 +437,7 @@ def remove_shared(docs: DataFrame, units, method: Method, *, id: str, text: str,
         asked.filter("kind = 0")
         .select("block", "shard", "part")
         .groupBy("shard")
-        .applyInArrow(_compare(units.width, method), "block string, shard int, answer binary")
+        .applyInArrow(_compare(units.width, units.windows, method), "block string, shard int, answer binary")
     )
     replies = answers.groupBy("block").agg(F.collect_list(F.struct("shard", "answer")).alias("answers"))
     blocks = asked.filter("kind = 1").select("block", "part", "ids", "t1", "t2", "texts").join(replies, "block", "left")

@@ -10,7 +10,7 @@ from shelfwise.llm.anchors import WordUnits, remove_shared
 from shelfwise.llm.quality_rules import SPACES
 
 WIDTH = 13
-GRAM = 5
+GRAM = 4
 PHRASES = 200_000
 
 

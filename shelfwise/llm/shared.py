@@ -23,7 +23,7 @@ def settled(df: DataFrame) -> DataFrame:
     the planner knows the true size: it broadcasts the table only when it is under its threshold.
     """
     place = f"{shared_folder(df.sparkSession)}/rows"
-    df.write.parquet(place)
+    df.write.option("compression", "zstd").parquet(place)
     return df.sparkSession.read.schema(df.schema).parquet(place)
 
 
