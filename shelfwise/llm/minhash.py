@@ -132,9 +132,10 @@ def _unequal(x, y):
 
 def _may_link(percent: int):
     """Whether the signatures ``sa`` and ``sb`` leave the threshold possible: their first fields, then all."""
-    longs = [_unequal(F.col("sa")[i], F.col("sb")[i]) for i in range(FIELDS * BITS // 64)]
-    quick = sum(longs[: QUICK * BITS // 64], F.lit(0))
-    return (quick <= QUICK - least_matches(percent, QUICK)) & (sum(longs, F.lit(0)) <= FIELDS - least_matches(percent, FIELDS))
+    quick = sum((_unequal(F.col("sa")[i], F.col("sb")[i]) for i in range(QUICK * BITS // 64)), F.lit(0))
+    # the rest is folded over the arrays: spelled out, the method would outgrow what the JVM compiles
+    whole = F.aggregate(F.zip_with("sa", "sb", _unequal), F.lit(0), lambda a, x: a + x)
+    return (quick <= QUICK - least_matches(percent, QUICK)) & (whole <= FIELDS - least_matches(percent, FIELDS))
 
 
 def estimated_similarity(matches, n: int):
@@ -244,16 +245,15 @@ def _across(rows: DataFrame, sets: DataFrame, found: DataFrame, percent: int) ->
     if open_.isEmpty():
         return None
     slices = F.ceil(F.col("size") / F.lit(SLICE))
-    members = settled(
-        labelled.join(open_, "key")
-        .join(sets.select("id", "sig"), "id")
-        .select("key", "id", "component_id", "main", "sig", slices.alias("slices"))
-    )
+    placed = settled(labelled.join(open_, "key").select("key", "id", "component_id", "main", slices.alias("slices")))
+    held = placed.groupBy("id").agg(F.collect_set("key").alias("keys"))  # as many as there are bands at most
+    members = settled(placed.join(held, "id").join(sets.select("id", "sig"), "id"))
     asked = members.filter("component_id != main").select(
         "key",
         F.col("id").alias("a"),
         F.col("component_id").alias("ca"),
         F.col("sig").alias("sa"),
+        F.col("keys").alias("ka"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"),
     )
     all_ = members.select(
@@ -262,6 +262,7 @@ def _across(rows: DataFrame, sets: DataFrame, found: DataFrame, percent: int) ->
         F.col("id").alias("b"),
         F.col("component_id").alias("cb"),
         F.col("sig").alias("sb"),
+        F.col("keys").alias("kb"),
         (F.col("component_id") == F.col("main")).alias("in_main"),
     )
     return settled(
@@ -269,6 +270,6 @@ def _across(rows: DataFrame, sets: DataFrame, found: DataFrame, percent: int) ->
         .filter(F.col("ca") != F.col("cb"))
         .filter(F.col("in_main") | (F.col("a") < F.col("b")))
         .filter(_may_link(percent))
+        .filter(F.array_min(F.array_intersect("ka", "kb")) == F.col("key"))  # a pair speaks in its first common bucket
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        .distinct()
     )
