@@ -1,4 +1,4 @@
-"""Histograms and exact medians built from pre-aggregated value counts."""
+"""Histograms and exact medians that send little more than their result through a shuffle."""
 
 from __future__ import annotations
 
@@ -8,32 +8,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def value_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """Rows per distinct value; the map side already collapses repeats of a hot group."""
-    return (
-        df.select(*by, F.col(value).cast("double").alias("_v"))
-        .filter(F.col("_v").isNotNull())
-        .groupBy(*by, "_v")
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
+def _values(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    return df.select(*by, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
 
 
 def histogram(df: DataFrame, value: str, bins: int, by: Sequence[str] = ()) -> DataFrame:
-    """Equal-width bins between the minimum and maximum of each group; empty bins are left out."""
-    counts = value_counts(df, by, value)
-    # the row total is read too: with equal columns the planner reuses the shuffled counts for the bounds
-    bounds = F.struct(F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.sum("_n").alias("rows")).alias("_b")
+    """Equal-width bins between the minimum and maximum of each group; empty bins are left out.
+
+    The bounds come from one small aggregate; rows are then binned map-side, so a task sends one
+    row per group and bin at most.
+    """
+    values = _values(df, by, value)
+    bounds = F.struct(F.min("_v").alias("lo"), F.max("_v").alias("hi")).alias("_b")
     if by:
-        ranged = counts.join(counts.groupBy(*by).agg(bounds), list(by))
+        ranged = values.join(values.groupBy(*by).agg(bounds), list(by))
     else:
-        ranged = counts.withColumn("_b", counts.agg(bounds).scalar())
+        ranged = values.withColumn("_b", values.agg(bounds).scalar())
     lo, hi = F.col("_b.lo"), F.col("_b.hi")
     slot = F.least(F.floor((F.col("_v") - lo) / (hi - lo) * F.lit(float(bins))), F.lit(bins - 1))
     binned = ranged.withColumn("bin", F.when(hi > lo, slot).otherwise(0).cast("int"))
     width = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
     return (
         binned.groupBy(*by, "bin")
-        .agg(F.sum("_n").alias("rows"), F.first(lo).alias("_lo"), F.first(hi).alias("_hi"))
+        .agg(F.count(F.lit(1)).alias("rows"), F.first(lo).alias("_lo"), F.first(hi).alias("_hi"))
         .select(
             *by,
             "bin",
@@ -44,36 +41,40 @@ def histogram(df: DataFrame, value: str, bins: int, by: Sequence[str] = ()) -> D
     )
 
 
-def exact_median(df: DataFrame, by: Sequence[str], value: str, out: str, width: float = 0.01) -> DataFrame:
+ACCURACY = 10_000
+
+
+def exact_median(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
     """Exact median per group without sorting a group in one task.
 
-    Value counts are first summed per slice of ``width``; the running total over slices
-    finds the slice that holds the middle ranks, and only that slice is ranked by value.
+    A first pass brackets the middle: mergeable quantile summaries whose ranks are off by one in
+    ``ACCURACY`` at most. A second pass counts the values below the bracket and ranks only those
+    inside it, a few in ten thousand, however wild the others are.
     """
-    counts = value_counts(df, by, value).withColumn("_slice", F.floor(F.col("_v") / F.lit(width)))
-    slices = counts.groupBy(*by, "_slice").agg(F.sum("_n").alias("_sn"))
-    running = Window.partitionBy(*by).orderBy("_slice")
-    everything = Window.partitionBy(*by)
-    placed = slices.select(
+    values = _values(df, by, value)
+    slack = 3.0 / ACCURACY
+    rough = F.percentile_approx("_v", F.array(F.lit(0.5 - slack), F.lit(0.5 + slack)), ACCURACY)
+    bracket = values.groupBy(*by).agg(
+        rough.alias("_q"), F.count(F.lit(1)).alias("_total"), F.min("_v").alias("_min"), F.max("_v").alias("_max")
+    )
+    # a small group's summary may round to a neighbour of the middle, so it is ranked whole
+    few = F.col("_total") < ACCURACY
+    bracket = bracket.select(
         *by,
-        "_slice",
-        (F.sum("_sn").over(running) - F.col("_sn")).alias("_before"),
-        F.col("_sn"),
-        F.sum("_sn").over(everything).alias("_total"),
+        "_total",
+        F.when(few, F.col("_min")).otherwise(F.col("_q")[0]).alias("_lo"),
+        F.when(few, F.col("_max")).otherwise(F.col("_q")[1]).alias("_hi"),
     )
-    low_rank = F.floor((F.col("_total") + 1) / 2)
-    high_rank = F.floor(F.col("_total") / 2) + 1
-    upto = F.col("_before") + F.col("_sn")
-    middle = placed.filter(
-        ((F.col("_before") < low_rank) & (upto >= low_rank))
-        | ((F.col("_before") < high_rank) & (upto >= high_rank))
-    ).select(*by, "_slice", "_before", low_rank.alias("_r1"), high_rank.alias("_r2"))
-    inside = Window.partitionBy(*by, "_slice").orderBy("_v")
-    ranked = counts.join(middle, [*by, "_slice"]).withColumn(
-        "_upto", F.col("_before") + F.sum("_n").over(inside)
+    placed = values.join(bracket, list(by)).filter(F.col("_v") <= F.col("_hi"))
+    below = F.col("_v") < F.col("_lo")
+    counts = placed.groupBy(*by, F.when(~below, F.col("_v")).alias("_v")).agg(
+        F.count(F.lit(1)).alias("_n"), F.first("_total").alias("_total")
     )
+    upto = Window.partitionBy(*by).orderBy(F.col("_v").asc_nulls_first())
+    ranked = counts.withColumn("_upto", F.sum("_n").over(upto))
     after = F.col("_upto") - F.col("_n")
-    holds = lambda r: (after < F.col(r)) & (F.col("_upto") >= F.col(r))
+    holds = lambda r: (after < r) & (F.col("_upto") >= r)
+    low_rank, high_rank = F.floor((F.col("_total") + 1) / 2), F.floor(F.col("_total") / 2) + 1
     return ranked.groupBy(*by).agg(
-        ((F.max(F.when(holds("_r1"), F.col("_v"))) + F.max(F.when(holds("_r2"), F.col("_v")))) / 2).alias(out)
+        ((F.max(F.when(holds(low_rank), F.col("_v"))) + F.max(F.when(holds(high_rank), F.col("_v")))) / 2).alias(out)
     )

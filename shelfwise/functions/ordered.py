@@ -1,11 +1,10 @@
 """Ordered-per-key computations that survive a hot key.
 
 A plain ``lag`` sorts every row of a key in one task, and a plain ``RANGE`` minimum also
-re-scans its frame for every row. Keys with many rows are therefore treated apart: time is
-cut into fixed buckets and rows are windowed per (key, bucket). What crosses a bucket edge
-comes from a small per-bucket summary, aggregated map-side and worked out per key; it joins
-the rows of its bucket as one extra row that sorts first, so the rows themselves are
-shuffled once and never joined. All paths give the same result.
+re-scans its frame for every row. Here time is cut into buckets and rows are dealt and
+windowed per (key, bucket), whatever the key's size. What crosses a bucket edge comes from one
+summary row per bucket, worked out per key over those rows alone and joined back to the bucket.
+Rows and summaries read the same shuffle, so the input is scanned and shuffled once.
 """
 
 from __future__ import annotations
@@ -16,136 +15,75 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET = "_bucket"
-HOT_ROWS = 1_000_000
-HOT_KEYS = 10_000
+HOUR = 3600
 
 
 def _bucket_of(ts: str, seconds: int) -> Column:
-    return F.floor(F.unix_seconds(F.col(ts)) / F.lit(seconds))
+    return F.coalesce(F.floor(F.unix_seconds(F.col(ts)) / F.lit(seconds)), F.lit(-(1 << 62)))
 
 
-def _padded(df: DataFrame, like: DataFrame) -> DataFrame:
-    """``df`` with the missing columns of ``like`` as typed NULLs."""
-    have = set(df.columns)
-    return df.select(
-        *[F.col(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in like.schema.fields]
-    )
-
-
-def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
-    """Rows of ordinary keys and rows of the largest keys beyond ``hot_rows``.
-
-    At most ``HOT_KEYS`` keys count as hot, which bounds what is broadcast; every other key,
-    whatever its size, stays in the ordinary part. When no key is hot, the adaptive planner
-    drops the hot branch at run time.
-    """
-    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
-    hot = F.broadcast(counted.orderBy(F.col("_n").desc()).limit(HOT_KEYS).select(*keys))
-    return df.join(hot, list(keys), "left_anti"), df.join(hot, list(keys), "left_semi")
+def _named(keys: Sequence[str]) -> dict[str, Column]:
+    """Keys as text that is never NULL: a join on them then adds no filter that would tell two readers of one shuffle apart."""
+    return {f"_key{i}": F.coalesce(F.col(k).cast("string"), F.lit("\0")) for i, k in enumerate(keys)}
 
 
 def ordered_lag(
-    df: DataFrame, keys: Sequence[str], ts: str, ties: Sequence[str], value: str, out: str, hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """Previous ``value`` per key in (ts, ties) order."""
-    ordinary, hot = split_hot(df, keys, hot_rows)
-    by_time = Window.partitionBy(*keys).orderBy(ts, *ties)
-    return ordinary.withColumn(out, F.lag(value).over(by_time)).unionByName(
-        bucketed_lag(hot, keys, ts, ties, value, out)
-    )
-
-
-def ordered_range_min(
-    df: DataFrame, keys: Sequence[str], ts: str, value: str, out: str, span_seconds: int = 24 * 3600,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """Minimum of ``value`` over ``[ts - span, ts]`` per key; buckets as wide as the span unless a key is hot."""
-    ordinary, hot = split_hot(df, keys, hot_rows)
-    return bucketed_range_min(ordinary, keys, ts, value, out, span_seconds, span_seconds).unionByName(
-        bucketed_range_min(hot, keys, ts, value, out, span_seconds)
-    )
-
-
-def bucketed_lag(
-    df: DataFrame,
-    keys: Sequence[str],
-    ts: str,
-    ties: Sequence[str],
-    value: str,
-    out: str,
-    bucket_seconds: int = 300,
+    df: DataFrame, keys: Sequence[str], ts: str, ties: Sequence[str], value: str, out: str, bucket_seconds: int = HOUR
 ) -> DataFrame:
     """Previous ``value`` per key in (ts, ties) order, equal to ``lag`` over the whole key."""
-    rows = df.withColumn(BUCKET, _bucket_of(ts, bucket_seconds))
+    names = _named(keys)
+    group = [*names, BUCKET]
+    dealt = df.withColumns(names | {BUCKET: _bucket_of(ts, bucket_seconds)}).repartition(*group)
     order = [ts, *ties]
-    edges = rows.groupBy(*keys, BUCKET).agg(
-        F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_edge")
-    )
-    across = Window.partitionBy(*keys).orderBy(BUCKET)
-    carried = (
-        edges.select(*keys, BUCKET, F.lag("_edge").over(across).alias("_carry"))
-        .filter(F.col("_carry").isNotNull())
-        .select(*keys, BUCKET, F.col("_carry.v").alias(value), F.lit(False).alias("_own"))
-    )
-    own = rows.withColumn("_own", F.lit(True))
-    inside = Window.partitionBy(*keys, BUCKET).orderBy("_own", *order)
-    return (
-        own.unionByName(_padded(carried, own))
-        .withColumn(out, F.lag(value).over(inside))
-        .filter("_own")
-        .drop(BUCKET, "_own")
-    )
+    # the last row of a bucket is kept whole: with equal columns both readers share the shuffle
+    edges = dealt.groupBy(*group).agg(F.max_by(F.struct(*df.columns), F.struct(*order)).alias("_edge"))
+    across = Window.partitionBy(*names).orderBy(BUCKET)
+    carried = edges.select(*group, F.lag("_edge").over(across)[value].alias("_carry"))
+    inside = Window.partitionBy(*group).orderBy(*order)
+    placed = dealt.withColumn("_n", F.row_number().over(inside)).withColumn("_lag", F.lag(value).over(inside))
+    previous = F.when(F.col("_n") == 1, F.col("_carry")).otherwise(F.col("_lag"))
+    return placed.join(carried, group, "left").withColumn(out, previous).select(*df.columns, out)
 
 
-def bucketed_range_min(
-    df: DataFrame,
-    keys: Sequence[str],
-    ts: str,
-    value: str,
-    out: str,
-    span_seconds: int = 24 * 3600,
-    bucket_seconds: int = 300,
+def ordered_range_min(
+    df: DataFrame, keys: Sequence[str], ts: str, value: str, out: str, span_seconds: int = 24 * HOUR, bucket_seconds: int = HOUR
 ) -> DataFrame:
     """Minimum of ``value`` over ``[ts - span, ts]`` per key, peers included.
 
     The frame of a row splits into three parts: rows of its own bucket up to ``ts`` (a
-    running minimum), whole buckets strictly inside the frame (the summary row, which sorts
-    first and so is part of that running minimum), and the tail of the bucket exactly one
-    span earlier (a running minimum from the other end over copies of those rows moved
-    forward by the span).
+    running minimum), whole buckets strictly inside the frame (from the summary rows), and the
+    tail of the bucket exactly one span earlier (a running minimum from the other end over
+    copies of those rows moved forward by the span).
     """
     if span_seconds % bucket_seconds:
         raise ValueError("the span must be a whole number of buckets")
     steps = span_seconds // bucket_seconds
-    rows = df.withColumn(BUCKET, _bucket_of(ts, bucket_seconds)).withColumn("_at", F.unix_micros(F.col(ts)))
+    slim = [c for c in df.columns if c != value]
+    names = _named(keys)
+    group = [*names, BUCKET]
     # one scan yields both the row and its moved copy; the copy carries only what the minimum needs
-    copies = rows.withColumn("_moved", F.explode(F.array(F.lit(0), F.lit(1))))
-    slim = [c for c in df.columns if c not in (*keys, value)]
-    both = copies.select(
-        *keys,
+    copies = df.withColumns(names).withColumn("_moved", F.explode(F.array(F.lit(0), F.lit(1))))
+    dealt = copies.select(
+        *names,
         value,
         *[F.when(F.col("_moved") == 0, F.col(c)).alias(c) for c in slim],
-        (F.col(BUCKET) + F.col("_moved") * steps).alias(BUCKET),
-        (F.col("_at") + F.col("_moved") * (span_seconds * 1_000_000)).alias("_at"),
+        (_bucket_of(ts, bucket_seconds) + F.col("_moved") * steps).alias(BUCKET),
+        (F.unix_micros(F.col(ts)) + F.col("_moved") * (span_seconds * 1_000_000)).alias("_at"),
         "_moved",
-    )
-    upto = Window.partitionBy(*keys, BUCKET).orderBy(F.col("_at").asc_nulls_first())
-    since = Window.partitionBy(*keys, BUCKET).orderBy(F.col("_at").desc_nulls_last())
+    ).repartition(*group)
+    upto = Window.partitionBy(*group).orderBy(F.col("_at").asc())
+    since = Window.partitionBy(*group).orderBy(F.col("_at").desc())
     moved = F.col("_moved") == 1
-    if steps > 1:
-        low = rows.groupBy(*keys, BUCKET).agg(F.min(value).alias("_low"))
-        between = Window.partitionBy(*keys).orderBy(BUCKET).rangeBetween(-(steps - 1), -1)
-        inner = (
-            low.select(*keys, BUCKET, F.min("_low").over(between).alias(value))
-            .filter(F.col(value).isNotNull())
-            .withColumn("_at", F.lit(None).cast("bigint"))
-            .withColumn("_moved", F.lit(0))
-        )
-        both = both.unionByName(_padded(inner, both))
-    return (
-        both.withColumn("_head", F.min(F.when(~moved, F.col(value))).over(upto))
-        .withColumn("_tail", F.min(F.when(moved, F.col(value))).over(since))
-        .filter(~moved & F.col("_at").isNotNull())
-        .withColumn(out, F.least("_head", "_tail"))
-        .select(*df.columns, out)
+    found = dealt.withColumn("_head", F.min(F.when(~moved, F.col(value))).over(upto)).withColumn(
+        "_tail", F.min(F.when(moved, F.col(value))).over(since)
     )
+    found = found.filter(~moved)
+    if steps > 1:
+        # the whole row is read, as above, so that the shuffle is shared
+        least = F.min(F.when(~moved, F.struct(value, "_at", *slim))).alias("_least")
+        between = Window.partitionBy(*names).orderBy(BUCKET).rangeBetween(-(steps - 1), -1)
+        inner = dealt.groupBy(*group).agg(least).select(*group, F.min(F.col("_least")[value]).over(between).alias("_inner"))
+        found = found.join(inner, group, "left")
+    else:
+        found = found.withColumn("_inner", F.lit(None))
+    return found.withColumn(out, F.least("_head", "_tail", "_inner")).select(*df.columns, out)

@@ -26,29 +26,37 @@ def rows(df, *cols):
     return sorted(map(tuple, df.select(*cols).collect()), key=str)
 
 
-@pytest.mark.parametrize("hot_rows", [0, 50, 10**9])
-def test_lag(ticks, hot_rows):
+@pytest.mark.parametrize("seconds", [300, 3600, 10 * DAY])
+def test_lag(ticks, seconds):
     want = ticks.withColumn("p", F.lag("v").over(Window.partitionBy("k").orderBy("at", "id")))
-    got = ordered.ordered_lag(ticks, ["k"], "at", ["id"], "v", "p", hot_rows=hot_rows)
+    got = ordered.ordered_lag(ticks, ["k"], "at", ["id"], "v", "p", seconds)
     assert rows(got, "id", "v", "p") == rows(want, "id", "v", "p")
 
 
-@pytest.mark.parametrize("hot_rows", [0, 50, 10**9])
-def test_range_min(ticks, hot_rows):
+@pytest.mark.parametrize("seconds", [300, 3600, DAY])
+def test_range_min(ticks, seconds):
     day = Window.partitionBy("k").orderBy("s").rangeBetween(-DAY, 0)
     want = ticks.withColumn("low", F.min("v").over(day))
-    got = ordered.ordered_range_min(ticks, ["k"], "at", "v", "low", hot_rows=hot_rows)
+    got = ordered.ordered_range_min(ticks, ["k"], "at", "v", "low", bucket_seconds=seconds)
     assert rows(got, "id", "v", "low") == rows(want, "id", "v", "low")
     assert got.columns == [*ticks.columns, "low"]
 
 
+def test_one_shuffle_of_the_rows(ticks):
+    """Rows and bucket summaries read the same exchange: the input is read once."""
+    for got in (ordered.ordered_lag(ticks, ["k"], "at", ["id"], "v", "p"), ordered.ordered_range_min(ticks, ["k"], "at", "v", "low")):
+        got.collect()
+        plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert "ReusedExchange" in plan
+
+
 def test_day_edges(frame):
     df = frame(
         [("a", "2024-01-01 00:00:00", 5), ("a", "2024-01-02 00:00:00", 9), ("a", "2024-01-02 00:00:01", 8),
          ("b", "2024-01-01 00:00:00", 1), ("b", "2024-01-02 00:00:01", 7)],
         "k string;at timestamp;v bigint",
     )
-    got = ordered.ordered_range_min(df, ["k"], "at", "v", "low", hot_rows=0)
+    got = ordered.ordered_range_min(df, ["k"], "at", "v", "low")
     assert rows(got, "k", "v", "low") == rows(
         frame([("a", 5, 5), ("a", 9, 5), ("a", 8, 8), ("b", 1, 1), ("b", 7, 7)], "k string;v bigint;low bigint"), "k", "v", "low"
     )
