@@ -335,9 +335,7 @@ FROM rolled r JOIN product p ON p.sku = r.sku AND p.live"""
 
 CTE["slope"] = f"""
 SELECT sku, regr_slope(ln(demand), ln(price / 100)) AS e, count(*) AS n
-FROM (SELECT *, row_number() OVER (PARTITION BY sku ORDER BY tick DESC, price DESC, demand DESC) AS rn
-      FROM seen WHERE tick >= {ago(hour=72)})
-WHERE rn <= 200 AND demand > 0 GROUP BY sku HAVING count(*) >= 20 AND var_pop(ln(price / 100)) > 1e-8"""
+FROM seen WHERE tick >= {ago(hour=72)} AND demand > 0 GROUP BY sku HAVING count(*) >= 20 AND var_pop(ln(price / 100)) > 1e-8"""
 
 CTE["labelled"] = """
 SELECT *, CASE WHEN e <= -1 THEN 'high' WHEN e <= -0.3 THEN 'medium' ELSE 'low' END AS label FROM slope"""
@@ -386,7 +384,7 @@ SELECT sku, price, {half_up('candidate', 2)}, e, demand - pace, profit - greates
 LIVE = f"(from_at IS NULL OR from_at <= {NOW}) AND (until_at IS NULL OR until_at > {NOW})"
 CTE["due"] = f"""
 SELECT *, row_number() OVER (ORDER BY approved NULLS LAST, created, id) AS turn FROM offer
-WHERE status = 'approved' AND {LIVE} ORDER BY turn LIMIT 200"""
+WHERE status = 'approved' AND {LIVE}"""
 
 CTE["verdict"] = """
 WITH RECURSIVE q AS (SELECT *, row_number() OVER (PARTITION BY sku ORDER BY turn) AS i FROM due),
@@ -432,7 +430,7 @@ CTE["mood"] = f"""
 SELECT f.*, p.name, p.category FROM felt f LEFT JOIN (SELECT * FROM product WHERE live AND stocked) p ON p.sku = f.sku
 WHERE f.tick > {ago(day=30)}"""
 
-CTE["recent_quality"] = "SELECT * FROM quality WHERE samples > 0 ORDER BY tick DESC, sku, rival_id LIMIT 50000"
+CTE["recent_quality"] = "SELECT * FROM quality WHERE samples > 0"
 
 CTE["our_line"] = f"""
 SELECT g.sku, g.ts, coalesce(
@@ -496,9 +494,9 @@ SELECT ['amazon', 'ebay', 'bestbuy'][l_suppkey % 3 + 1] AS competitor_name,
        {big('l_linenumber', 'line_number')}, {sku('l_partkey')} AS product_sku
 FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_suppkey % 3 <> 1 OR p_size <> 7"""
 SQL["with_lineage"] = f"""
-SELECT sku, epoch_ms(api_ms) AS ingest_time, {NOW} AS producer_timestamp, 'user-behavior-producer' AS producer_id,
-       sku || '_' || rtrim(rtrim(strftime(epoch_ms(api_ms), '%Y-%m-%d %H:%M:%S.%g'), '0'), '.') AS message_key,
-       {big("length('user-behavior-events_') + 64", 'message_id_length')} FROM visit"""
+SELECT sku, api_ms::BIGINT AS ingest_ms, {NOW} AS producer_timestamp, 'user-behavior-producer' AS producer_id,
+       sku || '_' || api_ms::BIGINT::VARCHAR AS message_key,
+       'user-behavior-events_' || sha256('{{"sku":"' || sku || '","ingest_ms":' || api_ms::BIGINT::VARCHAR || '}}') AS message_id FROM visit"""
 SQL["archive_raw"] = """
 SELECT 'user-behavior-events_' || sku AS message_id, epoch_ms(api_ms) AS ingest_time, views AS page_views
 FROM (SELECT *, row_number() OVER (PARTITION BY sku ORDER BY api_ms DESC, event_type DESC, views DESC) AS rn FROM visit)
@@ -689,7 +687,7 @@ SELECT id, sku, {dollars('old_c', 'old_price')}, {dollars('new_c', 'proposed_pri
 SQL["apply_candidates_auto"] = f"""
 SELECT id, sku, {dollars('old_c', 'old_price')}, {dollars('new_c', 'proposed_price')}, reason AS reason_code,
        created AS order_ts, created AS created_at
-FROM (SELECT * FROM offer WHERE status IN ('approved', 'pending') AND {LIVE} ORDER BY created, id LIMIT 200)"""
+FROM (SELECT * FROM offer WHERE status IN ('approved', 'pending') AND {LIVE})"""
 SQL["apply_proposals"] = f"""
 SELECT id, sku, {big('i - 1', 'seq')}, {dollars('old_c', 'old_price')}, {dollars('new_c', 'new_price')}, reason AS reason_code,
        CASE WHEN ok THEN 'applied' ELSE 'rejected_stale' END AS outcome, {dollars('final_c', 'final_price')} FROM outcome"""
@@ -817,7 +815,9 @@ FROM drift GROUP BY ALL"""
 SQL["hourly_price_pivot"] = (
     "SELECT sku || ' | ' || rival_name AS product_competitor, "
     + ", ".join(
-        six(mean_c(f"CASE WHEN hour(w_end) = {h} THEN avg_c END"), f'"{h:02d}:00"') for h in range(24)
+        six(mean_c(f"CASE WHEN date_trunc('hour', w_end) = TIMESTAMP '2024-01-{d:02d} {h:02d}:00:00' THEN avg_c END"), f'"2024-01-{d:02d} {h:02d}:00"')
+        for d in range(1, 5)
+        for h in range(24)
     )
     + " FROM drift GROUP BY 1"
 )
@@ -955,12 +955,12 @@ SELECT id, sku, status, created AS created_at, approved AS approved_at, NULL::TI
        {dollars('new_c', 'proposed_price')}, {six('-1', 'elasticity_used')}, {six('profit_d', 'expected_profit_delta')},
        {six('demand_d', 'expected_demand_delta')}, {six('gap_after', 'competitor_gap_after')}, {six('score', 'score')}, reason AS reason_code
 FROM (SELECT * FROM offer WHERE status IN ('pending', 'approved') AND created >= TIMESTAMP '2023-12-28 00:00:00' AND sku ILIKE '%sku-%'
-      ORDER BY created DESC, id DESC LIMIT 2000)"""
+      )"""
 SQL["recent_runs"] = f"""
 SELECT {big('id', 'id')}, started AS started_at, finished AS finished_at, n AS candidates_count, ok AS proposed_count,
        'price-proposer' AS created_by,
        CASE WHEN wide THEN 'price_grid_pct=0.05, target_undercut_pct=0.01' ELSE 'price_grid_pct=0.05' END AS params
-FROM (SELECT * FROM job ORDER BY started DESC, id DESC LIMIT 50)"""
+FROM job"""
 SQL["recent_price_changes"] = f"""
 SELECT sku, {dollars('old_c', 'old_price')}, {dollars('new_c', 'adjusted_price')}, 'proposal_apply' AS change_type,
        'price-applier' AS changed_by, tick AS change_timestamp, id AS proposal_id FROM repriced WHERE tick >= {ago(hour=24)}"""

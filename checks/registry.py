@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -115,14 +114,10 @@ def _archive(t: RetailTables) -> DataFrame:
 
 
 def _lineage(t: RetailTables) -> DataFrame:
-    stamped = ingest.with_lineage(
-        t.behavior_envelopes.select(F.get_json_object("value", "$.product.sku").alias("sku"), "ingest_time", "value"),
-        "user-behavior-events", "user-behavior", ["sku", "ingest_time"], produced_at=AS_OF,
-    )
-    return stamped.select(
-        "sku", "ingest_time", "producer_timestamp", "producer_id", "message_key",
-        F.length("message_id").alias("message_id_length"),
-    )
+    records = t.behavior_envelopes.select(
+        F.get_json_object("value", "$.product.sku").alias("sku"), F.unix_millis("ingest_time").alias("ingest_ms")
+    )
+    return ingest.with_lineage(records, "user-behavior-events", "user-behavior", ["sku", "ingest_ms"], produced_at=AS_OF)
 
 
 def _changed(t: RetailTables) -> DataFrame:
@@ -207,19 +202,17 @@ def _series(t: RetailTables):
 
 
 def _drained(t: RetailTables, build) -> DataFrame:
-    """Run a streaming job over all of the streamed table and return the rows it emitted."""
+    """Run a streaming job over all of the streamed table and return the rows it emitted, kept in shared storage."""
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = t.spark.conf.get(provider, None)
     configure_streaming(t.spark)
-    live = RetailStreams(t.spark, t.folder)
-    stream = build(live)
-    place = f"{checkpoint_dir(t.spark, tempfile.gettempdir())}/shelfwise-{uuid.uuid4().hex}"
-    write = lambda df, batch_id: append(df, f"{place}/rows", batch_id)
-    # state is split by the shuffle partitions at the first start; more of them than cores only adds idle stores
-    wanted = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
-    t.spark.conf.set("spark.sql.shuffle.partitions", str(min(wanted, t.spark.sparkContext.defaultParallelism)))
     try:
+        stream = build(RetailStreams(t.spark, t.folder))
+        place = f"{checkpoint_dir(t.spark, t.spark.conf.get('spark.sql.warehouse.dir'))}/shelfwise-{uuid.uuid4().hex}"
+        write = lambda df, batch_id: append(df, f"{place}/rows", batch_id)
         jobs.start(stream, write, f"{place}/checkpoint", trigger=None).awaitTermination()
     finally:
-        t.spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
+        t.spark.conf.set(provider, before) if before else t.spark.conf.unset(provider)
     return t.spark.read.schema(stream.schema).parquet(f"{place}/rows/batch=*")
 
 
@@ -233,7 +226,8 @@ def _stream_increases(t: RetailTables) -> DataFrame:
     return jobs.price_increases_of(lows, lambda: t.products, lambda: t.competitors, AS_OF)
 
 
-HOURS = [f"{h:02d}:00" for h in range(24)]
+# the hours the streamed prices cover
+HOURS = [f"2024-01-{d:02d} {h:02d}:00" for d in range(1, 5) for h in range(24)]
 
 QUERIES: dict[str, Query] = {
     # ingest
@@ -407,9 +401,9 @@ QUERIES: dict[str, Query] = {
     "recent_runs": lambda t: adjustments.recent_runs(t.runs),
     "recent_price_changes": lambda t: adjustments.recent_price_changes(t.price_history, AS_OF),
     "proposal_kpis": lambda t: adjustments.proposal_kpis(t.proposals, t.runs, t.price_history, AS_OF),
-    "forecast_kpis": lambda t: adjustments.forecast_kpis(adjustments.newest_metrics(t.metrics)),
-    "forecast_by_sku": lambda t: adjustments.forecast_by_sku(adjustments.newest_metrics(t.metrics)),
-    "forecast_by_competitor": lambda t: adjustments.forecast_by_competitor(adjustments.newest_metrics(t.metrics)),
+    "forecast_kpis": lambda t: adjustments.forecast_kpis(adjustments.scored_metrics(t.metrics)),
+    "forecast_by_sku": lambda t: adjustments.forecast_by_sku(adjustments.scored_metrics(t.metrics)),
+    "forecast_by_competitor": lambda t: adjustments.forecast_by_competitor(adjustments.scored_metrics(t.metrics)),
     "mae_by_sku": lambda t: adjustments.mae_by_sku(t.metrics),
     "mae_by_sku_long": lambda t: adjustments.mae_by_sku_long(t.metrics),
     "platform_price_series": lambda t: _series(t)[0],

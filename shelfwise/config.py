@@ -21,7 +21,7 @@ class Settings:
     # elasticity
     rollup_minutes: int = 60
     elasticity_hours: int = 72
-    elasticity_newest: int = 200
+    elasticity_newest: int | None = None
     elasticity_min_obs: int = 20
     high_sensitivity: float = -1.0
     medium_sensitivity: float = -0.3
@@ -40,7 +40,6 @@ class Settings:
     ema_halflife_rows: int = 60
     guard_minutes: int = 720
     guard_rows: int = 100
-    apply_limit: int = 200
     proposer: str = "price-proposer"
     applier: str = "price-applier"
     # freshness limits in minutes

@@ -65,17 +65,15 @@ def new_observations(candidates: DataFrame, observations: DataFrame) -> DataFram
 
 
 def price_elasticity(observations: DataFrame, as_of, settings: Settings = DEFAULTS) -> DataFrame:
-    """Log-log demand slope per sku over its newest observations of the look-back period.
+    """Log-log demand slope per sku over all observations of the look-back period, sums that combine map-side.
 
-    ``row_number() <= n`` lets the planner cut each partition to n rows per sku before the
-    shuffle, so a sku with many observations sends only what can survive.
+    With ``elasticity_newest`` only that many newest observations of a sku count; the planner
+    then cuts each partition to as many rows per sku before the shuffle.
     """
-    newest = Window.partitionBy("sku").orderBy(F.col("observed_at").desc(), F.col("price").desc(), F.col("demand").desc())
-    taken = (
-        observations.filter(F.col("observed_at") >= ago(as_of, hours=settings.elasticity_hours))
-        .withColumn("_n", F.row_number().over(newest))
-        .filter(F.col("_n") <= settings.elasticity_newest)
-    )
+    taken = observations.filter(F.col("observed_at") >= ago(as_of, hours=settings.elasticity_hours))
+    if settings.elasticity_newest is not None:
+        newest = Window.partitionBy("sku").orderBy(F.col("observed_at").desc(), F.col("price").desc(), F.col("demand").desc())
+        taken = taken.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= settings.elasticity_newest)
     log_p, log_d = F.ln(F.col("price").cast("double")), F.ln(F.col("demand").cast("double"))
     fits = (
         taken.filter((F.col("price") > 0) & (F.col("demand") > 0))

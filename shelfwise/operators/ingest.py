@@ -29,8 +29,13 @@ def _entries(source: str) -> Column:
     return F.when(F.col("product.sku").isNotNull(), F.col(f"data_sources.{source}"))
 
 
+def _filled(entry: Column, *fields: str) -> Column:
+    """Whether an entry of a source map holds anything; an empty one parses to a struct of NULLs."""
+    return F.coalesce(*[entry[f].cast("string") for f in fields]).isNotNull()
+
+
 def flatten_competitor_prices(raw: DataFrame) -> DataFrame:
-    """One record per competitor of a market envelope.
+    """One record per competitor of a market envelope; empty entries are skipped.
 
     When either timestamp does not parse, both fall back to the ingest time.
     """
@@ -45,7 +50,7 @@ def flatten_competitor_prices(raw: DataFrame) -> DataFrame:
     )
     dated = F.when(F.col("quote.data_timestamp").isNull(), collected).otherwise(_millis(F.col("quote.data_timestamp")))
     both = collected.isNotNull() & dated.isNotNull()
-    return entries.filter(F.col("quote").isNotNull()).select(
+    return entries.filter(_filled(F.col("quote"), "price", "in_stock", "sku", "data_timestamp")).select(
         "product_sku",
         "competitor_name",
         F.col("quote.price").alias("price"),
@@ -57,7 +62,7 @@ def flatten_competitor_prices(raw: DataFrame) -> DataFrame:
 
 
 def flatten_aggregator_prices(raw: DataFrame) -> DataFrame:
-    """One record per price aggregator of a market envelope; each timestamp falls back on its own."""
+    """One record per price aggregator of a market envelope, empty entries skipped; each timestamp falls back on its own."""
     entries = _parsed(raw, schemas.MARKET_ENVELOPE).select(
         F.col("product.sku").alias("product_sku"),
         "collection_timestamp",
@@ -66,7 +71,7 @@ def flatten_aggregator_prices(raw: DataFrame) -> DataFrame:
     )
     collected = F.coalesce(_millis(F.col("collection_timestamp")), F.col("ingest_ms"))
     return (
-        entries.filter(F.col("a").isNotNull())
+        entries.filter(_filled(F.col("a"), "available", "avg_price", "price_range", "stores_tracked", "data_last_updated"))
         .withColumn("api_collection_ts_ms", collected)
         .select(
             "product_sku",

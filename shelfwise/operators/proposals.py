@@ -224,28 +224,26 @@ def run_record(
 
 
 def apply_candidates(
-    proposals: DataFrame, as_of, auto_pending: bool = False, limit: int = DEFAULTS.apply_limit
+    proposals: DataFrame, as_of, auto_pending: bool = False, limit: int | None = None
 ) -> DataFrame:
-    """The next proposals to apply, in order: effective, unexpired, oldest approval (or creation) first."""
+    """The proposals to apply: effective and unexpired; the ``limit`` with the oldest approval (or creation) when asked for."""
     now = instant(as_of)
     status = F.col("status").isin("approved", "pending") if auto_pending else F.col("status") == "approved"
     live = (F.col("effective_from").isNull() | (F.col("effective_from") <= now)) & (
         F.col("expires_at").isNull() | (F.col("expires_at") > now)
     )
     first = F.col("created_at") if auto_pending else F.col("approved_at")
-    return (
-        proposals.filter(status & live)
-        .orderBy(first.asc_nulls_last(), "created_at", "id")
-        .limit(limit)
-        .select("id", "sku", "old_price", "proposed_price", "reason_code", first.alias("order_ts"), "created_at")
-    )
+    chosen = proposals.filter(status & live)
+    if limit is not None:
+        chosen = chosen.orderBy(first.asc_nulls_last(), "created_at", "id").limit(limit)
+    return chosen.select("id", "sku", "old_price", "proposed_price", "reason_code", first.alias("order_ts"), "created_at")
 
 
 def apply_proposals(products: DataFrame, candidates: DataFrame) -> DataFrame:
     """Outcome of every candidate, applied in order with compare-and-set on the old price.
 
-    The run limit caps the candidates before the fold, so the per-sku list is small. A later
-    candidate of a sku sees the price an earlier one set; a NULL old price always applies.
+    A later candidate of a sku sees the price an earlier one set; a NULL old price always
+    applies. The fold keeps a price and one flag per step; a sku's list holds its open proposals.
     """
     steps = candidates.groupBy("sku").agg(
         F.array_sort(
@@ -262,34 +260,23 @@ def apply_proposals(products: DataFrame, candidates: DataFrame) -> DataFrame:
             )
         ).alias("steps")
     )
-    trace_type = "array<struct<id:bigint,old_price:decimal(10,2),new_price:decimal(10,2),reason_code:string,applied:boolean>>"
-    start = F.struct(F.col("current_price").alias("price"), F.array().cast(trace_type).alias("trace"))
+    start = F.struct(F.col("current_price").alias("price"), F.array().cast("array<boolean>").alias("flags"))
 
     def advance(state: Column, step: Column) -> Column:
         ok = step["old_price"].isNull() | F.coalesce(step["old_price"] == state["price"], F.lit(False))
-        entry = F.struct(
-            step["id"].alias("id"),
-            step["old_price"].alias("old_price"),
-            step["proposed_price"].alias("new_price"),
-            step["reason_code"].alias("reason_code"),
-            ok.alias("applied"),
-        )
-        return F.struct(
-            F.when(ok, step["proposed_price"]).otherwise(state["price"]).alias("price"),
-            F.concat(state["trace"], F.array(entry)).alias("trace"),
-        )
+        price = F.when(ok, step["proposed_price"]).otherwise(state["price"])
+        return F.struct(price.alias("price"), F.concat(state["flags"], F.array(ok)).alias("flags"))
 
-    folded = steps.join(products.select("sku", "current_price"), "sku", "left").withColumn(
-        "f", F.aggregate("steps", start, advance)
-    )
-    return folded.select("sku", F.col("f.price").alias("final_price"), F.posexplode("f.trace").alias("seq", "t")).select(
-        F.col("t.id").alias("id"),
+    folded = steps.join(products.select("sku", "current_price"), "sku", "left").withColumn("f", F.aggregate("steps", start, advance))
+    each = F.posexplode(F.arrays_zip("steps", F.col("f.flags").alias("flags"))).alias("seq", "t")
+    return folded.select("sku", F.col("f.price").alias("final_price"), each).select(
+        F.col("t.steps.id").alias("id"),
         "sku",
         "seq",
-        F.col("t.old_price").alias("old_price"),
-        F.col("t.new_price").alias("new_price"),
-        F.col("t.reason_code").alias("reason_code"),
-        F.when(F.col("t.applied"), "applied").otherwise("rejected_stale").alias("outcome"),
+        F.col("t.steps.old_price").alias("old_price"),
+        F.col("t.steps.proposed_price").alias("new_price"),
+        F.col("t.steps.reason_code").alias("reason_code"),
+        F.when(F.col("t.flags"), "applied").otherwise("rejected_stale").alias("outcome"),
         "final_price",
     )
 

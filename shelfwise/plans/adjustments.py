@@ -13,29 +13,33 @@ from shelfwise.operators.forecast import history_windows
 PARAMETER_KEYS = ("price_grid_pct", "target_undercut_pct", "gap_tolerance_pct")
 
 
+def _newest(df: DataFrame, ts: str, n: int | None) -> DataFrame:
+    return df if n is None else df.orderBy(F.col(ts).desc(), F.col("id").desc()).limit(n)
+
+
 def search_proposals(
-    proposals: DataFrame, statuses: Sequence[str] = (), since=None, pattern: str | None = None, n: int = 2000
+    proposals: DataFrame, statuses: Sequence[str] = (), since=None, pattern: str | None = None, n: int | None = None
 ) -> DataFrame:
-    """Newest proposals by status, creation time and a case-insensitive part of the sku."""
+    """Proposals by status, creation time and a case-insensitive part of the sku; the newest ``n`` when asked for."""
     kept = proposals.filter(in_selection(F.col("status"), statuses))
     if since is not None:
         kept = kept.filter(F.col("created_at") >= instant(since))
     if pattern:
         kept = kept.filter(F.col("sku").ilike(f"%{pattern.strip()}%"))
-    return kept.orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(n).select(
+    return _newest(kept, "created_at", n).select(
         "id", "sku", "status", "created_at", "approved_at", "applied_at", "old_price", "proposed_price",
         "elasticity_used", "expected_profit_delta", "expected_demand_delta", "competitor_gap_after", "score",
         "reason_code",
     )
 
 
-def recent_runs(runs: DataFrame, n: int = 50) -> DataFrame:
-    """Newest runs with the known parameters written as ``k=v``; unreadable parameters stay as they are."""
+def recent_runs(runs: DataFrame, n: int | None = None) -> DataFrame:
+    """Runs, the newest ``n`` when asked for, with the known parameters written as ``k=v``; unreadable parameters stay as they are."""
     parsed = F.from_json("parameters", "map<string,string>")
     known = F.array(*[F.lit(k) for k in PARAMETER_KEYS])
     present = F.filter(known, lambda k: F.map_contains_key(parsed, k))
     shown = F.array_join(F.transform(present, lambda k: F.concat(k, F.lit("="), F.try_element_at(parsed, k))), ", ")
-    return runs.orderBy(F.col("started_at").desc(), F.col("id").desc()).limit(n).select(
+    return _newest(runs, "started_at", n).select(
         "id", "started_at", "finished_at", "candidates_count", "proposed_count", "created_by",
         F.when(parsed.isNotNull(), shown).otherwise(F.col("parameters")).alias("params"),
     )
@@ -69,12 +73,10 @@ def proposal_kpis(proposals: DataFrame, runs: DataFrame, price_history: DataFram
     )
 
 
-def newest_metrics(metrics: DataFrame, n: int = 50_000) -> DataFrame:
-    return (
-        metrics.filter(F.col("n_samples") > 0)
-        .orderBy(F.col("created_at").desc(), "sku", "competitor_id")
-        .limit(n)
-    )
+def scored_metrics(metrics: DataFrame, since=None) -> DataFrame:
+    """Metrics of forecasts that had samples, of all time or since a given instant."""
+    scored = metrics.filter(F.col("n_samples") > 0)
+    return scored if since is None else scored.filter(F.col("created_at") >= instant(since))
 
 
 def _improvement(mae: Column, base: Column) -> Column:

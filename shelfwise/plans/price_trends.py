@@ -80,10 +80,10 @@ def hourly_prices(trends: DataFrame) -> DataFrame:
 
 
 def hourly_price_pivot(trends: DataFrame, hours: Sequence[str]) -> DataFrame:
-    """One column per given hour (``HH:mm``); naming the hours spares a pass to discover them."""
+    """One column per given full hour (``yyyy-MM-dd HH:mm``), days apart; naming the hours spares a pass to discover them."""
     labelled = trends.select(
         F.concat_ws(" | ", *PAIR).alias("product_competitor"),
-        F.date_format(F.date_trunc("hour", "window_end"), "HH:mm").alias("hour"),
+        F.date_format(F.date_trunc("hour", "window_end"), "yyyy-MM-dd HH:mm").alias("hour"),
         "avg_price",
     )
     return labelled.groupBy("product_competitor").pivot("hour", list(hours)).agg(exact_avg(F.col("avg_price")))

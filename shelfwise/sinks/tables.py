@@ -32,8 +32,10 @@ def _exists(spark: SparkSession, pattern: str) -> list[str]:
 class KeyedTable:
     """Upserts as an append-only log per batch, merged on read and compacted from time to time.
 
-    A batch writes only its own rows, however large the table is. The newest row per key is
-    the one with the greatest ``order``; ``deleted`` names a flag that removes the key.
+    A batch writes only its own rows, however large the table is. Every writer has folders of its
+    own, so jobs that count their batches alike do not meet; a batch counts once its success marker
+    is there. The newest row per key is the one with the greatest ``order``; ``deleted`` names a
+    flag that removes the key.
     """
 
     path: str
@@ -47,28 +49,35 @@ class KeyedTable:
         newest = F.max_by(F.struct(*rest), F.struct(*self.order)).alias("_r")
         return df.groupBy(*self.keys).agg(newest).select(*self.keys, "_r.*").select(*df.columns)
 
-    def upsert(self, df: DataFrame, batch_id: int) -> None:
-        self._newest(df).write.mode("overwrite").parquet(f"{self.path}/{self.log}/batch={batch_id}")
+    def upsert(self, df: DataFrame, batch_id: int, writer: str = "main") -> None:
+        place = f"{self.path}/{self.log}/writer={writer}/batch={batch_id}"
+        self._newest(df).write.mode("overwrite").parquet(place)
 
     def _base(self, spark: SparkSession) -> int | None:
         done = _exists(spark, f"{self.path}/base/upto=*/_SUCCESS")
         return max((int(p.split("upto=")[1].split("/")[0]) for p in done), default=None)
 
-    def _merged(self, spark: SparkSession) -> DataFrame:
+    def _batches(self, spark: SparkSession) -> list[str]:
+        """Folders of the finished batches of all writers."""
+        done = _exists(spark, f"{self.path}/{self.log}/writer=*/batch=*/_SUCCESS")
+        return [p.rsplit("/", 1)[0] for p in done]
+
+    def _merged(self, spark: SparkSession, most: int | None = None) -> DataFrame:
+        """The base and the batches after it, up to ``most`` when given."""
         upto = self._base(spark)
-        logged = None
-        if _exists(spark, f"{self.path}/{self.log}/batch=*"):
-            logged = spark.read.parquet(f"{self.path}/{self.log}")
-            logged = (logged if upto is None else logged.filter(F.col("batch") > upto)).drop("batch")
-        if upto is None:
-            if logged is None:
-                raise FileNotFoundError(f"no committed rows under {self.path}")
-            return self._newest(logged)
-        base = spark.read.parquet(f"{self.path}/base/upto={upto}")
-        return base if logged is None else self._newest(base.unionByName(logged.select(*base.columns)))
+        number = lambda p: int(p.rsplit("batch=", 1)[1])
+        later = [p for p in self._batches(spark) if (upto is None or number(p) > upto) and (most is None or number(p) <= most)]
+        parts = [spark.read.parquet(f"{self.path}/base/upto={upto}")] if upto is not None else []
+        if later:
+            parts.append(spark.read.parquet(*later))
+        if not parts:
+            raise FileNotFoundError(f"no committed rows under {self.path}")
+        if len(parts) == 2:
+            parts = [parts[0].unionByName(parts[1].select(*parts[0].columns))]
+        return self._newest(parts[0]) if later else parts[0]
 
     def exists(self, spark: SparkSession) -> bool:
-        return self._base(spark) is not None or bool(_exists(spark, f"{self.path}/{self.log}/batch=*"))
+        return self._base(spark) is not None or bool(self._batches(spark))
 
     def read(self, spark: SparkSession) -> DataFrame:
         """Current rows, one per key."""
@@ -76,8 +85,11 @@ class KeyedTable:
         return rows.filter(~F.col(self.deleted)).drop(self.deleted) if self.deleted else rows
 
     def compact(self, spark: SparkSession, upto: int) -> None:
-        """Fold everything up to a batch into one base; readers switch once it is committed."""
-        self._merged(spark).write.mode("overwrite").parquet(f"{self.path}/base/upto={upto}")
+        """Fold every writer's batches up to ``upto`` into one base; readers switch once it is committed.
+
+        A batch up to ``upto`` that is replayed later changes nothing any more.
+        """
+        self._merged(spark, upto).write.mode("overwrite").parquet(f"{self.path}/base/upto={upto}")
 
 
 def insert_ignore(df: DataFrame, path: str, keys: Sequence[str]) -> None:
@@ -93,13 +105,13 @@ def dimension(path: str, keys: Sequence[str]) -> KeyedTable:
     return KeyedTable(path, tuple(keys), ("op_ts", "deleted"), deleted="deleted")
 
 
-def publish_dim(changes: DataFrame, table: KeyedTable, batch_id: int) -> None:
+def publish_dim(changes: DataFrame, table: KeyedTable, batch_id: int, writer: str = "main") -> None:
     """Write latest changes (keys, op, op_ts, after) to a keyed dimension; deletes leave a tombstone."""
     rest = [c for c in changes.select("after.*").columns if c not in table.keys]
     rows = changes.select(
         *table.keys, *[F.col(f"after.{c}") for c in rest], "op_ts", (F.col("op") == "d").alias("deleted")
     )
-    table.upsert(rows, batch_id)
+    table.upsert(rows, batch_id, writer)
 
 
 def read_dim(spark: SparkSession, table: KeyedTable) -> DataFrame:

@@ -20,7 +20,6 @@ from shelfwise.sources.streams import with_watermark
 from shelfwise.sources.tables import read_table
 
 # Key to spread a table by when its files give fewer splits than there are cores.
-ROW_KEY = {"lineitem": "l_orderkey", "orders": "o_orderkey", "events": "event_id"}
 
 AS_OF = "2024-01-04 00:00:00"
 T0_MS = 1704067200000  # 2024-01-01 00:00:00 UTC
@@ -50,7 +49,7 @@ class RetailTables:
         self.folder = folder
 
     def raw(self, name: str) -> DataFrame:
-        return read_table(self.spark, f"{self.folder}/{name}.parquet", spread_by=ROW_KEY.get(name))
+        return read_table(self.spark, f"{self.folder}/{name}.parquet")
 
     # ---- dimensions -------------------------------------------------------------
 
@@ -200,12 +199,22 @@ class RetailTables:
                 F.sum("n").cast("int").alias("n"),
             )
         )
+        # a shop and an aggregator that answered with an empty document
+        vacant = F.struct(
+            F.lit("vacant").alias("key"),
+            F.struct(
+                F.lit(None).cast("decimal(10,2)").alias("price"),
+                F.lit(None).cast("boolean").alias("in_stock"),
+                F.lit(None).cast("string").alias("sku"),
+                F.lit(None).cast("string").alias("data_timestamp"),
+            ).alias("value"),
+        )
         doc = F.struct(
             F.struct(F.col("product_sku").alias("sku")).alias("product"),
             F.struct(
-                F.map_from_entries("entries").alias("competitors"),
+                F.map_from_entries(F.concat("entries", F.array(vacant))).alias("competitors"),
                 F.map_from_arrays(
-                    F.array(F.lit("pricewatch"), F.lit("idlewatch")),
+                    F.array(F.lit("pricewatch"), F.lit("idlewatch"), F.lit("emptywatch")),
                     F.array(
                         F.struct(
                             F.lit(True).alias("available"),
@@ -217,6 +226,12 @@ class RetailTables:
                             "struct<available:boolean,avg_price:decimal(10,2),"
                             "price_range:struct<min:decimal(10,2),max:decimal(10,2)>,stores_tracked:int>"
                         ),
+                        F.struct(
+                            F.lit(None).cast("boolean").alias("available"),
+                            F.lit(None).cast("decimal(10,2)").alias("avg_price"),
+                            F.lit(None).cast("struct<min:decimal(10,2),max:decimal(10,2)>").alias("price_range"),
+                            F.lit(None).cast("int").alias("stores_tracked"),
+                        ),
                     ),
                 ).alias("aggregators"),
             ).alias("data_sources"),

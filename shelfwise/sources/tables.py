@@ -8,21 +8,13 @@ from pyspark.sql import functions as F
 from shelfwise.functions.columns import instant
 
 
-def read_table(
-    spark: SparkSession, path: str, *, time_column: str | None = None, since=None, until=None, spread_by: str | None = None
-) -> DataFrame:
+def read_table(spark: SparkSession, path: str, *, time_column: str | None = None, since=None, until=None) -> DataFrame:
     """A Parquet table, optionally within ``(since, until]`` of a time column.
 
-    The range is a plain predicate, so it prunes partitions and row groups at the scan.
-    ``spread_by`` re-distributes a table whose few files would leave cores idle; a table with
-    enough splits is left as it is, so nothing is shuffled at scale.
-    """
+    The range is a plain predicate, so it prunes partitions and row groups at the scan.    """
     df = spark.read.parquet(path)
     if time_column and since is not None:
         df = df.filter(F.col(time_column) > instant(since))
     if time_column and until is not None:
         df = df.filter(F.col(time_column) <= instant(until))
-    cores = spark.sparkContext.defaultParallelism
-    if spread_by and df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores, spread_by)
     return df

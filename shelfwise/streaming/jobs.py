@@ -124,8 +124,9 @@ def stream_demand_vs_signals(behavior_stream: DataFrame, signal_stream: DataFram
     )
 
 
-def upsert_sink(table: KeyedTable) -> BatchSink:
-    return lambda df, batch_id: table.upsert(df, batch_id)
+def upsert_sink(table: KeyedTable, writer: str = "main") -> BatchSink:
+    """Upserts under the job's own name; every job that writes to a table needs another one."""
+    return lambda df, batch_id: table.upsert(df, batch_id, writer)
 
 
 def fan_out(outputs: Sequence[tuple[BatchOp, BatchSink]]) -> Callable[[DataFrame, int], None]:

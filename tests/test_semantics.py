@@ -7,6 +7,7 @@ from decimal import Decimal as D
 import pytest
 from pyspark.sql import functions as F
 
+from shelfwise.config import Settings
 from shelfwise import schemas
 from shelfwise.operators import behavior, demand, dims, elasticity, forecast, ingest, market, prices, proposals, signals
 from shelfwise.plans import adjustments, overview, price_signals, price_trends
@@ -187,7 +188,10 @@ def test_elasticity_needs_enough_varied_pairs(spark):
         F.col("price").cast("decimal(10,2)").alias("price"), "demand",
     )
     got = {r["sku"]: (r["price_elasticity"], r["observations"]) for r in elasticity.price_elasticity(df, NOW).collect()}
-    assert set(got) == {"n20", "many"} and got["many"][1] == 200
+    assert set(got) == {"n20", "many"} and got["many"][1] == 250
+    newest = Settings(elasticity_newest=200)
+    kept = {r["sku"]: r["observations"] for r in elasticity.price_elasticity(df, NOW, newest).collect()}
+    assert kept["many"] == 200
     xs, ys = [math.log(10 + i) for i in range(20)], [math.log(100 - i) for i in range(20)]
     mx, my = sum(xs) / 20, sum(ys) / 20
     slope = sum((a - mx) * (b - my) for a, b in zip(xs, ys)) / sum((a - mx) ** 2 for a in xs)
@@ -299,8 +303,11 @@ def test_pivots_and_empty_selection(frame):
         "product_sku string;competitor_code string;window_start timestamp;window_end timestamp;avg_price decimal(10,2);price_volatility decimal(5,2);trend_direction string",
     )
     assert price_trends.volatility_pivot(trends, ["a", "b"]).first().asDict() == {"competitor_code": "x", "a": 1.0, "b": 3.0}
-    wide = {r["product_competitor"]: (r["00:00"], r["01:00"]) for r in price_trends.hourly_price_pivot(trends, ["00:00", "01:00"]).collect()}
-    assert wide == {"a | x": (10.0, None), "b | x": (None, 20.0)}
+    next_day = trends.withColumn("window_end", F.col("window_end") + F.expr("interval 1 day")).withColumn("avg_price", F.col("avg_price") * 3)
+    hours = ["2024-01-01 00:00", "2024-01-01 01:00", "2024-01-02 00:00"]
+    pivot = price_trends.hourly_price_pivot(trends.unionByName(next_day.select(trends.columns)), hours)
+    wide = {r["product_competitor"]: tuple(r[h] for h in hours) for r in pivot.collect()}
+    assert wide == {"a | x": (10.0, None, 30.0), "b | x": (None, 20.0, None)}
     moves = trends.select("product_sku", "competitor_code")
     assert price_trends.movements_or_all(moves, skus=["a"]).count() == 1
     assert price_trends.movements_or_all(moves, skus=["q"]).count() == 2

@@ -32,6 +32,31 @@ def test_upsert_is_order_independent_and_repeatable(spark, frame, folder):
     assert current(left, spark) == [("a", 2), ("b", 3), ("c", 8)]
 
 
+def test_two_writers_with_equal_batch_ids(spark, frame, folder):
+    table = KeyedTable(f"{folder}/t", ["k"], ["at", "v"])
+    table.upsert(frame([("a", 1, 1)], DDL), 0, writer="trends")
+    table.upsert(frame([("b", 2, 1)], DDL), 0, writer="signals")
+    assert current(table, spark) == [("a", 1), ("b", 2)]
+
+
+def test_compaction_keeps_to_its_bound(spark, frame, folder):
+    table = KeyedTable(f"{folder}/t", ["k"], ["at", "v"])
+    for i, rows in enumerate(([("a", 1, 1)], [("b", 2, 1)], [("c", 3, 1)])):
+        table.upsert(frame(rows, DDL), i)
+    table.compact(spark, upto=1)
+    table.upsert(frame([("d", 4, 1)], DDL), 2)  # batch 2 runs again with other rows
+    assert current(table, spark) == [("a", 1), ("b", 2), ("d", 4)]
+    table.upsert(frame([("e", 9, 9)], DDL), 1)  # a replay of what the base holds
+    assert current(table, spark) == [("a", 1), ("b", 2), ("d", 4)]
+
+
+def test_unfinished_batch_is_not_read(spark, frame, folder):
+    table = KeyedTable(f"{folder}/t", ["k"], ["at", "v"])
+    table.upsert(frame([("a", 1, 1)], DDL), 0)
+    frame([("b", 2, 1)], DDL).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{folder}/t/log/writer=main/batch=1")
+    assert current(table, spark) == [("a", 1)]
+
+
 def test_insert_ignore_and_append(spark, frame, folder):
     path = f"{folder}/t"
     insert_ignore(frame([("a", 1, 1), ("b", 1, 1)], DDL), path, ["k"])
