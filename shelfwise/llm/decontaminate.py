@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.llm.blocks import column_bytes, mixed, sliced
-from shelfwise.llm.shared import settled, union
+from shelfwise.llm.shared import narrowed, settled, union
 
 Q = 8
 WINDOW = 64
@@ -266,9 +266,9 @@ def benchmark_passages(
     return union(*[settled(f) for f in found])
 
 
-def without_benchmark(docs: DataFrame, benchmark: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without those that hold a benchmark passage; every row is judged by its own text."""
-    marked = docs.withColumn("__row", F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))).withColumn("__id", F.coalesce(F.col(f"`{id}`").cast("long"), F.lit(-1)))
+def without_benchmark(docs: DataFrame, benchmark: DataFrame, *, text: str = "text") -> DataFrame:
+    """``docs`` without those that hold a benchmark passage; every row is judged by its own text, found again by its hash."""
+    marked = docs.withColumn("__row", F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
     keyed = marked.select(F.col("__row").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     bad = settled(benchmark_passages(keyed, benchmark).select(F.col("doc_id").alias("__row")).distinct())
-    return marked.join(bad, "__row", "left_anti").select(docs.columns)
+    return narrowed(marked.join(bad, "__row", "left_anti"), *docs.columns)

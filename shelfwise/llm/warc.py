@@ -303,9 +303,8 @@ class WarcReader(DataSourceReader):
         from pyarrow import fs as pafs
 
         fs, root = filesystem(self.path)
-        found = fs.get_file_info(pafs.FileSelector(root, recursive=True, allow_not_found=True))
-        if (one := fs.get_file_info(root)).type == pafs.FileType.File:
-            found = [one]
+        here = fs.get_file_info(root)
+        found = [here] if here.type == pafs.FileType.File else fs.get_file_info(pafs.FileSelector(root, recursive=True, allow_not_found=True))
         files = sorted((x.path, x.size) for x in found if x.type == pafs.FileType.File and x.base_name[:1] not in "_.")
         groups: list[list[str]] = []
         room = 0
