@@ -100,13 +100,12 @@ def quality_rules(docs: DataFrame, *, text: str = "text", base: tuple[Rule, ...]
     Defined cases: a null or empty text has no words and fails the base; an existing column
     ``quality`` is replaced; repeated rows are judged one by one.
     """
-    counted = docs.withColumn("quality", measures(F.col(f"`{text}`")))
-    row = F.col("quality")
-    flat = F.struct(
-        *[row[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_repeat_words", "n_stop_words", "n_shouted")],
-        row["lines"]["dup"].alias("n_dup_lines"),
-        row["lines"]["all"].alias("n_lines"),
-    )
+    def flat(row: Column) -> Column:
+        return F.struct(
+            *[row[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_repeat_words", "n_stop_words", "n_shouted")],
+            row["lines"]["dup"].alias("n_dup_lines"),
+            row["lines"]["all"].alias("n_lines"),
+        )
 
     def verdict(x: Column) -> Column:
         failed = lambda some: F.array_compact(F.array(*[F.when(_fails(r, x), F.lit(r.name)) for r in some]))
@@ -117,4 +116,5 @@ def quality_rules(docs: DataFrame, *, text: str = "text", base: tuple[Rule, ...]
             (F.size(failed((*base, *rules))) == 0).alias("kept"),
         )
 
-    return counted.withColumn("quality", let(flat, verdict))
+    # one expression, each step bound once: a filter on the verdict, wherever it is pushed, counts a text once
+    return docs.withColumn("quality", let(measures(F.col(f"`{text}`")), lambda row: let(flat(row), verdict)))
