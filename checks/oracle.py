@@ -984,6 +984,13 @@ SQL["mae_by_sku_long"] = f"""
 SELECT sku, 'mean_cv_mae' AS metric, {six('avg(mae)', 'value')} FROM quality WHERE samples > 0 AND good GROUP BY 1
 UNION ALL SELECT sku, 'mean_baseline_mae', {six('avg(base)', 'value')} FROM quality WHERE samples > 0 AND good GROUP BY 1"""
 SQL["platform_price_series"] = f"SELECT sku, ts, {dollars('price', 'adjusted_price')} FROM our_line"
+SQL["platform_price_steps"] = f"""
+WITH m AS (SELECT sku, ts, price, row_number() OVER w AS n FROM our_line WINDOW w AS (PARTITION BY sku ORDER BY ts)),
+moved AS (SELECT DISTINCT g.sku, g.ts FROM our_line g JOIN repriced h ON h.sku = g.sku AND h.tick > {ago(day=2)}
+          AND h.tick > g.ts - INTERVAL 15 MINUTE AND h.tick <= g.ts AND h.new_c IS NOT NULL),
+s AS (SELECT m.*, (n = 1 OR moved.ts IS NOT NULL) AS new FROM m LEFT JOIN moved USING (sku, ts)),
+g AS (SELECT *, sum(new::INT) OVER (PARTITION BY sku ORDER BY ts) AS step FROM s)
+SELECT sku, min(ts) AS ts_from, max(ts) AS ts_to, {dollars('any_value(price)', 'adjusted_price')} FROM g GROUP BY sku, step"""
 SQL["competitor_price_series"] = f"""
 SELECT sku, rival_id AS competitor_id, series, ts, {six('avg_p', 'avg_price')} FROM their_line"""
 SQL["proposal_steps"] = f"""

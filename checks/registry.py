@@ -410,7 +410,10 @@ QUERIES: dict[str, Query] = {
     "competitor_price_series": lambda t: _series(t)[1],
     "proposal_steps": lambda t: adjustments.proposal_steps(t.proposals, AS_OF),
     "upcoming_proposals": lambda t: adjustments.upcoming_proposals(t.proposals, AS_OF),
-    "series_overlap": lambda t: adjustments.series_overlap(*_series(t)),
+    "platform_price_steps": lambda t: adjustments.platform_price_steps(t.price_history, t.products, AS_OF, days=2),
+    "series_overlap": lambda t: adjustments.series_overlap(
+        adjustments.platform_price_bounds(t.products, AS_OF, days=2), *_series(t)[1:]
+    ),
     "adjusted_skus": lambda t: adjustments.adjusted_skus(t.proposals, t.price_history, AS_OF),
     # streaming
     "stream_price_trends": lambda t: _drained(t, lambda s: jobs.stream_price_trends(s.marked_prices)),

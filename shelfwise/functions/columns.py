@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MONEY = "decimal(10,2)"
@@ -95,3 +95,8 @@ def finite_or_null(value: Column) -> Column:
 def in_selection(col: Column, values) -> Column:
     """Membership in a user selection; an empty or missing selection keeps every row."""
     return col.isin(list(values)) if values else F.lit(True)
+
+
+def arranged(df: DataFrame, ordered: bool, *order) -> DataFrame:
+    """``df`` sorted when asked for; a full sort is the reader's wish, not part of a report."""
+    return df.orderBy(*order) if ordered else df

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.functions.columns import ago, count_where, in_selection, instant
+from shelfwise.functions.columns import ago, arranged, count_where, in_selection, instant
 from shelfwise.operators.forecast import history_windows
 
 PARAMETER_KEYS = ("price_grid_pct", "target_undercut_pct", "gap_tolerance_pct")
@@ -45,11 +45,11 @@ def recent_runs(runs: DataFrame, n: int | None = None) -> DataFrame:
     )
 
 
-def recent_price_changes(price_history: DataFrame, as_of, hours: int = 24) -> DataFrame:
+def recent_price_changes(price_history: DataFrame, as_of, hours: int = 24, ordered: bool = False) -> DataFrame:
     return (
         price_history.filter(F.col("change_timestamp") >= ago(as_of, hours=hours))
         .select("sku", "old_price", "adjusted_price", "change_type", "changed_by", "change_timestamp", "proposal_id")
-        .orderBy(F.col("change_timestamp").desc(), "proposal_id")
+        .transform(arranged, ordered, F.col("change_timestamp").desc(), "proposal_id")
     )
 
 
@@ -110,14 +110,14 @@ def forecast_by_competitor(metrics: DataFrame) -> DataFrame:
     return _forecast_by(metrics, "competitor_id")
 
 
-def mae_by_sku(metrics: DataFrame, horizon: int = 1) -> DataFrame:
+def mae_by_sku(metrics: DataFrame, horizon: int = 1, ordered: bool = False) -> DataFrame:
     per = (
         metrics.filter((F.col("horizon") == horizon) & (F.col("n_samples") > 0) & F.col("reliable"))
         .groupBy("sku")
         .agg(F.avg("cv_mae").alias("mean_cv_mae"), F.avg("baseline_mae").alias("mean_baseline_mae"))
     )
     gain = _improvement(F.col("mean_cv_mae"), F.col("mean_baseline_mae")) * 100
-    return per.withColumn("improvement_pct", gain).orderBy("sku")
+    return arranged(per.withColumn("improvement_pct", gain), ordered, "sku")
 
 
 def mae_by_sku_long(metrics: DataFrame, horizon: int = 1) -> DataFrame:
@@ -127,29 +127,51 @@ def mae_by_sku_long(metrics: DataFrame, horizon: int = 1) -> DataFrame:
     )
 
 
-def platform_price_series(price_history: DataFrame, products: DataFrame, as_of, days: int = 7) -> DataFrame:
-    """Our price on a 15-minute grid per sku, carried forward, starting from the current price.
+STEP = 15 * 60
 
-    Changes first shrink to the last one of each grid step, so the forward fill sees at most
-    one row per step however often a sku changed.
+
+def _grid(as_of, days: int) -> tuple[Column, Column]:
+    """First and last point of the 15-minute grid that begins ``days`` before ``as_of``."""
+    start, end = F.unix_seconds(ago(as_of, days=days)), F.unix_seconds(instant(as_of))
+    return ago(as_of, days=days), F.timestamp_seconds(start + F.floor((end - start) / STEP) * STEP)
+
+
+def platform_price_steps(price_history: DataFrame, products: DataFrame, as_of, days: int = 7) -> DataFrame:
+    """Our price as intervals of grid points (``ts_from``, ``ts_to``, both included), one row per change of a sku.
+
+    Changes first shrink to the last one of each grid step, so the window over a sku sees at most
+    one row per step however often its price changed. The first interval holds the current price.
     """
-    start, end = ago(as_of, days=days), instant(as_of)
-    step = 15 * 60
-    grid = products.select(
-        "sku", "current_price", F.explode(F.sequence(start, end, F.expr("interval 15 minutes"))).alias("ts")
-    )
+    start, last = _grid(as_of, days)
     micros = F.unix_micros("change_timestamp") - F.unix_micros(start)
-    slot = F.timestamp_micros(F.unix_micros(start) + F.ceil(micros / (step * 1e6)) * (step * 1_000_000))
+    slot = F.timestamp_micros(F.unix_micros(start) + F.ceil(micros / (STEP * 1e6)) * (STEP * 1_000_000))
     points = (
-        price_history.filter((F.col("change_timestamp") > start) & (F.col("change_timestamp") <= end))
-        .groupBy("sku", slot.alias("ts"))
-        .agg(F.max_by("adjusted_price", F.struct("change_timestamp", "proposal_id")).alias("point"))
-    )
-    seeded = F.coalesce("point", F.when(F.col("ts") == start, F.col("current_price")))
-    so_far = Window.partitionBy("sku").orderBy("ts")
-    return grid.join(points, ["sku", "ts"], "left").select(
-        "sku", "ts", F.last(seeded, ignorenulls=True).over(so_far).alias("adjusted_price")
+        price_history.filter((F.col("change_timestamp") > start) & (F.col("change_timestamp") <= instant(as_of)))
+        .groupBy("sku", slot.alias("ts_from"))
+        .agg(F.max_by("adjusted_price", F.struct("change_timestamp", "proposal_id")).alias("adjusted_price"))
+        .filter(F.col("adjusted_price").isNotNull() & (F.col("ts_from") <= last))
+        .join(products.select("sku"), "sku", "left_semi")
     )
+    seeds = products.select("sku", start.alias("ts_from"), F.col("current_price").alias("adjusted_price"))
+    following = F.lead("ts_from").over(Window.partitionBy("sku").orderBy("ts_from"))
+    until = F.coalesce(following - F.expr(f"interval {STEP} seconds"), last)
+    return seeds.unionByName(points).select("sku", "ts_from", until.alias("ts_to"), "adjusted_price")
+
+
+def platform_price_series(
+    price_history: DataFrame, products: DataFrame, as_of, days: int = 7, skus: Sequence[str] = ()
+) -> DataFrame:
+    """The price steps of the chosen skus (or of all) spelled out on the 15-minute grid, with no shuffle of the grid."""
+    chosen = products.filter(in_selection(F.col("sku"), skus))
+    steps = platform_price_steps(price_history, chosen, as_of, days)
+    each = F.explode(F.sequence("ts_from", "ts_to", F.expr(f"interval {STEP} seconds"))).alias("ts")
+    return steps.select("sku", each, "adjusted_price")
+
+
+def platform_price_bounds(products: DataFrame, as_of, days: int = 7) -> DataFrame:
+    """First and last point of every sku's price series, without building it."""
+    start, last = _grid(as_of, days)
+    return products.select("sku", start.alias("first"), last.alias("last"))
 
 
 def competitor_price_series(history: DataFrame, competitors: DataFrame, as_of, days: int = 7, n: int = 3) -> DataFrame:
@@ -218,14 +240,15 @@ def upcoming_proposals(proposals: DataFrame, as_of) -> DataFrame:
     )
 
 
-def series_overlap(ours: DataFrame, competitors: DataFrame, points: DataFrame) -> DataFrame:
-    """Common time range of both series per sku, stretched to the last proposal.
+def series_overlap(bounds: DataFrame, competitors: DataFrame, points: DataFrame) -> DataFrame:
+    """Common time range of our series (its ``platform_price_bounds``) and theirs per sku, stretched to the last proposal.
 
     Ranges that do not overlap are dropped; a missing side leaves the other's range.
     """
-    span = lambda df, p: df.groupBy("sku").agg(F.min("ts").alias(f"{p}_min"), F.max("ts").alias(f"{p}_max"))
+    ours = bounds.select("sku", F.col("first").alias("our_min"), F.col("last").alias("our_max"))
+    theirs = competitors.groupBy("sku").agg(F.min("ts").alias("their_min"), F.max("ts").alias("their_max"))
     last = points.groupBy("sku").agg(F.max("ts").alias("last_proposal"))
-    joined = span(ours, "our").join(span(competitors, "their"), "sku", "full").join(last, "sku", "full")
+    joined = ours.join(theirs, "sku", "full").join(last, "sku", "full")
     both = F.col("our_min").isNotNull() & F.col("their_min").isNotNull()
     start, end = F.greatest("our_min", "their_min"), F.least("our_max", "their_max")
     valid = ~both | (start < end)
@@ -235,6 +258,6 @@ def series_overlap(ours: DataFrame, competitors: DataFrame, points: DataFrame) -
     )
 
 
-def adjusted_skus(proposals: DataFrame, price_history: DataFrame, as_of, hours: int = 24) -> DataFrame:
+def adjusted_skus(proposals: DataFrame, price_history: DataFrame, as_of, hours: int = 24, ordered: bool = False) -> DataFrame:
     changed = price_history.filter(F.col("change_timestamp") >= ago(as_of, hours=hours)).select("sku")
-    return proposals.select("sku").union(changed).distinct().orderBy("sku")
+    return arranged(proposals.select("sku").union(changed).distinct(), ordered, "sku")

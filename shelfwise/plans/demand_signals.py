@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.functions.columns import ago, count_where, in_selection, product_label
+from shelfwise.functions.columns import ago, arranged, count_where, in_selection, product_label
 from shelfwise.plans.overview import latest_per_sku
 
 
@@ -94,8 +94,8 @@ def category_impact(dvs: DataFrame) -> DataFrame:
     )
 
 
-def dvs_details(dvs: DataFrame) -> DataFrame:
+def dvs_details(dvs: DataFrame, ordered: bool = False) -> DataFrame:
     return dvs.select(
         "product_sku", "window_start", "window_end", "engagement_delta", "undercut_cnt", "avg_undercut_gap_pct",
         "avg_abrupt_inc_gap_pct", "avg_overpriced_gap_pct", "price_position", "score",
-    ).orderBy("product_sku", F.col("window_end").desc())
+    ).transform(arranged, ordered, "product_sku", F.col("window_end").desc())

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.functions.columns import ago, count_where, in_selection
+from shelfwise.functions.columns import ago, arranged, count_where, in_selection
 from shelfwise.functions.distribution import histogram
 
 
@@ -46,14 +46,12 @@ def observation_count(observations: DataFrame, products: DataFrame, as_of, hours
     )
 
 
-def elasticity_over_time(history: DataFrame, per_sku: bool = False) -> DataFrame:
+def elasticity_over_time(history: DataFrame, per_sku: bool = False, ordered: bool = False) -> DataFrame:
     if per_sku:
-        return history.select("sku", "updated_at", "price_elasticity", "price_sensitivity", "observations").orderBy(
-            "updated_at", "sku"
-        )
-    return (
-        history.groupBy("updated_at").agg(F.avg("price_elasticity").alias("price_elasticity")).orderBy("updated_at")
-    )
+        rows = history.select("sku", "updated_at", "price_elasticity", "price_sensitivity", "observations")
+        return arranged(rows, ordered, "updated_at", "sku")
+    rows = history.groupBy("updated_at").agg(F.avg("price_elasticity").alias("price_elasticity"))
+    return arranged(rows, ordered, "updated_at")
 
 
 def elasticity_histogram(history: DataFrame, bins: int = 40) -> DataFrame:

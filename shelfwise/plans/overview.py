@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.config import DEFAULTS, Settings
 from shelfwise.functions.columns import (
+    arranged,
     ago, avg_where, count_where, exact_avg, in_selection, instant, product_label, seconds_between,
 )
 
@@ -39,7 +40,9 @@ def _gap() -> Column:
     return F.abs("percentage_diff")
 
 
-def competitor_stats(signals: DataFrame, competitors: DataFrame, as_of, days: int = 30) -> DataFrame:
+def competitor_stats(
+    signals: DataFrame, competitors: DataFrame, as_of, days: int = 30, ordered: bool = False
+) -> DataFrame:
     """Signal counts, mean gaps and price aggression per competitor, unknown competitors kept.
 
     Signals are aggregated before the join, so only one row per competitor is joined.
@@ -71,11 +74,11 @@ def competitor_stats(signals: DataFrame, competitors: DataFrame, as_of, days: in
             "price_aggression",
             F.coalesce("decrease_frequency", F.lit(0.0)) * F.coalesce("avg_change_pct", F.lit(0.0)),
         )
-        .orderBy(F.col("signal_count").desc(), "competitor_id")
+        .transform(arranged, ordered, F.col("signal_count").desc(), "competitor_id")
     )
 
 
-def product_stats(signals: DataFrame, products: DataFrame, as_of, days: int = 30) -> DataFrame:
+def product_stats(signals: DataFrame, products: DataFrame, as_of, days: int = 30, ordered: bool = False) -> DataFrame:
     """Signal counts, competitor price range and volatility per product."""
     per = (
         signals.filter(F.col("signal_timestamp") > ago(as_of, days=days))
@@ -96,7 +99,7 @@ def product_stats(signals: DataFrame, products: DataFrame, as_of, days: int = 30
         per.join(names, "product_sku")
         .withColumn("price_range", F.col("max_price") - F.col("min_price"))
         .withColumn("price_volatility", spread / F.nullif(F.col("min_price").cast("double"), F.lit(0.0)) * 100)
-        .orderBy(F.col("signal_count").desc(), "product_sku")
+        .transform(arranged, ordered, F.col("signal_count").desc(), "product_sku")
     )
 
 

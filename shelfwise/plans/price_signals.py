@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.functions.columns import count_where, exact_avg, in_selection, product_label
+from shelfwise.functions.columns import arranged, count_where, exact_avg, in_selection, product_label
 from shelfwise.plans.overview import actionable
 
 TRIAGE_COLUMNS = [
@@ -42,9 +42,10 @@ def select_signals(
     return kept.filter(_gap() >= min_gap) if min_gap > 0 else kept
 
 
-def triage(enriched: DataFrame, **filters) -> DataFrame:
-    """The filtered action queue, newest first."""
-    return select_signals(enriched, **filters).select(*TRIAGE_COLUMNS).orderBy(F.col("signal_timestamp").desc())
+def triage(enriched: DataFrame, ordered: bool = False, **filters) -> DataFrame:
+    """The filtered action queue; newest first when ordered."""
+    rows = select_signals(enriched, **filters).select(*TRIAGE_COLUMNS)
+    return arranged(rows, ordered, F.col("signal_timestamp").desc())
 
 
 def signal_page_kpis(enriched: DataFrame) -> DataFrame:
@@ -103,15 +104,15 @@ def _newest(enriched: DataFrame, keys: Sequence[str]) -> DataFrame:
     return enriched.groupBy(*keys).agg(newest).select(*keys, "s.*").select(*enriched.columns)
 
 
-def latest_signal_per_competitor(enriched: DataFrame) -> DataFrame:
-    """Newest signal of each competitor per product, cheapest competitor first, with our price."""
+def latest_signal_per_competitor(enriched: DataFrame, ordered: bool = False) -> DataFrame:
+    """Newest signal of each competitor per product, with our price; cheapest competitor first when ordered."""
     return (
         _newest(actionable(enriched), ["product_sku", "competitor_id"])
         .select(
             "product_sku", "product_name", "competitor_id", "competitor_name", "competitor_price", "platform_price",
             "signal_display", "signal_timestamp",
         )
-        .orderBy("product_sku", "competitor_price", "competitor_id")
+        .transform(arranged, ordered, "product_sku", "competitor_price", "competitor_id")
     )
 
 
@@ -150,11 +151,11 @@ def competitor_signal_mix(enriched: DataFrame) -> DataFrame:
     return actionable(enriched).groupBy("competitor_name", "signal_display").agg(F.count(F.lit(1)).alias("signals"))
 
 
-def product_signal_history(enriched: DataFrame, sku: str | None = None) -> DataFrame:
-    """Signals of one product (or of each), newest first."""
+def product_signal_history(enriched: DataFrame, sku: str | None = None, ordered: bool = False) -> DataFrame:
+    """Signals of one product (or of each); newest first when ordered."""
     rows = actionable(enriched)
     rows = rows if sku is None else rows.filter(F.col("product_sku") == sku)
     return rows.select(
         "product_sku", "signal_timestamp", "competitor_name", "signal_display", "competitor_price", "percentage_diff",
         "priority", "recommendation",
-    ).orderBy("product_sku", F.col("signal_timestamp").desc())
+    ).transform(arranged, ordered, "product_sku", F.col("signal_timestamp").desc())

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.functions.columns import ago, bucket_start, count_where, exact_avg, in_selection
+from shelfwise.functions.columns import ago, arranged, bucket_start, count_where, exact_avg, in_selection
 from shelfwise.functions.distribution import histogram
 
 PAIR = ["product_sku", "competitor_code"]
@@ -64,11 +64,11 @@ def top_movers(trends: DataFrame, n: int = 5, rising: bool = True) -> DataFrame:
     return price_movers(trends).orderBy(pct.desc() if rising else pct.asc(), *PAIR).limit(n)
 
 
-def volatility_ranking(trends: DataFrame) -> DataFrame:
+def volatility_ranking(trends: DataFrame, ordered: bool = False) -> DataFrame:
     return (
         trends.groupBy(*PAIR)
         .agg(exact_avg(F.col("price_volatility")).alias("price_volatility"))
-        .orderBy(F.col("price_volatility").desc(), *PAIR)
+        .transform(arranged, ordered, F.col("price_volatility").desc(), *PAIR)
     )
 
 
