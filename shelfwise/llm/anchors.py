@@ -22,13 +22,13 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -220,34 +220,51 @@ def _announce(units, buckets: int):
     return run
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    """Step 1 in the bucket: for each document its anchors that a different text holds too."""
-    none = np.zeros(0, np.int64)
-    ids, texts, lows, told = [none], [none], [none.astype(np.uint32)], [none.astype(np.uint32)]
-    bucket = table.column("bucket")[0].as_py()
-    given = table.filter(pc.is_valid(table.column("id"))).select(["id", "part"])
-    for part in table.filter(pc.is_null(table.column("id"))).column("part"):
-        i, t, n, low, many = _unpack(part.as_buffer(), "i8", "i8", "u4", "u4", "u4")
-        ids.append(np.repeat(i, n))
-        texts.append(np.repeat(t, n))
-        lows.append(low)
-        told.append(many)
-    i, t, low = (np.concatenate(x) for x in (ids, texts, lows))
-    order, starts = _groups(low)
-    shared = _several(t[order], starts) | np.isin(low[order][starts], np.unique(np.concatenate(told)))
-    keep = order[np.repeat(shared, np.diff(np.append(starts, len(order))))]
-    who, parts = _by_document(i[keep], low[keep].astype(np.uint64) | np.uint64(bucket << 32))
-    found = pa.table({"id": pa.array(who, pa.int64()), "part": pa.array(parts, pa.binary())})
-    return pa.concat_tables([found, given.cast(found.schema)])
+def _answer(slots: int):
+    """Step 1 in the bucket: for each document its anchors that a different text holds too, packed by slots of documents."""
+
+    def run(table: pa.Table) -> pa.Table:
+        none = np.zeros(0, np.int64)
+        ids, texts, lows, told = [none], [none], [none.astype(np.uint32)], [none.astype(np.uint32)]
+        bucket = table.column("bucket")[0].as_py()
+        given = table.filter(pc.is_valid(table.column("id")))
+        for part in table.filter(pc.is_null(table.column("id"))).column("part"):
+            i, t, n, low, many = _unpack(part.as_buffer(), "i8", "i8", "u4", "u4", "u4")
+            ids.append(np.repeat(i, n))
+            texts.append(np.repeat(t, n))
+            lows.append(low)
+            told.append(many)
+        i, t, low = (np.concatenate(x) for x in (ids, texts, lows))
+        order, starts = _groups(low)
+        shared = _several(t[order], starts) | np.isin(low[order][starts], np.unique(np.concatenate(told)))
+        keep = order[np.repeat(shared, np.diff(np.append(starts, len(order))))]
+        own = [np.frombuffer(part.as_buffer(), np.uint64) for part in given.column("part")]
+        sizes = np.array([len(x) for x in own], np.int64)
+        who = np.concatenate([i[keep], np.repeat(given.column("id").to_numpy(), sizes)])
+        shorts = np.concatenate([low[keep].astype(np.uint64) | np.uint64(bucket << 32), *own])
+        slot = (mixed(who.astype(np.uint64)) % np.uint64(slots)).astype(np.int32)
+        order, starts = _groups(slot)
+        parts = [_pack(who[x], shorts[x]) for x in (np.split(order, starts[1:]) if len(starts) else [])]
+        return pa.table({"slot": pa.array(slot[order][starts], pa.int32()), "part": pa.array(parts, pa.binary())})
+
+    return run
+
+
+def _gathered(table: pa.Table) -> pa.Table:
+    """All shared anchors of each document of a slot."""
+    parts = [_unpack(part.as_buffer(), "i8", "u8") for part in table.column("part")]
+    who, found = _by_document(*(np.concatenate(x) for x in zip(*parts)))
+    return pa.table({"id": pa.array(who, pa.int64()), "part": pa.array(found, pa.binary())})
 
 
-_ASKED = "kind int, block string, shard int, part binary, ids array<long>, t1 array<long>, t2 array<long>, texts array<string>"
+_ASKED = "kind int, block string, shard int, part binary, ids array<long>, t1 array<long>, t2 array<long>, texts binary"
 
 
 def _ask(units, buckets: int, shards: int):
     """Step 2: stretches around shared anchors to their shards (kind 0), and the block itself (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor()
         for batch in batches:
             data, offsets = column_bytes(batch.column(3))
             ids, t1, t2 = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
@@ -267,7 +284,7 @@ def _ask(units, buckets: int, shards: int):
                 shard = ((hashes >> np.uint64(7)) % np.uint64(shards)).astype(np.int64)
                 for d in range(b - a):
                     own = slice(cuts[d], cuts[d + 1])
-                    shared = np.frombuffer(b"".join(batch.column(4)[a + d].as_py()), np.uint64)
+                    shared = np.frombuffer(batch.column(4)[a + d].as_buffer(), np.uint64)
                     pick = np.flatnonzero(np.isin(shorts[own], shared)) + cuts[d]
                     text, base, me = units.units(whole[local[d] : local[d + 1]]), int(bounds[d]), int(ids[a + d])
                     for r in pick.tolist():
@@ -296,10 +313,10 @@ def _ask(units, buckets: int, shards: int):
                     if len(mine):
                         joined = [texts[g] for g in mine.tolist()]
                         sizes = np.array([len(x) for x in joined], np.int64)
-                        rows.append((0, block, k, zlib.compress(_pack(sizes, low[mine], high[mine], by[mine]) + b"".join(joined), 1), None, None, None, None))
+                        rows.append((0, block, k, packer.compress(_pack(sizes, low[mine], high[mine], by[mine]) + b"".join(joined)), None, None, None, None))
                 places = np.array(found, np.int64).reshape(-1, 3)
-                held = pa.array([None] * len(rows) + [batch.column(3).slice(a, b - a).to_pylist()], pa.list_(pa.string()))
-                rows.append((1, block, None, _pack(of, places.ravel()), ids[a:b].tolist(), t1[a:b].tolist(), t2[a:b].tolist(), None))
+                held = pa.array([None] * len(rows) + [packer.compress(whole)], pa.binary())
+                rows.append((1, block, None, _pack(of, places.ravel(), local), ids[a:b].tolist(), t1[a:b].tolist(), t2[a:b].tolist(), None))
                 kinds = [pa.int32(), pa.string(), pa.int32(), pa.binary(), *[pa.list_(pa.int64())] * 3]
                 columns = [pa.array(c, k) for c, k in zip(zip(*[r[:7] for r in rows]), kinds)]
                 yield pa.RecordBatch.from_arrays([*columns, held], ["kind", "block", "shard", "part", "ids", "t1", "t2", "texts"])
@@ -311,12 +328,13 @@ def _compare(width: int, windows_of: Callable[[bytes], int], method: Method):
     """Step 3: the shard's distinct stretches through the operator's method; runs of windows with one smallest id go back."""
 
     def run(table: pa.Table) -> pa.Table:
+        unpacker = zstandard.ZstdDecompressor()
         contents: dict[bytes, int] = {}
         lowest: list[int] = []
         anchors: list[int] = []
         asked = []
         for part in table.column("part"):
-            data = zlib.decompress(part.as_py())
+            data = unpacker.decompress(part.as_py())
             sizes, low, high, by = _unpack(data, "i8", "i8", "i8", "u8")
             at = 32 + 32 * len(sizes)
             which = []
@@ -386,17 +404,19 @@ def _mark(units):
     """Step 4: each document of the block with its covered units removed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpacker = zstandard.ZstdDecompressor()
         for batch in batches:
             out: list[list] = [[] for _ in range(7)]
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                of, places = _unpack(row["part"], "i8", "i8")
+                of, places, local = _unpack(row["part"], "i8", "i8", "i8")
+                whole = unpacker.decompress(row["texts"])
                 ids = np.array(row["ids"], np.int64)
                 found = _covered(places.reshape(-1, 3), of, ids, row["answers"] or [], units.width)
                 cuts = np.searchsorted(found[:, 0], np.arange(len(ids) + 1))
-                for d, text in enumerate(row["texts"]):
+                for d in range(len(ids)):
                     spans = merged(found[cuts[d] : cuts[d + 1], 1:])
-                    body = units.units(text.encode())
+                    body = units.units(whole[local[d] : local[d + 1]])
                     edges = [0, *(x for s in spans for x in s), len(body)]
                     kept = units.joined([body[a:b] for a, b in zip(edges[::2], edges[1::2])])
                     values = (row["ids"][d], row["t1"][d], row["t2"][d], sum(b - a for a, b in spans), len(spans), hashlib.sha256(kept).hexdigest(), [x for s in spans for x in s])
@@ -427,11 +447,11 @@ def remove_shared(docs: DataFrame, units, method: Method, *, id: str, text: str,
 
     able = keyed.filter(F.col("id").isNotNull())
     sent = able.select("id", "t1", "text").mapInArrow(_announce(units, buckets), _SENT)
-    answered = settled(sent.groupBy("bucket").applyInArrow(_answer, "id long, part binary"))
-    parts = answered.groupBy("id").agg(F.collect_list("part").alias("parts"))
-    wanted = settled(parts.join(long_enough.select(keys).distinct(), "id").join(later, keys, "left_anti").select(*keys, "parts"))
+    answered = sent.groupBy("bucket").applyInArrow(_answer(8 * buckets), "slot int, part binary")
+    parts = answered.groupBy("slot").applyInArrow(_gathered, "id long, part binary")
+    wanted = settled(parts.join(long_enough.select(keys).distinct(), "id").join(later, keys, "left_anti").select(*keys, "part"))
 
-    chosen = able.join(wanted, keys).select(*keys, "text", "parts")
+    chosen = able.join(wanted, keys).select(*keys, "text", "part")
     asked = settled(chosen.mapInArrow(_ask(units, buckets, shards), _ASKED))
     answers = (
         asked.filter("kind = 0")
