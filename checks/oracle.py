@@ -505,6 +505,7 @@ WHERE rn = 1"""
 # ---- dimensions -----------------------------------------------------------------------
 SQL["apply_changelog"] = f"""
 SELECT l.sku, {dollars('l.price', 'current_price')}, p.stocked AS in_stock, l.op_ts FROM living l JOIN product p USING (sku)"""
+SQL["publish_dim"] = SQL["apply_changelog"]
 SQL["products_dim"] = f"""
 SELECT l.sku, {dollars('l.price', 'current_price')}, p.label AS price_sensitivity, p.stocked AS in_stock, p.live AS is_active,
        coalesce(p.updated_at, p.created_at, l.op_ts) AS dim_time FROM living l JOIN product p USING (sku)"""
@@ -567,6 +568,8 @@ SQL["price_movements"] = f"SELECT {MOVE_COLUMNS} FROM move"
 # ---- market ---------------------------------------------------------------------------
 SQL["latest_prices"] = f"""
 SELECT sku AS product_sku, rival_name AS competitor_name, {dollars('price', 'price')}, stock AS in_stock, tick AS event_time FROM newest"""
+SQL["upsert_latest"] = SQL["latest_prices"]
+SQL["insert_ignore"] = "SELECT sku AS product_sku, rival_name AS competitor_name, data_ms AS data_ts_ms FROM unique_quote"
 SQL["competitor_counts"] = """
 SELECT sku AS product_sku, rivals AS competitor_count, stocked_rivals AS in_stock_competitor_count FROM tally"""
 SQL["cheapest_competitor"] = f"""

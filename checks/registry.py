@@ -14,8 +14,9 @@ from shelfwise.operators import behavior, demand, dims, elasticity, forecast, in
 from shelfwise.plans import adjustments, competitors, demand_signals, overview, price_signals, price_trends
 from shelfwise.plans import elasticity as elasticity_reports
 from shelfwise.session import checkpoint_dir, configure_streaming
-from shelfwise.sinks.tables import append
+from shelfwise.sinks.tables import KeyedTable, append, dimension, insert_ignore, publish_dim, read_dim
 from shelfwise.sources.retail import AS_OF, RetailStreams, RetailTables, sku_of
+from shelfwise.sources.tables import read_table
 from shelfwise.streaming import jobs
 from shelfwise.streaming.ordered import stream_low_24h, stream_previous_price
 
@@ -201,6 +202,43 @@ def _series(t: RetailTables):
     return ours, theirs, points
 
 
+def _place(t: RetailTables) -> str:
+    """A new folder in shared storage for what one query writes and reads back."""
+    return f"{checkpoint_dir(t.spark, t.spark.conf.get('spark.sql.warehouse.dir'))}/shelfwise-{uuid.uuid4().hex}"
+
+
+def _upserted(t: RetailTables) -> DataFrame:
+    """All prices through one keyed table: two writers with equal batch ids, and a compaction between them."""
+    keys = ["product_sku", "competitor_name"]
+    table = KeyedTable(_place(t), keys, ["event_time", "api_collection_ts_ms", "source_sku", "price"])
+    columns = [*keys, "price", "in_stock", "event_time", "api_collection_ts_ms", "source_sku"]
+    half = lambda k: t.prices.select(columns).filter(F.pmod(F.hash(*columns), F.lit(2)) == k)
+    table.upsert(half(0), 0, writer="first")
+    table.compact(t.spark, upto=0)
+    table.upsert(half(1), 1, writer="second")
+    return table.read(t.spark).select(*keys, "price", "in_stock", "event_time")
+
+
+def _inserted(t: RetailTables) -> DataFrame:
+    """Keys of all price records, inserted twice over."""
+    keys = ["product_sku", "competitor_name", "data_ts_ms"]
+    path = _place(t)
+    rows = t.prices.select(*keys, "price").filter("data_ts_ms is not null")
+    insert_ignore(rows.filter(F.col("price") >= 1000), path, keys)
+    insert_ignore(rows, path, keys)
+    return read_table(t.spark, path).select(keys)
+
+
+def _published(t: RetailTables) -> DataFrame:
+    """Change events published to a keyed dimension in two batches, the newer half first, and read back."""
+    table = dimension(_place(t), ["sku"])
+    changes = t.product_changes
+    middle = F.lit("2024-01-02 00:00:00").cast("timestamp")
+    publish_dim(dims.latest_changes(changes.filter(F.col("op_ts") >= middle), ["sku"]), table, 0)
+    publish_dim(dims.latest_changes(changes.filter(F.col("op_ts") < middle), ["sku"]), table, 1)
+    return read_dim(t.spark, table).select("sku", "current_price", "in_stock", "op_ts")
+
+
 def _drained(t: RetailTables, build) -> DataFrame:
     """Run a streaming job over all of the streamed table and return the rows it emitted, kept in shared storage."""
     provider = "spark.sql.streaming.stateStore.providerClass"
@@ -208,7 +246,7 @@ def _drained(t: RetailTables, build) -> DataFrame:
     configure_streaming(t.spark)
     try:
         stream = build(RetailStreams(t.spark, t.folder))
-        place = f"{checkpoint_dir(t.spark, t.spark.conf.get('spark.sql.warehouse.dir'))}/shelfwise-{uuid.uuid4().hex}"
+        place = _place(t)
         write = lambda df, batch_id: append(df, f"{place}/rows", batch_id)
         jobs.start(stream, write, f"{place}/checkpoint", trigger=None).awaitTermination()
     finally:
@@ -415,6 +453,10 @@ QUERIES: dict[str, Query] = {
         adjustments.platform_price_bounds(t.products, AS_OF, days=2), *_series(t)[1:]
     ),
     "adjusted_skus": lambda t: adjustments.adjusted_skus(t.proposals, t.price_history, AS_OF),
+    # sinks: written, read back
+    "upsert_latest": _upserted,
+    "insert_ignore": _inserted,
+    "publish_dim": _published,
     # streaming
     "stream_price_trends": lambda t: _drained(t, lambda s: jobs.stream_price_trends(s.marked_prices)),
     "stream_behavior_summary": lambda t: _drained(t, lambda s: jobs.stream_behavior_summary(s.marked_behavior)),
