@@ -89,16 +89,17 @@ class DayLow(OrderedPrices):
         lows: list[int] = []
         i = 0
         while i < len(ready):
-            at = ready[i][0]
-            peers = [r[3] for r in ready[i:] if r[0] == at] if i + 1 < len(ready) and ready[i + 1][0] == at else [ready[i][3]]
-            low = min(peers)
+            at, end = ready[i][0], i
+            while end < len(ready) and ready[end][0] == at:
+                end += 1
+            low = min(r[3] for r in ready[i:end])
             while window and window[-1][1] >= low:
                 window.pop()
             window.append((at, low))
             while window[0][0] < at - DAY:
                 window.popleft()
-            lows.extend([window[0][1]] * len(peers))
-            i += len(peers)
+            lows.extend([window[0][1]] * (end - i))
+            i = end
         return lows, list(window)
 
 
