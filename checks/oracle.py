@@ -505,7 +505,7 @@ WHERE rn = 1"""
 # ---- dimensions -----------------------------------------------------------------------
 SQL["apply_changelog"] = f"""
 SELECT l.sku, {dollars('l.price', 'current_price')}, p.stocked AS in_stock, l.op_ts FROM living l JOIN product p USING (sku)"""
-SQL["publish_dim"] = SQL["apply_changelog"]
+SQL["publish_dim"] = SQL["source_changelog"] = SQL["apply_changelog"]
 SQL["products_dim"] = f"""
 SELECT l.sku, {dollars('l.price', 'current_price')}, p.label AS price_sensitivity, p.stocked AS in_stock, p.live AS is_active,
        coalesce(p.updated_at, p.created_at, l.op_ts) AS dim_time FROM living l JOIN product p USING (sku)"""
@@ -539,6 +539,9 @@ SQL["signals_dim"] = SQL["current_signals"] = f"SELECT {SIGNAL_COLUMNS} FROM liv
 SQL["competitor_prices"] = f"""
 SELECT sku AS product_sku, rival_name AS competitor_name, {dollars('price', 'price')}, stock AS in_stock, src AS source_sku,
        api_ms AS api_collection_ts_ms, broker_ts AS kafka_ts, tick AS event_time FROM quote"""
+SQL["source_prices"] = SQL["source_prices_stream"] = f"""
+SELECT sku AS product_sku, rival_name AS competitor_name, {dollars('price', 'price')}, stock AS in_stock, src AS source_sku,
+       api_ms AS api_collection_ts_ms, tick AS event_time FROM quote"""
 SQL["dedup_prices"] = f"""
 SELECT sku AS product_sku, rival_name AS competitor_name, data_ms AS data_ts_ms, {dollars('price', 'price')},
        stock AS in_stock, src AS source_sku, api_ms AS api_collection_ts_ms, broker_ts AS kafka_ts FROM unique_quote"""
@@ -583,6 +586,7 @@ SQL["behavior_events"] = f"""
 SELECT sku AS product_sku, views AS page_views, visitors AS unique_visitors, {six('dwell', 'dwell_seconds')}, {six('searches', 'searches')},
        carts AS cart_additions, bought AS purchases, compared AS price_comparisons, tick AS data_timestamp,
        epoch_ms(api_ms) AS collection_timestamp FROM visit"""
+SQL["source_behavior"] = SQL["behavior_events"]
 SQL["signal_windows"] = f"""
 SELECT sku AS product_sku, w AS window_start, w + INTERVAL 5 MINUTE AS window_end, under_n AS undercut_cnt,
        rise_n AS abrupt_inc_cnt, over_n AS overpriced_cnt, {six('under_u / 1000000', 'avg_undercut_gap_pct')},

@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfwise import configure
+from shelfwise import configure, schemas
 from shelfwise.operators import behavior, demand, dims, elasticity, forecast, ingest, market, prices, proposals, signals
 from shelfwise.plans import adjustments, competitors, demand_signals, overview, price_signals, price_trends
 from shelfwise.plans import elasticity as elasticity_reports
 from shelfwise.session import checkpoint_dir, configure_streaming
 from shelfwise.sinks.tables import KeyedTable, append, dimension, insert_ignore, publish_dim, read_dim
 from shelfwise.sources.retail import AS_OF, RetailStreams, RetailTables, sku_of
+from shelfwise.sources import streams
 from shelfwise.sources.tables import read_table
 from shelfwise.streaming import jobs
 from shelfwise.streaming.ordered import stream_low_24h, stream_previous_price
@@ -239,6 +240,37 @@ def _published(t: RetailTables) -> DataFrame:
     return read_dim(t.spark, table).select("sku", "current_price", "in_stock", "op_ts")
 
 
+def _messages(t: RetailTables, df: DataFrame) -> str:
+    """Folder of JSON lines, one per row of ``df``, and of lines that are broken or no document."""
+    path = _place(t)
+    df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.text(path)
+    t.spark.createDataFrame([("{broken",), ("no document",), ("{}",), ("",)], "value string").write.mode("append").text(path)
+    return path
+
+
+def _read_prices(t: RetailTables, streaming: bool) -> DataFrame:
+    """Prices as the stream reader decodes them, as one batch or by a query that takes what is there."""
+    columns = ["product_sku", "competitor_name", "price", "in_stock", "source_sku", "api_collection_ts_ms"]
+    read = streams.read_competitor_prices(t.spark, _messages(t, t.prices.select(*columns, "data_ts_ms")), streaming=streaming)
+    decoded = read.select(*columns, "event_time")
+    if not streaming:
+        return decoded
+    place = _place(t)
+    write = lambda df, batch_id: append(df, f"{place}/rows", batch_id)
+    jobs.start(decoded, write, f"{place}/checkpoint", trigger=None).awaitTermination()
+    return t.spark.read.schema(decoded.schema).parquet(f"{place}/rows/batch=*")
+
+
+def _read_behavior(t: RetailTables) -> DataFrame:
+    read = streams.read_user_behavior(t.spark, _messages(t, t.behavior.drop("event_time")), streaming=False)
+    return _wide(behavior.behavior_events(read))
+
+
+def _read_changes(t: RetailTables) -> DataFrame:
+    read = streams.read_changelog(t.spark, _messages(t, t.product_changes), schemas.PRODUCT)
+    return dims.apply_changelog(read, ["sku"]).select("sku", "current_price", "in_stock", "op_ts")
+
+
 def _drained(t: RetailTables, build) -> DataFrame:
     """Run a streaming job over all of the streamed table and return the rows it emitted, kept in shared storage."""
     provider = "spark.sql.streaming.stateStore.providerClass"
@@ -453,6 +485,11 @@ QUERIES: dict[str, Query] = {
         adjustments.platform_price_bounds(t.products, AS_OF, days=2), *_series(t)[1:]
     ),
     "adjusted_skus": lambda t: adjustments.adjusted_skus(t.proposals, t.price_history, AS_OF),
+    # sources: written as JSON lines, broken ones among them, and read back
+    "source_prices": lambda t: _read_prices(t, streaming=False),
+    "source_prices_stream": lambda t: _read_prices(t, streaming=True),
+    "source_behavior": _read_behavior,
+    "source_changelog": _read_changes,
     # sinks: written, read back
     "upsert_latest": _upserted,
     "insert_ignore": _inserted,
