@@ -36,7 +36,7 @@ from shelfwise.llm.blocks import _BYTES, _INVERSE, _STEP, Words, column_bytes, m
 from shelfwise.llm.shared import partitions, settled
 
 # Bytes of text in a block of the first and of the second step; a longer document is a block of its own.
-ANNOUNCED, ASKED = 2 << 20, 1 << 20
+ANNOUNCED, ASKED = 1 << 20, 1 << 20
 _LOW = np.uint64(0xFFFFFFFF)
 _HIGH = np.uint64(0xFFFFFFFF00000000)
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.blocks import column_bytes, mixed, sliced
+from shelfwise.llm.blocks import BLOCK_BYTES, column_bytes, mixed, sliced
 from shelfwise.llm.shared import narrowed, settled, union
 
 Q = 8
@@ -193,7 +193,7 @@ def _searched(shared):
             ids = batch.column(0).to_pylist()
             chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
             out: list[tuple] = []
-            for a, b in sliced(offsets, 2 << 20):
+            for a, b in sliced(offsets, BLOCK_BYTES // 2):
                 codes = np.frombuffer(data[offsets[a] : offsets[b]].tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
                 starts = chars[offsets[a : b + 1]] - chars[offsets[a]]
                 short, place = normal(codes)
