@@ -26,27 +26,26 @@ _COLUMNS = BUCKETS + LENGTHS + LEVELS
 
 
 def _novelty(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Per document the share of distinct ones among its 8-byte strings, 1 where it has none.
-
-    A quarter of the strings, chosen by their hash, stands for all: copies are chosen together.
-    """
+    """Per document the share of distinct ones among all its 8-byte strings, 1 where it has none."""
     n = len(offsets) - 1
     if len(data) < 8:
         return np.ones(n)
     grams = data.astype(np.uint64)
     for size in (1, 2, 4):
         grams = grams[:-size] | grams[size:] << np.uint64(8 * size)
-    grams *= np.uint64(0x9E3779B97F4A7C15)
-    at = np.flatnonzero(grams < np.uint64(1 << 62))
-    doc = np.searchsorted(offsets, at, "right") - 1
-    inside = at + 8 <= offsets[1:][doc]
-    grams, doc = grams[at[inside]], doc[inside]
-    order = np.lexsort((grams, doc))
-    grams, doc = grams[order], doc[order]
-    new = np.ones(len(doc), bool)
-    new[1:] = (grams[1:] != grams[:-1]) | (doc[1:] != doc[:-1])
-    total = np.bincount(doc, minlength=n)
-    return np.where(total > 0, np.bincount(doc[new], minlength=n) / np.maximum(total, 1), 1.0)
+    total = np.maximum(np.diff(offsets) - 7, 0)  # strings that run over a document's end are left where they are
+    held = np.flatnonzero(total)
+    start = offsets[:-1][held]
+    end = start + total[held]
+    for a, b in zip(start.tolist(), end.tolist()):
+        grams[a:b].sort()
+    new = np.ones(len(grams), bool)
+    new[1:] = grams[1:] != grams[:-1]
+    new[start] = True
+    before = np.concatenate([[0], np.cumsum(new)])
+    out = np.ones(n)
+    out[held] = (before[end] - before[start]) / total[held]
+    return out
 
 
 def _trigrams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shelfwise.llm import suffix_dedup, warc
+from shelfwise.llm import quality_classifier, suffix_dedup, warc
 from shelfwise.llm.components import components
 from shelfwise.llm.decontaminate import benchmark_passages
 from shelfwise.llm.line_dedup import host_of
@@ -168,6 +168,15 @@ def test_classifier_held_out(spark):
     assert {r["doc_id"] for r in got.filter("held_out").collect()} == {r["doc_id"] for r in got.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0}
 
 
+def test_novelty_counts_every_string():
+    texts = [bytes([c]) * 4000 for c in range(32, 127)] + [b"ha " * 900, b"buy " * 900, b"- " * 900, b"*-" * 900]
+    texts += [b"", b"short", b"eight by", b"nine byte", b"aaaaaaaaaaaa", random.Random(5).randbytes(3000), b"tail"]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    got = quality_classifier._novelty(np.frombuffer(b"".join(texts), np.uint8), offsets)
+    strings = [[t[k : k + 8] for k in range(len(t) - 7)] for t in texts]
+    assert got.tolist() == [len(set(s)) / len(s) if s else 1.0 for s in strings]
+
+
 def test_identifiers(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     odd = ["a@b.c_x@y.zz q@r.st.", "1.2.3.4.5.6.7.8 300.1.1.1 001.02.3.255", "4111 1111 1111 1111 4111-1111-1111-1111x 41111111111111112",
