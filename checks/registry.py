@@ -216,7 +216,7 @@ def _upserted(t: RetailTables) -> DataFrame:
     half = lambda k: t.prices.select(columns).filter(F.pmod(F.hash(*columns), F.lit(2)) == k)
     table.upsert(half(0), 0, writer="first")
     table.compact(t.spark, upto=0)
-    table.upsert(half(1), 1, writer="second")
+    table.upsert(half(1), 0, writer="second")
     return table.read(t.spark).select(*keys, "price", "in_stock", "event_time")
 
 

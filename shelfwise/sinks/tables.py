@@ -6,12 +6,15 @@ lost, overwrites its own folder and changes nothing.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_FOLDED = "writer string, batch long"
+
 
 def append(df: DataFrame, path: str, batch_id: int | None = None) -> None:
     """Append rows; with a batch id the append is repeatable."""
@@ -53,21 +56,35 @@ class KeyedTable:
         place = f"{self.path}/{self.log}/writer={writer}/batch={batch_id}"
         self._newest(df).write.mode("overwrite").parquet(place)
 
-    def _base(self, spark: SparkSession) -> int | None:
-        done = _exists(spark, f"{self.path}/base/upto=*/_SUCCESS")
-        return max((int(p.split("upto=")[1].split("/")[0]) for p in done), default=None)
+    def _base(self, spark: SparkSession) -> str | None:
+        """Folder of the newest committed base; one of the old layout, which names no batches, counts as the oldest."""
+        done = _exists(spark, f"{self.path}/base/version=*/rows/_SUCCESS")
+        if done:
+            return max((p[: -len("/rows/_SUCCESS")] for p in done), key=lambda p: (self._version(p), p))
+        old = [p.rsplit("/", 1)[0] for p in _exists(spark, f"{self.path}/base/upto=*/_SUCCESS")]
+        return max(old, key=lambda p: int(p.rsplit("upto=", 1)[1]), default=None)
+
+    @staticmethod
+    def _version(base: str) -> int:
+        return int(base.rsplit("version=", 1)[1].split("-")[0]) if "version=" in base else 0
 
-    def _batches(self, spark: SparkSession) -> list[str]:
-        """Folders of the finished batches of all writers."""
+    def _batches(self, spark: SparkSession) -> dict[tuple[str, int], str]:
+        """Folders of the finished batches by writer and number."""
         done = _exists(spark, f"{self.path}/{self.log}/writer=*/batch=*/_SUCCESS")
-        return [p.rsplit("/", 1)[0] for p in done]
-
-    def _merged(self, spark: SparkSession, most: int | None = None) -> DataFrame:
-        """The base and the batches after it, up to ``most`` when given."""
-        upto = self._base(spark)
-        number = lambda p: int(p.rsplit("batch=", 1)[1])
-        later = [p for p in self._batches(spark) if (upto is None or number(p) > upto) and (most is None or number(p) <= most)]
-        parts = [spark.read.parquet(f"{self.path}/base/upto={upto}")] if upto is not None else []
+        places = [p.rsplit("/", 1)[0] for p in done]
+        names = [p.rsplit("writer=", 1)[1].rsplit("/batch=", 1) for p in places]
+        return {(writer, int(number)): p for (writer, number), p in zip(names, places)}
+
+    def _folded(self, spark: SparkSession, base: str | None) -> set[tuple[str, int]]:
+        """The batches that ``base`` holds."""
+        if base is None or "version=" not in base:
+            return set()
+        return {(r["writer"], r["batch"]) for r in spark.read.schema(_FOLDED).parquet(f"{base}/folded").collect()}
+
+    def _merged(self, spark: SparkSession, base: str | None, later: Sequence[str]) -> DataFrame:
+        """The base and the batches after it."""
+        rows = f"{base}/rows" if base and "version=" in base else base
+        parts = [spark.read.parquet(rows)] if rows else []
         if later:
             parts.append(spark.read.parquet(*later))
         if not parts:
@@ -81,15 +98,27 @@ class KeyedTable:
 
     def read(self, spark: SparkSession) -> DataFrame:
         """Current rows, one per key."""
-        rows = self._merged(spark)
+        base = self._base(spark)
+        folded = self._folded(spark, base)
+        rows = self._merged(spark, base, [p for k, p in self._batches(spark).items() if k not in folded])
         return rows.filter(~F.col(self.deleted)).drop(self.deleted) if self.deleted else rows
 
     def compact(self, spark: SparkSession, upto: int) -> None:
         """Fold every writer's batches up to ``upto`` into one base; readers switch once it is committed.
 
-        A batch up to ``upto`` that is replayed later changes nothing any more.
+        The base names the batches it holds, by writer and number, and only those are passed over
+        from then on: a replay of one changes nothing any more, while a batch first committed after
+        the compaction counts, whatever its number.
         """
-        self._merged(spark, upto).write.mode("overwrite").parquet(f"{self.path}/base/upto={upto}")
+        base = self._base(spark)
+        folded = self._folded(spark, base)
+        later = {k: p for k, p in self._batches(spark).items() if k not in folded and k[1] <= upto}
+        if base is not None and not later:
+            return
+        rows = self._merged(spark, base, list(later.values()))
+        place = f"{self.path}/base/version={self._version(base or '') + 1}-{uuid.uuid4().hex}"
+        spark.createDataFrame(sorted(folded | later.keys()), _FOLDED).coalesce(1).write.parquet(f"{place}/folded")
+        rows.write.parquet(f"{place}/rows")  # its success marker commits the base
 
 
 def insert_ignore(df: DataFrame, path: str, keys: Sequence[str]) -> None:

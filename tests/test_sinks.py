@@ -50,6 +50,23 @@ def test_compaction_keeps_to_its_bound(spark, frame, folder):
     assert current(table, spark) == [("a", 1), ("b", 2), ("d", 4)]
 
 
+def test_slower_writer_is_read_after_a_compaction(spark, frame, folder):
+    table = KeyedTable(f"{folder}/t", ["k"], ["at", "v"])
+    table.upsert(frame([("a", 1, 1)], DDL), 500, writer="fast")
+    table.upsert(frame([("b", 2, 1)], DDL), 3, writer="slow")
+    table.compact(spark, upto=500)
+    table.upsert(frame([("c", 3, 1)], DDL), 4, writer="slow")
+    table.upsert(frame([("d", 4, 1)], DDL), 2, writer="slow")  # committed after batch 3, which the base holds
+    table.upsert(frame([("e", 5, 1)], DDL), 500, writer="late")
+    want = [("a", 1), ("b", 2), ("c", 3), ("d", 4), ("e", 5)]
+    assert current(table, spark) == want
+    table.compact(spark, upto=4)  # a lower bound than before
+    assert current(table, spark) == want
+    table.compact(spark, upto=500)
+    table.upsert(frame([("z", 9, 9)], DDL), 3, writer="slow")  # a replay of what the base holds
+    assert current(table, spark) == want
+
+
 def test_unfinished_batch_is_not_read(spark, frame, folder):
     table = KeyedTable(f"{folder}/t", ["k"], ["at", "v"])
     table.upsert(frame([("a", 1, 1)], DDL), 0)
