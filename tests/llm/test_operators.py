@@ -199,6 +199,17 @@ def test_disclosing_terms(spark):
     assert out[5] == rows[5] and out[-1] == "the same barney, [EMAIL]"
 
 
+def test_disclosing_terms_of_whole_texts(spark):
+    """Two texts are enough, also at a text's edge or far from the identifier; copies count once on both sides."""
+    far = "and so on " * 30
+    rows = [f"Wilma a@b.org wrote {far} from Bedrock {x}" for x in ("red", "blue")] + ["barney is at c@d.org"] * 9
+    rows += [f"hello there {i}, wrote {far} and from is at" for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    out = [r["s"] for r in personal_data(docs).select("doc_id", sanitised(F.col("text"), F.col("spans")).alias("s")).orderBy("doc_id").collect()]
+    assert out[:2] == [f"[TERM] [EMAIL] wrote {far} from [TERM] {x}" for x in ("red", "blue")]
+    assert out[2] == "barney is at [EMAIL]" and out[11:] == rows[11:]
+
+
 def test_benchmark_edits(spark):
     rng = random.Random(9)
     sentence = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8))) for _ in range(n))
