@@ -19,22 +19,24 @@ END_ID = 2
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def load_encoder(path: str, pattern: str | None = None):
+def load_encoder(path: str, pattern: str | None = None, added: str | None = None):
     """text -> uint32 ids of a byte-level BPE, given its rank file (base64 token, rank; one a line).
 
-    The pattern defaults to the one published beside the file. Special tokens have no meaning:
-    their strings are ordinary text.
+    The pattern defaults to the one published beside the file. ``added``, by default the tokenizer's
+    JSON file published there, names the added tokens: their strings are one id wherever they stand.
     """
     import base64
+    import json
 
+    import public_tokenizers
     import tiktoken
 
-    if pattern is None:
-        from public_tokenizers import PATTERN as pattern
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    coding = tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: coding.encode_to_numpy(text, disallowed_special=())
+    with open(added or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        special = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+    coding = tiktoken.Encoding("pieces", pat_str=pattern or public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    return lambda text: coding.encode_to_numpy(text, allowed_special="all")
 
 
 def default_vocabulary() -> str:

@@ -14,7 +14,7 @@ from shelfwise.llm.components import components
 from shelfwise.llm.decontaminate import benchmark_passages
 from shelfwise.llm.line_dedup import host_of
 from shelfwise.llm.minhash import near_duplicates
-from shelfwise.llm.packing import plan_bins
+from shelfwise.llm.packing import default_vocabulary, load_encoder, plan_bins
 from shelfwise.llm.phrase_dedup import located_phrases, remove_recurring_phrases
 from shelfwise.llm.pii import personal_data, sanitised, span_digest
 from shelfwise.llm.quality_rules import quality_rules
@@ -141,6 +141,18 @@ def test_packing(spark):
     assert got.sequence_id.nunique() <= -(-got.length.sum() // 1024) * 1.02 + 1
 
 
+def test_added_tokens():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encode = load_encoder(default_vocabulary())
+    end = "<|endoftext|>"
+    for text in (end, f"one{end}two", f"one {end} two\n{end}{end}", f" {end}", "<|endoftext|", f"<{end}>", f"é{end}\n\n", "<|ENDOFTEXT|>", ""):
+        assert encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert encode(f"a{end}").tolist()[-1] == 50256
+
+
 def test_rules(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     extra = spark.createDataFrame([(-1, "a b c a b c\n\na b c a b c\nx\x0by | # x"), (-2, "one"), (-3, "b b b b b")], "doc_id long, text string")
