@@ -83,6 +83,30 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS
 FROM d LEFT JOIN kept USING (doc_id)
 """
 
+# crc32 bit by bit; runs as islands of equal words q apart, the smallest q of an interval being its period
+_RUNS = rf"""
+WITH src AS (SELECT row_number() OVER () AS row, doc_id, {_WORDS} AS ws,
+    list_reduce([4294967295::BIGINT] || flatten([[(ascii(c) >> k) & 1 FOR k IN range(0, 8)] FOR c IN string_split(doc_id::VARCHAR, '')]),
+      lambda a, b: xor(a >> 1, CASE WHEN xor(a, b) & 1 = 1 THEN 3988292384 ELSE 0 END)) AS crc
+  FROM documents),
+hashed AS (SELECT row, doc_id, ws, len(ws) AS n, xor(crc, 4294967295) AS h FROM src),
+tails AS (SELECT *, (h // 10) % greatest(n, 1) AS a, 1 + (n - (h // 10) % greatest(n, 1)) // (3 + (h // 10) % 8) AS p FROM hashed),
+d AS (SELECT row, doc_id, n, CASE WHEN n > 0 AND h % 10 = 0
+    THEN [ws[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END] FOR i IN range(0, n)] ELSE ws END AS ws FROM tails),
+words AS (SELECT row, n, unnest(ws) AS word, unnest(range(0, n)) AS i FROM d),
+alike AS (SELECT x.row, y.i - x.i AS q, x.i FROM words x JOIN words y ON x.row = y.row AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+islands AS (SELECT row, q, min(i) AS s, count(*) + q AS len
+  FROM (SELECT row, q, i, i - row_number() OVER (PARTITION BY row, q ORDER BY i) AS island FROM alike) GROUP BY row, q, island),
+runs AS (SELECT row, s, len, min(q) AS q FROM islands WHERE len >= greatest(6, 4 * q) GROUP BY row, s, len),
+told AS (SELECT row, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS lines,
+    min(struct_pack(a := -len, b := s, c := q)) AS best FROM runs GROUP BY row),
+covered AS (SELECT DISTINCT row, unnest(range(s + q, s + len)) AS i FROM runs),
+kept AS (SELECT row, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN covered USING (row, i) GROUP BY row)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.b::BIGINT AS start, (-best.a)::BIGINT AS length, best.c::BIGINT AS period,
+  (1000 * -best.a // best.c)::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
+FROM d LEFT JOIN told USING (row) LEFT JOIN kept USING (row)
+"""
+
 
 def _broken(rule: Rule) -> str:
     divisor = f"greatest({rule.below}, 1)" if rule.below else "1"
@@ -125,4 +149,5 @@ SQL = {
     "op6_suffix_array_dedup": _BYTES,
     "op9_substring_dedup": _PHRASES,
     "op10_quality_rules": _rules(),
+    "op13_periodic_runs": _RUNS,
 }

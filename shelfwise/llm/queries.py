@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shelfwise.llm import oracle
 from shelfwise.llm.decontaminate import benchmark_passages
 from shelfwise.llm.line_dedup import drop_boilerplate_lines
 from shelfwise.llm.minhash import near_duplicates
 from shelfwise.llm.packing import pack
+from shelfwise.llm.periodic import periodic_runs, repeated_tail, run_digest
 from shelfwise.llm.phrase_dedup import remove_recurring_phrases
 from shelfwise.llm.pii import personal_data, span_digest
 from shelfwise.llm.quality_classifier import quality_scores
@@ -68,6 +70,11 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", *[f"quality.{c}" for c in base])
 
 
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return run_digest(periodic_runs(docs.select("doc_id", repeated_tail(F.col("doc_id"), F.col("text")).alias("text"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1,
     "op2_line_dedup": op2,
@@ -79,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_benchmark_decontamination": op8,
     "op9_substring_dedup": op9,
     "op10_quality_rules": op10,
+    "op13_periodic_runs": op13,
 }
 
 SQL: dict[str, str] = oracle.SQL

@@ -23,5 +23,6 @@ def test_query_matches(spark, duck, name):
 
 
 def test_names():
-    assert [q.split("_")[0] for q in sorted(queries.QUERIES)] == sorted(f"op{i}" for i in range(1, 11))
+    numbers = sorted(int(q.split("_")[0].removeprefix("op")) for q in queries.QUERIES)
+    assert numbers == list(range(1, len(numbers) + 1)) and len(numbers) >= 10
     assert set(oracle.SQL) <= set(queries.QUERIES)
