@@ -107,6 +107,25 @@ SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.b::BIGINT AS start, (
 FROM d LEFT JOIN told USING (row) LEFT JOIN kept USING (row)
 """
 
+_LEXICAL = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_TERMS = f"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_LEXICAL}')"
+
+_RANKED = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, {_TERMS} AS ts FROM documents),
+stats AS (SELECT count(*) FILTER (WHERE len(ts) > 0)::BIGINT AS N, sum(len(ts))::BIGINT AS L FROM d),
+postings AS (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(ts) AS term FROM d) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2 * N + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM postings, stats GROUP BY term, N),
+asked AS (SELECT row_number() OVER () AS item, item_id, {_TERMS} AS ts FROM benchmark),
+wanted AS (SELECT DISTINCT item, item_id, unnest(ts) AS term FROM asked),
+scores AS (
+  SELECT item, item_id, doc_id, row, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * len(ts) * N) // L))))::BIGINT AS score
+  FROM wanted JOIN weights USING (term) JOIN postings USING (term) JOIN d USING (row), stats GROUP BY ALL
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
 
 def _broken(rule: Rule) -> str:
     divisor = f"greatest({rule.below}, 1)" if rule.below else "1"
@@ -149,5 +168,6 @@ SQL = {
     "op6_suffix_array_dedup": _BYTES,
     "op9_substring_dedup": _PHRASES,
     "op10_quality_rules": _rules(),
+    "op12_ranked_search": _RANKED,
     "op13_periodic_runs": _RUNS,
 }

@@ -17,6 +17,7 @@ from shelfwise.llm.phrase_dedup import remove_recurring_phrases
 from shelfwise.llm.pii import personal_data, span_digest
 from shelfwise.llm.quality_classifier import quality_scores
 from shelfwise.llm.quality_rules import quality_rules
+from shelfwise.llm.ranked_search import ranked_search
 from shelfwise.llm.suffix_dedup import remove_repeated_bytes
 from shelfwise.llm.warc import archived_pages
 
@@ -70,6 +71,10 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", *[f"quality.{c}" for c in base])
 
 
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"), k=10)
+
+
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     return run_digest(periodic_runs(docs.select("doc_id", repeated_tail(F.col("doc_id"), F.col("text")).alias("text"))))
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_benchmark_decontamination": op8,
     "op9_substring_dedup": op9,
     "op10_quality_rules": op10,
+    "op12_ranked_search": op12,
     "op13_periodic_runs": op13,
 }
 
