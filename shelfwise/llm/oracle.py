@@ -6,14 +6,17 @@ from shelfwise.llm.quality_rules import BASE, RULES, Rule, _stop_forms
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
-_SHINGLES = rf"""
+def _classes(width: int, further: str = "") -> str:
+    """Classes of documents whose shingle sets reach 85 %."""
+    window = " || ' ' || ".join(f"ws[i + {k}]" if k else "ws[i]" for k in range(width))
+    return rf"""
 WITH RECURSIVE words AS (
   SELECT doc_id, {_WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws
   FROM documents
 ), shingles AS (
   SELECT DISTINCT doc_id, s FROM (
     SELECT doc_id, unnest(CASE
-      WHEN len(ws) >= 3 THEN [ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] FOR i IN range(1, len(ws) - 1)]
+      WHEN len(ws) >= {width} THEN [{window} FOR i IN range(1, len(ws) - {width - 2})]
       WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS s FROM words)
 ), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
 common AS (
@@ -25,10 +28,11 @@ common AS (
 ), edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
 reach(a, b) AS (SELECT doc_id, doc_id FROM words UNION SELECT r.a, e.y FROM reach r JOIN edges e ON r.b = e.x),
 tops AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
-SELECT w.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, t.component_id, t.component_id = w.doc_id AS kept
+SELECT w.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, t.component_id{further}
 FROM words w LEFT JOIN sizes s USING (doc_id) JOIN tops t ON t.a = w.doc_id
 """
 
+
 _LINES = """
 WITH pages AS (SELECT row_number() OVER () AS row, * FROM documents),
 seen AS (SELECT DISTINCT row, source, unnest(string_split(text, chr(10))) AS line FROM pages WHERE source IS NOT NULL),
@@ -162,12 +166,13 @@ FROM flat
 
 
 SQL = {
-    "op1_minhash_near_dedup": _SHINGLES,
+    "op1_minhash_near_dedup": _classes(3, ", t.component_id = w.doc_id AS kept"),
     "op2_line_dedup": _LINES,
     "op5_warc": _ARCHIVES,
     "op6_suffix_array_dedup": _BYTES,
     "op9_substring_dedup": _PHRASES,
     "op10_quality_rules": _rules(),
+    "op11_jaccard_join": _classes(4),
     "op12_ranked_search": _RANKED,
     "op13_periodic_runs": _RUNS,
 }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.llm import oracle
 from shelfwise.llm.decontaminate import benchmark_passages
+from shelfwise.llm.jaccard_tree import jaccard_join
 from shelfwise.llm.line_dedup import drop_boilerplate_lines
 from shelfwise.llm.minhash import near_duplicates
 from shelfwise.llm.packing import pack
@@ -71,6 +72,10 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", *[f"quality.{c}" for c in base])
 
 
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join(_table(spark, folder, "documents"), width=4, percent=85)
+
+
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return ranked_search(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"), k=10)
 
@@ -91,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_benchmark_decontamination": op8,
     "op9_substring_dedup": op9,
     "op10_quality_rules": op10,
+    "op11_jaccard_join": op11,
     "op12_ranked_search": op12,
     "op13_periodic_runs": op13,
 }
