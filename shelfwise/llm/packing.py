@@ -24,6 +24,7 @@ def load_encoder(path: str, pattern: str | None = None, added: str | None = None
 
     The pattern defaults to the one published beside the file. ``added``, by default the tokenizer's
     JSON file published there, names the added tokens: their strings are one id wherever they stand.
+    A text that the fast encoder gives up is encoded by the JSON file's own tokenizer, to the same ids.
     """
     import base64
     import json
@@ -31,12 +32,26 @@ def load_encoder(path: str, pattern: str | None = None, added: str | None = None
     import public_tokenizers
     import tiktoken
 
+    whole = added or public_tokenizers.path("byte_bpe_50k.json")
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    with open(added or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+    with open(whole, encoding="utf-8") as file:
         special = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
     coding = tiktoken.Encoding("pieces", pat_str=pattern or public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-    return lambda text: coding.encode_to_numpy(text, allowed_special="all")
+
+    patient = []
+
+    def encode(text: str) -> np.ndarray:
+        try:
+            return coding.encode_to_numpy(text, allowed_special="all")
+        except ValueError:  # a run of blanks beyond what the pattern's backtracking stack holds
+            if not patient:
+                from tokenizers import Tokenizer
+
+                patient.append(Tokenizer.from_file(whole))
+            return np.array(patient[0].encode(text, add_special_tokens=False).ids, np.uint32)
+
+    return encode
 
 
 def default_vocabulary() -> str:

@@ -95,7 +95,8 @@ def _sample_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         for a, b, counts in _blocks(batch.column(1)):
             rows = [r.tobytes() for r in counts]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(rows, pa.binary())], ["label", "row"])
+            named = [batch.column(j).slice(a, b - a) for j in (0, 2)]
+            yield pa.RecordBatch.from_arrays([*named, pa.array(rows, pa.binary())], ["label", "id", "row"])
 
 
 @dataclass
@@ -141,9 +142,9 @@ def _leading(x: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Voters:
     """Latent directions and labelled vectors from ``sample`` labelled documents; column weights from all documents.
 
-    ``docs`` (id, text), ``labels`` (id, label 0 or 1). The sample holds the labelled ids with the
-    smallest hashes, so it is the same in every run. A trigram bucket's
-    weight is 1 + log(N / df).
+    ``docs`` (id, text), ``labels`` (id, label 0 or 1). The sample holds the labelled documents whose
+    ids have the smallest hashes, those of one id by their features, so it is the same in every
+    run. A trigram bucket's weight is 1 + log(N / df).
     """
     spread = docs.select("text").mapInArrow(_document_frequencies, "n long, held array<long>")
     spread = settled(spread)
@@ -155,7 +156,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Voters:
     weights = np.ones(_COLUMNS, np.float32)
     weights[:BUCKETS] = np.where(held > 0, 1 + np.log(max(total, 1) / np.maximum(held, 1)), 0)
     chosen = labels.filter("id is not null and label is not null").distinct().orderBy(F.xxhash64("id"), "id", "label").limit(sample)
-    rows = docs.join(F.broadcast(chosen), "id").select("label", "text").mapInArrow(_sample_counts, "label long, row binary").limit(4 * sample).collect()
+    counted = docs.join(F.broadcast(chosen), "id").select("label", "text", "id").mapInArrow(_sample_counts, "label long, id long, row binary")
+    rows = counted.orderBy(F.xxhash64("id"), "id", "label", "row").limit(sample).collect()
     if not rows:
         return Voters(weights, np.zeros((_COLUMNS, DIMENSIONS), np.float32), np.zeros((0, DIMENSIONS), np.float32), np.zeros(0))
     logs = np.stack([np.frombuffer(r["row"], np.float32) for r in rows])

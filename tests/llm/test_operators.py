@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from shelfwise.llm import quality_classifier, suffix_dedup, warc
 from shelfwise.llm.components import components
 from shelfwise.llm.decontaminate import benchmark_passages
-from shelfwise.llm.line_dedup import host_of
+from shelfwise.llm.line_dedup import drop_boilerplate_lines, host_of
 from shelfwise.llm.minhash import near_duplicates
 from shelfwise.llm.packing import default_vocabulary, load_encoder, plan_bins
 from shelfwise.llm.phrase_dedup import located_phrases, remove_recurring_phrases
@@ -276,3 +276,20 @@ def test_archives(spark, folder):
 def test_host(spark):
     df = spark.createDataFrame([("http://A.example.com/x",), ("nonsense",), (None,)], "url string")
     assert [r["h"] for r in df.select(host_of(F.col("url")).alias("h")).collect()] == ["a.example.com", None, None]
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 2_000_000, "a" * 2_000_000, "x " + " " * 1_500_000 + "y\n<|endoftext|>" + "\n \n" * 100_000])
+def test_ids_of_long_runs(text):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    want = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
+    assert load_encoder(default_vocabulary())(text).tolist() == want
+
+
+def test_short_boilerplate_lines(spark):
+    """Short lines go by their ratio; a line on one page of a small host, and blank ones, stay."""
+    pages = [(i, f"Home\nown {i}\n\n \nShare", "big") for i in range(100)] + [(200 + i, f"Home\nown {i}", "small") for i in range(3)] + [(300, "Home", "one")]
+    docs = spark.createDataFrame([*pages, (400, "Rare\nx", "big"), (401, "Rare\ny", "big")], "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["text"] for r in drop_boilerplate_lines(docs).collect()}
+    assert got[5] == "own 5\n\n " and got[201] == "own 1" and got[300] == "Home" and got[400] == "Rare\nx"
