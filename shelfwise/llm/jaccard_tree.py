@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from shelfwise.llm.blocks import column_bytes, mixed
 from shelfwise.llm.components import components
 from shelfwise.llm.minhash import shingle_sets
-from shelfwise.llm.shared import narrowed, settled, union
+from shelfwise.llm.shared import settled, union
 
 #: Bits of a set's token bitmap, and children of a node.
 BITS = 2048
@@ -23,28 +23,33 @@ SHINGLES = 1 << 20
 #: Buckets of the shingle counts that say which shingles are rare: a table of fixed size.
 BUCKETS = 1 << 16
 _WORDS = BITS // 64
-_DOCS = "id long, n long, k1 long, k2 long, shingles array<long>"
+_DOCS = "id long, n long, k1 long, k2 long, counts array<long>"
 
 
 # ---- sets and the shingles they meet by ------------------------------------------------
 
 
-def _sets(width: int):
+def _described(width: int):
+    """Each set's size and 128 bits that tell it apart; last, with size -1, how many of a task's sets hold a shingle of each bucket."""
     salts = (np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9FB21C651E98DF25))
+    names = [f.split()[0] for f in _DOCS.split(", ")]
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(BUCKETS, np.int64)
         for batch in batches:
             row = 0
             for sets in shingle_sets(batch.column(1), width):
                 sizes = np.array([len(s) for s in sets])
                 at = np.concatenate([[0], np.cumsum(sizes)])
                 flat = np.concatenate(sets)
+                counts += np.bincount((flat & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
                 sums = [np.concatenate([[np.uint64(0)], np.cumsum(mixed(flat ^ s), dtype=np.uint64)]) for s in salts]
-                keys = [(s[at[1:]] - s[at[:-1]]).view(np.int64) for s in sums]
-                shingles = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat.view(np.int64)))
-                columns = [batch.column(0).slice(row, len(sets)), pa.array(sizes), pa.array(keys[0]), pa.array(keys[1]), shingles]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "n", "k1", "k2", "shingles"])
+                keys = [pa.array((s[at[1:]] - s[at[:-1]]).view(np.int64)) for s in sums]
+                none = pa.nulls(len(sets), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(sets)), pa.array(sizes), *keys, none], names)
                 row += len(sets)
+        last = [pa.nulls(1, pa.int64()), pa.array([-1]), pa.array([0]), pa.array([0]), pa.array([counts.tolist()], pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(last, names)
 
     return build
 
@@ -55,18 +60,9 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(column.values).view(np.uint64)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's sets that hold a shingle of each bucket."""
-    counts = np.zeros(BUCKETS, np.int64)
-    for batch in batches:
-        counts += np.bincount((_lists(batch.column(0))[0] & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-    held = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(counts[held])], ["bucket", "n"])
-
-
-def _ranks(sets: DataFrame) -> np.ndarray:
+def _ranks(described: DataFrame) -> np.ndarray:
     """Each bucket's place when buckets stand by the shingles counted in them, over all sets; rare ones first."""
-    counted = sets.select("shingles").mapInArrow(_counted, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    counted = described.select(F.posexplode("counts").alias("bucket", "n")).groupBy("bucket").agg(F.sum("n").alias("n"))
     counts = np.zeros(BUCKETS, np.int64)
     for row in counted.collect():  # BUCKETS rows at most
         counts[row["bucket"]] = row["n"]
@@ -75,7 +71,7 @@ def _ranks(sets: DataFrame) -> np.ndarray:
     return ranks
 
 
-def _prefixes(ranks: np.ndarray, percent: int):
+def _prefixes(ranks: np.ndarray, width: int, percent: int):
     """(id, token) of each set's first tokens in the common order.
 
     Two sets that meet the threshold share ``percent`` of each at least, so one of the first
@@ -86,14 +82,37 @@ def _prefixes(ranks: np.ndarray, percent: int):
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat, at = _lists(batch.column(1))
-            tokens = (ranks[(flat & np.uint64(BUCKETS - 1)).astype(np.int64)] << np.uint64(48)) | (flat >> np.uint64(16))
-            sizes = np.diff(at)
-            first = sizes + (-percent * sizes // 100) + 1
-            kept = [np.partition(tokens[a:b], p - 1)[:p] for a, b, p in zip(at[:-1], at[1:], first)]
-            if kept:
-                ids = np.repeat(np.asarray(batch.column(0)), first)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(kept).view(np.int64))], ["id", "token"])
+            row = 0
+            for sets in shingle_sets(batch.column(1), width):
+                ids = np.asarray(batch.column(0).slice(row, len(sets)))
+                row += len(sets)
+                kept, sizes = [], []
+                for one in sets:
+                    first = len(one) - -(-percent * len(one) // 100) + 1 if len(one) else 0
+                    if first:
+                        tokens = (ranks[(one & np.uint64(BUCKETS - 1)).astype(np.int64)] << np.uint64(48)) | (one >> np.uint64(16))
+                        kept.append(np.partition(tokens, first - 1)[:first])
+                    sizes.append(first)
+                if kept:
+                    tokens = pa.array(np.concatenate(kept).view(np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, sizes)), tokens], ["id", "token"])
+
+    return build
+
+
+def _shingled(width: int):
+    """(id, n, shingles) of sets that are not empty."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row = 0
+            for sets in shingle_sets(batch.column(1), width):
+                sizes = np.array([len(s) for s in sets])
+                at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(sets).view(np.int64)))
+                rows = pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(sets)), pa.array(sizes), lists], ["id", "n", "shingles"])
+                yield rows.filter(pa.array(sizes > 0))
+                row += len(sets)
 
     return build
 
@@ -290,17 +309,20 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sized.filter(F.col("c") * (100 + percent) >= F.col("n") * percent).select("a", "b").distinct()
 
 
-def _groups(keys: DataFrame) -> DataFrame:
-    """(token, low, size) of tokens that several sets meet by; of tokens with the same members one."""
-    met = keys.groupBy("token").agg(
-        F.count("*").alias("size"),
-        F.min("id").alias("low"),
-        F.max("id").alias("high"),
-        F.bit_xor(F.xxhash64("id")).alias("x1"),
-        F.bit_xor(F.xxhash64("id", F.lit(17))).alias("x2"),
-    )
-    alike = met.filter("low < high").groupBy("size", "low", "high", "x1", "x2")
-    return alike.agg(F.min("token").alias("token")).select("token", "low", "size")
+def _met(keys: DataFrame) -> DataFrame:
+    """Tokens that several rows have in their prefix; of tokens with the same rows one."""
+    h = F.xxhash64("id")
+    seen = keys.groupBy("token").agg(F.count("*").alias("n"), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias("s"), F.bit_xor(h).alias("x"))
+    return seen.filter("n > 1").groupBy("n", "s", "x").agg(F.min("token").alias("token")).select("token")
+
+
+def _copies(known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(member edges a to b, ids all of whose sets another id stands for): equal sets are named by their smallest id."""
+    classes = settled(known.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.max("id").alias("last")).filter("rep < last").drop("last"))
+    named = settled(known.join(classes, ["k1", "k2"], "left").select("id", F.coalesce("rep", "id").alias("rep")))
+    edges = named.filter("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
+    stands = named.groupBy("id").agg(F.max((F.col("id") == F.col("rep")).cast("int")).alias("own"))
+    return edges, stands.filter("own = 0").select("id")
 
 
 def _chunked(members: DataFrame, groups: DataFrame) -> DataFrame:
@@ -308,7 +330,7 @@ def _chunked(members: DataFrame, groups: DataFrame) -> DataFrame:
     parts = F.ceil(F.col("size") / F.lit(MEMBERS)).cast("long")
     dealt = members.select("g", F.pmod(F.xxhash64("id", "g"), parts).alias("part"), "id")
     cut = groups.filter(F.col("size") > MEMBERS).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-    return dealt.unionByName(cut.select(F.col("token").alias("g"), "part", F.col("low").alias("id")))
+    return dealt.unionByName(cut.select("g", "part", F.col("low").alias("id")))
 
 
 def _still_open(members: DataFrame, found: DataFrame, rejected: DataFrame) -> DataFrame:
@@ -375,30 +397,29 @@ def jaccard_join(docs: DataFrame, *, id: str = "doc_id", text: str = "text", wid
     row in the result. Other columns are ignored.
     """
     docs = docs.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
-    all_ = settled(docs.mapInArrow(_sets(width), _DOCS))
-    known = all_.filter("id is not null and n > 0")
-    classes = settled(known.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.max("id").alias("last")).filter("rep < last").drop("last"))
-    named = narrowed(known, "id", "k1", "k2").join(classes, ["k1", "k2"])
-    member = settled(named.filter("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct())
-    # an id may stand for several sets, so copies leave by id and set
-    copies = named.filter("id != rep").select("id", "k1", "k2")
-    sets = known.join(copies, ["id", "k1", "k2"], "left_anti").dropDuplicates(["id", "k1", "k2"]).select("id", "n", "shingles")
-    sets = settled(sets)
-
-    keys = settled(sets.select("id", "shingles").mapInArrow(_prefixes(_ranks(sets), percent), "id long, token long"))
-    groups = settled(_groups(keys))
-    members = settled(keys.join(groups, "token").select(F.col("token").alias("g"), "id", "low", "size"))
-    wanted = settled(sets.join(members.select("id").distinct(), "id"))
-    signed = settled(wanted.select("id", "shingles").mapInArrow(_signed, "id long, n long, bits binary"))
-    rows = _chunked(members, groups).join(signed, "id").select("g", "part", "n", "id", "bits")
-    ordered = rows.repartition("g", "part").sortWithinPartitions("g", "part", "n", "id")
+    described = settled(docs.mapInArrow(_described(width), _DOCS))
+    all_ = described.filter("n >= 0").select("id", "n")
+    edges, copies = _copies(described.filter("id is not null and n > 0").select("id", "k1", "k2"))
+    edges = settled(edges)
+
+    keys = docs.filter("id is not null").mapInArrow(_prefixes(_ranks(described), width, percent), "id long, token long")
+    met = settled(_met(keys))
+    rows = keys.join(met, "token").select(F.col("token").alias("g"), "id").join(copies, "id", "left_anti").distinct()
+    rows = settled(rows)
+    groups = rows.groupBy("g").agg(F.count("*").alias("size"), F.min("id").alias("low")).filter("size > 1")
+    groups = settled(groups)
+    members = settled(rows.join(groups, "g"))
+    sets = settled(docs.join(members.select("id").distinct(), "id").select("id", "text").mapInArrow(_shingled(width), "id long, n long, shingles array<long>"))
+    signed = settled(sets.select("id", "shingles").mapInArrow(_signed, "id long, n long, bits binary"))
+    trees = _chunked(members, groups).join(signed, "id").select("g", "part", "n", "id", "bits")
+    ordered = trees.repartition("g", "part").sortWithinPartitions("g", "part", "n", "id")
     proposed = settled(ordered.mapInArrow(_proposing(percent), "g long, a long, b long"))
-    links = settled(_confirmed(proposed.select("a", "b").distinct(), wanted, percent))
+    links = settled(_confirmed(proposed.select("a", "b").distinct(), sets, percent))
     rejected = proposed.join(links, ["a", "b"], "left_anti").select("g").distinct()
     open_ = settled(_still_open(members, components(links), rejected))
     if not open_.isEmpty():
-        links = union(links, settled(_across(open_, wanted, percent)).select("a", "b"))
-    found = settled(components(union(links, member)))
-    return all_.select("id", "n").join(found, "id", "left").select(
+        links = union(links, settled(_across(open_, sets, percent)).select("a", "b"))
+    found = settled(components(union(links, edges)))
+    return all_.join(found, "id", "left").select(
         F.col("id").alias(id), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")
     )
