@@ -14,12 +14,14 @@ from shelfwise.llm.components import components
 from shelfwise.llm.minhash import shingle_sets
 from shelfwise.llm.shared import settled, union
 
-#: Bits of a set's token bitmap, and children of a node.
+#: Bits of a set's token bitmap where bitmaps travel, and where sets do; children of a node.
 BITS = 2048
+FINE_BITS = 8192
 FANOUT = 8
-#: Members of a tree whose bitmaps alone are held, and shingles of a tree whose sets are held.
+#: Members of a tree whose bitmaps alone are held; shingles, and EACH more a set, of one whose sets are held.
 MEMBERS = 2048
 SHINGLES = 1 << 20
+EACH = 256
 #: Buckets of the shingle counts that say which shingles are rare: a table of fixed size.
 BUCKETS = 1 << 16
 _WORDS = BITS // 64
@@ -117,22 +119,24 @@ def _shingled(width: int):
     return build
 
 
-def _bitmaps(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+def _bitmaps(flat: np.ndarray, at: np.ndarray, bits: int) -> np.ndarray:
     """One row of packed bits for each set: a bit for each token, tokens that fall together sharing one."""
-    dense = np.zeros((len(at) - 1, BITS), bool)
-    dense[np.repeat(np.arange(len(at) - 1), np.diff(at)), (mixed(flat) % np.uint64(BITS)).astype(np.int64)] = True
-    return np.packbits(dense, axis=1).view(np.uint64)
+    out = np.empty((len(at) - 1, bits // 64), np.uint64)
+    place = (mixed(flat) % np.uint64(bits)).astype(np.int64)
+    for a in range(0, len(out), 512):
+        b = min(a + 512, len(out))
+        dense = np.zeros((b - a, bits), bool)
+        dense[np.repeat(np.arange(b - a), np.diff(at[a : b + 1])), place[at[a] : at[b]]] = True
+        out[a:b] = np.packbits(dense, axis=1).view(np.uint64)
+    return out
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, n, bits) of sets."""
     for batch in batches:
         flat, at = _lists(batch.column(1))
-        for a in range(0, batch.num_rows, 1024):
-            b = min(a + 1024, batch.num_rows)
-            bits = _bitmaps(flat[at[a] : at[b]], at[a : b + 1] - at[a])
-            columns = [batch.column(0).slice(a, b - a), pa.array(np.diff(at[a : b + 1])), pa.array([r.tobytes() for r in bits], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "bits"])
+        rows = [r.tobytes() for r in _bitmaps(flat, at, BITS)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at)), pa.array(rows, pa.binary())], ["id", "n", "bits"])
 
 
 # ---- trees ---------------------------------------------------------------------------
@@ -283,7 +287,7 @@ def _proving(percent: int):
             trees = []
             for side in sides:
                 at = np.concatenate([[0], np.cumsum([len(s) for s in sets[side]])])
-                trees.append(SignatureTree(_bitmaps(np.concatenate(sets[side]), at), n[side]))
+                trees.append(SignatureTree(_bitmaps(np.concatenate(sets[side]), at, FINE_BITS), n[side]))
             left, right = sides
             # labels of both sides in one array, the right side first
             _, labels = np.unique(np.concatenate([component[right], component[left]]), return_inverse=True)
@@ -334,37 +338,34 @@ def _chunked(members: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def _still_open(members: DataFrame, found: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Members, with component, of groups with several components that were not compared to the end.
+    """(g, id, component_id, main): members of groups that were not compared to the end, in clusters.
 
-    Those are groups with a proposed pair that proved no link, whose other pairs may have been passed over for
-    it, and groups cut into several trees.
+    Those are groups of several components with a proposed pair that proved no link, whose other pairs may have
+    been passed over for it, or cut into several trees. Groups with a member in common make one cluster g, so
+    a member goes on once, however many shingles it met others by. ``main`` is the cluster's largest component.
     """
     labelled = members.join(found, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
     labelled = settled(labelled.join(rejected.withColumn("rejected", F.lit(True)), "g", "left"))
-    several = (
-        labelled.groupBy("g")
-        .agg(
-            F.min("component_id").alias("first"),
-            F.max("component_id").alias("last"),
-            F.max(F.when(F.col("id") == F.col("low"), F.col("component_id"))).alias("main"),
-        )
-        .filter("first != last")
-        .select("g", "main")
-    )
-    unfinished = labelled.filter((F.col("rejected") & (F.col("size") > 2)) | (F.col("size") > MEMBERS))
-    return unfinished.join(several, "g").select("g", "id", "component_id", "main")
+    several = labelled.groupBy("g").agg(F.min("component_id").alias("first"), F.max("component_id").alias("last")).filter("first != last")
+    unfinished = labelled.filter((F.col("rejected") & (F.col("size") > 2)) | (F.col("size") > MEMBERS)).join(several.select("g"), "g", "left_semi")
+    unfinished = settled(unfinished.select("id", "low", "component_id"))
+    cluster = components(unfinished.select(F.col("id").alias("a"), F.col("low").alias("b"))).withColumnRenamed("component_id", "g")
+    rows = settled(unfinished.select("id", "component_id").distinct().join(cluster, "id"))
+    sizes = rows.groupBy("g", "component_id").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("g").agg(F.max_by("component_id", F.struct("n", "component_id")).alias("main"), F.count("*").alias("parts"))
+    return rows.join(main.filter("parts > 1").drop("parts"), "g").select("g", "id", "component_id", "main")
 
 
 def _across(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between components of the open groups: members outside a group's main component against all others.
+    """Links between components of the open clusters: members outside a cluster's main component against all others.
 
     Both sides are dealt to trees by their shingles, every tree of one side to every tree of the other.
     """
     sized = settled(open_.join(sets.select("id", "n"), "id"))
     outside = F.col("component_id") != F.col("main")
     weights = sized.groupBy("g").agg(
-        F.ceil(F.sum(F.when(outside, F.col("n"))) / F.lit(SHINGLES)).cast("long").alias("lefts"),
-        F.ceil(F.sum("n") / F.lit(SHINGLES)).cast("long").alias("rights"),
+        F.ceil(F.sum(F.when(outside, F.col("n") + EACH)) / F.lit(SHINGLES)).cast("long").alias("lefts"),
+        F.ceil(F.sum(F.col("n") + EACH) / F.lit(SHINGLES)).cast("long").alias("rights"),
     )
     sized = sized.join(weights, "g")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
@@ -389,8 +390,8 @@ def jaccard_join(docs: DataFrame, *, id: str = "doc_id", text: str = "text", wid
     one of (``_prefixes``). Each group is a signature tree, or several of bounded size with one member in common;
     the dual traversal (``traverse``) drops pairs of nodes by the most tokens their sets can have in
     common, and pairs of nodes that are one component already. What it proposes is confirmed on whole
-    sets. Where a proposal fails, or a group took several trees, the members outside the main
-    component are traversed against all others once more, deciding on whole sets.
+    sets. Where a proposal fails, or a group took several trees, groups with common members become a
+    cluster, and its members outside the main component are traversed against all others once more, deciding on whole sets.
 
     Defined cases: a null or wordless text has an empty set and is linked with nothing. A row without id is
     not linked, its component null. Rows that repeat an id are one document, linked through any of its texts, each

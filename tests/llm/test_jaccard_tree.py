@@ -30,7 +30,7 @@ def corpus(seed, n):
     return out
 
 
-@pytest.mark.parametrize("members, shingles", [(2048, 1 << 20), (16, 600)])
+@pytest.mark.parametrize("members, shingles", [(2048, 1 << 20), (16, 6000)])
 @pytest.mark.parametrize("width, percent", [(4, 85), (2, 70)])
 def test_join(spark, monkeypatch, members, shingles, width, percent):
     monkeypatch.setattr(module, "MEMBERS", members)
@@ -64,7 +64,7 @@ def test_traversal_prunes():
     order = np.argsort([len(s) for s in sets], kind="stable")
     sets = [sets[k] for k in order]
     at = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-    tree = SignatureTree(module._bitmaps(np.concatenate(sets), at), np.diff(at))
+    tree = SignatureTree(module._bitmaps(np.concatenate(sets), at, module.BITS), np.diff(at))
     asked = []
 
     def linked(i, j):
@@ -77,7 +77,7 @@ def test_traversal_prunes():
 
 
 def test_one_component_is_not_walked_again():
-    bits = np.full((600, module._WORDS), np.uint64(3))
+    bits = np.full((600, module.BITS // 64), np.uint64(3))
     sizes = np.full(600, 64 * 2)
     asked = []
     tree = SignatureTree(bits, sizes)
