@@ -14,9 +14,10 @@ from shelfwise.llm.components import components
 from shelfwise.llm.minhash import shingle_sets
 from shelfwise.llm.shared import settled, union
 
-#: Bits of a set's token bitmap where bitmaps travel, and where sets do; children of a node.
-BITS = 2048
-FINE_BITS = 8192
+#: Greatest sizes of the first size classes, and the bits of a token bitmap in each class: trees hold one class.
+LIMITS = (700, 2800, 11_200)
+BITS = (2048, 8192, 32_768, 131_072)
+#: Children of a node.
 FANOUT = 8
 #: Members of a tree whose bitmaps alone are held; shingles, and EACH more a set, of one whose sets are held.
 MEMBERS = 2048
@@ -24,7 +25,6 @@ SHINGLES = 1 << 20
 EACH = 256
 #: Buckets of the shingle counts that say which shingles are rare: a table of fixed size.
 BUCKETS = 1 << 16
-_WORDS = BITS // 64
 _DOCS = "id long, n long, k1 long, k2 long, counts array<long>"
 
 
@@ -123,20 +123,38 @@ def _bitmaps(flat: np.ndarray, at: np.ndarray, bits: int) -> np.ndarray:
     """One row of packed bits for each set: a bit for each token, tokens that fall together sharing one."""
     out = np.empty((len(at) - 1, bits // 64), np.uint64)
     place = (mixed(flat) % np.uint64(bits)).astype(np.int64)
-    for a in range(0, len(out), 512):
-        b = min(a + 512, len(out))
+    rows = max(1, (1 << 22) // bits)
+    for a in range(0, len(out), rows):
+        b = min(a + rows, len(out))
         dense = np.zeros((b - a, bits), bool)
         dense[np.repeat(np.arange(b - a), np.diff(at[a : b + 1])), place[at[a] : at[b]]] = True
         out[a:b] = np.packbits(dense, axis=1).view(np.uint64)
     return out
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, n, bits) of sets."""
-    for batch in batches:
-        flat, at = _lists(batch.column(1))
-        rows = [r.tobytes() for r in _bitmaps(flat, at, BITS)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at)), pa.array(rows, pa.binary())], ["id", "n", "bits"])
+def size_classes(n: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(class, which sizes have it): the class a size falls in, and the next for sizes that may be linked with larger ones there."""
+    least, most = np.array((0, *LIMITS)), np.array((*LIMITS, np.iinfo(np.int64).max))
+    for k in range(len(BITS)):
+        yield k, (100 * n >= percent * least[k]) & (n > 0) & (n <= most[k])
+
+
+def _signed(percent: int):
+    """(id, n, kind, bits) of sets in each of their size classes."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, at = _lists(batch.column(1))
+            n = np.diff(at)
+            for kind, chosen in size_classes(n, percent):
+                rows = np.flatnonzero(chosen)
+                sets = [flat[at[k] : at[k + 1]] for k in rows]
+                if sets:
+                    bits = _bitmaps(np.concatenate(sets), np.concatenate([[0], np.cumsum(n[rows])]), BITS[kind])
+                    columns = [batch.column(0).take(pa.array(rows)), pa.array(n[rows]), pa.array(np.full(len(rows), kind)), pa.array([r.tobytes() for r in bits], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["id", "n", "kind", "bits"])
+
+    return build
 
 
 # ---- trees ---------------------------------------------------------------------------
@@ -243,17 +261,24 @@ def _pairs(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, ["g", "a", "b"])
 
 
+def _objects(rows: list) -> np.ndarray:
+    out = np.empty(len(rows), object)
+    out[:] = rows
+    return out
+
+
 def _proposing(percent: int):
     """(g, a, b): pairs that bitmaps and sizes allow, as few as join all members that they allow to be joined."""
 
     def read(batch: pa.RecordBatch) -> list[np.ndarray]:
-        data, _ = column_bytes(batch.column(4))
-        return [*(np.asarray(batch.column(j)) for j in range(4)), data.view(np.uint64).reshape(-1, _WORDS)]
+        return [*(np.asarray(batch.column(j)) for j in range(5)), _objects(batch.column(5).to_pylist())]
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        for g, _, n, id, bits in _tasklets(batches, read, 2):
-            tree = SignatureTree(bits, n)
+        for g, _, _, n, id, bits in _tasklets(batches, read, 3):
+            if len(id) == 1:
+                continue
+            tree = SignatureTree(np.frombuffer(b"".join(bits), np.uint64).reshape(len(id), -1), n)
             _, labels = np.unique(id, return_inverse=True)
             found = traverse(tree, tree, np.arange(len(id)), labels, percent, lambda i, j: True)
             rows += [(g[0], id[i], id[j]) for i, j in found]
@@ -271,9 +296,8 @@ def _proving(percent: int):
 
     def read(batch: pa.RecordBatch) -> list[np.ndarray]:
         flat, at = _lists(batch.column(7))
-        sets = np.empty(batch.num_rows, object)
-        sets[:] = [flat[a:b].copy() for a, b in zip(at[:-1], at[1:])]
-        return [*(np.asarray(batch.column(j).cast(pa.int64())) for j in range(7)), sets]
+        sets = [flat[a:b].copy() for a, b in zip(at[:-1], at[1:])]
+        return [*(np.asarray(batch.column(j).cast(pa.int64())) for j in range(7)), _objects(sets)]
 
     def linked(x: np.ndarray, y: np.ndarray) -> bool:
         common = len(np.intersect1d(x, y, assume_unique=True))
@@ -281,20 +305,21 @@ def _proving(percent: int):
 
     def prove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g, _, _, asked, n, id, component, sets in _tasklets(batches, read, 3):
-            sides = [np.flatnonzero(asked == side) for side in (1, 0)]
-            if not all(len(s) for s in sides):
-                continue
-            trees = []
-            for side in sides:
-                at = np.concatenate([[0], np.cumsum([len(s) for s in sets[side]])])
-                trees.append(SignatureTree(_bitmaps(np.concatenate(sets[side]), at, FINE_BITS), n[side]))
-            left, right = sides
-            # labels of both sides in one array, the right side first
-            _, labels = np.unique(np.concatenate([component[right], component[left]]), return_inverse=True)
-            places = np.arange(len(right), len(right) + len(left))
-            found = traverse(*trees, places, labels, percent, lambda i, j: linked(sets[left[i]], sets[right[j]]))
-            if found:
-                yield _pairs([(g[0], id[left[i]], id[right[j]]) for i, j in found])
+            _, labels = np.unique(component, return_inverse=True)
+            for kind, chosen in size_classes(n, percent):
+                left, right = (np.flatnonzero(chosen & (asked == side)) for side in (1, 0))
+                if not len(left) or not len(right):
+                    continue
+                trees = []
+                for side in (left, right):
+                    at = np.concatenate([[0], np.cumsum([len(s) for s in sets[side]])])
+                    trees.append(SignatureTree(_bitmaps(np.concatenate(sets[side]), at, BITS[kind]), n[side]))
+                # labels of both sides in one array, the right side first
+                both = np.concatenate([labels[right], labels[left]])
+                places = np.arange(len(right), len(both))
+                found = traverse(*trees, places, both, percent, lambda i, j: linked(sets[left[i]], sets[right[j]]))
+                if found:
+                    yield _pairs([(g[0], id[left[i]], id[right[j]]) for i, j in found])
 
     return prove
 
@@ -411,9 +436,9 @@ def jaccard_join(docs: DataFrame, *, id: str = "doc_id", text: str = "text", wid
     groups = settled(groups)
     members = settled(rows.join(groups, "g"))
     sets = settled(docs.join(members.select("id").distinct(), "id").select("id", "text").mapInArrow(_shingled(width), "id long, n long, shingles array<long>"))
-    signed = settled(sets.select("id", "shingles").mapInArrow(_signed, "id long, n long, bits binary"))
-    trees = _chunked(members, groups).join(signed, "id").select("g", "part", "n", "id", "bits")
-    ordered = trees.repartition("g", "part").sortWithinPartitions("g", "part", "n", "id")
+    signed = settled(sets.select("id", "shingles").mapInArrow(_signed(percent), "id long, n long, kind long, bits binary"))
+    trees = _chunked(members, groups).join(signed, "id").select("g", "part", "kind", "n", "id", "bits")
+    ordered = trees.repartition("g", "part", "kind").sortWithinPartitions("g", "part", "kind", "n", "id")
     proposed = settled(ordered.mapInArrow(_proposing(percent), "g long, a long, b long"))
     links = settled(_confirmed(proposed.select("a", "b").distinct(), sets, percent))
     rejected = proposed.join(links, ["a", "b"], "left_anti").select("g").distinct()

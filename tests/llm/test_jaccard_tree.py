@@ -35,6 +35,8 @@ def corpus(seed, n):
 def test_join(spark, monkeypatch, members, shingles, width, percent):
     monkeypatch.setattr(module, "MEMBERS", members)
     monkeypatch.setattr(module, "SHINGLES", shingles)
+    if members == 16:
+        monkeypatch.setattr(module, "LIMITS", (10, 40, 80))
     docs = corpus(width, 320)
     got = {r["doc_id"]: (r["component_id"], r["n_shingles"]) for r in jaccard_join(spark.createDataFrame(docs, "doc_id long, text string"), width=width, percent=percent).collect()}
     want = plain.classes(docs, width, percent)
@@ -64,7 +66,7 @@ def test_traversal_prunes():
     order = np.argsort([len(s) for s in sets], kind="stable")
     sets = [sets[k] for k in order]
     at = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-    tree = SignatureTree(module._bitmaps(np.concatenate(sets), at, module.BITS), np.diff(at))
+    tree = SignatureTree(module._bitmaps(np.concatenate(sets), at, module.BITS[0]), np.diff(at))
     asked = []
 
     def linked(i, j):
@@ -77,7 +79,7 @@ def test_traversal_prunes():
 
 
 def test_one_component_is_not_walked_again():
-    bits = np.full((600, module.BITS // 64), np.uint64(3))
+    bits = np.full((600, module.BITS[0] // 64), np.uint64(3))
     sizes = np.full(600, 64 * 2)
     asked = []
     tree = SignatureTree(bits, sizes)
