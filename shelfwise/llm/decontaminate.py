@@ -15,9 +15,7 @@ from shelfwise.llm.shared import narrowed, settled, union
 
 Q = 8
 WINDOW = 64
-STRIDE = 16
 EDITS = 5
-LEAST = 32
 CHUNK = 128
 ITEM_CHARS = 2_000_000
 _BITS = 22
@@ -33,13 +31,15 @@ class Normaliser:
         self.solid = np.array([c.isalnum() for c in chars])
         self.lower = np.array([ord(c.lower()) if len(c.lower()) == 1 else ord(c) for c in chars], np.uint32)
 
-    def __call__(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(normalised code points, their places in ``codes``)."""
+    def __call__(self, codes: np.ndarray, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(normalised code points, their places in ``codes``); no blank reaches over one of the text ``starts``."""
         small = codes < (1 << 16)
         low = np.where(small, codes, 0).astype(np.uint16)
         solid = self.solid[low] | ~small
         after = np.ones(len(codes), bool)
         after[1:] = ~solid[:-1]
+        if starts is not None:
+            after[starts[starts < len(codes)]] = False
         place = np.flatnonzero(solid | ~after)
         out = np.where(small, self.lower[low], codes)[place]
         out[~solid[place]] = 32
@@ -65,124 +65,142 @@ def lemma(length: int, edits: int) -> int:
 
 @dataclass
 class Items:
-    """Windows of a block of items, and the places of their grams."""
+    """A block of items, their windows, and the places of their grams.
 
-    ids: np.ndarray  # item of each window
-    size: np.ndarray  # length
-    edits: np.ndarray  # edit budget
-    text: np.ndarray  # code points, WINDOW a row, 0 beyond the end
+    Window s of an item of more than WINDOW characters is its characters s to s + WINDOW, for every
+    s; a shorter item is one window.
+    """
+
+    ids: np.ndarray
+    start: np.ndarray  # where an item's text starts in ``text``
+    size: np.ndarray  # length of its windows
+    count: np.ndarray  # how many it has
+    edits: np.ndarray  # edit budget of a window
+    text: np.ndarray  # code points of all items
     grams: np.ndarray  # distinct gram hashes, ordered
     cuts: np.ndarray  # places of gram g: cuts[g]:cuts[g + 1] of the next two
-    window: np.ndarray
+    item: np.ndarray
     place: np.ndarray
     seen: np.ndarray  # bitmap of the grams' high bits
 
 
 def compiled(items: list[tuple[int, str]]) -> Items | None:
-    """Windows of 64 characters, 16 apart and flush with the end; shorter items of at least ``LEAST`` are one window."""
+    """The items of at least ``Q`` characters; shorter ones hold no gram."""
     normal = Normaliser()
-    ids, rows, grams, window, place = [], [], [], [], []
+    ids, rows = [], []
     for item, text in items:
         codes, _ = normal(np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32))
         codes = codes[1:] if len(codes) and codes[0] == 32 else codes
         codes = codes[:-1] if len(codes) and codes[-1] == 32 else codes
-        if len(codes) < LEAST:
-            continue
-        last = max(0, len(codes) - WINDOW)
-        for at in sorted({*range(0, last + 1, STRIDE), last}):
-            part = codes[at : at + WINDOW]
-            hashes = gram_hashes(part)
-            grams.append(hashes)
-            window.append(np.full(len(hashes), len(ids)))
-            place.append(np.arange(len(hashes)))
+        if len(codes) >= Q:
             ids.append(item)
-            rows.append(part)
+            rows.append(codes)
     if not rows:
         return None
-    size = np.array([len(r) for r in rows])
-    text = np.zeros((len(rows), WINDOW), np.uint32)
-    for row, part in zip(text, rows):
-        row[: len(part)] = part
+    length = np.array([len(r) for r in rows])
+    grams = [gram_hashes(r) for r in rows]
     flat = np.concatenate(grams)
     order = np.argsort(flat, kind="stable")
     distinct, cuts = np.unique(flat[order], return_index=True)
     seen = np.zeros(1 << _BITS, bool)
     seen[(distinct >> np.uint64(64 - _BITS)).astype(np.int64)] = True
+    size = np.minimum(length, WINDOW)
+    item = np.repeat(np.arange(len(rows)), [len(g) for g in grams])
+    place = np.concatenate([np.arange(len(g)) for g in grams])
     return Items(
-        np.array(ids), size, size * EDITS // WINDOW, text, distinct, np.append(cuts, len(flat)),
-        np.concatenate(window)[order], np.concatenate(place)[order], seen,
+        np.array(ids), np.cumsum(length) - length, size, length - size + 1, size * EDITS // WINDOW, np.concatenate(rows),
+        distinct, np.append(cuts, len(flat)), item[order], place[order], seen,
     )
 
 
-def _often(keys: np.ndarray, least: np.ndarray) -> np.ndarray:
-    """Rows whose key occurs ``least`` times or more, ``least`` being the same for equal keys."""
-    _, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
-    return counts[inverse] >= least
+def _spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... ``n`` times each, one row after the other."""
+    return np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
-def candidates(codes: np.ndarray, bounds: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
-    """(window, lowest diagonal) of every diagonal band of a block that may hold a match.
+def candidates(codes: np.ndarray, ends: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, item, window, lowest diagonal) of every window and diagonal band of a block that may match; ``ends`` are the documents'.
 
     A match of a window within e edits keeps ``lemma`` of its grams, all on e + 1 neighbouring
-    diagonals (document place - window place) and within the window's length and e more in the
-    document. Bands of 2 (e + 1) diagonals begin every e + 1, so some band holds them all. Windows
-    with too few grams in two neighbouring chunks of the document are left out before that.
+    diagonals (document place - item place) and within the window's length and e more in the
+    document. Bands of 2 (e + 1) diagonals begin every e + 1, so some band holds them all. Along a band
+    the hits stand by item place: windows qualify whose places hold ``lemma`` of them. Items with too
+    few grams in two neighbouring chunks of the document are left out before that.
     """
     hashes = gram_hashes(codes)
     none = np.zeros(0, np.int64)
     if not len(hashes):
-        return none, none
+        return none, none, none, none
     at = np.flatnonzero(items.seen[(hashes >> np.uint64(64 - _BITS)).astype(np.int64)])
     g = np.searchsorted(items.grams, hashes[at])
     same = items.grams[np.minimum(g, len(items.grams) - 1)] == hashes[at]
-    inside = np.searchsorted(bounds, at, "right") == np.searchsorted(bounds, at + Q - 1, "right")
+    inside = np.searchsorted(ends, at, "right") == np.searchsorted(ends, at + Q - 1, "right")
     at, g = at[same & inside], g[same & inside]
     n = items.cuts[g + 1] - items.cuts[g]
-    hit = np.repeat(items.cuts[g], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    at, window, place = np.repeat(at, n), items.window[hit], items.place[hit]
+    hit = _spread(items.cuts[g], n)
+    at, item, place = np.repeat(at, n), items.item[hit], items.place[hit]
     if not len(at):
-        return none, none
+        return none, none, none, none
     need = np.maximum(lemma(items.size, items.edits), 1)
-    chunk = at // CHUNK
     many = len(items.ids)
-    keys, inverse, counts = np.unique(chunk * many + window, return_inverse=True, return_counts=True)
+    keys, inverse, counts = np.unique(at // CHUNK * many + item, return_inverse=True, return_counts=True)
     near = counts.copy()
     for step in (-1, 1):
         found = np.minimum(np.searchsorted(keys, keys + step * many), len(keys) - 1)
         near += np.where(keys[found] == keys + step * many, counts[found], 0)
-    stay = near[inverse] >= need[window]
-    at, window, place = at[stay], window[stay], place[stay]
-    wide = items.edits[window] + 1
+    stay = near[inverse] >= need[item]
+    at, item, place = at[stay], item[stay], place[stay]
+    if not len(at):
+        return none, none, none, none
     diagonal = at - place
-    band = np.concatenate([diagonal // wide, diagonal // wide - 1])
-    window, wide = np.tile(window, 2), np.tile(wide, 2)
-    offset = len(codes) + WINDOW
-    keys = (band + offset) * many + window
-    stay = _often(keys, need[window])
-    keys, first = np.unique(keys[stay], return_index=True)
-    return window[stay][first], (band * wide)[stay][first]
-
-
-def aligned(codes: np.ndarray, window: np.ndarray, lowest: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
-    """(edits, end place) of the best match of each window within its band, both ends in the document free."""
-    if not len(window):
+    band = np.concatenate([diagonal // (items.edits[item] + 1), diagonal // (items.edits[item] + 1) - 1])
+    doc, item, place = np.tile(np.searchsorted(ends, at, "right"), 2), np.tile(item, 2), np.tile(place, 2)
+    band_low, bands = band.min(), np.ptp(band) + 1
+    keys = (doc * bands + band - band_low) * many + item
+    order = np.lexsort((place, keys))
+    keys, doc, item, place, band = keys[order], doc[order], item[order], place[order], band[order]
+    # hits k and k + need - 1 of a band within one window's gram places: the windows that hold both
+    last = np.arange(len(keys)) + need[item] - 1
+    row = np.flatnonzero(last < len(keys))
+    reach = items.size[item[row]] - Q + 1
+    row = row[(keys[last[row]] == keys[row]) & (place[last[row]] - place[row] < reach)]
+    low = np.maximum(place[last[row]] - (items.size[item[row]] - Q), 0)
+    high = np.minimum(place[row], items.count[item[row]] - 1)
+    n = np.maximum(high - low + 1, 0)
+    window, source = _spread(low, n), np.repeat(row, n)
+    _, first = np.unique(np.stack([keys[source], window], 1), axis=0, return_index=True)
+    window, source = window[first], source[first]
+    return doc[source], item[source], window, band[source] * (items.edits[item[source]] + 1)
+
+
+def aligned(
+    codes: np.ndarray, first: np.ndarray, last: np.ndarray, item: np.ndarray, window: np.ndarray, lowest: np.ndarray, items: Items
+) -> tuple[np.ndarray, np.ndarray]:
+    """(edits, end place) of the best match of each window within its band and its document, both ends there free.
+
+    The document is ``codes[first:last]``; ``lowest`` is the band's first diagonal between ``codes`` and the item.
+    """
+    if not len(item):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    most = int(items.edits[window].max())
+    most = int(items.edits[item].max())
     width = 2 * (most + 1) + 2 * most + 1
-    padded = np.concatenate([np.zeros(width + WINDOW, np.uint32), codes, np.zeros(width + 2 * WINDOW, np.uint32)])
-    base = lowest - most + width + WINDOW
+    begin = lowest + window - most  # where the band's first column meets the window's first character
     columns = np.arange(width)
-    cost = np.zeros((len(window), width), np.int16)
+    source = items.start[item] + window
+    cost = np.zeros((len(item), width), np.int16)
     done = cost.copy()
-    for i in range(int(items.size[window].max())):
-        text = padded[np.clip(base[:, None] + i + columns, 0, len(padded) - 1)]
-        step = cost + ((text != items.text[window, i][:, None]) | (text == 0))
+    for i in range(int(items.size[item].max())):
+        live = items.size[item] > i
+        at = begin[:, None] + i + columns
+        inside = (at >= first[:, None]) & (at < last[:, None])
+        text = codes[np.clip(at, 0, len(codes) - 1)]
+        letter = items.text[np.minimum(source + i, len(items.text) - 1)]
+        step = cost + ((text != letter[:, None]) | ~inside)
         step[:, :-1] = np.minimum(step[:, :-1], cost[:, 1:] + 1)
         cost = (np.minimum.accumulate(step - columns, axis=1) + columns).astype(np.int16)
-        ended = items.size[window] == i + 1
-        done[ended] = cost[ended]
+        done[live] = cost[live]
     best = done.argmin(axis=1)
-    return done[np.arange(len(window)), best].astype(np.int64), lowest - most + best + items.size[window]
+    return done[np.arange(len(item)), best].astype(np.int64), begin + best + items.size[item]
 
 
 def _searched(shared):
@@ -196,19 +214,19 @@ def _searched(shared):
             for a, b in sliced(offsets, BLOCK_BYTES // 2):
                 codes = np.frombuffer(data[offsets[a] : offsets[b]].tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
                 starts = chars[offsets[a : b + 1]] - chars[offsets[a]]
-                short, place = normal(codes)
+                short, place = normal(codes, starts)
                 bounds = np.searchsorted(place, starts)
-                window, lowest = candidates(short, bounds[1:], items)
-                edits, end = aligned(short, window, lowest, items)
-                good = edits <= items.edits[window]
-                window, edits, end = window[good], edits[good], end[good]
-                first = np.clip(end - items.size[window], 0, max(len(short) - 1, 0))
-                doc = np.searchsorted(bounds, first + items.size[window] // 2, "right") - 1
+                doc, item, window, lowest = candidates(short, bounds[1:], items)
+                edits, end = aligned(short, bounds[doc], bounds[doc + 1], item, window, lowest, items)
+                good = edits <= items.edits[item]
+                doc, item, window, edits, end = doc[good], item[good], window[good], edits[good], end[good]
+                first = np.clip(end - items.size[item], bounds[doc], bounds[doc + 1] - 1)
+                end = np.clip(end, first + 1, bounds[doc + 1])
                 found: dict[tuple, list] = {}
-                for d, w, e, x, y in zip(doc.tolist(), window.tolist(), edits.tolist(), first.tolist(), end.tolist()):
+                for d, k, w, e, x, y in zip(*(v.tolist() for v in (doc, item, window, edits, first, end))):
                     origin = int(starts[d])
-                    x, y = int(place[x]) - origin, int(place[min(y, len(place)) - 1]) - origin + 1
-                    one = found.setdefault((d, int(items.ids[w])), [x, y, set(), e])
+                    x, y = int(place[x]) - origin, int(place[y - 1]) - origin + 1
+                    one = found.setdefault((d, int(items.ids[k])), [x, y, set(), e])
                     one[:2], one[3] = [min(one[0], x), max(one[1], y)], min(one[3], e)
                     one[2].add(w)
                 for (d, item), (x, y, windows, e) in found.items():
@@ -239,15 +257,16 @@ def benchmark_passages(
     """(doc_id, item_id, start, end, n_windows, edits): every document and benchmark item that share a passage.
 
     Texts are lowered and all that is no letter or digit counts as one space. A document holds an
-    item when some 64-character window of the item (16 apart; the whole item if shorter) stands in
-    it with at most 5 edits in 64 characters. ``start`` and ``end`` are the characters of the
-    document that the matching windows span, to within the edits; ``edits`` is the least of them.
+    item when some 64-character window of the item, wherever it starts, stands in it with at most 5
+    edits; a shorter item must stand in it whole, with edits in proportion, rounded down. ``start`` and
+    ``end`` are the characters of the document that the matching windows span, to within the
+    edits; ``edits`` is the least of them.
 
     The items are the query set: they go in blocks of ``block_chars`` characters, each sent to all
     tasks once (a bounded size) and compared with every document in one pass.
 
-    Defined cases: null or empty texts hold nothing; items under 32 characters are too short to
-    tell and match nothing; items without id are searched too, their id null reads -1; a document
+    Defined cases: null or empty texts hold nothing; items under 8 characters hold no 8-gram and match
+    nothing; items without id are searched too, their id null reads -1; a document
     without id is reported with a null id; repeated rows are reported each; other columns are
     ignored; without items or documents the result is empty.
     """
