@@ -29,18 +29,26 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate class; of rows that repeat an id, one.
+    """One document of each near-duplicate class, that with the smallest id.
 
-    Documents without an id cannot be told apart by it and all stay.
+    Rows that repeat an id, or have none, are told apart by id and text: each such text is a
+    document of its own. Of rows equal in both one stays, the first by its other columns; texts
+    without a word are linked with nothing and all stay.
     """
-    dropped = near_duplicates(docs).filter("not kept").select("doc_id").distinct()
-    kept = docs.join(dropped, "doc_id", "left_anti")
-    often = settled(docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"))
+    alike = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null").select("doc_id")
+    often = settled(alike)
     if often.isEmpty():
-        return kept.select(COLUMNS)
-    once = kept.join(often, "doc_id", "left_anti")
-    repeated = kept.join(often, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.select(COLUMNS).unionByName(repeated.select(COLUMNS))
+        dropped = near_duplicates(docs).filter("not kept").select("doc_id").distinct()
+        return docs.join(dropped, "doc_id", "left_anti").select(COLUMNS)
+    marked = often.select(F.col("doc_id").alias("often"), F.lit(True).alias("repeated"))
+    told = docs.join(marked, docs["doc_id"].eqNullSafe(marked["often"]), "left")
+    key = F.when(F.col("repeated"), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id"))
+    told = settled(told.withColumn("key", key).select("key", "repeated", *COLUMNS))
+    dropped = near_duplicates(told, id="key").filter("not kept").select("key").distinct()
+    kept = settled(told.join(dropped, "key", "left_anti"))
+    worded = F.coalesce(F.col("repeated") & F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    equal = kept.filter(worded).groupBy("key").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
+    return kept.filter(~worded).select(COLUMNS).unionByName(equal)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
