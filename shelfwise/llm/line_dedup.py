@@ -35,14 +35,14 @@ def drop_boilerplate_lines(
     host: Column | None = None,
     text: str = "text",
     ratio: float = 0.03,
-    least_pages: int = 2,
+    least_pages: int = 3,
 ) -> DataFrame:
     """``docs`` with ``text`` rid of boilerplate lines, plus ``lines_total`` and ``lines_removed``.
 
     Site-relative frequency: of a host's pages, those holding a line (compared whole, by a 64-bit
     hash within the host) are divided by all of them; lines above ``ratio`` go wherever they stand
-    on that host, short ones too. A line that fewer than ``least_pages`` pages of the host hold does not
-    recur there and stays, or every line of a host with few pages would go; so do blank lines.
+    on that host, short ones too. A line that fewer than ``least_pages`` pages of the host hold stays: one page
+    is no recurrence, and two may be a page and its copy, of which one is to survive. Blank lines stay.
     ``host`` defaults to column ``source``.
 
     Defined cases: a null text is empty and stays null; a page without host keeps all lines and

@@ -36,7 +36,7 @@ FROM words w LEFT JOIN sizes s USING (doc_id) JOIN tops t ON t.a = w.doc_id
 _LINES = r"""
 WITH pages AS (SELECT row_number() OVER () AS row, * FROM documents),
 seen AS (SELECT DISTINCT row, source, unnest(string_split(text, chr(10))) AS line FROM pages WHERE source IS NOT NULL),
-often AS (SELECT source, line, count(*) AS n FROM seen WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY ALL HAVING count(*) >= 2),
+often AS (SELECT source, line, count(*) AS n FROM seen WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY ALL HAVING count(*) >= 3),
 totals AS (SELECT source, count(*) AS pages FROM pages WHERE source IS NOT NULL GROUP BY source),
 plain AS (SELECT source, list(line) AS ls FROM often JOIN totals USING (source) WHERE n > pages * 0.03 GROUP BY source),
 cut AS (
