@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.llm.blocks import column_bytes, mixed
@@ -15,8 +15,8 @@ from shelfwise.llm.minhash import shingle_sets
 from shelfwise.llm.shared import settled, union
 
 #: Greatest sizes of the first size classes, and the bits of a token bitmap in each class: trees hold one class.
-LIMITS = (700, 2800, 11_200)
-BITS = (2048, 8192, 32_768, 131_072)
+LIMITS = (350, 1400, 5600)
+BITS = (1024, 4096, 16_384, 65_536)
 #: Children of a node.
 FANOUT = 8
 #: Members of a tree whose bitmaps alone are held; shingles, and EACH more a set, of one whose sets are held.
@@ -139,20 +139,23 @@ def size_classes(n: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]
         yield k, (100 * n >= percent * least[k]) & (n > 0) & (n <= most[k])
 
 
-def _signed(percent: int):
+def _signed(width: int, percent: int):
     """(id, n, kind, bits) of sets in each of their size classes."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat, at = _lists(batch.column(1))
-            n = np.diff(at)
-            for kind, chosen in size_classes(n, percent):
-                rows = np.flatnonzero(chosen)
-                sets = [flat[at[k] : at[k + 1]] for k in rows]
-                if sets:
-                    bits = _bitmaps(np.concatenate(sets), np.concatenate([[0], np.cumsum(n[rows])]), BITS[kind])
-                    columns = [batch.column(0).take(pa.array(rows)), pa.array(n[rows]), pa.array(np.full(len(rows), kind)), pa.array([r.tobytes() for r in bits], pa.binary())]
-                    yield pa.RecordBatch.from_arrays(columns, ["id", "n", "kind", "bits"])
+            row = 0
+            for sets in shingle_sets(batch.column(1), width):
+                ids = batch.column(0).slice(row, len(sets))
+                row += len(sets)
+                n = np.array([len(s) for s in sets])
+                for kind, chosen in size_classes(n, percent):
+                    rows = np.flatnonzero(chosen)
+                    if len(rows):
+                        at = np.concatenate([[0], np.cumsum(n[rows])])
+                        bits = _bitmaps(np.concatenate([sets[k] for k in rows]), at, BITS[kind])
+                        columns = [ids.take(pa.array(rows)), pa.array(n[rows]), pa.array(np.full(len(rows), kind)), pa.array([r.tobytes() for r in bits], pa.binary())]
+                        yield pa.RecordBatch.from_arrays(columns, ["id", "n", "kind", "bits"])
 
     return build
 
@@ -362,6 +365,14 @@ def _chunked(members: DataFrame, groups: DataFrame) -> DataFrame:
     return dealt.unionByName(cut.select("g", "part", F.col("low").alias("id")))
 
 
+def _sized(chunks: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """(g, part, id) of members with another of a size that allows a link: then the next smaller or larger one has it."""
+    known = chunks.join(sizes, "id")
+    order = Window.partitionBy("g", "part").orderBy("n", "id")
+    near = known.withColumn("less", F.lag("n").over(order)).withColumn("more", F.lead("n").over(order))
+    return near.filter((F.col("less") * 100 >= F.col("n") * percent) | (F.col("n") * 100 >= F.col("more") * percent)).select("g", "part", "id").distinct()
+
+
 def _still_open(members: DataFrame, found: DataFrame, rejected: DataFrame) -> DataFrame:
     """(g, id, component_id, main): members of groups that were not compared to the end, in clusters.
 
@@ -435,16 +446,20 @@ def jaccard_join(docs: DataFrame, *, id: str = "doc_id", text: str = "text", wid
     groups = rows.groupBy("g").agg(F.count("*").alias("size"), F.min("id").alias("low")).filter("size > 1")
     groups = settled(groups)
     members = settled(rows.join(groups, "g"))
-    sets = settled(docs.join(members.select("id").distinct(), "id").select("id", "text").mapInArrow(_shingled(width), "id long, n long, shingles array<long>"))
-    signed = settled(sets.select("id", "shingles").mapInArrow(_signed(percent), "id long, n long, kind long, bits binary"))
-    trees = _chunked(members, groups).join(signed, "id").select("g", "part", "kind", "n", "id", "bits")
+    sizes = all_.join(members.select("id").distinct(), "id", "left_semi").distinct()
+    chunks = settled(_sized(_chunked(members, groups), settled(sizes), percent))
+    text_of = lambda ids: docs.join(ids.distinct(), "id").select("id", "text")
+    signed = settled(text_of(chunks.select("id")).mapInArrow(_signed(width, percent), "id long, n long, kind long, bits binary"))
+    trees = chunks.join(signed, "id").select("g", "part", "kind", "n", "id", "bits")
     ordered = trees.repartition("g", "part", "kind").sortWithinPartitions("g", "part", "kind", "n", "id")
     proposed = settled(ordered.mapInArrow(_proposing(percent), "g long, a long, b long"))
-    links = settled(_confirmed(proposed.select("a", "b").distinct(), sets, percent))
+    shingled = lambda ids: settled(text_of(ids).mapInArrow(_shingled(width), "id long, n long, shingles array<long>"))
+    pairs = settled(proposed.select("a", "b").distinct())
+    links = settled(_confirmed(pairs, shingled(pairs.select(F.explode(F.array("a", "b")).alias("id"))), percent))
     rejected = proposed.join(links, ["a", "b"], "left_anti").select("g").distinct()
     open_ = settled(_still_open(members, components(links), rejected))
     if not open_.isEmpty():
-        links = union(links, settled(_across(open_, sets, percent)).select("a", "b"))
+        links = union(links, settled(_across(open_, shingled(open_.select("id")), percent)).select("a", "b"))
     found = settled(components(union(links, edges)))
     return all_.join(found, "id", "left").select(
         F.col("id").alias(id), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")
