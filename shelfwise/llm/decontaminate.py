@@ -168,22 +168,32 @@ def candidates(codes: np.ndarray, ends: np.ndarray, items: Items) -> tuple[np.nd
     high = np.minimum(place[row], items.count[item[row]] - 1)
     n = np.maximum(high - low + 1, 0)
     window, source = _spread(low, n), np.repeat(row, n)
-    _, first = np.unique(np.stack([keys[source], window], 1), axis=0, return_index=True)
-    window, source = window[first], source[first]
+    # one row for a window and two neighbouring bands: a match lies in both as a rule
+    which = doc[source] * many + item[source]
+    order = np.lexsort((band[source], window, which))
+    which, window, source = which[order], window[order], source[order]
+    lane = band[source]
+    step = np.full(len(lane), 2)
+    step[1:] = np.where((which[1:] == which[:-1]) & (window[1:] == window[:-1]), lane[1:] - lane[:-1], 2)
+    stay = np.flatnonzero(step != 0)
+    window, source, step = window[stay], source[stay], step[stay]
+    begin = np.flatnonzero(step != 1)
+    nth = np.arange(len(step)) - np.repeat(begin, np.diff(np.append(begin, len(step))))
+    window, source = window[nth % 2 == 0], source[nth % 2 == 0]
     return doc[source], item[source], window, band[source] * (items.edits[item[source]] + 1)
 
 
 def aligned(
     codes: np.ndarray, first: np.ndarray, last: np.ndarray, item: np.ndarray, window: np.ndarray, lowest: np.ndarray, items: Items
 ) -> tuple[np.ndarray, np.ndarray]:
-    """(edits, end place) of the best match of each window within its band and its document, both ends there free.
+    """(edits, end place) of the best match of each window within two bands and its document, both ends there free.
 
-    The document is ``codes[first:last]``; ``lowest`` is the band's first diagonal between ``codes`` and the item.
+    The document is ``codes[first:last]``; ``lowest`` is the first band's first diagonal between ``codes`` and the item.
     """
     if not len(item):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     most = int(items.edits[item].max())
-    width = 2 * (most + 1) + 2 * most + 1
+    width = 3 * (most + 1) + 2 * most + 1
     begin = lowest + window - most  # where the band's first column meets the window's first character
     columns = np.arange(width)
     source = items.start[item] + window
