@@ -164,7 +164,7 @@ SELECT q.*, p.cents AS ours, p.label, p.stocked, p.live, r.id AS rival_id
 FROM low q JOIN product p ON p.sku = q.sku JOIN rival r ON lower(q.rival_name) = r.code"""
 
 
-def signal(kind: str, q: str, texts: tuple[str, str, str], levels: tuple[int, int, int], where: str) -> str:
+def signal(kind: str, q: str, texts: tuple[str, str, str], levels: tuple[int, int, int], where: str, source: str = "known") -> str:
     def text(t: str) -> str:
         head, _, tail = t.partition("{}")
         return f"'{head}' || {pct_text('q')} || '{tail}'" if "{}" in t else f"'{t}'"
@@ -172,7 +172,7 @@ def signal(kind: str, q: str, texts: tuple[str, str, str], levels: tuple[int, in
     return f"""
 SELECT sku, rival_id, '{kind}' AS kind, ours, price, {hundredths('q', 100000)} AS gap_h,
        {label_case(*[text(t) for t in texts])} AS advice, {label_case(*map(str, levels))} AS level, stock, tick
-FROM (SELECT *, {q} AS q FROM known) WHERE {where}"""
+FROM (SELECT *, {q} AS q FROM {source}) WHERE {where}"""
 
 
 OURS = "stocked AND live"
@@ -1029,6 +1029,52 @@ SQL["stream_behavior_summary"] = (
 SQL["stream_price_movements"] = SQL["price_movements"] + f" WHERE tick < {PRICE_MARK}"
 SQL["stream_price_increases"] = SQL["price_increase_signals"] + f" WHERE tick < {PRICE_MARK}"
 
+CLOSED = f"WHERE tick < {PRICE_MARK}"
+SQL["stream_current_signals"] = f"""
+SELECT {SIGNAL_COLUMNS} FROM (
+  SELECT *, row_number() OVER (PARTITION BY sku, rival_id, kind ORDER BY tick DESC, price DESC, stock DESC) AS rn
+  FROM (SELECT * FROM under {CLOSED} UNION ALL SELECT * FROM over {CLOSED} UNION ALL SELECT * FROM out {CLOSED}
+        UNION ALL SELECT * FROM rise {CLOSED})) WHERE rn = 1"""
+SQL["stream_market_summary"] = SQL["product_market_summary"]
+CTE["standing"] = """
+SELECT q.*, l.price AS ours, p.label, p.stocked, p.live, r.id AS rival_id
+FROM newest q JOIN living l ON l.sku = q.sku JOIN product p ON p.sku = q.sku JOIN rival r ON lower(q.rival_name) = r.code"""
+CTE["under_now"] = signal(
+    "UNDERCUT", ratio13("ours - price", "ours"),
+    ("URGENT: Competitor undercutting by {}%", "Consider price adjustment: {}% undercut", "Monitor: {}% undercut"),
+    (1, 2, 3), "price < ours", "standing",
+)
+CTE["over_now"] = signal(
+    "OVERPRICED", ratio13("price - ours", "ours"),
+    ("Opportunity: We are {}% cheaper", "Good position: {}% cheaper", "Competitive: {}% cheaper"),
+    (2, 3, 3), f"price > ours AND q > 500000000000 AND stock AND {OURS}", "standing",
+)
+CTE["out_now"] = signal(
+    "STOCKOUT", "0::HUGEINT",
+    ("URGENT: Competitor out of stock - opportunity to capture market",
+     "Competitor out of stock - consider inventory management", "Competitor out of stock"),
+    (1, 2, 3), f"NOT stock AND {OURS}", "standing",
+)
+SQL["stream_pair_signals"] = f"""
+SELECT {SIGNAL_COLUMNS} FROM (SELECT * FROM under_now UNION ALL SELECT * FROM over_now UNION ALL SELECT * FROM out_now)"""
+SQL["stream_dims"] = f"""
+SELECT 'products' AS source, sku AS row_key, {dollars('price', 'amount')}, label, op_ts FROM (SELECT l.*, p.label FROM living l JOIN product p USING (sku))
+UNION ALL
+SELECT 'competitors', id::VARCHAR, id::DOUBLE, name, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(turn) FROM (
+  SELECT s_suppkey % 5 AS id, max(s_suppkey) AS turn, arg_max(s_name, s_suppkey) AS name FROM supplier GROUP BY 1) WHERE turn % 7 <> 0
+UNION ALL
+SELECT 'behavior', sku || '|' || epoch(w)::BIGINT::VARCHAR, views::DOUBLE, sku, w_end FROM shopping WHERE bought % 3 <> 0
+UNION ALL
+SELECT 'signals', sku || '|' || rival_id::VARCHAR || '|' || kind, {six('price / 100', 'amount')}, kind || CASE WHEN level = 1 THEN '|false' ELSE '|true' END,
+       CASE WHEN level = 1 THEN tick + INTERVAL 1 MINUTE ELSE tick END FROM live_signal"""
+SQL["stream_price_history"] = SQL["competitor_price_history"] + f" WHERE {win5('data_at')} + INTERVAL 5 MINUTE <= {PRICE_MARK}"
+SQL["stream_trends_table"] = SQL["stream_price_trends"]
+SQL["source_prices_latest"] = SQL["source_prices"] + " WHERE (api_ms // 1000) % 3 <> 0"
+SIGNAL_MARK = "(SELECT max(tick) - INTERVAL 5 MINUTE FROM live_signal)"
+SQL["stream_signal_windows"] = SQL["signal_windows"] + f" WHERE w + INTERVAL 5 MINUTE <= {SIGNAL_MARK}"
+VISIT_MARK = "(SELECT max(tick) - INTERVAL 5 MINUTE FROM visit)"
+SQL["stream_demand_vs_signals"] = SQL["demand_vs_signals"] + f" WHERE w_end <= least({SIGNAL_MARK}, {VISIT_MARK})"
+
 
 def _needed(sql: str) -> list[str]:
     """Expressions a statement names, dependencies first."""

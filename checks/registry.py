@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfwise import configure, schemas
+from shelfwise.config import DEFAULTS
 from shelfwise.operators import behavior, demand, dims, elasticity, forecast, ingest, market, prices, proposals, signals
 from shelfwise.plans import adjustments, competitors, demand_signals, overview, price_signals, price_trends
 from shelfwise.plans import elasticity as elasticity_reports
@@ -286,6 +288,143 @@ def _drained(t: RetailTables, build) -> DataFrame:
     return t.spark.read.schema(stream.schema).parquet(f"{place}/rows/batch=*")
 
 
+def _streamed(t: RetailTables, run) -> None:
+    """``run`` starts a streaming job that takes what is there; its state is kept in the store that stateful operators need."""
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = t.spark.conf.get(provider, None)
+    configure_streaming(t.spark)
+    try:
+        run(RetailStreams(t.spark, t.folder)).awaitTermination()
+    finally:
+        t.spark.conf.set(provider, before) if before else t.spark.conf.unset(provider)
+
+
+def _rivals(t: RetailTables):
+    return lambda: t.competitors
+
+
+def _goods(t: RetailTables):
+    return lambda: t.products
+
+
+def _stream_current_signals(t: RetailTables) -> DataFrame:
+    place = _place(t)
+    table = KeyedTable(f"{place}/signals", signals.SIGNAL_KEY, jobs.SIGNAL_ORDER)
+    _streamed(t, lambda s: jobs.signals_job(s.marked_prices, _goods(t), _rivals(t), table, f"{place}/moves", f"{place}/checkpoint", AS_OF, trigger=None))
+    return table.read(t.spark)
+
+
+def _stream_market_summary(t: RetailTables) -> DataFrame:
+    """In micro-batches of JSON files, so that prices rise and fall between them."""
+    place, table = _place(t), jobs.summary_table(_place(t))
+    columns = ["product_sku", "competitor_name", "price", "in_stock", "source_sku", "api_collection_ts_ms", "data_ts_ms"]
+    halves = [t.prices.select(columns).filter(F.pmod(F.col("api_collection_ts_ms"), F.lit(2000)) == k) for k in (0, 1000)]
+    for half in halves:
+        half.select(F.to_json(F.struct(*columns)).alias("value")).coalesce(1).write.mode("append").text(f"{place}/in")
+    read = streams.read_competitor_prices(t.spark, f"{place}/in", files_per_batch=1)
+    _streamed(t, lambda s: jobs.summary_job(read, _goods(t), _rivals(t), table, f"{place}/checkpoint", AS_OF, trigger=None))
+    return table.read(t.spark).drop("version")
+
+
+def _stream_pair_signals(t: RetailTables) -> DataFrame:
+    """Prices in the first batch; product changes in two, the later ones after the prices."""
+    place, table = _place(t), jobs.pair_signals_table(_place(t))
+    changes, middle = t.product_changes, F.lit("2024-01-02 12:00:00").cast("timestamp")
+    for half in (changes.filter(F.col("op_ts") < middle), changes.filter(F.col("op_ts") >= middle)):
+        half.select(F.to_json(F.struct(*changes.columns)).alias("value")).coalesce(1).write.mode("append").text(f"{place}/changes")
+    read = streams.read_changelog(t.spark, f"{place}/changes", schemas.PRODUCT, streaming=True, files_per_batch=1)
+    _streamed(t, lambda s: jobs.pair_signals_job(s.prices, read, _rivals(t), table, f"{place}/checkpoint", trigger=None))
+    return table.read(t.spark).drop("version")
+
+
+DIM_ROWS = {
+    "products": schemas.PRODUCT,
+    "competitors": "id bigint, name string",
+    "behavior": "product_sku string, window_end timestamp, page_views bigint",
+    "signals": "signal_type string, competitor_price decimal(10,2), is_active boolean",
+}
+
+
+def _dim_changes(t: RetailTables) -> DataFrame:
+    """Changes of four tables in one stream: every row created, some changed or deleted later, some deletes older than the row."""
+
+    def feed(df: DataFrame, source: str, key, op: str, at, *after) -> DataFrame:
+        return df.select(F.lit(source).alias("source"), key.cast("string").alias("row_key"), F.lit(op).alias("op"), at.alias("op_ts"), F.to_json(F.struct(*after)).alias("after"))
+
+    later = F.expr("interval 1 minute")
+    goods = t.product_changes
+    products = goods.select(
+        F.lit("products").alias("source"), F.coalesce("after.sku", "before.sku").alias("row_key"), "op", "op_ts", F.to_json("after").alias("after")
+    )
+    chain = t.raw("supplier").select("s_suppkey", "s_name", (F.col("s_suppkey") % 5).alias("id"))
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(mins=F.col("s_suppkey").cast("int"))
+    kept = feed(chain.filter("s_suppkey % 7 <> 0"), "competitors", F.col("id"), "u", at, "id", F.col("s_name").alias("name"))
+    closed = feed(chain.filter("s_suppkey % 7 = 0"), "competitors", F.col("id"), "d", at, "id")
+    shop = t.behavior_summary
+    key = F.concat_ws("|", "product_sku", F.unix_seconds("window_start"))
+    made = feed(shop, "behavior", key, "c", F.col("window_end"), "product_sku", "window_end", "page_views")
+    stale = feed(shop.filter("purchases % 2 = 0"), "behavior", key, "d", F.col("window_end") - later, "product_sku")
+    dropped = feed(shop.filter("purchases % 3 = 0"), "behavior", key, "d", F.col("window_end") + later, "product_sku")
+    key = F.concat_ws("|", "product_sku", "competitor_id", "signal_type")
+    raised = feed(t.signals, "signals", key, "c", F.col("signal_timestamp"), "signal_type", "competitor_price", "is_active")
+    ended = feed(t.signals.filter("priority = 1"), "signals", key, "u", F.col("signal_timestamp") + later, "signal_type", "competitor_price", F.lit(False).alias("is_active"))
+    first = [products.filter("op_ts >= '2024-01-02'"), kept, made, raised]
+    second = [products.filter("op_ts < '2024-01-02'"), closed, stale, dropped, ended]
+    return [reduce(DataFrame.unionByName, part) for part in (first, second)]
+
+
+def _stream_dims(t: RetailTables) -> DataFrame:
+    place = _place(t)
+    for part in _dim_changes(t):
+        part.select(F.to_json(F.struct(*part.columns)).alias("value")).coalesce(1).write.mode("append").text(f"{place}/changes")
+    tables = {name: (jobs.change_table(f"{place}/{name}"), ddl) for name, ddl in DIM_ROWS.items()}
+    read = streams.read_table_changes(t.spark, f"{place}/changes", files_per_batch=1)
+    _streamed(t, lambda s: jobs.dims_job(read, tables, f"{place}/checkpoint", trigger=None))
+    shown = {
+        "products": (F.col("current_price"), F.col("price_sensitivity")),
+        "competitors": (F.col("id"), F.col("name")),
+        "behavior": (F.col("page_views"), F.col("product_sku")),
+        "signals": (F.col("competitor_price"), F.concat_ws("|", "signal_type", "is_active")),
+    }
+    rows = [
+        table.read(t.spark).select(F.lit(name).alias("source"), "row_key", shown[name][0].cast("double").alias("amount"), shown[name][1].alias("label"), "op_ts")
+        for name, (table, _) in tables.items()
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def _beside(t: RetailTables) -> tuple[str, KeyedTable]:
+    place = _place(t)
+    table = jobs.trends_table(f"{place}/trends")
+    _streamed(t, lambda s: jobs.history_and_trends_job(s.marked_prices, _rivals(t), f"{place}/history", table, f"{place}/checkpoint", trigger=None))
+    return f"{place}/history/batch=*", table
+
+
+def _signal_stream(t: RetailTables) -> DataFrame:
+    """The stored signals as a stream with a watermark on their time."""
+    path = _place(t)
+    t.signals.write.parquet(path)
+    live = t.spark.readStream.schema(t.signals.schema).parquet(path)
+    return streams.with_watermark(live.withColumn("event_time", F.col("signal_timestamp")), "event_time", DEFAULTS.signal_watermark)
+
+
+def _read_latest(t: RetailTables) -> DataFrame:
+    """A query that starts at the latest record: files from before its start, from after it, and from after a restart."""
+    place = _place(t)
+    columns = ["product_sku", "competitor_name", "price", "in_stock", "source_sku", "api_collection_ts_ms", "data_ts_ms"]
+    parts = [t.prices.select(columns).filter(F.pmod(F.col("api_collection_ts_ms") / 1000, F.lit(3)) == k) for k in range(3)]
+    add = lambda k: parts[k].select(F.to_json(F.struct(*columns)).alias("value")).write.mode("append").text(f"{place}/in")
+    write = lambda df, batch_id: append(df, f"{place}/rows", batch_id)
+    add(0)
+    streams.fixed_start(t.spark, f"{place}/checkpoint")
+    for k in (1, 2):
+        add(k)
+        read = streams.read_competitor_prices(t.spark, f"{place}/in", starting="latest", checkpoint=f"{place}/checkpoint")
+        decoded = read.select(*[c for c in columns if c != "data_ts_ms"], "event_time")
+        jobs.start(decoded, write, f"{place}/checkpoint", trigger=None).awaitTermination()
+    return t.spark.read.schema(decoded.schema).parquet(f"{place}/rows/batch=*")
+
+
 def _stream_movements(t: RetailTables) -> DataFrame:
     lagged = _drained(t, lambda s: stream_previous_price(s.marked_prices))
     return jobs.price_movements_of(lagged, lambda: t.products, lambda: t.competitors)
@@ -488,6 +627,7 @@ QUERIES: dict[str, Query] = {
     # sources: written as JSON lines, broken ones among them, and read back
     "source_prices": lambda t: _read_prices(t, streaming=False),
     "source_prices_stream": lambda t: _read_prices(t, streaming=True),
+    "source_prices_latest": _read_latest,
     "source_behavior": _read_behavior,
     "source_changelog": _read_changes,
     # sinks: written, read back
@@ -499,6 +639,14 @@ QUERIES: dict[str, Query] = {
     "stream_behavior_summary": lambda t: _drained(t, lambda s: jobs.stream_behavior_summary(s.marked_behavior)),
     "stream_price_movements": _stream_movements,
     "stream_price_increases": _stream_increases,
+    "stream_current_signals": _stream_current_signals,
+    "stream_market_summary": _stream_market_summary,
+    "stream_pair_signals": _stream_pair_signals,
+    "stream_dims": _stream_dims,
+    "stream_price_history": lambda t: t.spark.read.parquet(_beside(t)[0]),
+    "stream_trends_table": lambda t: _beside(t)[1].read(t.spark),
+    "stream_signal_windows": lambda t: _drained(t, lambda s: jobs.stream_signal_windows(_signal_stream(t))),
+    "stream_demand_vs_signals": lambda t: _drained(t, lambda s: jobs.stream_demand_vs_signals(s.behavior, _signal_stream(t))),
 }
 
 

@@ -201,19 +201,24 @@ def newest_per_key(signals: DataFrame) -> DataFrame:
     )
 
 
-def _cases(as_of, settings: Settings) -> dict[str, Case]:
+def row_cases(settings: Settings = DEFAULTS) -> dict[str, Case]:
+    """The rules that need no other row of the pair."""
     return {
         "UNDERCUT": undercut_case(False, settings.undercut_pct),
         "OVERPRICED": overpriced_case(settings.overpriced_pct),
         "STOCKOUT": stockout_case(),
-        "PRICE_INCREASE_24H": increase_case(settings.increase_24h_pct, as_of, settings.settle_minutes),
     }
 
 
+def cases(as_of, settings: Settings = DEFAULTS) -> dict[str, Case]:
+    """All four rules; the last reads ``low_24h``."""
+    return row_cases(settings) | {"PRICE_INCREASE_24H": increase_case(settings.increase_24h_pct, as_of, settings.settle_minutes)}
+
+
 def all_signals(prices, products, competitors, as_of, settings: Settings = DEFAULTS) -> DataFrame:
     """Every signal event of the four rules, from one scan and one pass over the joined rows."""
     joined = with_dimensions(with_low_24h(prices), products, competitors)
-    return emit(joined, *_cases(as_of, settings).values())
+    return emit(joined, *cases(as_of, settings).values())
 
 
 def current_signals(prices, products, competitors, as_of, settings: Settings = DEFAULTS) -> DataFrame:
@@ -222,18 +227,18 @@ def current_signals(prices, products, competitors, as_of, settings: Settings = D
     Equal to ``newest_per_key(all_signals(...))``, but the four rules fold into four maxima of
     one aggregation that combines map-side, and texts are only written for the survivors.
     """
-    cases = _cases(as_of, settings)
+    rules = cases(as_of, settings)
     hit = F.struct("event_time", "price", "in_stock", "low_24h")
     per_pair = (
         with_dimensions(with_low_24h(prices), products, competitors)
         .groupBy("product_sku", "competitor_id", "platform_price", "price_sensitivity")
-        .agg(*[F.max(F.when(cond, hit)).alias(kind) for kind, (cond, _) in cases.items()])
+        .agg(*[F.max(F.when(cond, hit)).alias(kind) for kind, (cond, _) in rules.items()])
     )
-    found = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(kind).alias("hit")) for kind in cases])
+    found = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(kind).alias("hit")) for kind in rules])
     events = (
         per_pair.withColumn("_f", F.explode(found))
         .filter(F.col("_f.hit").isNotNull())
         .select("product_sku", "competitor_id", "platform_price", "price_sensitivity", "_f.kind", "_f.hit.*")
     )
-    row = F.coalesce(*[F.when(F.col("kind") == kind, made) for kind, (_, made) in cases.items()])
+    row = F.coalesce(*[F.when(F.col("kind") == kind, made) for kind, (_, made) in rules.items()])
     return events.withColumn("_s", row).select(*_output())

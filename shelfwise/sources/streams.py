@@ -6,6 +6,9 @@ Records arrive as JSON text with an arrival time. Files are the built-in transpo
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,23 +34,66 @@ def file_records(spark: SparkSession, path: str, streaming: bool, files_per_batc
     return reader.text(path).select("value", F.col("_metadata.file_modification_time").alias("timestamp"))
 
 
-def kafka_records(spark: SparkSession, servers: str, topic: str, streaming: bool, starting: str = "earliest") -> DataFrame:
-    """Topic values with the broker time; needs the Kafka connector on the class path."""
+def kafka_records(
+    spark: SparkSession, servers: str, topic: str, streaming: bool, starting: str = "earliest", started_at=None, **options: str
+) -> DataFrame:
+    """Topic values with the broker time; needs the Kafka connector on the class path.
+
+    ``starting`` is ``earliest``, ``latest`` or offsets as JSON; a time in ``started_at`` starts every
+    partition there instead. The checkpoint keeps the position from then on. ``options`` go to the connector.
+    """
     reader = (spark.readStream if streaming else spark.read).format("kafka")
-    raw = reader.option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", starting)
+    raw = reader.options(**kafka_options(servers, topic, starting, started_at, **options))
     return raw.load().select(F.col("value").cast("string").alias("value"), "timestamp")
 
 
+def kafka_options(servers: str, topic: str, starting: str = "earliest", started_at=None, **options: str) -> dict[str, str]:
+    position = {"startingOffsets": starting}
+    if started_at is not None:
+        millis = int(_utc(started_at).timestamp() * 1000)
+        position = {"startingTimestamp": str(millis), "startingOffsetsByTimestampStrategy": "latest"}
+    return {"kafka.bootstrap.servers": servers, "subscribe": topic, **position, **options}
+
+
+def _utc(at) -> datetime:
+    at = datetime.fromisoformat(at) if isinstance(at, str) else at
+    return at if at.tzinfo else at.replace(tzinfo=timezone.utc)
+
+
+def fixed_start(spark: SparkSession, checkpoint: str) -> str:
+    """When a query with this checkpoint folder first started: stored there once, the same after every restart."""
+    place = f"{checkpoint.rstrip('/')}/started_at"
+    try:
+        return spark.read.schema("at string").text(place).first()["at"]
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+    now = datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S.%f")
+    spark.createDataFrame([(now,)], "at string").coalesce(1).write.text(place)
+    return now
+
+
 def starting_from(records: DataFrame, starting: str, started_at=None) -> DataFrame:
-    """``earliest`` keeps everything, ``latest`` only what arrived since ``started_at``."""
+    """``earliest`` keeps everything, ``latest`` only what arrived since ``started_at``.
+
+    A stream needs that time: its own clock moves on with every batch (see ``fixed_start``).
+    """
     if starting == "earliest":
         return records
     if starting != "latest":
         raise ValueError(f"unknown starting position {starting!r}")
+    if started_at is None and records.isStreaming:
+        raise ValueError("a stream that starts at the latest record needs the time it started, or its checkpoint folder")
     since = F.current_timestamp() if started_at is None else instant(started_at)
     return records.filter(F.col("timestamp") >= since)
 
 
+def _started(spark: SparkSession, records: DataFrame, starting: str, started_at, checkpoint: str | None) -> DataFrame:
+    if starting == "latest" and started_at is None and checkpoint:
+        started_at = fixed_start(spark, checkpoint)
+    return starting_from(records, starting, started_at)
+
+
 def _decoded(records: DataFrame, schema: str, required: str) -> DataFrame:
     """Typed records; text that does not parse, or lacks the required field, is skipped."""
     doc = records.select(F.from_json("value", schema).alias("d"), "timestamp")
@@ -67,21 +113,28 @@ def parse_user_behavior(records: DataFrame) -> DataFrame:
 
 def read_competitor_prices(
     spark: SparkSession, path: str, streaming: bool = True, starting: str = "earliest", started_at=None,
-    files_per_batch: int | None = None,
+    files_per_batch: int | None = None, checkpoint: str | None = None,
 ) -> DataFrame:
+    """``starting="latest"`` skips what arrived before ``started_at``, or before the first start with ``checkpoint``."""
     records = file_records(spark, path, streaming, files_per_batch)
-    return parse_competitor_prices(starting_from(records, starting, started_at))
+    return parse_competitor_prices(_started(spark, records, starting, started_at, checkpoint))
 
 
 def read_user_behavior(
     spark: SparkSession, path: str, streaming: bool = True, starting: str = "earliest", started_at=None,
-    files_per_batch: int | None = None,
+    files_per_batch: int | None = None, checkpoint: str | None = None,
 ) -> DataFrame:
     records = file_records(spark, path, streaming, files_per_batch)
-    return parse_user_behavior(starting_from(records, starting, started_at))
+    return parse_user_behavior(_started(spark, records, starting, started_at, checkpoint))
 
 
-def read_changelog(spark: SparkSession, path: str, row: str, streaming: bool = False) -> DataFrame:
+def read_changelog(spark: SparkSession, path: str, row: str, streaming: bool = False, files_per_batch: int | None = None) -> DataFrame:
     """Captured changes of one table: operation, commit time, row before and after."""
-    records = file_records(spark, path, streaming)
+    records = file_records(spark, path, streaming, files_per_batch)
     return _decoded(records, schemas.change_event(row), "op").drop("timestamp")
+
+
+def read_table_changes(spark: SparkSession, path: str, streaming: bool = True, files_per_batch: int | None = None) -> DataFrame:
+    """Captured changes of several tables: the table, the row's key, operation, commit time, and the row after as JSON text."""
+    records = file_records(spark, path, streaming, files_per_batch)
+    return _decoded(records, "source string, row_key string, op string, op_ts timestamp, after string", "row_key").drop("timestamp")

@@ -1,0 +1,7 @@
+"""Streaming jobs. Their state processors travel with the jobs by value, so executors need no copy of this package."""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

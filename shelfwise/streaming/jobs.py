@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from shelfwise.config import DEFAULTS, Settings
-from shelfwise.functions.columns import tumbling
+from shelfwise.functions.columns import instant, pct_of, tumbling
 from shelfwise.operators import behavior, demand, prices, signals
-from shelfwise.sinks.tables import KeyedTable
-from shelfwise.streaming.ordered import stream_low_24h, stream_previous_price
+from shelfwise.sinks.tables import KeyedTable, append
+from shelfwise.streaming import updating
+from shelfwise.streaming.ordered import stream_priced_pairs
 
 BatchOp = Callable[[DataFrame], DataFrame]
 BatchSink = Callable[[DataFrame, int], None]
@@ -124,6 +125,141 @@ def stream_demand_vs_signals(behavior_stream: DataFrame, signal_stream: DataFram
     )
 
 
+def signals_of(batch: DataFrame, products: DimReader, competitors: DimReader, as_of, settings: Settings = DEFAULTS) -> DataFrame:
+    """Signals of all four rules of a micro-batch of ``stream_priced_pairs`` rows, the newest per pair and kind."""
+    joined = enrich_batch(batch, products, competitors)
+    return signals.newest_per_key(signals.emit(joined, *signals.cases(as_of, settings).values()))
+
+
+SIGNAL_ORDER = ("signal_timestamp", "competitor_price", "in_stock")
+
+
+def signals_job(
+    stream: DataFrame, products: DimReader, competitors: DimReader, table: KeyedTable, movements: str, checkpoint: str, as_of,
+    settings: Settings = DEFAULTS, trigger: str | None = "10 seconds",
+) -> StreamingQuery:
+    """Prices to signals and movements: one read, one state per pair, one table of current signals.
+
+    ``table`` is keyed by ``signals.SIGNAL_KEY`` and ordered by ``SIGNAL_ORDER``; ``movements`` is an append path.
+    """
+    moves = lambda b: price_movements_of(b, products, competitors, settings)
+    found = lambda b: signals_of(b, products, competitors, as_of, settings)
+    outputs = [(found, upsert_sink(table, "signals")), (moves, lambda df, batch_id: append(df, movements, batch_id))]
+    return start(stream_priced_pairs(stream), fan_out(outputs), checkpoint, trigger)
+
+
+def summary_of(batch: DataFrame, products: DimReader, competitors: DimReader, as_of) -> DataFrame:
+    """Market summary rows of a micro-batch of ``stream_cheapest`` rows."""
+    theirs = competitors().select("code", F.col("id").alias("cheapest_competitor_id"))
+    ours = products().select(F.col("sku").alias("product_sku"), F.col("current_price").alias("platform_price"))
+    gap = pct_of(F.col("platform_price") - F.col("price"), F.col("platform_price"))
+    # a cheapest competitor without a dimension row withdraws the product's summary
+    return batch.join(theirs, F.col("competitor_code") == F.col("code"), "left").join(ours, "product_sku").select(
+        "product_sku",
+        "cheapest_competitor_id",
+        F.col("price").alias("cheapest_price"),
+        "platform_price",
+        gap.try_cast("decimal(6,2)").alias("gap_pct"),
+        "competitor_count",
+        "in_stock_competitor_count",
+        instant(as_of).alias("summary_timestamp"),
+        "version",
+        F.col("cheapest_competitor_id").isNull().alias("deleted"),
+    )
+
+
+def summary_table(path: str) -> KeyedTable:
+    return KeyedTable(path, ("product_sku",), ("version",), deleted="deleted")
+
+
+def summary_job(
+    stream: DataFrame, products: DimReader, competitors: DimReader, table: KeyedTable, checkpoint: str, as_of, trigger: str | None = "30 seconds"
+) -> StreamingQuery:
+    """Prices to one market summary per product, a former cheapest taken back when it gets dearer."""
+    write = lambda b, batch_id: table.upsert(summary_of(b, products, competitors, as_of), batch_id, "summary")
+    return start(updating.stream_cheapest(stream), write, checkpoint, trigger, mode="update")
+
+
+def pair_signals_of(batch: DataFrame, competitors: DimReader, settings: Settings = DEFAULTS) -> DataFrame:
+    """For each pair of a ``stream_repriced_pairs`` batch and each row rule its signal, or a withdrawal where the rule no longer holds."""
+    theirs = competitors().select("code", F.col("id").alias("competitor_id"))
+    joined = batch.join(theirs, F.lower("competitor_name") == F.col("code")).drop("code")
+    cases = signals.row_cases(settings)
+    holds = F.array(*[F.struct(F.lit(k).alias("kind"), F.when(cond, row).alias("row")) for k, (cond, row) in cases.items()])
+    each = joined.withColumn("_c", F.explode(holds))
+    return each.select(
+        "product_sku",
+        "competitor_id",
+        F.col("_c.kind").alias("signal_type"),
+        *[F.col(f"_c.row.{c}").alias(c) for c in ("platform_price", "competitor_price", "percentage_diff", "recommendation", "priority")],
+        "in_stock",
+        F.col("event_time").alias("signal_timestamp"),
+        F.lit(True).alias("is_active"),
+        "version",
+        F.col("_c.row").isNull().alias("deleted"),
+    )
+
+
+def pair_signals_table(path: str) -> KeyedTable:
+    return KeyedTable(path, tuple(signals.SIGNAL_KEY), ("version",), deleted="deleted")
+
+
+def pair_signals_job(
+    stream: DataFrame, changes: DataFrame, competitors: DimReader, table: KeyedTable, checkpoint: str, settings: Settings = DEFAULTS,
+    trigger: str | None = "10 seconds",
+) -> StreamingQuery:
+    """Signals of every pair's latest price, re-evaluated when its product changes."""
+    write = lambda b, batch_id: table.upsert(pair_signals_of(b, competitors, settings), batch_id, "pairs")
+    return start(updating.stream_repriced_pairs(stream, changes), write, checkpoint, trigger, mode="update")
+
+
+def dims_job(changes: DataFrame, tables: dict[str, tuple[KeyedTable, str]], checkpoint: str, trigger: str | None = "10 seconds") -> StreamingQuery:
+    """One stream of changes of several tables to their keyed dimensions.
+
+    ``changes`` as ``updating.stream_newest_changes`` takes them; ``tables`` gives each source's dimension and the DDL of its
+    rows. Deletes leave tombstones, and an older change that arrives late changes nothing.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        try:
+            for source, (table, ddl) in tables.items():
+                own = batch.filter(F.col("source") == source)
+                row = F.from_json("after", ddl)
+                parsed = own.select("row_key", row.alias("r"), F.timestamp_micros("at").alias("op_ts"), (F.col("rank") == 2).alias("deleted"))
+                table.upsert(parsed.select("row_key", "r.*", "op_ts", "deleted"), batch_id, "dims")
+        finally:
+            batch.unpersist()
+
+    return start(updating.stream_newest_changes(changes), write, checkpoint, trigger, mode="update")
+
+
+def change_table(path: str) -> KeyedTable:
+    """A dimension that ``dims_job`` writes."""
+    return KeyedTable(path, ("row_key",), ("op_ts", "deleted"), deleted="deleted")
+
+
+def history_and_trends_job(
+    stream: DataFrame, competitors: DimReader, history: str, trends: KeyedTable, checkpoint: str, trigger: str | None = "10 seconds"
+) -> StreamingQuery:
+    """Price history and five-minute trends from one read of the source: appended, and upserted by window."""
+
+    def known(rows: DataFrame) -> DataFrame:
+        codes = competitors().select("code", F.col("id").alias("competitor_id"))
+        joined = updating.history_of(rows).join(codes, F.lower("competitor_name") == F.col("code"))
+        return joined.select("product_sku", "competitor_id", "price", "in_stock", "source_sku", "data_timestamp", "collection_timestamp")
+
+    outputs = [
+        (known, lambda df, batch_id: append(df, history, batch_id)),
+        (updating.trends_of, upsert_sink(trends, "trends")),
+    ]
+    return start(updating.stream_history_beside_trends(stream), fan_out(outputs), checkpoint, trigger)
+
+
+def trends_table(path: str) -> KeyedTable:
+    return KeyedTable(path, ("product_sku", "competitor_name", "window_start"), ("window_end",))
+
+
 def upsert_sink(table: KeyedTable, writer: str = "main") -> BatchSink:
     """Upserts under the job's own name; every job that writes to a table needs another one."""
     return lambda df, batch_id: table.upsert(df, batch_id, writer)

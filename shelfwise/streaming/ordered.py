@@ -1,7 +1,7 @@
 """Event-time ordered state per (sku, competitor): previous price and 24-hour minimum.
 
-Rows wait in list state until the watermark has passed them, then leave in time order. The
-same ties break as in the batch operators, so both give the same rows.
+Rows wait in map state, by the minute of their time, until the watermark has passed them, then
+leave in time order. The same ties break as in the batch operators, so both give the same rows.
 """
 
 from __future__ import annotations
@@ -18,92 +18,114 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 KEY = ["product_sku", "competitor_name"]
 ROW = ["at", "api_ms", "source_sku", "cents", "in_stock"]
 ROW_DDL = "at bigint, api_ms bigint, source_sku string, cents bigint, in_stock boolean"
-OUT_DDL = f"product_sku string, competitor_name string, {ROW_DDL}, extra bigint"
+CHUNK_DDL = "at array<bigint>, api_ms array<bigint>, source_sku array<string>, cents array<bigint>, in_stock array<boolean>"
+OUT_DDL = f"product_sku string, competitor_name string, {ROW_DDL}, previous bigint, low bigint"
+MINUTE = 60_000_000
 DAY = 24 * 3600 * 1_000_000
 
 
-class OrderedPrices(StatefulProcessor):
-    """Buffer until the watermark passes, then hand rows to ``emit`` in order."""
+class PricedPairs(StatefulProcessor):
+    """Every closed price of a pair with the price before it and the lowest price of the 24 hours up to it.
+
+    ``pending`` holds chunks of rows by (minute, number), ``parts`` the number of chunks of each
+    waiting minute. A minute has one timer, at its first row that still waits. When a timer of a
+    pair is due, all due minutes leave at once and its other due timers find them gone, so a row
+    is written once, read once and handed on once, however many wait.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getListState("pending", ROW_DDL)
-        self.memory = handle.getListState("memory", "at bigint, cents bigint")
+        self.pending = handle.getMapState("pending", "minute bigint, part bigint", CHUNK_DDL)
+        self.parts = handle.getMapState("parts", "minute bigint", "n bigint, first bigint")
+        self.memory = handle.getValueState("memory", "previous bigint, at array<bigint>, cents array<bigint>")
+        self.done: dict[Any, int] = {}
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        expiries: set[int] = set()
-        fresh: list[tuple] = []
+        by_minute: dict[int, list[tuple]] = {}
         for batch in rows:
-            fresh.extend(batch[ROW].itertuples(index=False, name=None))
-        for row in fresh:
-            expiries.add(int(row[0]) // 1000 + 1)
-        self.pending.appendList([tuple(_plain(v) for v in row) for row in fresh])
-        for at in expiries:
-            self.handle.registerTimer(at)
+            columns = [batch[c].tolist() for c in ROW]
+            for row in zip(*columns):
+                by_minute.setdefault(int(row[0]) // MINUTE, []).append(row)
+        for minute, fresh in by_minute.items():
+            self._keep(minute, fresh)
         return iter(())
 
+    def _keep(self, minute: int, rows: list[tuple]) -> None:
+        """Put rows by, with a timer unless an earlier row of the minute has one."""
+        n, first = self.parts.getValue((minute,)) if self.parts.containsKey((minute,)) else (0, None)
+        self.pending.updateValue((minute, n), tuple([_plain(r[j]) for r in rows] for j in range(len(ROW))))
+        least = min(int(r[0]) for r in rows)
+        if first is None or least < first:
+            self.handle.registerTimer(least // 1000 + 1)
+            first = least
+        self.parts.updateValue((minute,), (n + 1, first))
+
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        limit = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()) * 1000
-        waiting = list(self.pending.get())
-        ready = sorted(r for r in waiting if r[0] < limit)
-        if not ready:
+        limit = timerValues.getCurrentWatermarkInMs() * 1000
+        if self.done.get(key) == limit:
             return
-        later = [tuple(r) for r in waiting if r[0] >= limit]
-        self.pending.clear()
-        if later:
-            self.pending.put(later)
-        memory = [tuple(m) for m in self.memory.get()] if self.memory.exists() else []
-        extra, memory = self.emit(ready, memory)
-        self.memory.clear()
-        if memory:
-            self.memory.put(memory)
-        out = pd.DataFrame([tuple(r) for r in ready], columns=ROW)
+        self.done[key] = limit
+        due = sorted((int(k[0]), int(v[0])) for k, v in self.parts.iterator() if int(v[1]) < limit)
+        if not due:
+            return
+        ready: list[tuple] = []
+        for minute, n in due:
+            rows: list[tuple] = []
+            for part in range(n):
+                rows += zip(*self.pending.getValue((minute, part)))
+                self.pending.removeKey((minute, part))
+            self.parts.removeKey((minute,))
+            ready += sorted((r for r in rows if r[0] < limit), key=_order)
+            if later := [r for r in rows if r[0] >= limit]:
+                self._keep(minute, later)
+        previous, at, cents = self.memory.get() if self.memory.exists() else (None, [], [])
+        before = [previous, *(r[3] for r in ready[:-1])]
+        window = deque(zip(at, cents))
+        lows = _day_lows(ready, window)
+        self.memory.update((ready[-1][3], [w[0] for w in window], [w[1] for w in window]))
+        out = pd.DataFrame(ready, columns=ROW)
         out.insert(0, KEY[1], key[1])
         out.insert(0, KEY[0], key[0])
-        out["extra"] = pd.array(extra, dtype="Int64")
+        out["previous"] = pd.array(before, dtype="Int64")
+        out["low"] = pd.array(lows, dtype="Int64")
         yield out
 
-    def emit(self, ready: list, memory: list[tuple[int, int]]) -> tuple[list, list[tuple[int, int]]]:
-        raise NotImplementedError
-
     def close(self) -> None:
         pass
 
 
 def _plain(value: Any) -> Any:
-    return value.item() if hasattr(value, "item") else value
-
-
-class PreviousPrice(OrderedPrices):
-    def emit(self, ready, memory):
-        before = memory[0][1] if memory else None
-        cents = [r[3] for r in ready]
-        return [before, *cents[:-1]], [(ready[-1][0], cents[-1])]
-
-
-class DayLow(OrderedPrices):
-    """Minimum over the last 24 hours; the memory is the increasing run of candidates."""
-
-    def emit(self, ready, memory):
-        window = deque(memory)
-        lows: list[int] = []
-        i = 0
-        while i < len(ready):
-            at, end = ready[i][0], i
-            while end < len(ready) and ready[end][0] == at:
-                end += 1
-            low = min(r[3] for r in ready[i:end])
-            while window and window[-1][1] >= low:
-                window.pop()
-            window.append((at, low))
-            while window[0][0] < at - DAY:
-                window.popleft()
-            lows.extend([window[0][1]] * (end - i))
-            i = end
-        return lows, list(window)
-
-
-def _ordered(stream: DataFrame, processor: OrderedPrices, out: str) -> DataFrame:
+    """A state value: a Python scalar, missing ones as None."""
+    value = value.item() if hasattr(value, "item") else value
+    return None if value != value else value
+
+
+def _order(row: tuple) -> tuple:
+    """Time, then the ties of the batch operators, nulls first."""
+    return tuple((v is not None, v if v is not None else 0) for v in row)
+
+
+def _day_lows(ready: list[tuple], window: deque) -> list[int]:
+    """Minimum over the last 24 hours of each row, peers included; ``window`` is the increasing run of candidates."""
+    lows: list[int] = []
+    i = 0
+    while i < len(ready):
+        at, end = ready[i][0], i
+        while end < len(ready) and ready[end][0] == at:
+            end += 1
+        low = min(r[3] for r in ready[i:end])
+        while window and window[-1][1] >= low:
+            window.pop()
+        window.append((at, low))
+        while window[0][0] < at - DAY:
+            window.popleft()
+        lows.extend([window[0][1]] * (end - i))
+        i = end
+    return lows
+
+
+def stream_priced_pairs(stream: DataFrame) -> DataFrame:
+    """Watermarked prices with ``previous_price`` and ``low_24h`` of the pair, each row once the watermark has passed it."""
     rows = stream.select(
         *KEY,
         F.unix_micros("event_time").alias("at"),
@@ -116,7 +138,7 @@ def _ordered(stream: DataFrame, processor: OrderedPrices, out: str) -> DataFrame
     money = lambda c: (F.col(c).cast("decimal(12,0)") / F.lit(100)).cast("decimal(10,2)")
     return (
         rows.groupBy(*KEY)
-        .transformWithStateInPandas(processor, OUT_DDL, outputMode="append", timeMode="EventTime")
+        .transformWithStateInPandas(PricedPairs(), OUT_DDL, outputMode="append", timeMode="EventTime")
         .select(
             *KEY,
             F.timestamp_micros("at").alias("event_time"),
@@ -124,16 +146,17 @@ def _ordered(stream: DataFrame, processor: OrderedPrices, out: str) -> DataFrame
             "source_sku",
             money("cents").alias("price"),
             "in_stock",
-            money("extra").alias(out),
+            money("previous").alias("previous_price"),
+            money("low").alias("low_24h"),
         )
     )
 
 
 def stream_previous_price(stream: DataFrame) -> DataFrame:
     """Watermarked prices with the previous price of the pair."""
-    return _ordered(stream, PreviousPrice(), "previous_price")
+    return stream_priced_pairs(stream).drop("low_24h")
 
 
 def stream_low_24h(stream: DataFrame) -> DataFrame:
     """Watermarked prices with the lowest price of the pair over 24 hours."""
-    return _ordered(stream, DayLow(), "low_24h")
+    return stream_priced_pairs(stream).drop("previous_price")
