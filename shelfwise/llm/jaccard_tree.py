@@ -21,7 +21,7 @@ BITS = (1024, 4096, 16_384, 65_536)
 FANOUT = 8
 #: Members of a tree whose bitmaps alone are held; shingles, and EACH more a set, of one whose sets are held.
 MEMBERS = 2048
-SHINGLES = 1 << 20
+SHINGLES = 1 << 22
 EACH = 256
 #: Buckets of the shingle counts that say which shingles are rare: a table of fixed size.
 BUCKETS = 1 << 16

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shelfwise.llm import quality_classifier, suffix_dedup, warc
+from shelfwise.llm import pii, quality_classifier, suffix_dedup, warc
 from shelfwise.llm.components import components
 from shelfwise.llm.decontaminate import benchmark_passages
 from shelfwise.llm.line_dedup import drop_boilerplate_lines, host_of
@@ -293,3 +293,66 @@ def test_short_boilerplate_lines(spark):
     docs = spark.createDataFrame([*pages, (400, "Rare\nx", "big"), (401, "Rare\ny", "big")], "doc_id long, text string, source string")
     got = {r["doc_id"]: r["text"] for r in drop_boilerplate_lines(docs).collect()}
     assert got[5] == "own 5\n\n " and got[201] == "own 1" and got[300] == "Home" and got[400] == "Rare\nx"
+
+
+def test_identifiers_of_long_tables(spark):
+    """A megabyte of numbers, and tens of thousands of identifiers in one text, in seconds."""
+    import time
+
+    rows = [(1, "12, " * 250_000), (2, "1.2.3.4 alpha " * 30_000), (3, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    begun = time.monotonic()
+    got = {r["doc_id"]: (r["n_ip"], r["n_card"]) for r in span_digest(personal_data(docs)).select("doc_id", "n_ip", "n_card").collect()}
+    assert got == {1: (0, 0), 2: (30_000, 0), 3: (0, 0)} and time.monotonic() - begun < 120
+
+
+def test_disclosure_shares(spark):
+    """Shares against a plain count over texts: around an identifier or its class, and once more right beside it."""
+    import math
+    import re
+    from collections import defaultdict
+
+    rng = random.Random(8)
+    names = [f"name{i}" for i in range(12)]
+    texts = []
+    for i in range(60):
+        words = [rng.choice(names) if rng.random() < 0.3 else f"word{rng.randrange(40)}" for _ in range(12)]
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            words.insert(rng.randrange(13), f"user{rng.randrange(6)}@site{rng.randrange(3)}.org")
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(99, texts[0])], "doc_id long, text string")
+    keyed = docs.select("text", F.xxhash64("text").alias("t1"), F.lit(0).alias("t2"))
+    found = keyed.withColumn("found", pii.base_spans(F.col("text")))
+    rated = pii.disclosing_terms(found, pii.terms_beside(found), generalise=0.6)
+    got = {(r["entity"], r["term"]): r["share"] for r in rated.collect()}
+
+    ne, nt, net, near = (defaultdict(set) for _ in range(4))
+    for k, text in enumerate(dict.fromkeys(texts)):
+        words = text.split()
+        mails = [j for j, w in enumerate(words) if "@" in w]
+        named = lambda j: [f"email:{words[j]}", f"email of {words[j].split('@')[1]}"]  # noqa: B023, E731
+        for j in mails:
+            for e in named(j):
+                ne[e].add(k)
+        for j, w in enumerate(words):
+            if j in mails:
+                for part in re.findall(r"[A-Za-z0-9]{3,}", w):
+                    nt[part].add(k)
+                continue
+            nt[w].add(k)
+            left, right = [m for m in mails if m < j][-1:], [m for m in mails if m > j][:1]
+            for m in left + right:
+                for e in named(m):
+                    net[e, w].add(k)
+                    if abs(m - j) == 1:
+                        near[e, w].add(k)
+    n = len(set(texts))
+    want = {}
+    for (e, t), held in net.items():
+        if len(ne[e]) < n:
+            weight = len(held) + len(near[e, t]) * min(1, math.log(n / len(nt[t])) / math.log(pii.RARE))
+            share = weight / (weight + 1) * math.log(len(held) * n / (len(ne[e]) * len(nt[t]))) / math.log(n / len(ne[e]))
+            if share >= 0.6:
+                want[e, t] = share
+    assert got.keys() == want.keys() and len(got) > 5
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
