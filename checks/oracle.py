@@ -573,6 +573,11 @@ SQL["latest_prices"] = f"""
 SELECT sku AS product_sku, rival_name AS competitor_name, {dollars('price', 'price')}, stock AS in_stock, tick AS event_time FROM newest"""
 SQL["upsert_latest"] = SQL["latest_prices"]
 SQL["insert_ignore"] = "SELECT sku AS product_sku, rival_name AS competitor_name, data_ms AS data_ts_ms FROM unique_quote"
+SQL["insert_once"] = f"""
+SELECT sku AS product_sku, rival_name AS competitor_name, data_ms AS data_ts_ms, {dollars('price', 'price')}, src AS source_sku, broker_ts AS kafka_ts
+FROM (SELECT *, row_number() OVER (PARTITION BY sku, rival_name, data_ms ORDER BY broker_ts, src, price) AS rn
+      FROM quote WHERE data_ms IS NOT NULL) WHERE rn = 1"""
+SQL["export_csv"] = SQL["competitor_price_history"]
 SQL["competitor_counts"] = """
 SELECT sku AS product_sku, rivals AS competitor_count, stocked_rivals AS in_stock_competitor_count FROM tally"""
 SQL["cheapest_competitor"] = f"""

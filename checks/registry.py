@@ -16,7 +16,7 @@ from shelfwise.operators import behavior, demand, dims, elasticity, forecast, in
 from shelfwise.plans import adjustments, competitors, demand_signals, overview, price_signals, price_trends
 from shelfwise.plans import elasticity as elasticity_reports
 from shelfwise.session import checkpoint_dir, configure_streaming
-from shelfwise.sinks.tables import KeyedTable, append, dimension, insert_ignore, publish_dim, read_dim
+from shelfwise.sinks.tables import KeyedTable, append, dimension, export_csv, insert_ignore, insert_table, publish_dim, read_dim
 from shelfwise.sources.retail import AS_OF, RetailStreams, RetailTables, sku_of
 from shelfwise.sources import streams
 from shelfwise.sources.tables import read_table
@@ -182,10 +182,11 @@ def _applied(t: RetailTables) -> proposals.Applied:
 
 
 def _decisions(t: RetailTables) -> DataFrame:
-    """A moderator's verdict per order that is still open."""
-    return t.raw("orders").filter(F.col("o_orderstatus") == "O").select(
+    """A moderator's verdict per order; none yet on orders that are not open."""
+    verdict = F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "approved").otherwise("rejected")
+    return t.raw("orders").select(
         F.col("o_orderkey").alias("id"),
-        F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "approved").otherwise("rejected").alias("status"),
+        F.when(F.col("o_orderstatus") == "O", verdict).alias("status"),
         F.when(F.col("o_orderpriority") != "5-LOW", F.lower("o_orderpriority")).alias("note"),
     )
 
@@ -232,6 +233,26 @@ def _inserted(t: RetailTables) -> DataFrame:
     return read_table(t.spark, path).select(keys)
 
 
+def _inserted_once(t: RetailTables) -> DataFrame:
+    """All price records into a table that keeps the first per key: two writers, one batch replayed, a compaction between."""
+    keys = ["product_sku", "competitor_name", "data_ts_ms"]
+    table = insert_table(_place(t), keys, ["kafka_ts", "source_sku", "price"])
+    rows = t.prices.select(*keys, "price", "source_sku", "kafka_ts").filter("data_ts_ms is not null")
+    cheap = F.col("price") < 950
+    table.upsert(rows.filter(cheap), 0, writer="cheap")
+    table.compact(t.spark, upto=0)
+    table.upsert(rows.filter(~cheap), 0, writer="dear")
+    table.upsert(rows.filter(cheap), 0, writer="cheap")
+    return table.read(t.spark)
+
+
+def _exported(t: RetailTables) -> DataFrame:
+    """The price history as CSV files, read back."""
+    path = _place(t)
+    export_csv(t.history, path)
+    return t.spark.read.option("header", True).schema(t.history.schema).csv(path)
+
+
 def _published(t: RetailTables) -> DataFrame:
     """Change events published to a keyed dimension in two batches, the newer half first, and read back."""
     table = dimension(_place(t), ["sku"])
@@ -633,6 +654,8 @@ QUERIES: dict[str, Query] = {
     # sinks: written, read back
     "upsert_latest": _upserted,
     "insert_ignore": _inserted,
+    "insert_once": _inserted_once,
+    "export_csv": _exported,
     "publish_dim": _published,
     # streaming
     "stream_price_trends": lambda t: _drained(t, lambda s: jobs.stream_price_trends(s.marked_prices)),

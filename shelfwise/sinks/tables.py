@@ -38,7 +38,9 @@ class KeyedTable:
     A batch writes only its own rows, however large the table is. Every writer has folders of its
     own, so jobs that count their batches alike do not meet; a batch counts once its success marker
     is there. The newest row per key is the one with the greatest ``order``; ``deleted`` names a
-    flag that removes the key.
+    flag that removes the key. With ``first`` the row with the least ``order`` stays for good: an
+    insert that ignores known keys, with nothing read before a write, safe to replay and for
+    several writers.
     """
 
     path: str
@@ -46,10 +48,12 @@ class KeyedTable:
     order: Sequence[str]
     deleted: str | None = None
     log: str = field(default="log")
+    first: bool = False
 
     def _newest(self, df: DataFrame) -> DataFrame:
         rest = [c for c in df.columns if c not in self.keys]
-        newest = F.max_by(F.struct(*rest), F.struct(*self.order)).alias("_r")
+        pick = F.min_by if self.first else F.max_by
+        newest = pick(F.struct(*rest), F.struct(*self.order)).alias("_r")
         return df.groupBy(*self.keys).agg(newest).select(*self.keys, "_r.*").select(*df.columns)
 
     def upsert(self, df: DataFrame, batch_id: int, writer: str = "main") -> None:
@@ -122,7 +126,10 @@ class KeyedTable:
 
 
 def insert_ignore(df: DataFrame, path: str, keys: Sequence[str]) -> None:
-    """Insert rows whose key is not stored yet; of equal new keys one row goes in."""
+    """Insert rows whose key is not stored yet; of equal new keys one row goes in.
+
+    For one writer and no replays: it looks keys up before it appends. ``insert_table`` needs neither.
+    """
     spark = df.sparkSession
     fresh = df.dropDuplicates(list(keys))
     if _exists(spark, f"{path}/*.parquet"):
@@ -130,6 +137,11 @@ def insert_ignore(df: DataFrame, path: str, keys: Sequence[str]) -> None:
     fresh.write.mode("append").parquet(path)
 
 
+def insert_table(path: str, keys: Sequence[str], order: Sequence[str]) -> KeyedTable:
+    """A table that keeps the first row of each key by ``order``, whoever writes it and however often."""
+    return KeyedTable(path, tuple(keys), tuple(order), first=True)
+
+
 def dimension(path: str, keys: Sequence[str]) -> KeyedTable:
     return KeyedTable(path, tuple(keys), ("op_ts", "deleted"), deleted="deleted")
 

@@ -109,3 +109,19 @@ def test_range_reaches_the_scan(spark, frame, folder):
     got = read_table(spark, f"{folder}/p", time_column="at", since="2024-01-02 00:00:00", until="2024-01-03 00:00:00")
     assert [r["k"] for r in got.collect()] == ["b"]
     assert "GreaterThan(at" in got._jdf.queryExecution().toString()
+
+
+def test_first_row_of_a_key_stays(spark, folder):
+    """Two writers and a replay, before and after a compaction: each key once, the first by order."""
+    from shelfwise.sinks.tables import insert_table
+
+    table = insert_table(f"{folder}/once", ["k"], ["at", "v"])
+    rows = lambda *r: spark.createDataFrame(list(r), "k string, at bigint, v string")
+    table.upsert(rows(("a", 5, "x"), ("b", 1, "y"), ("a", 7, "z")), 0, "one")
+    table.upsert(rows(("a", 3, "other"), ("c", 9, "w")), 0, "two")
+    want = {"a": "other", "b": "y", "c": "w"}
+    assert {r["k"]: r["v"] for r in table.read(spark).collect()} == want and table.read(spark).count() == 3
+    table.compact(spark, upto=0)
+    table.upsert(rows(("a", 5, "x"), ("b", 1, "y"), ("a", 7, "z")), 0, "one")
+    table.upsert(rows(("b", 2, "late")), 1, "two")
+    assert {r["k"]: r["v"] for r in table.read(spark).collect()} == want
