@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -42,39 +43,85 @@ def histogram(df: DataFrame, value: str, bins: int, by: Sequence[str] = ()) -> D
 
 
 ACCURACY = 10_000
+CELLS = 1_000
+SHRINK = CELLS / 4  # a round keeps three cells and the summaries' error of a bracket's rows
+AT_MOST = 10_000
 
 
-def exact_median(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
-    """Exact median per group without sorting a group in one task.
+def _narrowed(values: DataFrame, bracket: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Each group's bracket drawn closer around its ranks, from mergeable quantile summaries and counts.
 
-    A first pass brackets the middle: mergeable quantile summaries whose ranks are off by one in
-    ``ACCURACY`` at most. A second pass counts the values below the bracket and ranks only those
-    inside it, a few in ten thousand, however wild the others are.
+    A bracket is ``_lo`` and ``_hi``, values between which the rows of ranks ``_first`` and ``_last`` lie, ``_below`` the
+    rows under ``_lo``. Its rows' summary tells the cells the ranks fall in; a cell more on either side covers the
+    summary's error. A bracket of ``AT_MOST`` rows or fewer stays.
     """
-    values = _values(df, by, value)
-    slack = 3.0 / ACCURACY
-    rough = F.percentile_approx("_v", F.array(F.lit(0.5 - slack), F.lit(0.5 + slack)), ACCURACY)
-    bracket = values.groupBy(*by).agg(
-        rough.alias("_q"), F.count(F.lit(1)).alias("_total"), F.min("_v").alias("_min"), F.max("_v").alias("_max")
+    grid = F.expr("array(" + ", ".join(f"{i / CELLS}D" for i in range(CELLS + 1)) + ")")
+    summed = _inside(values, bracket, by).groupBy(*by).agg(
+        F.percentile_approx("_v", grid, ACCURACY).alias("_q"),
+        F.count(F.lit(1)).alias("_n"),
+        *[F.first(c).alias(c) for c in ("_lo", "_hi", "_below", "_first", "_last")],
     )
-    # a small group's summary may round to a neighbour of the middle, so it is ranked whole
-    few = F.col("_total") < ACCURACY
-    bracket = bracket.select(
+    cell = lambda rank: F.floor((F.col(rank) - F.col("_below")) / F.col("_n") * CELLS).cast("int")
+    left, right, few = cell("_first") - 1, cell("_last") + 2, F.col("_n") <= AT_MOST
+    edges = summed.select(
         *by,
-        "_total",
-        F.when(few, F.col("_min")).otherwise(F.col("_q")[0]).alias("_lo"),
-        F.when(few, F.col("_max")).otherwise(F.col("_q")[1]).alias("_hi"),
+        "_first",
+        "_last",
+        F.when(few | (left <= 0), F.col("_lo")).otherwise(F.col("_q")[F.greatest(left, F.lit(0))]).alias("_lo"),
+        F.when(few | (right >= CELLS), F.col("_hi")).otherwise(F.col("_q")[F.least(right, F.lit(CELLS))]).alias("_hi"),
+    )
+    under = F.count(F.when(F.col("_v") < F.col("_lo"), F.lit(1)))
+    below = values.join(edges, list(by)).groupBy(*by).agg(under.alias("_below"))
+    return edges.join(below, list(by))
+
+
+def _inside(values: DataFrame, bracket: DataFrame, by: Sequence[str]) -> DataFrame:
+    return values.join(bracket, list(by)).filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+
+
+def _at_ranks(df: DataFrame, by: Sequence[str], value: str, first: Column, last: Column) -> DataFrame:
+    """The values at two neighbouring ranks (expressions of the row count ``_total``) per group, as ``_a`` and ``_b``.
+
+    No group is ranked or sorted: a bracket around the ranks is narrowed until it holds ``AT_MOST`` rows beside repeats
+    of its two ends. How many rounds that takes follows from the largest group's size, the one number the driver reads.
+    Only counts of the different values in the last bracket meet in a row, so repeated values cost nothing.
+    """
+    values = _values(df, by, value)
+    sizes = values.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("_total"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
     )
-    placed = values.join(bracket, list(by)).filter(F.col("_v") <= F.col("_hi"))
-    below = F.col("_v") < F.col("_lo")
-    counts = placed.groupBy(*by, F.when(~below, F.col("_v")).alias("_v")).agg(
-        F.count(F.lit(1)).alias("_n"), F.first("_total").alias("_total")
+    largest = sizes.agg(F.max("_total")).first()[0] or 1
+    bracket = sizes.select(
+        *by, "_lo", "_hi", F.lit(0).cast("bigint").alias("_below"), first.cast("bigint").alias("_first"), last.cast("bigint").alias("_last")
     )
-    upto = Window.partitionBy(*by).orderBy(F.col("_v").asc_nulls_first())
-    ranked = counts.withColumn("_upto", F.sum("_n").over(upto))
-    after = F.col("_upto") - F.col("_n")
-    holds = lambda r: (after < r) & (F.col("_upto") >= r)
-    low_rank, high_rank = F.floor((F.col("_total") + 1) / 2), F.floor(F.col("_total") / 2) + 1
-    return ranked.groupBy(*by).agg(
-        ((F.max(F.when(holds(low_rank), F.col("_v"))) + F.max(F.when(holds(high_rank), F.col("_v")))) / 2).alias(out)
+    for _ in range(max(0, math.ceil(math.log(largest / AT_MOST, SHRINK)))):
+        bracket = _narrowed(values, bracket, by)
+    counts = _inside(values, bracket, by).groupBy(*by, "_v", "_first", "_last", "_below").agg(F.count(F.lit(1)).alias("_n"))
+    steps = counts.groupBy(*by, "_first", "_last", "_below").agg(
+        F.array_sort(F.collect_list(F.struct("_v", "_n"))).alias("_steps")
     )
+    unknown = F.lit(None).cast("double")
+    start = F.struct(F.col("_below").alias("upto"), unknown.alias("a"), unknown.alias("b"))
+
+    def advance(state: Column, step: Column) -> Column:
+        before = state["upto"]
+        return F.struct(
+            (before + step["_n"]).alias("upto"),
+            F.when(before < F.col("_first"), step["_v"]).otherwise(state["a"]).alias("a"),
+            F.when(before < F.col("_last"), step["_v"]).otherwise(state["b"]).alias("b"),
+        )
+
+    found = steps.withColumn("_f", F.aggregate("_steps", start, advance))
+    return found.select(*by, F.col("_f.a").alias("_a"), F.col("_f.b").alias("_b"))
+
+
+def exact_quantile(df: DataFrame, by: Sequence[str], value: str, q: float, out: str) -> DataFrame:
+    """The value of rank ``ceil(q * n)`` (1 at least) of each group, NULLs left out."""
+    rank = F.greatest(F.ceil(F.col("_total") * F.lit(q)), F.lit(1))
+    return _at_ranks(df, by, value, rank, rank).select(*by, F.col("_a").alias(out))
+
+
+def exact_median(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
+    """Exact median per group; the mean of the two middle values of an even number of rows."""
+    low, high = F.floor((F.col("_total") + 1) / 2), F.floor(F.col("_total") / 2) + 1
+    return _at_ranks(df, by, value, low, high).select(*by, ((F.col("_a") + F.col("_b")) / 2).alias(out))

@@ -1,11 +1,12 @@
+import math
 import random
 
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from shelfwise.functions import ordered
-from shelfwise.functions.distribution import exact_median, histogram
+from shelfwise.functions import distribution, ordered
+from shelfwise.functions.distribution import exact_median, exact_quantile, histogram
 
 DAY = 86400
 
@@ -71,6 +72,29 @@ def test_median(spark, n):
     assert exact_median(df, ["g"], "v", "m").first()["m"] == pytest.approx((s[(n - 1) // 2] + s[n // 2]) / 2)
 
 
+@pytest.mark.parametrize("q", [0.0, 0.013, 0.5, 0.9, 1.0])
+def test_quantile_narrows_hot_groups_by_counts(spark, q):
+    """One group holds most rows, half of them one value, the rest over wild magnitudes; two rounds are needed."""
+    wild = F.when(F.col("id") % 2 == 0, F.lit(3.5)).otherwise(F.pow(F.lit(10.0), (F.col("id") * 7919 % 99991) / 2000.0 - 25))
+    df = spark.range(60_000).select(F.when(F.col("id") % 1000 == 0, "small").otherwise("hot").alias("g"), wild.alias("v"))
+    found = exact_quantile(df, ["g"], "v", q, "m")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+    held = {}
+    for r in df.collect():
+        held.setdefault(r["g"], []).append(r["v"])
+    want = {g: sorted(v)[max(math.ceil(q * len(v)), 1) - 1] for g, v in held.items()}
+    assert {r["g"]: r["m"] for r in found.collect()} == want
+
+
+def test_quantile_rounds_do_not_depend_on_the_limit(spark, monkeypatch):
+    values = [random.Random(5).uniform(-9, 9) for _ in range(1)] * 700 + [random.Random(i).gauss(0, 5) for i in range(2300)]
+    df = spark.createDataFrame([("g", v) for v in values], "g string, v double")
+    plain = {q: exact_quantile(df, ["g"], "v", q, "m").first()["m"] for q in (0.1, 0.5)}
+    monkeypatch.setattr(distribution, "AT_MOST", 5)
+    assert {q: exact_quantile(df, ["g"], "v", q, "m").first()["m"] for q in (0.1, 0.5)} == plain
+
+
 def test_histogram(spark):
     df = spark.createDataFrame([("a", float(v)) for v in [0, 1, 2, 9, 10]] + [("b", 4.0), ("b", 4.0)], "g string, v double")
     got = {(r["g"], r["bin"]): r["rows"] for r in histogram(df, "v", 5, by=["g"]).collect()}
