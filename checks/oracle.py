@@ -612,6 +612,7 @@ SQL["new_observations"] = f"""
 SELECT sku, tick AS observed_at, {dollars('price', 'price')}, {big('demand', 'demand')} FROM priced p
 WHERE price > 0 AND NOT EXISTS (SELECT 1 FROM seen s WHERE s.sku = p.sku AND s.tick >= p.tick)"""
 SQL["price_elasticity"] = f"SELECT sku, {six('e', 'price_elasticity')}, n AS observations FROM slope"
+SQL["incremental_elasticity"] = SQL["price_elasticity"]
 SQL["sensitivity_labels"] = f"""
 SELECT sku, {six('e', 'price_elasticity')}, n AS observations, label AS price_sensitivity FROM labelled"""
 SQL["apply_sensitivity"] = f"""
@@ -888,6 +889,7 @@ SQL["price_gaps"] = f"""
 SELECT rival_id AS competitor_id, code AS competitor_name, rival AS competitor_full_name, category, sku AS product_sku,
        product AS product_name, {dollars('price', 'competitor_price')}, {dollars('ours', 'our_price')},
        {six('diff', 'price_diff_percent')}, stock AS in_stock, data_at AS data_timestamp FROM gap"""
+SQL["price_gaps_by_day"] = SQL["price_gaps"]
 SQL["competitor_kpis"] = f"""
 SELECT code AS competitor_name, any_value(rival) AS competitor_full_name, count(DISTINCT sku) AS products_tracked,
        {six('avg(diff)', 'avg_gap_pct')}, count(*) FILTER (diff <= -5) AS undercut_count,

@@ -12,14 +12,15 @@ from pyspark.sql import types as T
 
 from shelfwise import configure, schemas
 from shelfwise.config import DEFAULTS
+from shelfwise.functions.columns import ago
 from shelfwise.operators import behavior, demand, dims, elasticity, forecast, ingest, market, prices, proposals, signals
 from shelfwise.plans import adjustments, competitors, demand_signals, overview, price_signals, price_trends
 from shelfwise.plans import elasticity as elasticity_reports
 from shelfwise.session import checkpoint_dir, configure_streaming
-from shelfwise.sinks.tables import KeyedTable, append, dimension, export_csv, insert_ignore, insert_table, publish_dim, read_dim
+from shelfwise.sinks.tables import KeyedTable, append, append_by_day, dimension, export_csv, insert_ignore, insert_table, publish_dim, read_dim
 from shelfwise.sources.retail import AS_OF, RetailStreams, RetailTables, sku_of
 from shelfwise.sources import streams
-from shelfwise.sources.tables import read_table
+from shelfwise.sources.tables import read_lookback, read_table
 from shelfwise.streaming import jobs
 from shelfwise.streaming.ordered import stream_low_24h, stream_previous_price
 
@@ -246,6 +247,28 @@ def _inserted_once(t: RetailTables) -> DataFrame:
     return table.read(t.spark)
 
 
+def _slid_elasticity(t: RetailTables) -> DataFrame:
+    """The slopes as of now from a window of six hours ago: hours that came in added, hours that left taken away."""
+    ago_h = lambda h: ago(AS_OF, hours=h)
+    path = _place(t)
+    old = F.col("observed_at") < ago_h(6)
+    append_by_day(elasticity.hourly_moments(t.observations.filter(old)), path, "hour", 0)
+    append_by_day(elasticity.hourly_moments(t.observations.filter(~old)), path, "hour", 1)
+    hourly = read_lookback(t.spark, path, "hour", AS_OF, hours=79)
+    between = lambda *bounds: elasticity.moments_between(hourly, t.observations, *bounds)
+    window = between(ago_h(78), ago_h(6))
+    moved = elasticity.slide_moments(window, between(ago_h(6)), between(ago_h(78), ago_h(72)))
+    return elasticity.elasticity_of(moved)
+
+
+def _gaps_by_day(t: RetailTables) -> DataFrame:
+    """The two-day gap report on a history laid out by day."""
+    path = _place(t)
+    append_by_day(t.history, path, "data_timestamp", 0)
+    recent = read_lookback(t.spark, path, "data_timestamp", AS_OF, days=2)
+    return competitors.price_gaps(recent, *_dims(t), AS_OF, days=2)
+
+
 def _exported(t: RetailTables) -> DataFrame:
     """The price history as CSV files, read back."""
     path = _place(t)
@@ -505,6 +528,7 @@ QUERIES: dict[str, Query] = {
     "price_as_of": _candidates_ela,
     "new_observations": lambda t: elasticity.new_observations(_candidates_ela(t), t.observations),
     "price_elasticity": _estimates,
+    "incremental_elasticity": _slid_elasticity,
     "sensitivity_labels": lambda t: elasticity.label_estimates(_estimates(t)),
     "apply_sensitivity": lambda t: elasticity.apply_sensitivity(t.products, _estimates(t), AS_OF),
     "sensitivity_history_rows": lambda t: elasticity.sensitivity_history_rows(t.products, _estimates(t), AS_OF),
@@ -596,6 +620,7 @@ QUERIES: dict[str, Query] = {
     "competitor_signal_mix": lambda t: price_signals.competitor_signal_mix(_enriched(t)),
     "product_signal_history": lambda t: price_signals.product_signal_history(_enriched(t)),
     # competitor page
+    "price_gaps_by_day": _gaps_by_day,
     "price_gaps": lambda t: competitors.price_gaps(t.history, *_dims(t), AS_OF, days=2, ordered=True),
     "competitor_kpis": lambda t: competitors.competitor_kpis(_gaps(t)),
     "category_competitor_prices": lambda t: competitors.category_competitor_prices(_gaps(t)),

@@ -89,6 +89,68 @@ def price_elasticity(observations: DataFrame, as_of, settings: Settings = DEFAUL
     return fits.filter(usable).select("sku", "price_elasticity", "observations")
 
 
+_SUMS = ("n", "p", "d", "pp", "pd")
+
+
+def hourly_moments(observations: DataFrame) -> DataFrame:
+    """What a slope needs of each sku and hour: rows, sums of ln price and ln demand, of its square and of their product.
+
+    Logs are taken to twelve places as decimals, so sums are exact: they may be added and taken away in any order,
+    for years, and no error grows.
+    """
+    log = lambda c: F.ln(F.col(c).cast("double")).cast("decimal(16,12)")
+    logs = observations.filter((F.col("price") > 0) & (F.col("demand") > 0)).select(
+        "sku", F.date_trunc("hour", "observed_at").alias("hour"), log("price").alias("_p"), log("demand").alias("_d")
+    )
+    return logs.groupBy("sku", "hour").agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.sum(c).cast("decimal(38,12)").alias(n) for n, c in (("p", "_p"), ("d", "_d"))],
+        *[F.sum(c).cast("decimal(38,24)").alias(n) for n, c in (("pp", F.col("_p") * F.col("_p")), ("pd", F.col("_p") * F.col("_d")))],
+    )
+
+
+def merge_moments(moments: DataFrame, *keys: str) -> DataFrame:
+    """Moments with equal keys added up: of batches to an hour (``sku``, ``hour``), or of hours to a window (``sku``)."""
+    kinds = dict(moments.dtypes)
+    return moments.groupBy(*keys).agg(*[F.sum(c).cast(kinds[c]).alias(c) for c in _SUMS])
+
+
+def slide_moments(window: DataFrame, added: DataFrame, dropped: DataFrame) -> DataFrame:
+    """A window's moments per sku moved on: hours (or rows of a part of one) that came in, less those that left.
+
+    Only what changed is read, however long the window is. A sku with no rows left leaves.
+    """
+    less = dropped.select("sku", *[(-F.col(c)).cast(dict(dropped.dtypes)[c]).alias(c) for c in _SUMS])
+    parts = window.select("sku", *_SUMS).unionByName(added.select("sku", *_SUMS)).unionByName(less)
+    return merge_moments(parts, "sku").filter(F.col("n") > 0)
+
+
+def moments_between(hourly: DataFrame, observations: DataFrame, since, until=None) -> DataFrame:
+    """Moments per sku of rows in ``[since, until)``: whole hours from the stored sums, the two cut hours from rows.
+
+    ``hourly`` may hold an hour in several rows, one per batch. Both sides take plain ranges of time, which prune days.
+    """
+    start = instant(since)
+    first = F.date_trunc("hour", start)
+    first = F.when(first < start, first + F.expr("INTERVAL 1 HOUR")).otherwise(first)
+    whole, edges = F.col("hour") >= first, (F.col("observed_at") >= start) & (F.col("observed_at") < first)
+    if until is not None:
+        end = instant(until)
+        last = F.date_trunc("hour", end)
+        whole &= F.col("hour") < last
+        edges = (F.col("observed_at") >= start) & (F.col("observed_at") < end) & ((F.col("observed_at") < first) | (F.col("observed_at") >= last))
+    rows = hourly_moments(observations.filter(edges))
+    return merge_moments(hourly.filter(whole).select("sku", *_SUMS).unionByName(rows.select("sku", *_SUMS)), "sku")
+
+
+def elasticity_of(moments: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """Slopes per sku from a window's moments, by the rules of ``price_elasticity``."""
+    n, p, d, pp, pd = (F.col(c).cast("double") for c in _SUMS)
+    spread, together = pp / n - p / n * (p / n), pd / n - p / n * (d / n)
+    usable = (F.col("n") >= settings.elasticity_min_obs) & (spread > 1e-8)
+    return moments.filter(usable).select("sku", (together / spread).alias("price_elasticity"), F.col("n").cast("int").alias("observations"))
+
+
 def label_estimates(estimates: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     label = sensitivity_label(F.col("price_elasticity"), settings.high_sensitivity, settings.medium_sensitivity)
     return estimates.withColumn("price_sensitivity", label)

@@ -13,6 +13,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfwise.sources.tables import BATCH, DAY
+
 _FOLDED = "writer string, batch long"
 
 
@@ -24,6 +26,18 @@ def append(df: DataFrame, path: str, batch_id: int | None = None) -> None:
         df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
 
+def append_by_day(df: DataFrame, path: str, time_column: str, batch_id: int) -> None:
+    """Append a batch laid out by the day of ``time_column``; ``read_lookback`` then opens only the days it needs.
+
+    A batch that runs again overwrites its own folders of each day. A day's rows are dealt over as many writers as
+    their number asks for (AQE splits a large day), so a batch leaves few files a day.
+    """
+    dated = df.withColumn(DAY, F.to_date(time_column)).withColumn(BATCH, F.lit(batch_id))
+    dated.hint("rebalance", DAY).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        DAY, BATCH
+    ).parquet(path)
+
+
 def _exists(spark: SparkSession, pattern: str) -> list[str]:
     hadoop = spark._jvm.org.apache.hadoop.fs
     target = hadoop.Path(pattern)

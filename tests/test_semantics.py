@@ -1,5 +1,6 @@
 """Hand fixtures for the rules that tables of ordinary data rarely reach."""
 
+import datetime as dt
 import json
 import math
 from decimal import Decimal as D
@@ -211,6 +212,32 @@ def test_demand_baseline_is_the_recursive_average(frame):
     assert got["a"] == pytest.approx(level) and got["z"] == 1.0 and got["one"] == pytest.approx(36.0)
 
 
+def test_moments_slide_to_the_same_slopes_as_a_fit_of_all_rows(spark):
+    """A window moved ten times, cut inside hours, with a sku that leaves and one whose price never moves."""
+    rows = spark.range(20_000).select(
+        F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") < 3000, "gone").otherwise(F.concat(F.lit("s"), F.col("id") % 40)).alias("sku"),
+        (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(secs=(F.col("id") * 26).cast("decimal(18,6)"))).alias("observed_at"),
+        F.when(F.col("id") % 40 == 7, 50).otherwise(90 + F.col("id") * 17 % 23).cast("decimal(10,2)").alias("price"),
+        (F.col("id") * 31 % 101).cast("int").alias("demand"),
+    )
+    rows = rows.cache()
+    hourly = elasticity.hourly_moments(rows.filter("sku = 'hot'")).unionByName(elasticity.hourly_moments(rows.filter("sku <> 'hot'")))
+    hourly = hourly.cache()
+    between = lambda a, b: elasticity.moments_between(hourly, rows, str(a), str(b))
+    end, length, step = dt.datetime(2024, 1, 4, 0, 20), dt.timedelta(hours=48), dt.timedelta(minutes=437)
+    window = between(end - length, end)
+    for _ in range(4):
+        window = elasticity.slide_moments(window, between(end, end + step), between(end - length, end - length + step))
+        end += step
+    found = {r["sku"]: (r["price_elasticity"], r["observations"]) for r in elasticity.elasticity_of(window).collect()}
+    seen = rows.filter(F.col("observed_at") < F.lit(str(end)).cast("timestamp"))
+    whole = elasticity.price_elasticity(seen, str(end), Settings(elasticity_hours=48)).collect()
+    assert set(found) == {r["sku"] for r in whole} and "gone" not in found and "hot" in found
+    for r in whole:
+        assert found[r["sku"]][1] == r["observations"]
+        assert found[r["sku"]][0] == pytest.approx(r["price_elasticity"], abs=1e-8)
+
+
 FEATURE = "sku string;price double;cost double;min_viable_price double;elasticity double"
 
 

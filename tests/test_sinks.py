@@ -3,8 +3,9 @@ import glob
 from pyspark.sql import functions as F
 
 from shelfwise.operators import dims
+from shelfwise.sinks import tables
 from shelfwise.sinks.tables import KeyedTable, append, dimension, export_csv, insert_ignore, publish_dim, read_dim
-from shelfwise.sources.tables import read_table
+from shelfwise.sources.tables import read_lookback, read_table
 
 DDL = "k string;v bigint;at bigint"
 
@@ -125,3 +126,26 @@ def test_first_row_of_a_key_stays(spark, folder):
     table.upsert(rows(("a", 5, "x"), ("b", 1, "y"), ("a", 7, "z")), 0, "one")
     table.upsert(rows(("b", 2, "late")), 1, "two")
     assert {r["k"]: r["v"] for r in table.read(spark).collect()} == want
+
+
+def test_two_day_report_opens_two_of_thirty_days(spark, folder):
+    hours = spark.range(30 * 24).select(
+        (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(hours=F.col("id").cast("int"))).alias("at"),
+        F.col("id").alias("n"), F.lit(9).alias("stored"),
+    )
+    path = f"{folder}/t"
+    tables.append_by_day(hours.filter("n < 500"), path, "at", 0)
+    tables.append_by_day(hours.filter("n >= 500"), path, "at", 1)
+    tables.append_by_day(hours.filter("n >= 500"), path, "at", 1)  # a replay
+    recent = read_lookback(spark, path, "at", "2024-01-30 12:00:00", days=2)
+    assert sorted(r["n"] for r in recent.collect()) == list(range(27 * 24 + 12, 720))
+    assert recent.columns == ["at", "n", "stored"]
+    scan = recent._jdf.queryExecution().executedPlan().collectLeaves().head()
+    assert scan.metrics().apply("numFiles").value() == 3  # one file for each of the 28th, 29th and 30th
+    assert spark.read.parquet(path).count() == 720
+
+
+def test_lookback_of_rows_without_time(spark, folder):
+    rows = spark.createDataFrame([(1, None), (2, "2024-01-02 00:00:00")], "n int, at string").withColumn("at", F.col("at").cast("timestamp"))
+    tables.append_by_day(rows, folder + "/t", "at", 0)
+    assert [r["n"] for r in read_lookback(spark, folder + "/t", "at", "2024-01-03 00:00:00", days=5).collect()] == [2]
