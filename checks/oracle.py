@@ -651,6 +651,65 @@ WITH err AS (SELECT f.sku, f.rival_id, f.n, f.fold, avg(abs(t.after_p - b.after_
   JOIN lagged t ON t.sku = f.sku AND t.rival_id = f.rival_id AND t.rn > f.train AND t.rn <= f.upto
   WHERE f.train >= 6 GROUP BY ALL)
 SELECT sku AS product_sku, rival_id AS competitor_id, n AS n_samples, {six('avg(mae)', 'baseline_mae')} FROM err GROUP BY sku, rival_id, n"""
+# every part of every prefix summed anew; of nine sign patterns the valid one that costs least
+SQL["forecast_competitor_prices"] = f"""
+WITH s AS (SELECT sku, rival_id, rn, n, before_p - first_value(before_p) OVER o AS x, vol - first_value(vol) OVER o AS z,
+                  after_p - first_value(after_p) OVER o AS y, first_value(before_p) OVER o AS x0, first_value(vol) OVER o AS z0,
+                  first_value(after_p) OVER o AS y0
+           FROM lagged WHERE n >= 8 WINDOW o AS (PARTITION BY sku, rival_id ORDER BY rn)),
+series AS (SELECT sku, rival_id, n, any_value(x0) AS x0, any_value(z0) AS z0, any_value(y0) AS y0 FROM s GROUP BY ALL),
+prefix AS (SELECT sku, rival_id, n, k, n - k * (n // 6) AS len FROM series, (SELECT unnest(range(6)) AS k) WHERE n - k * (n // 6) > 5),
+part AS (SELECT *, len - j * (len // 6) AS upto, len // 6 AS step FROM prefix, (SELECT unnest(range(6)) AS j)),
+train AS (SELECT p.sku, p.rival_id, k, j, avg(x) AS mx, avg(z) AS mz, avg(y) AS my, var_pop(x) AS xx, var_pop(z) AS zz,
+                 covar_pop(x, z) AS xz, covar_pop(x, y) AS xy, covar_pop(z, y) AS zy
+          FROM part p JOIN s ON s.sku = p.sku AND s.rival_id = p.rival_id AND s.rn <= p.upto GROUP BY ALL),
+scale AS (SELECT sku, rival_id, k, CASE WHEN sqrt(xx) < 1e-9 THEN 1 ELSE sqrt(xx) END AS dx,
+                 CASE WHEN sqrt(zz) < 1e-9 THEN 1 ELSE sqrt(zz) END AS dz FROM train WHERE j = 0),
+stated AS (SELECT t.sku, t.rival_id, k, j, mx, mz, my, dx, dz, xx / (dx * dx) AS g, zz / (dz * dz) AS h, xz / (dx * dz) AS q,
+                  xy / dx AS c, zy / dz AS d FROM train t JOIN scale USING (sku, rival_id, k)),
+tried AS (SELECT *, CASE WHEN a = 0 THEN 0 WHEN b = 0 THEN CASE WHEN g > 1e-15 THEN (c - a * al) / g END
+                         WHEN g * h - q * q > 1e-12 * greatest(g * h, 1e-300)
+                           THEN (h * (c - a * al) - q * (d - b * al)) / (g * h - q * q) END AS u,
+                    CASE WHEN b = 0 THEN 0 WHEN a = 0 THEN CASE WHEN h > 1e-15 THEN (d - b * al) / h END
+                         WHEN g * h - q * q > 1e-12 * greatest(g * h, 1e-300)
+                           THEN (g * (d - b * al) - q * (c - a * al)) / (g * h - q * q) END AS v
+          FROM stated, (SELECT pow(10, -3 + 4 * unnest(range(30)) / 29) AS al), (SELECT unnest([0, 1, -1]) AS a),
+               (SELECT unnest([0, 1, -1]) AS b)),
+chosen AS (SELECT sku, rival_id, k, j, al, any_value(mx) AS mx, any_value(mz) AS mz, any_value(my) AS my,
+                  arg_min({{'u': u / dx, 'v': v / dz}}, (0.5 * (g * u * u + h * v * v) + q * u * v - c * u - d * v
+                                                       + al * (abs(u) + abs(v)), abs(a) + abs(b))) AS w
+           FROM tried WHERE (a = 0 OR u * a > 0) AND (b = 0 OR v * b > 0) GROUP BY ALL),
+fit AS (SELECT sku, rival_id, k, j, al, w.u AS u, w.v AS v, my - w.u * mx - w.v * mz AS b FROM chosen),
+tested AS (SELECT p.sku, p.rival_id, k, j, avg(x) AS x, avg(z) AS z, avg(y) AS y, avg(x * x) AS xx, avg(z * z) AS zz, avg(y * y) AS yy,
+                  avg(x * z) AS xz, avg(x * y) AS xy, avg(z * y) AS zy
+           FROM part p JOIN s ON s.sku = p.sku AND s.rival_id = p.rival_id AND s.rn > p.upto AND s.rn <= p.upto + p.step
+           WHERE j > 0 GROUP BY ALL),
+loss AS (SELECT f.sku, f.rival_id, k, al, list_sum(list(yy + u * u * xx + v * v * zz + 2 * u * v * xz - 2 * u * xy - 2 * v * zy
+                - 2 * b * (y - u * x - v * z) + b * b ORDER BY j)) AS e
+         FROM fit f JOIN tested USING (sku, rival_id, k, j) GROUP BY ALL),
+best AS (SELECT sku, rival_id, k, arg_min(al, (e, -al)) AS al FROM loss GROUP BY ALL),
+model AS (SELECT f.sku, f.rival_id, k, al, u, v, b FROM fit f JOIN best USING (sku, rival_id, k, al) WHERE j = 0),
+gone AS (SELECT p.sku, p.rival_id, p.k, t.y, t.y - (m.b + m.u * t.x + m.v * t.z) AS off, t.y - l.y AS still
+         FROM prefix p JOIN model m USING (sku, rival_id, k)
+         JOIN s l ON l.sku = p.sku AND l.rival_id = p.rival_id AND l.rn = p.len
+         JOIN s t ON t.sku = p.sku AND t.rival_id = p.rival_id AND t.rn > p.len AND t.rn <= p.len + p.n // 6 WHERE p.k > 0),
+by_fold AS (SELECT sku, rival_id, k, avg(abs(off)) AS mae, sqrt(avg(off * off)) AS rmse, avg(abs(still)) AS base,
+                 CASE WHEN count(*) > 1 THEN CASE WHEN var_pop(y) = 0 THEN CASE WHEN sum(off * off) = 0 THEN 1 ELSE 0 END
+                      ELSE 1 - avg(off * off) / var_pop(y) END END AS r2 FROM gone GROUP BY ALL),
+err AS (SELECT sku, rival_id, avg(mae) AS mae, avg(rmse) AS rmse, avg(r2) AS r2, avg(base) AS base FROM by_fold GROUP BY ALL),
+newest AS (SELECT sku, rival_id, arg_max(avg_p, w) AS p, arg_max(coalesce(vol, 0), w) AS z FROM hist5 GROUP BY ALL),
+rated AS (SELECT sku, rival_id, CASE WHEN coalesce(mae, 0) <> 0 AND coalesce(base, 0) <> 0 THEN greatest(0, least(1, 1 - mae / base)) END AS conf FROM err),
+ahead AS (SELECT l.sku, l.rival_id, l.p, coalesce(c.n, 0) AS n, al, mae, rmse, r2, base, conf,
+                 coalesce(y0 + (b + u * (l.p - x0) + v * (l.z - z0)), l.p) AS pred, al IS NOT NULL AS fitted
+          FROM newest l LEFT JOIN (SELECT sku, rival_id, count(*) AS n FROM lagged GROUP BY ALL) c USING (sku, rival_id)
+          LEFT JOIN series r USING (sku, rival_id) LEFT JOIN (SELECT * FROM model WHERE k = 0) m USING (sku, rival_id)
+          LEFT JOIN err USING (sku, rival_id) LEFT JOIN rated USING (sku, rival_id)),
+told AS (SELECT *, CASE WHEN fitted THEN pred - p END AS diff FROM ahead)
+SELECT sku, rival_id AS competitor_id, {big('1', 'horizon')}, {six(half_up('pred', 2), 'prediction')}, {six(half_up('p', 2), 'last_price')},
+       {big('n', 'n_samples')}, {six(half_up('al', 4), 'alpha')}, {six(half_up('mae', 4), 'cv_mae')}, {six(half_up('rmse', 4), 'cv_rmse')},
+       {six(half_up('r2', 3), 'cv_r2')}, {six(half_up('base', 4), 'baseline_mae')}, {six(half_up('conf', 4), 'confidence')},
+       coalesce(mae <= 0.5 AND conf >= 0.2, false) AS reliable, {six(half_up('diff', 4), 'pred_diff')},
+       {six(half_up('CASE WHEN p > 0 THEN diff / p WHEN fitted THEN 0 END', 4), 'pred_diff_pct')} FROM told"""
 SQL["score_reliability"] = f"""
 SELECT sku, rival_id AS competitor_id, {six('mae', 'cv_mae')}, {six('base', 'baseline_mae')},
        {six('CASE WHEN mae <> 0 THEN conf END', 'confidence')}, mae <> 0 AND good AS reliable FROM quality"""

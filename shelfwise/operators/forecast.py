@@ -1,29 +1,21 @@
 """Competitor price forecasts.
 
 History is reduced to five-minute windows first, so one (sku, competitor) series holds at
-most ``days * 288`` rows however many records it had. Everything but the penalised fit is
-DataFrame work; the fit runs per series in Arrow batches spread over the executors.
+most ``days * 288`` rows however many records it had. The penalised fit is columns too
+(``functions/penalised.py``): one shuffle by series, no Python.
 """
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise import schemas
 from shelfwise.config import DEFAULTS, Settings
 from shelfwise.functions.columns import ago, exact_avg, finite_or_null, instant, tumbling
-from shelfwise.functions.lasso import forecast_series
+from shelfwise.functions import penalised
 
 SERIES = ["product_sku", "competitor_id"]
-MAX_SPLITS = 5
-FORECAST_ARROW = pa.schema(
-    [("sku", pa.string()), ("competitor_id", pa.int64()), ("horizon", pa.int32())]
-    + [(c, pa.float64()) for c in ("prediction", "last_price")]
-    + [("n_samples", pa.int32())]
-    + [(c, pa.float64()) for c in ("alpha", "cv_mae", "cv_rmse", "cv_r2", "baseline_mae", "pred_diff", "pred_diff_pct")]
-)
+MAX_SPLITS = penalised.SPLITS
 
 
 def history_windows(history: DataFrame, as_of, days: int = DEFAULTS.forecast_days, minutes: int = 5) -> DataFrame:
@@ -127,13 +119,6 @@ def baseline_mae(features: DataFrame, min_rows: int = DEFAULTS.forecast_min_rows
     return per_fold.groupBy(*SERIES, "n_samples").agg(F.avg("mae").alias("baseline_mae"))
 
 
-def _fit_series(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    columns = {c: table[c].to_numpy() for c in ("window_end", "avg_price", "price_volatility", "lag_1", "target")}
-    row = forecast_series(columns, MAX_SPLITS)
-    row.update(sku=key[0].as_py(), competitor_id=key[1].as_py(), horizon=table["horizon"][0].as_py())
-    return pa.Table.from_pylist([row], schema=FORECAST_ARROW)
-
-
 def score_reliability(forecasts: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Confidence from the error against the baseline, and the reliability verdict.
 
@@ -148,13 +133,43 @@ def score_reliability(forecasts: DataFrame, settings: Settings = DEFAULTS) -> Da
     return scored.withColumn("reliable", F.coalesce(good, F.lit(False)))
 
 
+def fit_series(windows: DataFrame, settings: Settings = DEFAULTS, horizon: int = 1) -> DataFrame:
+    """Prediction and cross-validated errors per series; too few complete rows repeat the last average, errors NULL."""
+    # a series costs the same 900 small solutions however few bytes it has, so its tasks are not merged by size
+    tasks = int(windows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    series = _series_features(windows.repartition(tasks, *SERIES), horizon)
+    whole = F.col("lag_1").isNotNull() & F.col("target").isNotNull()
+    newest = F.max_by(F.struct("avg_price", "price_volatility"), "window_end").alias("now")
+    known = series.groupBy(*SERIES).agg(newest, F.count(F.when(whole, F.lit(1))).cast("int").alias("n_samples"))
+    rows = penalised.numbered(
+        series.filter(whole).select(
+            *SERIES, "window_end", F.col("lag_1").alias("x1"), F.col("price_volatility").alias("x2"), F.col("target").alias("y")
+        ),
+        SERIES,
+        "window_end",
+    ).filter(F.col("n") >= settings.forecast_min_rows)
+    models = penalised.evaluated(rows, SERIES)
+    last = F.col("now.avg_price")
+    ahead = penalised.predicted("fit", last, F.col("now.price_volatility"))
+    fitted = F.col("fit").isNotNull()
+    moved = F.when(fitted, F.col("prediction") - last)
+    return (
+        known.join(models, SERIES, "left")
+        .withColumn("prediction", F.when(fitted, ahead).otherwise(last))
+        .select(
+            F.col("product_sku").alias("sku"), "competitor_id", F.lit(horizon).alias("horizon"), "prediction",
+            last.alias("last_price"), "n_samples", F.col("fit.alpha").alias("alpha"), "cv_mae", "cv_rmse", "cv_r2", "baseline_mae",
+            moved.alias("pred_diff"), F.when(last > 0, moved / last).when(fitted, 0.0).alias("pred_diff_pct"),
+        )
+    )
+
+
 def forecast_competitor_prices(
     history: DataFrame, as_of, settings: Settings = DEFAULTS, horizon: int = 1, minutes: int = 5
 ) -> DataFrame:
     """Next-step forecast per (sku, competitor) with its cross-validated quality."""
     windows = history_windows(history, as_of, settings.forecast_days, minutes)
-    series = _series_features(windows, horizon).withColumn("horizon", F.lit(horizon))
-    fitted = series.groupBy(*SERIES).applyInArrow(_fit_series, schemas.FORECAST)
+    fitted = fit_series(windows, settings, horizon)
     digits = {
         "prediction": 2, "last_price": 2, "alpha": 4, "cv_mae": 4, "cv_rmse": 4, "cv_r2": 3,
         "baseline_mae": 4, "confidence": 4, "pred_diff": 4, "pred_diff_pct": 4,

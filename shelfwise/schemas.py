@@ -54,13 +54,6 @@ BEHAVIOR_SUMMARY = (
     "search_cart_rate double, cart_purchase_rate double, view_compare_rate double, avg_dwell_seconds double"
 )
 
-FORECAST = (
-    "sku string, competitor_id bigint, horizon int, prediction double, last_price double, n_samples int, "
-    "alpha double, cv_mae double, cv_rmse double, cv_r2 double, baseline_mae double, pred_diff double, "
-    "pred_diff_pct double"
-)
-
-
 def change_event(row: str) -> str:
     """Envelope of a captured row change: operation, commit time, row before and after."""
     return f"op string, op_ts timestamp, before struct<{row}>, after struct<{row}>"
