@@ -705,11 +705,11 @@ ahead AS (SELECT l.sku, l.rival_id, l.p, coalesce(c.n, 0) AS n, al, mae, rmse, r
           LEFT JOIN series r USING (sku, rival_id) LEFT JOIN (SELECT * FROM model WHERE k = 0) m USING (sku, rival_id)
           LEFT JOIN err USING (sku, rival_id) LEFT JOIN rated USING (sku, rival_id)),
 told AS (SELECT *, CASE WHEN fitted THEN pred - p END AS diff FROM ahead)
-SELECT sku, rival_id AS competitor_id, {big('1', 'horizon')}, {six(half_up('pred', 2), 'prediction')}, {six(half_up('p', 2), 'last_price')},
-       {big('n', 'n_samples')}, {six(half_up('al', 4), 'alpha')}, {six(half_up('mae', 4), 'cv_mae')}, {six(half_up('rmse', 4), 'cv_rmse')},
-       {six(half_up('r2', 3), 'cv_r2')}, {six(half_up('base', 4), 'baseline_mae')}, {six(half_up('conf', 4), 'confidence')},
-       coalesce(mae <= 0.5 AND conf >= 0.2, false) AS reliable, {six(half_up('diff', 4), 'pred_diff')},
-       {six(half_up('CASE WHEN p > 0 THEN diff / p WHEN fitted THEN 0 END', 4), 'pred_diff_pct')} FROM told"""
+SELECT sku, rival_id AS competitor_id, {big('1', 'horizon')}, {six(half_up(half_up('pred', 9), 2), 'prediction')}, {six(half_up(half_up('p', 9), 2), 'last_price')},
+       {big('n', 'n_samples')}, {six(half_up(half_up('al', 9), 4), 'alpha')}, {six(half_up(half_up('mae', 9), 4), 'cv_mae')}, {six(half_up(half_up('rmse', 9), 4), 'cv_rmse')},
+       {six(half_up(half_up('r2', 9), 3), 'cv_r2')}, {six(half_up(half_up('base', 9), 4), 'baseline_mae')}, {six(half_up(half_up('conf', 9), 4), 'confidence')},
+       coalesce(mae <= 0.5 AND conf >= 0.2, false) AS reliable, {six(half_up(half_up('diff', 9), 4), 'pred_diff')},
+       {six(half_up(half_up('CASE WHEN p > 0 THEN diff / p WHEN fitted THEN 0 END', 9), 4), 'pred_diff_pct')} FROM told"""
 SQL["score_reliability"] = f"""
 SELECT sku, rival_id AS competitor_id, {six('mae', 'cv_mae')}, {six('base', 'baseline_mae')},
        {six('CASE WHEN mae <> 0 THEN conf END', 'confidence')}, mae <> 0 AND good AS reliable FROM quality"""

@@ -175,7 +175,8 @@ def forecast_competitor_prices(
         "baseline_mae": 4, "confidence": 4, "pred_diff": 4, "pred_diff_pct": 4,
     }
     scored = score_reliability(fitted, settings)
-    rounded = {c: F.round(finite_or_null(F.col(c)), d) for c, d in digits.items()}
+    # first to nine places: a value halfway between two results is not decided by the last bit of a sum
+    rounded = {c: F.round(F.round(finite_or_null(F.col(c)), 9), d) for c, d in digits.items()}
     return scored.withColumns(rounded).select(
         "sku", "competitor_id", "horizon", "prediction", "last_price", "n_samples", "alpha", "cv_mae", "cv_rmse",
         "cv_r2", "baseline_mae", "confidence", "reliable", "pred_diff", "pred_diff_pct",
