@@ -135,7 +135,7 @@ def score_reliability(forecasts: DataFrame, settings: Settings = DEFAULTS) -> Da
 
 def fit_series(windows: DataFrame, settings: Settings = DEFAULTS, horizon: int = 1) -> DataFrame:
     """Prediction and cross-validated errors per series; too few complete rows repeat the last average, errors NULL."""
-    # a series costs the same 900 small solutions however few bytes it has, so its tasks are not merged by size
+    # a series costs the same 1,080 small solutions however few bytes it has, so its tasks are not merged by size
     tasks = int(windows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     series = _series_features(windows.repartition(tasks, *SERIES), horizon)
     whole = F.col("lag_1").isNotNull() & F.col("target").isNotNull()
