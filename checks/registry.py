@@ -294,6 +294,18 @@ def _messages(t: RetailTables, df: DataFrame) -> str:
     return path
 
 
+def _dealt(t: RetailTables, parts: list[DataFrame], path: str) -> int:
+    """Write parts as JSON lines, one after the other and each in as many files as it has tasks; the number of files of the first.
+
+    Files are read oldest first, so a stream that takes that many a batch has the first part in a batch of its own.
+    """
+    for k, part in enumerate(parts):
+        part.select(F.to_json(F.struct(*part.columns)).alias("value")).write.mode("append").text(path)
+        if k == 0:
+            first = len(t.spark.read.text(path).inputFiles())
+    return first
+
+
 def _read_prices(t: RetailTables, streaming: bool) -> DataFrame:
     """Prices as the stream reader decodes them, as one batch or by a query that takes what is there."""
     columns = ["product_sku", "competitor_name", "price", "in_stock", "source_sku", "api_collection_ts_ms"]
@@ -419,10 +431,9 @@ def _dim_changes(t: RetailTables) -> DataFrame:
 
 def _stream_dims(t: RetailTables) -> DataFrame:
     place = _place(t)
-    for part in _dim_changes(t):
-        part.select(F.to_json(F.struct(*part.columns)).alias("value")).coalesce(1).write.mode("append").text(f"{place}/changes")
+    files = _dealt(t, _dim_changes(t), f"{place}/changes")
     tables = {name: (jobs.change_table(f"{place}/{name}"), ddl) for name, ddl in DIM_ROWS.items()}
-    read = streams.read_table_changes(t.spark, f"{place}/changes", files_per_batch=1)
+    read = streams.read_table_changes(t.spark, f"{place}/changes", files_per_batch=files)
     _streamed(t, lambda s: jobs.dims_job(read, tables, f"{place}/checkpoint", trigger=None))
     shown = {
         "products": (F.col("current_price"), F.col("price_sensitivity")),

@@ -201,15 +201,15 @@ class NewestChange(StatefulProcessor):
 
 
 def stream_newest_changes(changes: DataFrame) -> DataFrame:
-    """Captured changes of several tables as (source, row_key, at, rank, after), the older of a row's changes left out.
+    """Captured changes of several tables as (source, row_key, at, rank, after): the newest of each row a batch touches, in update mode.
 
     ``changes``: source (the table), row_key, op, op_ts and after (JSON text). Commit times may come in any
-    order: a change that a newer one, or a delete, has overtaken is not passed on.
+    order: where a newer change, or a delete, came before, that one is given again. A running aggregate: rows
+    fold before they travel and no row passes through Python; ``NewestChange`` is the same for one key at a time.
     """
     rank = F.when(F.col("op") == "d", 2).when(F.col("op") == "u", 1).otherwise(0)
-    rows = changes.select("source", "row_key", F.unix_micros("op_ts").alias("at"), rank.alias("rank"), "after")
-    schema = "source string, row_key string, at bigint, rank int, after string"
-    return rows.groupBy("source", "row_key").transformWithStateInPandas(NewestChange(), schema, outputMode="update", timeMode="None")
+    newest = F.max(F.struct(F.unix_micros("op_ts").alias("at"), rank.alias("rank"), "after")).alias("r")
+    return changes.groupBy("source", "row_key").agg(newest).select("source", "row_key", "r.*")
 
 
 HISTORY = ["data_ms", "kafka_at", "source_sku", "cents", "in_stock", "api_ms"]
