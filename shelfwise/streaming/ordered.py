@@ -1,6 +1,6 @@
 """Event-time ordered state per (sku, competitor): previous price and 24-hour minimum.
 
-Rows wait in map state, by the minute of their time, until the watermark has passed them, then
+Rows wait in map state, the rows of a batch as one chunk, until the watermark has passed them, then
 leave in time order. The same ties break as in the batch operators, so both give the same rows.
 """
 
@@ -27,10 +27,11 @@ DAY = 24 * 3600 * 1_000_000
 class PricedPairs(StatefulProcessor):
     """Every closed price of a pair with the price before it and the lowest price of the 24 hours up to it.
 
-    ``pending`` holds chunks of rows by (minute, number), ``parts`` the number of chunks of each
-    waiting minute. A minute has one timer, at its first row that still waits. When a timer of a
-    pair is due, all due minutes leave at once and its other due timers find them gone, so a row
-    is written once, read once and handed on once, however many wait.
+    A call into the state costs far more than a row in it, so the rows of a batch are put by as one chunk with one
+    timer, at the least of them. ``pending`` holds chunks by (minute of the chunk's first row, number), ``parts`` the
+    number of chunks of each minute. When a timer of a pair is due, all chunks that begin under the watermark are
+    read at once and its other due timers find them gone. What is left of them, which lies within the watermark's delay
+    unless a batch runs ahead, waits on by the minute: a row is written twice and read twice, however many wait.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -41,20 +42,18 @@ class PricedPairs(StatefulProcessor):
         self.done: dict[Any, int] = {}
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        by_minute: dict[int, list[tuple]] = {}
+        fresh: list[tuple] = []
         for batch in rows:
-            columns = [batch[c].tolist() for c in ROW]
-            for row in zip(*columns):
-                by_minute.setdefault(int(row[0]) // MINUTE, []).append(row)
-        for minute, fresh in by_minute.items():
-            self._keep(minute, fresh)
+            fresh += zip(*(map(_plain, batch[c].tolist()) for c in ROW))
+        if fresh:
+            self._keep(min(r[0] for r in fresh) // MINUTE, fresh)
         return iter(())
 
     def _keep(self, minute: int, rows: list[tuple]) -> None:
         """Put rows by, with a timer unless an earlier row of the minute has one."""
-        n, first = self.parts.getValue((minute,)) if self.parts.containsKey((minute,)) else (0, None)
-        self.pending.updateValue((minute, n), tuple([_plain(r[j]) for r in rows] for j in range(len(ROW))))
-        least = min(int(r[0]) for r in rows)
+        n, first = self.parts.getValue((minute,)) or (0, None)
+        self.pending.updateValue((minute, n), tuple(list(c) for c in zip(*rows)))
+        least = min(r[0] for r in rows)
         if first is None or least < first:
             self.handle.registerTimer(least // 1000 + 1)
             first = least
@@ -68,27 +67,26 @@ class PricedPairs(StatefulProcessor):
         due = sorted((int(k[0]), int(v[0])) for k, v in self.parts.iterator() if int(v[1]) < limit)
         if not due:
             return
-        ready: list[tuple] = []
+        rows: list[tuple] = []
         for minute, n in due:
-            rows: list[tuple] = []
             for part in range(n):
                 rows += zip(*self.pending.getValue((minute, part)))
                 self.pending.removeKey((minute, part))
             self.parts.removeKey((minute,))
-            ready += sorted((r for r in rows if r[0] < limit), key=_order)
-            if later := [r for r in rows if r[0] >= limit]:
-                self._keep(minute, later)
-        previous, at, cents = self.memory.get() if self.memory.exists() else (None, [], [])
-        before = [previous, *(r[3] for r in ready[:-1])]
+        ready = sorted((r for r in rows if r[0] < limit), key=_order)
+        later: dict[int, list[tuple]] = {}
+        for r in rows:
+            if r[0] >= limit:
+                later.setdefault(r[0] // MINUTE, []).append(r)
+        for minute, rest in later.items():
+            self._keep(minute, rest)
+        previous, at, cents = self.memory.get() or (None, [], [])
         window = deque(zip(at, cents))
         lows = _day_lows(ready, window)
         self.memory.update((ready[-1][3], [w[0] for w in window], [w[1] for w in window]))
-        out = pd.DataFrame(ready, columns=ROW)
-        out.insert(0, KEY[1], key[1])
-        out.insert(0, KEY[0], key[0])
-        out["previous"] = pd.array(before, dtype="Int64")
-        out["low"] = pd.array(lows, dtype="Int64")
-        yield out
+        out = dict(zip(ROW, zip(*ready)))
+        before = pd.array([previous, *out["cents"][:-1]], dtype="Int64")
+        yield pd.DataFrame({KEY[0]: key[0], KEY[1]: key[1], **out, "previous": before, "low": pd.array(lows, dtype="Int64")})
 
     def close(self) -> None:
         pass
