@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from shelfwise.functions.columns import tumbling
 from shelfwise.streaming.ordered import _order, _plain
 
 LATEST = ["at", "api_ms", "source_sku", "cents", "in_stock"]
@@ -289,27 +290,31 @@ class HistoryBesideTrends(StatefulProcessor):
 
 
 def stream_history_beside_trends(stream: DataFrame) -> DataFrame:
-    """Rows of both kinds, told apart by ``is_history``, as the watermark closes their window; see ``history_of`` and ``trends_of``."""
-    timed = stream.select(
-        "product_sku",
-        "competitor_name",
-        F.unix_micros("event_time").alias("at"),
-        F.col("data_ts_ms").alias("data_ms"),
-        F.unix_micros("kafka_ts").alias("kafka_at"),
-        "source_sku",
-        (F.col("price") * 100).cast("bigint").alias("cents"),
-        "in_stock",
-        F.col("api_collection_ts_ms").alias("api_ms"),
-        "event_time",
-    )
-    return timed.groupBy("product_sku", "competitor_name").transformWithStateInPandas(
-        HistoryBesideTrends(), BESIDE_DDL, outputMode="append", timeMode="EventTime"
+    """Per pair, five-minute window and data time: the newest broker record and the moments of all records, once the watermark closes the window.
+
+    A watermarked aggregate: rows fold before they travel and none passes through Python. All rows of a window leave in
+    one batch, so ``history_of`` and ``trends_of`` read them as they are; ``HistoryBesideTrends`` is the same for one key at a time.
+    """
+    cents = (F.col("price") * 100).cast("bigint")
+    wide = cents.cast("decimal(19,0)")
+    at = F.unix_micros("event_time")
+    newest = F.max(F.struct(F.unix_micros("kafka_ts").alias("kafka_at"), "source_sku", cents.alias("cents"), "in_stock", F.col("api_collection_ts_ms").alias("api_ms")))
+    return (
+        stream.groupBy("product_sku", "competitor_name", tumbling(F.col("event_time")).alias("w"), F.col("data_ts_ms").alias("data_ms"))
+        .agg(
+            newest.alias("newest"),
+            F.count(cents).alias("n"),
+            F.sum(cents).alias("total"),
+            F.sum(wide * wide).alias("squares"),
+            F.min(F.struct(at.alias("at"), (-cents).alias("cents"))).alias("opened"),
+            F.max(F.struct(at.alias("at"), cents.alias("cents"))).alias("closed"),
+        )
     )
 
 
 def history_of(rows: DataFrame) -> DataFrame:
-    """Deduplicated price records among the rows of ``stream_history_beside_trends``."""
-    return rows.filter("is_history").select(
+    """Deduplicated price records of a batch of ``stream_history_beside_trends``."""
+    return rows.filter("data_ms is not null").select("product_sku", "competitor_name", "data_ms", "newest.*").select(
         "product_sku",
         "competitor_name",
         _money("cents").alias("price"),
@@ -321,16 +326,21 @@ def history_of(rows: DataFrame) -> DataFrame:
 
 
 def trends_of(rows: DataFrame) -> DataFrame:
-    """Five-minute trends among the rows of ``stream_history_beside_trends``."""
-    n, total = F.col("n").cast("decimal(20,0)"), F.col("total").cast("decimal(20,0)")
+    """Five-minute trends of a batch of ``stream_history_beside_trends``."""
+    whole = rows.groupBy("product_sku", "competitor_name", "w").agg(
+        *[F.sum(c).cast("decimal(38,0)").alias(c) for c in ("n", "total", "squares")], F.min("opened").alias("opened"), F.max("closed").alias("closed")
+    )
+    n, total, exact = F.col("n").cast("decimal(20,0)"), F.col("total").cast("decimal(20,0)"), F.col("total").cast("decimal(19,0)")
+    spread = (F.col("n").cast("decimal(10,0)") * F.col("squares").cast("decimal(27,0)") - exact * exact).cast("double")
     average = F.round(F.round(total / n / F.lit(100), 6), 2).cast("decimal(10,2)")
-    deviation = (F.round(F.sqrt("spread") / F.col("n")) / 100).try_cast("decimal(5,2)")
-    direction = F.when(F.col("opened") < F.col("closed"), "up").when(F.col("opened") > F.col("closed"), "down").otherwise("stable")
-    return rows.filter("not is_history").select(
+    deviation = (F.round(F.sqrt(F.greatest(spread, F.lit(0.0))) / F.col("n").cast("double")) / 100).try_cast("decimal(5,2)")
+    first, last = -F.col("opened.cents"), F.col("closed.cents")
+    direction = F.when(first < last, "up").when(first > last, "down").otherwise("stable")
+    return whole.select(
         "product_sku",
         "competitor_name",
-        F.timestamp_micros("window_at").alias("window_start"),
-        F.timestamp_micros(F.col("window_at") + F.lit(WINDOW)).alias("window_end"),
+        F.col("w.start").alias("window_start"),
+        F.col("w.end").alias("window_end"),
         average.alias("avg_price"),
         deviation.alias("price_volatility"),
         direction.alias("trend_direction"),
