@@ -286,10 +286,14 @@ def _published(t: RetailTables) -> DataFrame:
     return read_dim(t.spark, table).select("sku", "current_price", "in_stock", "op_ts")
 
 
+def _lines(df: DataFrame) -> DataFrame:
+    return df.select(F.to_json(F.struct(*df.columns)).alias("value"))
+
+
 def _messages(t: RetailTables, df: DataFrame) -> str:
     """Folder of JSON lines, one per row of ``df``, and of lines that are broken or no document."""
     path = _place(t)
-    df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.text(path)
+    _lines(df).write.text(path)
     t.spark.createDataFrame([("{broken",), ("no document",), ("{}",), ("",)], "value string").write.mode("append").text(path)
     return path
 
@@ -300,7 +304,7 @@ def _dealt(t: RetailTables, parts: list[DataFrame], path: str) -> int:
     Files are read oldest first, so a stream that takes that many a batch has the first part in a batch of its own.
     """
     for k, part in enumerate(parts):
-        part.select(F.to_json(F.struct(*part.columns)).alias("value")).write.mode("append").text(path)
+        _lines(part).write.mode("append").text(path)
         if k == 0:
             first = len(t.spark.read.text(path).inputFiles())
     return first
@@ -375,9 +379,8 @@ def _stream_market_summary(t: RetailTables) -> DataFrame:
     place, table = _place(t), jobs.summary_table(_place(t))
     columns = ["product_sku", "competitor_name", "price", "in_stock", "source_sku", "api_collection_ts_ms", "data_ts_ms"]
     halves = [t.prices.select(columns).filter(F.pmod(F.col("api_collection_ts_ms"), F.lit(2000)) == k) for k in (0, 1000)]
-    for half in halves:
-        half.select(F.to_json(F.struct(*columns)).alias("value")).coalesce(1).write.mode("append").text(f"{place}/in")
-    read = streams.read_competitor_prices(t.spark, f"{place}/in", files_per_batch=1)
+    files = _dealt(t, halves, f"{place}/in")
+    read = streams.read_competitor_prices(t.spark, f"{place}/in", files_per_batch=files)
     _streamed(t, lambda s: jobs.summary_job(read, _goods(t), _rivals(t), table, f"{place}/checkpoint", AS_OF, trigger=None))
     return table.read(t.spark).drop("version")
 
@@ -386,9 +389,8 @@ def _stream_pair_signals(t: RetailTables) -> DataFrame:
     """Prices in the first batch; product changes in two, the later ones after the prices."""
     place, table = _place(t), jobs.pair_signals_table(_place(t))
     changes, middle = t.product_changes, F.lit("2024-01-02 12:00:00").cast("timestamp")
-    for half in (changes.filter(F.col("op_ts") < middle), changes.filter(F.col("op_ts") >= middle)):
-        half.select(F.to_json(F.struct(*changes.columns)).alias("value")).coalesce(1).write.mode("append").text(f"{place}/changes")
-    read = streams.read_changelog(t.spark, f"{place}/changes", schemas.PRODUCT, streaming=True, files_per_batch=1)
+    files = _dealt(t, [changes.filter(F.col("op_ts") < middle), changes.filter(F.col("op_ts") >= middle)], f"{place}/changes")
+    read = streams.read_changelog(t.spark, f"{place}/changes", schemas.PRODUCT, streaming=True, files_per_batch=files)
     _streamed(t, lambda s: jobs.pair_signals_job(s.prices, read, _rivals(t), table, f"{place}/checkpoint", trigger=None))
     return table.read(t.spark).drop("version")
 

@@ -149,7 +149,7 @@ def signals_job(
 
 
 def summary_of(batch: DataFrame, products: DimReader, competitors: DimReader, as_of) -> DataFrame:
-    """Market summary rows of a micro-batch of ``stream_cheapest`` rows."""
+    """Market summary rows of ``updating.cheapest_of`` rows with a ``version``."""
     theirs = competitors().select("code", F.col("id").alias("cheapest_competitor_id"))
     ours = products().select(F.col("sku").alias("product_sku"), F.col("current_price").alias("platform_price"))
     gap = pct_of(F.col("platform_price") - F.col("price"), F.col("platform_price"))
@@ -175,13 +175,42 @@ def summary_table(path: str) -> KeyedTable:
 def summary_job(
     stream: DataFrame, products: DimReader, competitors: DimReader, table: KeyedTable, checkpoint: str, as_of, trigger: str | None = "30 seconds"
 ) -> StreamingQuery:
-    """Prices to one market summary per product, a former cheapest taken back when it gets dearer."""
-    write = lambda b, batch_id: table.upsert(summary_of(b, products, competitors, as_of), batch_id, "summary")
-    return start(updating.stream_cheapest(stream), write, checkpoint, trigger, mode="update")
+    """Prices to one market summary per product, a former cheapest taken back when it gets dearer.
+
+    The latest price of every pair is kept beside the summary; a batch writes those it touches, then the skus it touches
+    are summed up anew. A batch that runs again writes the same.
+    """
+    latest = KeyedTable(f"{table.path}/latest", ("product_sku", "competitor_name"), updating.LATEST)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        try:
+            kept(latest, batch, batch_id, "summary")
+            now = updating.cheapest_of(of_touched(latest, batch)).withColumn("version", F.lit(batch_id))
+            table.upsert(summary_of(now, products, competitors, as_of), batch_id, "summary")
+        finally:
+            batch.unpersist()
+
+    return start(updating.stream_latest_prices(stream), write, checkpoint, trigger, mode="update")
+
+
+COMPACT_EVERY = 50
+
+
+def kept(table: KeyedTable, rows: DataFrame, batch_id: int, writer: str) -> None:
+    """Upsert a batch into a job's own table, folded from time to time so that reading it costs the same however many batches ran."""
+    table.upsert(rows, batch_id, writer)
+    if batch_id % COMPACT_EVERY == COMPACT_EVERY - 1:
+        table.compact(rows.sparkSession, batch_id)
+
+
+def of_touched(table: KeyedTable, batch: DataFrame) -> DataFrame:
+    """Current rows of the skus that a batch touches."""
+    return table.read(batch.sparkSession).join(batch.select("product_sku").distinct(), "product_sku", "left_semi")
 
 
 def pair_signals_of(batch: DataFrame, competitors: DimReader, settings: Settings = DEFAULTS) -> DataFrame:
-    """For each pair of a ``stream_repriced_pairs`` batch and each row rule its signal, or a withdrawal where the rule no longer holds."""
+    """For each of ``updating.repriced_pairs_of`` with a ``version`` and each row rule its signal, or a withdrawal where the rule no longer holds."""
     theirs = competitors().select("code", F.col("id").alias("competitor_id"))
     joined = batch.join(theirs, F.lower("competitor_name") == F.col("code")).drop("code")
     cases = signals.row_cases(settings)
@@ -208,9 +237,25 @@ def pair_signals_job(
     stream: DataFrame, changes: DataFrame, competitors: DimReader, table: KeyedTable, checkpoint: str, settings: Settings = DEFAULTS,
     trigger: str | None = "10 seconds",
 ) -> StreamingQuery:
-    """Signals of every pair's latest price, re-evaluated when its product changes."""
-    write = lambda b, batch_id: table.upsert(pair_signals_of(b, competitors, settings), batch_id, "pairs")
-    return start(updating.stream_repriced_pairs(stream, changes), write, checkpoint, trigger, mode="update")
+    """Signals of every pair's latest price, re-evaluated when its product changes.
+
+    Latest prices and newest product rows are kept beside the signals; a batch writes those it touches, then all pairs
+    of the skus it touches are evaluated anew. A batch that runs again writes the same.
+    """
+    latest = KeyedTable(f"{table.path}/latest", ("product_sku", "competitor_name"), updating.LATEST)
+    goods = KeyedTable(f"{table.path}/products", ("product_sku",), updating.CHANGE)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        try:
+            kept(latest, batch.filter("not is_change").select("product_sku", "competitor_name", "price.*"), batch_id, "pairs")
+            kept(goods, batch.filter("is_change").select("product_sku", "product.*"), batch_id, "pairs")
+            now = updating.repriced_pairs_of(of_touched(latest, batch), of_touched(goods, batch)).withColumn("version", F.lit(batch_id))
+            table.upsert(pair_signals_of(now, competitors, settings), batch_id, "pairs")
+        finally:
+            batch.unpersist()
+
+    return start(updating.stream_prices_and_changes(stream, changes), write, checkpoint, trigger, mode="update")
 
 
 def dims_job(changes: DataFrame, tables: dict[str, tuple[KeyedTable, str]], checkpoint: str, trigger: str | None = "10 seconds") -> StreamingQuery:

@@ -71,21 +71,28 @@ class LatestPerCompetitor(StatefulProcessor):
         pass
 
 
-def stream_cheapest(stream: DataFrame) -> DataFrame:
-    """(product_sku, competitor_code, price, competitor_count, in_stock_competitor_count, version), in update mode."""
-    schema = "product_sku string, code string, cents bigint, n int, stocked int, version bigint"
-    found = _price_rows(stream).groupBy("product_sku").transformWithStateInPandas(LatestPerCompetitor(), schema, outputMode="update", timeMode="None")
-    return found.select(
-        "product_sku",
-        F.col("code").alias("competitor_code"),
-        _money("cents").alias("price"),
-        F.col("n").alias("competitor_count"),
-        F.col("stocked").alias("in_stock_competitor_count"),
-        "version",
+def stream_latest_prices(stream: DataFrame) -> DataFrame:
+    """Latest price (``LATEST``) of each pair a batch touches: a running aggregate, in update mode."""
+    newest = F.max(F.struct(*LATEST)).alias("r")
+    return _price_rows(stream).groupBy("product_sku", "competitor_name").agg(newest).select("product_sku", "competitor_name", "r.*")
+
+
+def cheapest_of(latest: DataFrame) -> DataFrame:
+    """(product_sku, competitor_code, price, competitor_count, in_stock_competitor_count) of the latest prices of skus' pairs."""
+    code = F.lower("competitor_name")
+    per_sku = latest.groupBy("product_sku").agg(
+        F.min(F.struct("cents", code.alias("code"))).alias("c"),
+        F.count(F.lit(1)).cast("int").alias("competitor_count"),
+        F.count(F.when(F.col("in_stock"), 1)).cast("int").alias("in_stock_competitor_count"),
+    )
+    return per_sku.select("product_sku", "c.*", "competitor_count", "in_stock_competitor_count").select(
+        "product_sku", F.col("code").alias("competitor_code"), _money("cents").alias("price"), "competitor_count", "in_stock_competitor_count"
     )
 
 
 PRODUCT = ["ours", "sensitivity", "we_stock", "is_active"]
+CHANGE = ["op_at", "rank", *PRODUCT]
+CHANGE_DDL = "op_at bigint, rank int, ours bigint, sensitivity string, we_stock boolean, is_active boolean"
 
 
 class RepricedPairs(StatefulProcessor):
@@ -97,7 +104,7 @@ class RepricedPairs(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.latest = handle.getMapState("latest", "competitor_name string", LATEST_DDL)
-        self.product = handle.getValueState("product", "op_at bigint, rank int, ours bigint, sensitivity string, we_stock boolean, is_active boolean")
+        self.product = handle.getValueState("product", CHANGE_DDL)
         self.version = handle.getValueState("version", "n bigint")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
@@ -138,24 +145,17 @@ class RepricedPairs(StatefulProcessor):
         pass
 
 
-def stream_repriced_pairs(stream: DataFrame, changes: DataFrame) -> DataFrame:
-    """Latest prices beside the newest product row, given again when either changes, in update mode.
+def stream_prices_and_changes(stream: DataFrame, changes: DataFrame) -> DataFrame:
+    """Of each pair and each product a batch touches its latest price or newest change, as (is_change, product_sku, competitor_name, price, product).
 
-    ``changes`` are captured changes of products (op, op_ts, before, after). A pair whose product was
-    deleted comes with null product fields. Rows carry a ``version`` that grows with each evaluation of a sku.
+    ``changes`` are captured changes of products (op, op_ts, before, after). One running aggregate over both, in update mode.
     """
-    none = lambda kind: F.lit(None).cast(kind)
-    prices = _price_rows(stream).withColumns(
-        {"op_at": none("bigint"), "rank": none("int"), "ours": none("bigint"), "sensitivity": none("string"), "we_stock": none("boolean"), "is_active": none("boolean")}
+    none = lambda ddl: F.lit(None).cast(ddl)
+    price, product = f"struct<{LATEST_DDL}>", f"struct<{CHANGE_DDL}>"
+    prices = _price_rows(stream).select(
+        F.lit(False).alias("is_change"), "product_sku", "competitor_name", F.struct(*LATEST).alias("price"), none(product).alias("product")
     )
-    products = changes.select(
-        F.coalesce("after.sku", "before.sku").alias("product_sku"),
-        none("string").alias("competitor_name"),
-        none("bigint").alias("at"),
-        none("bigint").alias("api_ms"),
-        none("string").alias("source_sku"),
-        none("bigint").alias("cents"),
-        none("boolean").alias("in_stock"),
+    newest = F.struct(
         F.unix_micros("op_ts").alias("op_at"),
         F.when(F.col("op") == "d", 2).when(F.col("op") == "u", 1).otherwise(0).alias("rank"),
         (F.col("after.current_price") * 100).cast("bigint").alias("ours"),
@@ -163,20 +163,30 @@ def stream_repriced_pairs(stream: DataFrame, changes: DataFrame) -> DataFrame:
         F.col("after.in_stock").alias("we_stock"),
         F.col("after.is_active").alias("is_active"),
     )
-    schema = f"product_sku string, competitor_name string, {LATEST_DDL}, ours bigint, sensitivity string, we_stock boolean, is_active boolean, version bigint"
+    products = changes.select(
+        F.lit(True).alias("is_change"),
+        F.coalesce("after.sku", "before.sku").alias("product_sku"),
+        none("string").alias("competitor_name"),
+        none(price).alias("price"),
+        newest.alias("product"),
+    )
     both = prices.unionByName(products)
-    found = both.groupBy("product_sku").transformWithStateInPandas(RepricedPairs(), schema, outputMode="update", timeMode="None")
-    return found.select(
+    return both.groupBy("is_change", "product_sku", "competitor_name").agg(F.max("price").alias("price"), F.max("product").alias("product"))
+
+
+def repriced_pairs_of(latest: DataFrame, products: DataFrame) -> DataFrame:
+    """Latest prices beside the newest product row; a pair whose product was deleted comes with null product fields."""
+    here = lambda column: F.when(F.col("rank") != 2, column)
+    return latest.join(products, "product_sku").select(
         "product_sku",
         "competitor_name",
         _money("cents").alias("price"),
         "in_stock",
         F.timestamp_micros("at").alias("event_time"),
-        _money("ours").alias("platform_price"),
-        F.col("sensitivity").alias("price_sensitivity"),
-        "we_stock",
-        "is_active",
-        "version",
+        here(_money("ours")).alias("platform_price"),
+        here(F.col("sensitivity")).alias("price_sensitivity"),
+        here(F.col("we_stock")).alias("we_stock"),
+        here(F.col("is_active")).alias("is_active"),
     )
 
 
