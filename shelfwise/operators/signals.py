@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.config import DEFAULTS, Settings
 from shelfwise.functions.columns import ago, by_sensitivity, pct_of, signal_priority
-from shelfwise.functions.ordered import ordered_lag, ordered_range_min
+from shelfwise.functions.ordered import HOUR, ordered_lag, ordered_range_min
 
 PAIR = ["product_sku", "competitor_name"]
 TIES = ["api_collection_ts_ms", "source_sku", "price"]
@@ -151,8 +151,12 @@ def stockout_signals(prices, products, competitors):
 
 
 def with_low_24h(joined: DataFrame) -> DataFrame:
-    """Lowest price of the pair over the preceding 24 hours, both ends included."""
-    return ordered_range_min(joined, PAIR, "event_time", "price", "low_24h")
+    """Lowest price of the pair over the preceding 24 hours, both ends included.
+
+    In buckets of a day: most pairs have few rows an hour, and a window costs per bucket more than per row. A hot
+    pair's day is one sort, which spills; no row waits in memory for it.
+    """
+    return ordered_range_min(joined, PAIR, "event_time", "price", "low_24h", bucket_seconds=24 * HOUR)
 
 
 def price_increase_signals(
