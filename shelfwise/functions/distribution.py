@@ -46,9 +46,10 @@ ACCURACY = 10_000
 CELLS = 1_000
 SHRINK = CELLS / 4  # a round keeps three cells and the summaries' error of a bracket's rows
 AT_MOST = 10_000
+FEW_GROUPS = 10_000
 
 
-def _narrowed(values: DataFrame, bracket: DataFrame, by: Sequence[str]) -> DataFrame:
+def _narrowed(values: DataFrame, bracket: DataFrame, by: Sequence[str], small: bool) -> DataFrame:
     """Each group's bracket drawn closer around its ranks, from mergeable quantile summaries and counts.
 
     A bracket is ``_lo`` and ``_hi``, values between which the rows of ranks ``_first`` and ``_last`` lie, ``_below`` the
@@ -56,7 +57,7 @@ def _narrowed(values: DataFrame, bracket: DataFrame, by: Sequence[str]) -> DataF
     summary's error. A bracket of ``AT_MOST`` rows or fewer stays.
     """
     grid = F.expr("array(" + ", ".join(f"{i / CELLS}D" for i in range(CELLS + 1)) + ")")
-    summed = _inside(values, bracket, by).groupBy(*by).agg(
+    summed = _inside(values, bracket, by, small).groupBy(*by).agg(
         F.percentile_approx("_v", grid, ACCURACY).alias("_q"),
         F.count(F.lit(1)).alias("_n"),
         *[F.first(c).alias(c) for c in ("_lo", "_hi", "_below", "_first", "_last")],
@@ -71,32 +72,39 @@ def _narrowed(values: DataFrame, bracket: DataFrame, by: Sequence[str]) -> DataF
         F.when(few | (right >= CELLS), F.col("_hi")).otherwise(F.col("_q")[F.least(right, F.lit(CELLS))]).alias("_hi"),
     )
     under = F.count(F.when(F.col("_v") < F.col("_lo"), F.lit(1)))
-    below = values.join(edges, list(by)).groupBy(*by).agg(under.alias("_below"))
+    below = _beside(values, edges, by, small).groupBy(*by).agg(under.alias("_below"))
     return edges.join(below, list(by))
 
 
-def _inside(values: DataFrame, bracket: DataFrame, by: Sequence[str]) -> DataFrame:
-    return values.join(bracket, list(by)).filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+def _beside(values: DataFrame, bracket: DataFrame, by: Sequence[str], small: bool) -> DataFrame:
+    """Rows beside their group's bracket. The brackets of few groups travel to the rows: a few large groups of rows would
+    meet in a few tasks."""
+    return values.join(F.broadcast(bracket) if small else bracket, list(by))
+
+
+def _inside(values: DataFrame, bracket: DataFrame, by: Sequence[str], small: bool) -> DataFrame:
+    return _beside(values, bracket, by, small).filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
 
 
 def _at_ranks(df: DataFrame, by: Sequence[str], value: str, first: Column, last: Column) -> DataFrame:
     """The values at two neighbouring ranks (expressions of the row count ``_total``) per group, as ``_a`` and ``_b``.
 
     No group is ranked or sorted: a bracket around the ranks is narrowed until it holds ``AT_MOST`` rows beside repeats
-    of its two ends. How many rounds that takes follows from the largest group's size, the one number the driver reads.
+    of its two ends. How many rounds that takes follows from the largest group's size; that and the number of groups are all the driver reads.
     Only counts of the different values in the last bracket meet in a row, so repeated values cost nothing.
     """
     values = _values(df, by, value)
     sizes = values.groupBy(*by).agg(
         F.count(F.lit(1)).alias("_total"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
     )
-    largest = sizes.agg(F.max("_total")).first()[0] or 1
+    largest, groups = sizes.agg(F.coalesce(F.max("_total"), F.lit(1)), F.count(F.lit(1))).first()
+    small = groups <= FEW_GROUPS
     bracket = sizes.select(
         *by, "_lo", "_hi", F.lit(0).cast("bigint").alias("_below"), first.cast("bigint").alias("_first"), last.cast("bigint").alias("_last")
     )
     for _ in range(max(0, math.ceil(math.log(largest / AT_MOST, SHRINK)))):
-        bracket = _narrowed(values, bracket, by)
-    counts = _inside(values, bracket, by).groupBy(*by, "_v", "_first", "_last", "_below").agg(F.count(F.lit(1)).alias("_n"))
+        bracket = _narrowed(values, bracket, by, small)
+    counts = _inside(values, bracket, by, small).groupBy(*by, "_v", "_first", "_last", "_below").agg(F.count(F.lit(1)).alias("_n"))
     steps = counts.groupBy(*by, "_first", "_last", "_below").agg(
         F.array_sort(F.collect_list(F.struct("_v", "_n"))).alias("_steps")
     )
