@@ -58,6 +58,11 @@ def with_dimensions(prices: DataFrame, products: DataFrame, competitors: DataFra
     )
 
 
+def of_known_competitors(prices: DataFrame, competitors: DataFrame) -> DataFrame:
+    """Rows whose competitor has a dimension row. It holds for whole pairs, so it may run before an ordered computation."""
+    return prices.join(competitors.select("code"), F.lower("competitor_name") == F.col("code"), "left_semi")
+
+
 def sellable() -> Column:
     return F.col("we_stock") & F.col("is_active")
 
@@ -221,7 +226,7 @@ def cases(as_of, settings: Settings = DEFAULTS) -> dict[str, Case]:
 
 def all_signals(prices, products, competitors, as_of, settings: Settings = DEFAULTS) -> DataFrame:
     """Every signal event of the four rules, from one scan and one pass over the joined rows."""
-    joined = with_dimensions(with_low_24h(prices), products, competitors)
+    joined = with_dimensions(with_low_24h(of_known_competitors(prices, competitors)), products, competitors)
     return emit(joined, *cases(as_of, settings).values())
 
 
@@ -233,9 +238,13 @@ def current_signals(prices, products, competitors, as_of, settings: Settings = D
     """
     rules = cases(as_of, settings)
     hit = F.struct("event_time", "price", "in_stock", "low_24h")
+    # the number leads the group because rows are sorted by it, and skus begin alike
     per_pair = (
-        with_dimensions(with_low_24h(prices), products, competitors)
-        .groupBy("product_sku", "competitor_id", "platform_price", "price_sensitivity")
+        with_dimensions(with_low_24h(of_known_competitors(prices, competitors)), products, competitors)
+        .groupBy(
+            F.xxhash64("product_sku", "competitor_id").alias("_hash"),
+            "product_sku", "competitor_id", "platform_price", "price_sensitivity",
+        )
         .agg(*[F.max(F.when(cond, hit)).alias(kind) for kind, (cond, _) in rules.items()])
     )
     found = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(kind).alias("hit")) for kind in rules])

@@ -8,6 +8,7 @@ computed in integer cents so that any engine gives the same values.
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,7 +31,8 @@ def sku_of(key: Column) -> Column:
 
 
 def money(cents: Column) -> Column:
-    return (cents.cast("decimal(12,0)") / F.lit(100)).cast("decimal(10,2)")
+    """Cents as money; a product of narrow decimals, which costs a fraction of a division."""
+    return (cents.cast("decimal(12,0)") * F.lit(Decimal("0.01"))).cast("decimal(10,2)")
 
 
 def at_minute(minutes: Column) -> Column:
@@ -54,7 +56,7 @@ class RetailTables:
     # ---- dimensions -------------------------------------------------------------
 
     @cached_property
-    def products(self) -> DataFrame:
+    def _families(self) -> DataFrame:
         family = self.raw("part").groupBy(F.expr("p_partkey div 10").alias("k")).agg(
             F.sum(F.round(F.col("p_retailprice") * 100).cast("bigint")).alias("total"),
             F.count(F.lit(1)).alias("variants"),
@@ -63,9 +65,13 @@ class RetailTables:
             F.max_by("p_type", "p_partkey").alias("category"),
             F.max_by("p_brand", "p_partkey").alias("brand"),
         )
+        return family.withColumn("cents", F.expr("total div variants"))
+
+    @cached_property
+    def products(self) -> DataFrame:
         k, size = F.col("k"), F.col("size")
         label = F.when(size % 4 == 0, "high").when(size % 4 == 1, "medium").when(size % 4 == 2, "low")
-        return family.withColumn("cents", F.expr("total div variants")).select(
+        return self._families.select(
             sku_of(k).alias("sku"),
             "name",
             "category",
@@ -99,7 +105,9 @@ class RetailTables:
 
     @cached_property
     def _cents(self) -> DataFrame:
-        return self.products.select("sku", (F.col("current_price") * 100).cast("bigint").alias("cents"))
+        """Price of each product in cents, by sku and by the number in it: rows meet by number, and the text is written once a product."""
+        price = money(F.col("cents"))
+        return self._families.select("k", sku_of(F.col("k")).alias("sku"), (price * 100).cast("bigint").alias("cents"))
 
     # ---- streams as tables ------------------------------------------------------
 
@@ -115,7 +123,7 @@ class RetailTables:
             + F.col("l_linenumber") * 5
         )
         lines = self.raw("lineitem").select(
-            sku_of(F.expr("l_partkey div 10")).alias("sku"),
+            F.expr("l_partkey div 10").alias("k"),
             F.concat(F.lit("Supplier#"), F.lpad((F.col("l_suppkey") % 5).cast("string"), 9, "0")).alias(
                 "competitor_name"
             ),
@@ -125,7 +133,8 @@ class RetailTables:
             (ts_ms + F.col("l_linenumber") * 1000).alias("api_collection_ts_ms"),
             F.when(F.col("l_quantity") != 50, ts_ms).alias("data_ts_ms"),
         )
-        records = lines.join(self._cents, "sku").select(
+        # the filter drops nothing; stated here, every reader of the rows has it and they can share a shuffle
+        records = lines.join(self._cents.filter(F.col("sku").isNotNull()), "k").select(
             F.col("sku").alias("product_sku"),
             "competitor_name",
             money(F.expr("cents * factor div 1000")).alias("price"),
@@ -171,8 +180,11 @@ class RetailTables:
         """One JSON document per (sku, collection minute) with a competitor and an aggregator map."""
         minute = F.expr("api_collection_ts_ms div 60000")
         iso = lambda ms: F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX")
+        # the number leads the groups because rows are sorted by them, and skus begin alike
+        key = ["_hash", "product_sku", "minute"]
+        placed = self.prices.withColumn("minute", minute).withColumn("_hash", F.xxhash64("product_sku", "minute"))
         quotes = (
-            self.prices.groupBy("product_sku", minute.alias("minute"), "competitor_name")
+            placed.groupBy(*key, "competitor_name")
             .agg(
                 F.min_by(
                     F.struct("price", "in_stock", "source_sku", "data_ts_ms"), F.struct("price", "source_sku")
@@ -181,7 +193,7 @@ class RetailTables:
                 F.max("price").alias("hi"),
                 F.count(F.lit(1)).alias("n"),
             )
-            .groupBy("product_sku", "minute")
+            .groupBy(*key)
             .agg(
                 F.collect_list(
                     F.struct(
@@ -329,7 +341,7 @@ class RetailTables:
 
     @cached_property
     def price_history(self) -> DataFrame:
-        return self._orders.join(self._cents, "sku").select(
+        return self._orders.join(self._cents.drop("k"), "sku").select(
             "sku",
             money(F.col("cents")).alias("old_price"),
             money(F.expr("cents * (95 + id % 10) div 100")).alias("adjusted_price"),
@@ -375,7 +387,7 @@ class RetailTables:
             (i % 5 + 1).cast("int"),
         )
         reason = F.when(i % 2 == 0, "elasticity+forecast").otherwise("elasticity-only")
-        return self._orders.join(self._cents, "sku").select(
+        return self._orders.join(self._cents.drop("k"), "sku").select(
             "id",
             "sku",
             money(old).alias("old_price"),
