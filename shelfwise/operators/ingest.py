@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,8 +18,13 @@ def _millis(iso: Column) -> Column:
 
 
 def _parsed(raw: DataFrame, schema) -> DataFrame:
-    """Parse the ``value`` text once per document."""
-    doc = raw.select(F.from_json("value", schema).alias("d"), F.unix_millis("ingest_time").alias("ingest_ms"))
+    """Parse the ``value`` text once per document.
+
+    The text is named twice, so a text that is itself computed is computed beside the parser and not inside it, where
+    expressions are interpreted.
+    """
+    text = F.col("value")
+    doc = raw.select(F.when(text.isNotNull(), F.from_json(text, schema)).alias("d"), F.unix_millis("ingest_time").alias("ingest_ms"))
     return doc.select("d.*", "ingest_ms")
 
 
@@ -31,7 +38,7 @@ def _entries(source: str) -> Column:
 
 def _filled(entry: Column, *fields: str) -> Column:
     """Whether an entry of a source map holds anything; an empty one parses to a struct of NULLs."""
-    return F.coalesce(*[entry[f].cast("string") for f in fields]).isNotNull()
+    return reduce(or_, [entry[f].isNotNull() for f in fields])
 
 
 def flatten_competitor_prices(raw: DataFrame) -> DataFrame:
@@ -39,7 +46,7 @@ def flatten_competitor_prices(raw: DataFrame) -> DataFrame:
 
     When either timestamp does not parse, both fall back to the ingest time.
     """
-    entries = _parsed(raw, schemas.MARKET_ENVELOPE).select(
+    entries = _parsed(raw, schemas.market_envelope("competitors")).select(
         F.col("product.sku").alias("product_sku"),
         "collection_timestamp",
         "ingest_ms",
@@ -48,22 +55,25 @@ def flatten_competitor_prices(raw: DataFrame) -> DataFrame:
     collected = F.when(F.col("collection_timestamp").isNull(), F.col("ingest_ms")).otherwise(
         _millis(F.col("collection_timestamp"))
     )
-    dated = F.when(F.col("quote.data_timestamp").isNull(), collected).otherwise(_millis(F.col("quote.data_timestamp")))
-    both = collected.isNotNull() & dated.isNotNull()
-    return entries.filter(_filled(F.col("quote"), "price", "in_stock", "sku", "data_timestamp")).select(
+    dated = F.when(F.col("quote.data_timestamp").isNull(), F.col("_collected")).otherwise(_millis(F.col("quote.data_timestamp")))
+    # named before they are used twice, so that each text is read once
+    timed = entries.filter(_filled(F.col("quote"), "price", "in_stock", "sku", "data_timestamp")).withColumn("_collected", collected)
+    timed = timed.withColumn("_dated", dated)
+    both = F.col("_collected").isNotNull() & F.col("_dated").isNotNull()
+    return timed.select(
         "product_sku",
         "competitor_name",
         F.col("quote.price").alias("price"),
         F.col("quote.in_stock").alias("in_stock"),
         F.col("quote.sku").alias("source_sku"),
-        F.when(both, collected).otherwise(F.col("ingest_ms")).alias("api_collection_ts_ms"),
-        F.when(both, dated).otherwise(F.col("ingest_ms")).alias("data_ts_ms"),
+        F.when(both, F.col("_collected")).otherwise(F.col("ingest_ms")).alias("api_collection_ts_ms"),
+        F.when(both, F.col("_dated")).otherwise(F.col("ingest_ms")).alias("data_ts_ms"),
     )
 
 
 def flatten_aggregator_prices(raw: DataFrame) -> DataFrame:
     """One record per price aggregator of a market envelope, empty entries skipped; each timestamp falls back on its own."""
-    entries = _parsed(raw, schemas.MARKET_ENVELOPE).select(
+    entries = _parsed(raw, schemas.market_envelope("aggregators")).select(
         F.col("product.sku").alias("product_sku"),
         "collection_timestamp",
         "ingest_ms",

@@ -14,15 +14,24 @@ USER_BEHAVIOR = (
     "api_collection_ts_ms bigint, data_ts_ms bigint, collection_source string, producer_timestamp string"
 )
 
-MARKET_ENVELOPE = (
-    "product struct<sku:string,title:string,category:string>, "
-    "data_sources struct<"
-    "competitors:map<string,struct<price:decimal(10,2),in_stock:boolean,sku:string,url:string,data_timestamp:string>>,"
-    "aggregators:map<string,struct<aggregator:string,available:boolean,avg_price:decimal(10,2),"
+SOURCE_MAPS = {
+    "competitors": "map<string,struct<price:decimal(10,2),in_stock:boolean,sku:string,url:string,data_timestamp:string>>",
+    "aggregators": "map<string,struct<aggregator:string,available:boolean,avg_price:decimal(10,2),"
     "price_range:struct<min:decimal(10,2),max:decimal(10,2)>,stores_tracked:int,url:string,last_updated:string,"
-    "data_last_updated:string>>>, "
-    "collection_timestamp string, collection_status string"
-)
+    "data_last_updated:string>>",
+}
+
+
+def market_envelope(*sources: str) -> str:
+    """A market envelope with these source maps; a reader of one need not build the other."""
+    maps = ",".join(f"{name}:{SOURCE_MAPS[name]}" for name in sources)
+    return (
+        f"product struct<sku:string,title:string,category:string>, data_sources struct<{maps}>, "
+        "collection_timestamp string, collection_status string"
+    )
+
+
+MARKET_ENVELOPE = market_envelope(*SOURCE_MAPS)
 
 BEHAVIOR_ENVELOPE = (
     "product struct<sku:string,title:string,category:string>, "
