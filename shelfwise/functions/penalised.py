@@ -37,12 +37,16 @@ def numbered(rows: DataFrame, keys: Sequence[str], time: str) -> DataFrame:
 
 
 def _marked() -> Column:
-    """Whether a row ends a part: a prefix that outer folds train on, or one that its inner folds train or test on."""
-    ends = set()
+    """Whether a row ends a part: a prefix that outer folds train on, or one that its inner folds train or test on.
+
+    One remainder per prefix: 36 equalities made a method that is too long for the JVM to compile.
+    """
+    step = f"(n div {SPLITS + 1})"
+    ends = []
     for k in range(SPLITS + 1):
-        prefix = f"(n - {k} * (n div {SPLITS + 1}))"
-        ends |= {f"rn = {prefix} - {j} * ({prefix} div {SPLITS + 1})" for j in range(SPLITS + 1)}
-    return F.expr(" or ".join(sorted(ends)))
+        before, part = f"(n - rn - {k} * {step})", f"((n - {k} * {step}) div {SPLITS + 1})"
+        ends.append(f"({before} between 0 and {SPLITS} * {part} and {before} % greatest({part}, 1) = 0)")
+    return F.expr(" or ".join(ends))
 
 
 def _moment(part: str, count: str, c: str) -> str:

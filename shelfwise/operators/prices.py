@@ -22,16 +22,18 @@ def dedup_prices(prices: DataFrame) -> DataFrame:
     """Newest broker record per (sku, competitor, data time); records without a data time are dropped.
 
     A ``max_by`` aggregate instead of ``row_number``: it combines map-side, so a key that
-    repeats often shrinks before the shuffle and never needs a sort.
+    repeats often shrinks before the shuffle and a hot key is never sorted whole. The number
+    leads the group because rows are sorted by it, and skus begin alike.
     """
+    key = ["product_sku", "competitor_name", "data_ts_ms"]
     newest = F.max_by(
         F.struct(*PRICE_COLUMNS), F.struct("kafka_ts", "source_sku", "price", "in_stock")
     ).alias("r")
     return (
         prices.filter(F.col("data_ts_ms").isNotNull())
-        .groupBy("product_sku", "competitor_name", "data_ts_ms")
+        .groupBy(F.xxhash64(*key).alias("_hash"), *key)
         .agg(newest)
-        .select("product_sku", "competitor_name", "data_ts_ms", "r.*")
+        .select(*key, "r.*")
     )
 
 
