@@ -44,7 +44,8 @@ def _marked() -> Column:
     step = f"(n div {SPLITS + 1})"
     ends = []
     for k in range(SPLITS + 1):
-        before, part = f"(n - rn - {k} * {step})", f"((n - {k} * {step}) div {SPLITS + 1})"
+        left = f" - {k} * {step}" if k else ""
+        before, part = f"(n - rn{left})", f"((n{left}) div {SPLITS + 1})"
         ends.append(f"({before} between 0 and {SPLITS} * {part} and {before} % greatest({part}, 1) = 0)")
     return F.expr(" or ".join(ends))
 

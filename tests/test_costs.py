@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from shelfwise.functions import penalised
-from shelfwise.operators import ingest, signals
+from shelfwise.operators import forecast, ingest, signals
 
 
 def method_sizes(df) -> list[int]:
@@ -27,6 +27,8 @@ def test_marked_rows_and_their_method(spark):
         marked = rows.repartition(2).filter(penalised._marked())
         assert 0 < max(method_sizes(marked)) < 8000
         got = {(r["n"], r["rn"]) for r in marked.collect()}
+        windows = spark.createDataFrame([], "product_sku string, competitor_id long, window_end timestamp, avg_price double, price_volatility double")
+        assert 0 < max(method_sizes(forecast.fit_series(windows))) < 8000
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     want = set()
