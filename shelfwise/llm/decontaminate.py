@@ -18,6 +18,8 @@ WINDOW = 64
 EDITS = 5
 CHUNK = 128
 ITEM_CHARS = 2_000_000
+#: Candidates aligned at a time: the table rows of these are held, a few times over.
+ALIGNED = 1 << 14
 _BITS = 22
 _BASE = 0xD6E8FEB86659FD93
 PAIRS = "doc_id long, item_id long, start long, end long, n_windows int, edits int"
@@ -192,6 +194,10 @@ def aligned(
     """
     if not len(item):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if len(item) > ALIGNED:
+        parts = [slice(k, k + ALIGNED) for k in range(0, len(item), ALIGNED)]
+        done = [aligned(codes, first[p], last[p], item[p], window[p], lowest[p], items) for p in parts]
+        return np.concatenate([d[0] for d in done]), np.concatenate([d[1] for d in done])
     most = int(items.edits[item].max())
     width = 3 * (most + 1) + 2 * most + 1
     begin = lowest + window - most  # where the band's first column meets the window's first character
@@ -219,11 +225,13 @@ def _searched(shared):
         for batch in batches:
             data, offsets = column_bytes(batch.column(1))
             ids = batch.column(0).to_pylist()
-            chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
             out: list[tuple] = []
             for a, b in sliced(offsets, BLOCK_BYTES // 2):
-                codes = np.frombuffer(data[offsets[a] : offsets[b]].tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-                starts = chars[offsets[a : b + 1]] - chars[offsets[a]]
+                block, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+                codes = np.frombuffer(block.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+                # counted row by row: a running count over all bytes of a batch takes eight times its size, twice
+                leads = (block & 0xC0) != 0x80
+                starts = np.cumsum([0, *(np.count_nonzero(leads[x:y]) for x, y in zip(at[:-1], at[1:]))])
                 short, place = normal(codes, starts)
                 bounds = np.searchsorted(place, starts)
                 doc, item, window, lowest = candidates(short, bounds[1:], items)

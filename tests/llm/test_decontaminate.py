@@ -2,10 +2,14 @@
 
 import random
 import string
+import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from shelfwise.llm import decontaminate as module
 from shelfwise.llm.decontaminate import EDITS, WINDOW, Normaliser, benchmark_passages
 
 
@@ -81,3 +85,20 @@ def test_short_items_stand_whole(spark):
     got = benchmark_passages(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     pairs = sorted((r["doc_id"], r["item_id"]) for r in got.collect())
     assert pairs == plain_pairs(docs, items) and len({i for _, i in pairs}) >= 6
+
+
+def test_memory_of_a_batch(monkeypatch):
+    """A worker holds a block of the batch at a time, whatever the batch's size; passages keep their places."""
+    rng = random.Random(5)
+    item = prose(rng, 120)
+    texts = ["é" * (k % 7) + "z " * 400 + (item if k % 500 == 0 else "") for k in range(20_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    shared = SimpleNamespace(value=module.compiled([(1, item)]))
+    monkeypatch.setattr(module, "ALIGNED", 50, raising=False)
+    tracemalloc.start()
+    found = [r for b in module._searched(shared)(iter([batch])) for r in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [r["doc_id"] for r in found] == list(range(0, 20_000, 500))
+    assert all(abs(r["start"] - r["doc_id"] % 7 - 800) <= EDITS and abs(r["end"] - len(texts[r["doc_id"]])) <= EDITS and r["edits"] == 0 for r in found)
+    assert peak < 6 * batch.nbytes
