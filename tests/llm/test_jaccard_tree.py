@@ -85,3 +85,22 @@ def test_one_component_is_not_walked_again():
     tree = SignatureTree(bits, sizes)
     found = traverse(tree, tree, np.arange(600), np.arange(600), 85, lambda i, j: asked.append(1) or True)
     assert len(found) == len(asked) == 599
+
+
+def test_trees_with_the_same_members_are_one(spark):
+    rows = [(1, 0, 5), (1, 0, 6), (2, 0, 6), (2, 0, 5), (3, 0, 5), (3, 0, 6), (3, 0, 7), (3, 1, 5), (3, 1, 6)]
+    left = module._told_apart(spark.createDataFrame(rows, "g long, part long, id long")).collect()
+    assert sorted((r["g"], r["part"], r["id"]) for r in left) == [(1, 0, 5), (1, 0, 6), (3, 0, 5), (3, 0, 6), (3, 0, 7)]
+
+
+@pytest.mark.parametrize("percent", [85, 30])
+def test_cells_hold_every_pair_of_sizes(spark, percent):
+    """Members that sizes let link meet in a cell; a cluster is not sent whole to all its parts, nor a cell of one component."""
+    sizes = list(enumerate([*range(1, 40), 63, 64, 65, 1000, 1204, 1205, 5000]))
+    open_ = spark.createDataFrame([(1, i, i, 0) for i, _ in sizes] + [(2, 0, 0, 0), (2, 45, 45, 0)], "g long, id long, component_id long, main long")
+    rows = module._celled(open_, spark.createDataFrame(sizes, "id long, n long"), percent).collect()
+    cells = {i: {r["cell"] for r in rows if (r["g"], r["id"]) == (1, i)} for i, _ in sizes}
+    for i, x in sizes:
+        assert all(cells[i] & cells[j] for j, y in sizes if x < y and 100 * x >= percent * y)
+    assert all(r["outside"] == (r["id"] != 0) for r in rows) and not any(r["g"] == 2 for r in rows)
+    assert percent < 50 or sum(map(len, cells.values())) < 1.5 * len(sizes)
