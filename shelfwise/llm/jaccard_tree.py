@@ -15,8 +15,8 @@ from shelfwise.llm.minhash import shingle_sets
 from shelfwise.llm.shared import settled, union
 
 #: Greatest sizes of the first size classes, and the bits of a token bitmap in each class: trees hold one class.
-LIMITS = (350, 1400, 5600)
-BITS = (1024, 4096, 16_384, 65_536)
+LIMITS = (350, 700, 1400, 2800, 5600, 11_200)
+BITS = (1024, 2048, 4096, 8192, 16_384, 32_768, 65_536)
 #: Children of a node.
 FANOUT = 8
 #: Members of a tree whose bitmaps alone are held; shingles, and EACH more a set, of one whose sets are held.
@@ -135,7 +135,7 @@ def _bitmaps(flat: np.ndarray, at: np.ndarray, bits: int) -> np.ndarray:
 def size_classes(n: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
     """(class, which sizes have it): the class a size falls in, and the next for sizes that may be linked with larger ones there."""
     least, most = np.array((0, *LIMITS)), np.array((*LIMITS, np.iinfo(np.int64).max))
-    for k in range(len(BITS)):
+    for k in range(len(least)):
         yield k, (100 * n >= percent * least[k]) & (n > 0) & (n <= most[k])
 
 
@@ -259,9 +259,8 @@ def _tasklets(batches: Iterator[pa.RecordBatch], read: Callable, keys: int) -> I
         yield held
 
 
-def _pairs(rows: list[tuple]) -> pa.RecordBatch:
-    columns = [pa.array(np.array([r[j] for r in rows], np.int64)) for j in range(3)]
-    return pa.RecordBatch.from_arrays(columns, ["g", "a", "b"])
+def _pairs(columns: list[np.ndarray], names: tuple = ("a", "b")) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], list(names))
 
 
 def _objects(rows: list) -> np.ndarray:
@@ -270,32 +269,48 @@ def _objects(rows: list) -> np.ndarray:
     return out
 
 
+def _forests(a: np.ndarray, b: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each pair: what names the pairs of its label, the same wherever these pairs are found, and their number."""
+    _, at = np.unique(labels, return_inverse=True)
+    each = mixed(mixed(a.view(np.uint64)) + b.view(np.uint64))
+    names = np.zeros(at.max() + 1, np.uint64)
+    np.add.at(names, at, each)
+    return names[at].view(np.int64), np.bincount(at)[at]
+
+
 def _proposing(percent: int):
-    """(g, a, b): pairs that bitmaps and sizes allow, as few as join all members that they allow to be joined."""
+    """(forest, pairs, a, b): pairs that bitmaps and sizes allow, as few as join all members that they allow to be joined.
+
+    Members that they join are a forest of so many ``pairs``; members of different forests are not linked.
+    """
 
     def read(batch: pa.RecordBatch) -> list[np.ndarray]:
         return [*(np.asarray(batch.column(j)) for j in range(5)), _objects(batch.column(5).to_pylist())]
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        for g, _, _, n, id, bits in _tasklets(batches, read, 3):
+        names = ("forest", "pairs", "a", "b")
+        held: list[tuple[np.ndarray, ...]] = []
+        for _, _, _, n, id, bits in _tasklets(batches, read, 3):
             if len(id) == 1:
                 continue
             tree = SignatureTree(np.frombuffer(b"".join(bits), np.uint64).reshape(len(id), -1), n)
             _, labels = np.unique(id, return_inverse=True)
-            found = traverse(tree, tree, np.arange(len(id)), labels, percent, lambda i, j: True)
-            rows += [(g[0], id[i], id[j]) for i, j in found]
-            if len(rows) > 50_000:
-                yield _pairs(rows)
-                rows = []
-        if rows:
-            yield _pairs(rows)
+            found = np.array(traverse(tree, tree, np.arange(len(id)), labels, percent, lambda i, j: True), np.int64).reshape(-1, 2)
+            if len(found):
+                ends = np.sort(id[found], axis=1)
+                a, b = ends[:, 0].copy(), ends[:, 1].copy()
+                held.append((*_forests(a, b, labels[found[:, 0]]), a, b))
+            if len(held) > 1000:
+                yield _pairs([np.concatenate(c) for c in zip(*held)], names)
+                held = []
+        if held:
+            yield _pairs([np.concatenate(c) for c in zip(*held)], names)
 
     return propose
 
 
 def _proving(percent: int):
-    """(g, a, b): links between components, on whole sets; members ``asked`` 1 against those with 0, such with 2 on both sides."""
+    """(a, b): links between components, on whole sets; members ``asked`` 1 against those with 0, such with 2 on both sides."""
 
     def read(batch: pa.RecordBatch) -> list[np.ndarray]:
         flat, at = _lists(batch.column(8))
@@ -307,7 +322,7 @@ def _proving(percent: int):
         return 100 * common >= percent * (len(x) + len(y) - common)
 
     def prove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g, _, _, _, asked, n, id, component, sets in _tasklets(batches, read, 4):
+        for _, _, _, _, asked, n, id, component, sets in _tasklets(batches, read, 4):
             _, labels = np.unique(component, return_inverse=True)
             for kind, chosen in size_classes(n, percent):
                 left, right = (np.flatnonzero(chosen & (asked != other)) for other in (0, 1))
@@ -322,7 +337,8 @@ def _proving(percent: int):
                 places = np.arange(len(right), len(both))
                 found = traverse(*trees, places, both, percent, lambda i, j: linked(sets[left[i]], sets[right[j]]))
                 if found:
-                    yield _pairs([(g[0], id[left[i]], id[right[j]]) for i, j in found])
+                    i, j = np.array(found, np.int64).T
+                    yield _pairs([id[left[i]], id[right[j]]])
 
     return prove
 
@@ -372,11 +388,29 @@ def _chunked(members: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def _sized(chunks: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """(g, part, id) of members with another of a size that allows a link: then the next smaller or larger one has it."""
+    """(g, part, id, low) of members with another of a size that allows a link: then the next smaller or larger one has it.
+
+    ``low`` is the least hash of a tree's members: trees with many common members often have it in common.
+    """
     known = chunks.join(sizes, "id")
     order = Window.partitionBy("g", "part").orderBy("n", "id")
     near = known.withColumn("less", F.lag("n").over(order)).withColumn("more", F.lead("n").over(order))
-    return near.filter((F.col("less") * 100 >= F.col("n") * percent) | (F.col("n") * 100 >= F.col("more") * percent)).select("g", "part", "id").distinct()
+    near = near.filter((F.col("less") * 100 >= F.col("n") * percent) | (F.col("n") * 100 >= F.col("more") * percent))
+    low = F.min(F.xxhash64("id")).over(Window.partitionBy("g", "part"))
+    return near.select("g", "part", "id", low.alias("low")).distinct()
+
+
+def _merged(sized: DataFrame) -> DataFrame:
+    """(g, part, id): the trees of whole groups with the same ``low`` as one, part -1, where that holds MEMBERS at most.
+
+    A set stands in a tree for each passage that it shares with others, and often those are the same others.
+    A tree of more members than one group has misses no pair of them.
+    """
+    whole = settled(sized.filter("part = 0").select("low", "id").distinct())
+    wide = settled(whole.groupBy("low").agg(F.count("*").alias("members")).filter(F.col("members") > MEMBERS).select("low", F.lit(True).alias("wide")))
+    one = whole.join(wide, "low", "left_anti").select(F.col("low").alias("g"), F.lit(-1).cast("long").alias("part"), "id")
+    apart = sized.join(wide, "low", "left").filter(F.col("wide") | (F.col("part") != 0)).select("g", "part", "id")
+    return one.unionByName(apart)
 
 
 def _told_apart(chunks: DataFrame) -> DataFrame:
@@ -387,18 +421,20 @@ def _told_apart(chunks: DataFrame) -> DataFrame:
     return chunks.join(first, ["g", "part"], "left_semi")
 
 
-def _still_open(members: DataFrame, found: DataFrame, rejected: DataFrame) -> DataFrame:
-    """(g, id, component_id, main): members of groups that were not compared to the end, in clusters.
+def _still_open(members: DataFrame, proposed: DataFrame, links: DataFrame, found: DataFrame) -> DataFrame:
+    """(g, id, component_id, main): members of several components that were not compared to the end, in clusters.
 
-    Those are groups of several components with a proposed pair that proved no link, whose other pairs may have
-    been passed over for it, or cut into several trees. Groups with a member in common make one cluster g, so
+    Those are members of a forest with a pair that proved no link, as other pairs of it may have been passed over for that
+    one, and of groups cut into several trees. What has a member in common makes one cluster g, so
     a member goes on once, however many shingles it met others by. ``main`` is the cluster's largest component.
     """
-    labelled = members.join(found, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
-    labelled = settled(labelled.join(rejected.withColumn("rejected", F.lit(True)), "g", "left"))
-    several = labelled.groupBy("g").agg(F.min("component_id").alias("first"), F.max("component_id").alias("last")).filter("first != last")
-    unfinished = labelled.filter((F.col("rejected") & (F.col("size") > 2)) | (F.col("size") > MEMBERS)).join(several.select("g"), "g", "left_semi")
-    unfinished = settled(unfinished.select("id", "low", "component_id"))
+    forests = proposed.filter("pairs > 1")
+    forests = forests.join(settled(forests.join(links, ["a", "b"], "left_anti").select("forest").distinct()), "forest", "left_semi")
+    ends = forests.select(F.col("forest").alias("g"), F.explode(F.array("a", "b")).alias("id")).distinct()
+    cut = members.filter(F.col("size") > MEMBERS).select("g", "id")
+    labelled = settled(ends.unionByName(cut).join(found, "id", "left").withColumn("component_id", F.coalesce("component_id", "id")))
+    several = labelled.groupBy("g").agg(F.min("component_id").alias("first"), F.max("component_id").alias("last"), F.min("id").alias("low")).filter("first != last")
+    unfinished = settled(labelled.join(several.select("g", "low"), "g").select("id", "low", "component_id").distinct())
     cluster = components(unfinished.select(F.col("id").alias("a"), F.col("low").alias("b"))).withColumnRenamed("component_id", "g")
     rows = settled(unfinished.select("id", "component_id").distinct().join(cluster, "id"))
     sizes = rows.groupBy("g", "component_id").agg(F.count("*").alias("n"))
@@ -441,7 +477,7 @@ def _across(celled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     rows = union(*[x.select(columns) for x in (both, asked, against)]).join(sets.select("id", F.col("n").alias("m"), "shingles"), "id")
     rows = rows.filter("n = m").select(*columns, "shingles")
     keys = ["g", "cell", "l", "r"]
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "n", "id").mapInArrow(_proving(percent), "g long, a long, b long")
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "n", "id").mapInArrow(_proving(percent), "a long, b long")
 
 
 def jaccard_join(docs: DataFrame, *, id: str = "doc_id", text: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
@@ -455,9 +491,10 @@ def jaccard_join(docs: DataFrame, *, id: str = "doc_id", text: str = "text", wid
     Equal sets become one. The others meet in groups by the rare shingles that a linked pair must share
     one of (``_prefixes``). Each group is a signature tree, or several of bounded size with one member in common;
     the dual traversal (``traverse``) drops pairs of nodes by the most tokens their sets can have in
-    common, and pairs of nodes that are one component already. What it proposes is confirmed on whole
-    sets. Where a proposal fails, or a group took several trees, groups with common members become a
-    cluster, and its members outside the main component are traversed against all others once more, deciding on whole sets.
+    common, and pairs of nodes that are one component already. Groups that are likely to have the same members are one tree
+    (``_merged``). What it proposes is confirmed on whole sets. Where a proposal fails, the members that proposals joined with
+    it go on, as do those of a group that took several trees: what has common members becomes a cluster, and its
+    members outside the main component are traversed against all others once more, deciding on whole sets.
 
     Defined cases: a null or wordless text has an empty set and is linked with nothing. A row without id is
     not linked, its component null. Rows that repeat an id are one document, linked through any of its texts, each
@@ -476,21 +513,21 @@ def jaccard_join(docs: DataFrame, *, id: str = "doc_id", text: str = "text", wid
     groups = settled(groups)
     members = settled(rows.join(groups, "g"))
     sizes = settled(all_.join(members.select("id").distinct(), "id", "left_semi").filter("n > 0").distinct())
-    chunks = settled(_told_apart(settled(_sized(_chunked(members, groups), sizes, percent))))
+    chunks = settled(_told_apart(settled(_merged(settled(_sized(_chunked(members, groups), sizes, percent))))))
     text_of = lambda ids: docs.join(ids.distinct(), "id").select("id", "text")
     # of all documents: bitmaps are a fraction of the texts, which a join with the members would move
     signed = settled(docs.filter("id is not null").mapInArrow(_signed(width, percent), "id long, n long, kind long, bits binary"))
     trees = chunks.join(signed, "id").select("g", "part", "kind", "n", "id", "bits")
     ordered = trees.repartition("g", "part", "kind").sortWithinPartitions("g", "part", "kind", "n", "id")
-    proposed = settled(ordered.mapInArrow(_proposing(percent), "g long, a long, b long"))
+    # the same forest is found in every tree that holds its members
+    proposed = settled(ordered.mapInArrow(_proposing(percent), "forest long, pairs long, a long, b long").distinct())
     shingled = lambda ids: settled(text_of(ids).mapInArrow(_shingled(width), "id long, n long, shingles array<long>"))
     pairs = settled(proposed.select("a", "b").distinct())
     links = settled(_confirmed(pairs, shingled(pairs.select(F.explode(F.array("a", "b")).alias("id"))), percent))
-    rejected = proposed.join(links, ["a", "b"], "left_anti").select("g").distinct()
-    open_ = settled(_still_open(members, components(links), rejected))
+    open_ = settled(_still_open(members, proposed, links, components(links)))
     if not open_.isEmpty():
         celled = settled(_celled(open_, sizes, percent))
-        links = union(links, settled(_across(celled, shingled(celled.select("id")), percent)).select("a", "b"))
+        links = union(links, settled(_across(celled, shingled(celled.select("id")), percent)))
     found = settled(components(union(links, edges)))
     return all_.join(found, "id", "left").select(
         F.col("id").alias(id), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")

@@ -104,3 +104,43 @@ def test_cells_hold_every_pair_of_sizes(spark, percent):
         assert all(cells[i] & cells[j] for j, y in sizes if x < y and 100 * x >= percent * y)
     assert all(r["outside"] == (r["id"] != 0) for r in rows) and not any(r["g"] == 2 for r in rows)
     assert percent < 50 or sum(map(len, cells.values())) < 1.5 * len(sizes)
+
+
+def test_trees_with_many_common_members_are_one(spark, monkeypatch):
+    rows = [(1, 0, 5, 9), (1, 0, 6, 9), (2, 0, 6, 9), (2, 0, 7, 9), (3, 0, 8, 4), (3, 0, 9, 4), (4, 1, 5, 9), (4, 1, 6, 9)]
+    sized = spark.createDataFrame(rows, "g long, part long, id long, low long")
+    got = lambda: sorted((r["g"], r["part"], r["id"]) for r in module._merged(sized).collect())
+    assert got() == [(4, -1, 8), (4, -1, 9), (4, 1, 5), (4, 1, 6), (9, -1, 5), (9, -1, 6), (9, -1, 7)]
+    monkeypatch.setattr(module, "MEMBERS", 2)
+    assert got() == [(1, 0, 5), (1, 0, 6), (2, 0, 6), (2, 0, 7), (4, -1, 8), (4, -1, 9), (4, 1, 5), (4, 1, 6)]
+
+
+def test_members_no_proposal_joined_with_a_failed_one_are_not_open(spark, monkeypatch):
+    """Forests: one with a failed pair, one without, one of a failed pair alone; and a group in several trees."""
+    pairs = [(1, 2, 1, 2), (1, 2, 2, 3), (2, 2, 4, 5), (2, 2, 5, 6), (3, 1, 7, 8)]
+    proposed = spark.createDataFrame(pairs, "forest long, pairs long, a long, b long")
+    links = spark.createDataFrame([(1, 2), (4, 5), (5, 6)], "a long, b long")
+    found = spark.createDataFrame([(1, 1), (2, 1), (4, 4), (5, 4), (6, 4)], "id long, component_id long")
+    members = spark.createDataFrame([(0, i, 9, 1) for i in range(1, 10)], "g long, id long, size long, low long")
+    got = lambda: {r["id"]: r["component_id"] for r in module._still_open(members, proposed, links, found).collect()}
+    assert got() == {1: 1, 2: 1, 3: 3}
+    monkeypatch.setattr(module, "MEMBERS", 8)
+    assert got() == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4, 6: 4, 7: 7, 8: 8, 9: 9}
+
+
+def test_a_shared_passage_moves_few_sets(spark, monkeypatch):
+    """Texts that share a passage, some nearly alike: bitmaps go to few trees, and no whole set to a cluster."""
+    rng = random.Random(4)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passage = [word() for _ in range(60)]
+    texts = [passage + [word() for _ in range(60)] for _ in range(40)]
+    texts += [words[:-9] + [word() for _ in range(11)] for words in texts[:3]]
+    docs = [(i, " ".join(words)) for i, words in enumerate(texts)]
+    seen = {}
+    for name in ("_still_open", "_told_apart"):
+        plainly = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *a, f=plainly, name=name: seen.setdefault(name, f(*a)))
+    monkeypatch.setattr(module, "BUCKETS", 1)  # the passage's shingles come as early as any
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == plain.classes(docs, 4, 85) == {i: i for i in got}
+    assert seen["_still_open"].count() == 0 and seen["_told_apart"].count() < 2.5 * len(docs)
