@@ -1,16 +1,20 @@
 """Event-time ordered state per (sku, competitor): previous price and 24-hour minimum.
 
-Rows wait in map state, the rows of a batch as one chunk, until the watermark has passed them, then
-leave in time order. The same ties break as in the batch operators, so both give the same rows.
+Pairs are dealt into buckets. Rows wait in map state, the rows of a batch as one chunk, until the
+watermark has passed them, then leave in time order. The same ties break as in the batch operators, so both give the same rows.
 """
 
 from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from decimal import Decimal
 from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -92,6 +96,172 @@ class PricedPairs(StatefulProcessor):
         pass
 
 
+# Buckets that pairs are dealt into, and slots of a bucket; both are fixed with a job's checkpoint.
+BUCKETS, SLOTS = 4096, 4
+CHUNK_ROWS = 100_000
+_KINDS = {
+    "slot": pa.int64(), "product_sku": pa.string(), "competitor_name": pa.string(), "at": pa.int64(),
+    "api_ms": pa.int64(), "source_sku": pa.string(), "cents": pa.int64(), "in_stock": pa.bool_(),
+}
+WAITING = pa.schema(list(_KINDS.items()))
+KNOWN = pa.schema([(c, _KINDS[c]) for c in ("slot", *KEY, "at", "cents")])
+
+
+class PricedBuckets(StatefulProcessor):
+    """What ``PricedPairs`` gives for one pair, for a bucket of pairs at once: rows stand in columns.
+
+    A call into the state costs as much as thousands of rows in it, so all that a batch brings for a bucket waits in
+    chunks of at most ``CHUNK_ROWS`` rows, and all pairs of a bucket whose rows the watermark has passed are answered
+    together. ``pending`` and ``parts`` are those of ``PricedPairs``. ``memory`` holds, by slot so that a batch of few
+    rows reads few pairs, the rows that later ones may need: the candidates for the lowest price of the last 24 hours,
+    and the last row of each pair, in order. Rows that are left wait on in pieces that begin one, two, four, ... minutes
+    after the watermark: a row is written again as often as its distance to the watermark halves.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.pending = handle.getMapState("pending", "minute bigint, part bigint", "rows binary")
+        self.parts = handle.getMapState("parts", "minute bigint", "n bigint, first bigint")
+        self.memory = handle.getMapState("memory", "slot bigint", "rows binary")
+        self.done: dict[Any, int] = {}
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        fresh: list[pa.Table] = []
+        for batch in rows:
+            columns = [pa.array(batch[c], kind, from_pandas=True) for c, kind in _KINDS.items()]
+            fresh.append(pa.Table.from_arrays(columns, schema=WAITING))
+            if sum(map(len, fresh)) >= CHUNK_ROWS:
+                self._keep(pa.concat_tables(fresh))
+                fresh = []
+        if fresh:
+            self._keep(pa.concat_tables(fresh))
+        return iter(())
+
+    def _keep(self, rows: pa.Table) -> None:
+        """Put rows by, with a timer unless an earlier row of the minute has one."""
+        least = pc.min(rows["at"]).as_py()
+        minute = least // MINUTE
+        n, first = self.parts.getValue((minute,)) or (0, None)
+        for part, at in enumerate(range(0, len(rows), CHUNK_ROWS), n):
+            self.pending.updateValue((minute, part), (_packed(rows.slice(at, CHUNK_ROWS)),))
+        if first is None or least < first:
+            self.handle.registerTimer(least // 1000 + 1)
+            first = least
+        self.parts.updateValue((minute,), (part + 1, first))
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        limit = timerValues.getCurrentWatermarkInMs() * 1000
+        if self.done.get(key) == limit:
+            return
+        self.done[key] = limit
+        due = sorted((int(k[0]), int(v[0])) for k, v in self.parts.iterator() if int(v[1]) < limit)
+        if not due:
+            return
+        chunks = []
+        for minute, n in due:
+            for part in range(n):
+                chunks.append(_unpacked(self.pending.getValue((minute, part))[0]))
+                self.pending.removeKey((minute, part))
+            self.parts.removeKey((minute,))
+        rows = pa.concat_tables(chunks)
+        ahead = (rows["at"].to_numpy() - limit) // MINUTE
+        for piece in np.unique(_bits(ahead[ahead >= 0])):
+            self._keep(rows.filter(pa.array((ahead >= 0) & (_bits(ahead) == piece))))
+        ready = rows.filter(pa.array(ahead < 0))
+        slots = np.unique(ready["slot"].to_numpy())
+        held = [self.memory.getValue((int(s),)) for s in slots]
+        known = pa.concat_tables([KNOWN.empty_table(), *[_unpacked(h[0]) for h in held if h]])
+        out, known = _answered(known, ready, limit)
+        for s in slots:
+            self.memory.updateValue((int(s),), (_packed(known.filter(pc.field("slot") == int(s))),))
+        for first in range(0, len(out), CHUNK_ROWS):
+            yield out.slice(first, CHUNK_ROWS).to_pandas(types_mapper=pd.ArrowDtype)
+
+    def close(self) -> None:
+        pass
+
+
+def _packed(rows: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(rows.combine_chunks())
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> pa.Table:
+    with pa.ipc.open_stream(pa.py_buffer(bytes(data))) as rows:
+        return rows.read_all()
+
+
+def _bits(numbers: np.ndarray) -> np.ndarray:
+    """Number of binary digits; those below zero count as zero."""
+    return np.frexp(np.maximum(numbers, 0))[1]
+
+
+def _pairs(rows: pa.Table) -> np.ndarray:
+    """A number for each row's pair; nulls are a name of their own."""
+    code = np.zeros(len(rows), np.int64)
+    for name in KEY:
+        names = rows[name].combine_chunks().dictionary_encode(null_encoding="encode")
+        code = code * len(names.dictionary) + names.indices.to_numpy()
+    return np.unique(code, return_inverse=True)[1]
+
+
+def _answered(known: pa.Table, ready: pa.Table, limit: int) -> tuple[pa.Table, pa.Table]:
+    """``ready`` in order with ``previous`` and ``low``, and the rows of ``known`` and ``ready`` that rows from ``limit`` on may need.
+
+    Rows of ``known`` are earlier than those of ``ready``, and those of a pair stand in order.
+    """
+    n = len(known)
+    pair = _pairs(pa.concat_tables([known.select(KEY), ready.select(KEY)]))
+    ties = {"pair": pa.array(pair[n:]), **{c: ready[c] for c in ROW}, "in_stock": ready["in_stock"].cast(pa.int8())}
+    order = pc.sort_indices(pa.table(ties), sort_keys=[(c, "ascending") for c in ties], null_placement="at_start")
+    ready, pair = ready.take(order), np.concatenate([pair[:n], pair[n:][order.to_numpy()]])
+    both = pa.concat_tables([known, ready.select(KNOWN.names)]).combine_chunks()
+    place = np.argsort(pair, kind="stable")
+    both, pair, new = both.take(pa.array(place)), pair[place], place >= n
+    at = both["at"].to_numpy()
+    last = np.append(pair[1:] != pair[:-1], True)
+    first = np.append(True, last[:-1])
+    cents = both["cents"].combine_chunks()
+    missing = cents.is_null().to_numpy(zero_copy_only=False)
+    value = cents.fill_null(0).to_numpy().copy()
+    low = value.min()
+    none = value.max() - low + 1
+    value = np.where(missing, none, value - low)  # from 0 to none
+    lows = _range_least(value, *_day_before(pair, at))
+    nothing = lambda found, where: pa.array(found[new], mask=where[new])
+    out = ready.select([*KEY, *ROW]).append_column("previous", nothing(np.append(0, value[:-1]) + low, first | np.append(True, missing[:-1])))
+    out = out.append_column("low", nothing(lows + low, lows == none))
+    # a row stays a candidate while no later one of its pair is as cheap; pairs stand apart by more than any price
+    apart = value + pair * (none + 1)
+    later = np.append(np.minimum.accumulate(apart[::-1])[::-1][1:], np.iinfo(np.int64).max)
+    return out, both.filter(pa.array(last | ((at >= limit - DAY) & (apart < later))))
+
+
+def _day_before(pair: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last place of the rows of its pair in the 24 hours up to each row, peers included; rows stand by pair and time."""
+    n = len(at)
+    asks = np.repeat([0, 1], n)
+    order = np.lexsort((asks, np.concatenate([at - DAY, at]), np.concatenate([pair, pair])))
+    rows = asks[order] == 1
+    first = np.empty(n, np.int64)
+    first[order[~rows]] = np.cumsum(rows)[~rows]
+    ends = np.flatnonzero(np.append((pair[1:] != pair[:-1]) | (at[1:] != at[:-1]), True))
+    return first, ends[np.searchsorted(ends, np.arange(n))]
+
+
+def _range_least(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The least of values[first..last] for each pair of places, from minima over 1, 2, 4, ... values."""
+    out = np.empty(len(first), values.dtype)
+    level = _bits(last - first + 1) - 1
+    for k in range(int(level.max(initial=-1)) + 1):
+        pick = level == k
+        out[pick] = np.minimum(values[first[pick]], values[last[pick] - (1 << k) + 1])
+        values = np.minimum(values[: -(1 << k)], values[1 << k :])
+    return out
+
+
 def _plain(value: Any) -> Any:
     """A state value: a Python scalar, missing ones as None."""
     value = value.item() if hasattr(value, "item") else value
@@ -123,8 +293,14 @@ def _day_lows(ready: list[tuple], window: deque) -> list[int]:
 
 
 def stream_priced_pairs(stream: DataFrame) -> DataFrame:
-    """Watermarked prices with ``previous_price`` and ``low_24h`` of the pair, each row once the watermark has passed it."""
-    rows = stream.select(
+    """Watermarked prices with ``previous_price`` and ``low_24h`` of the pair, each row once the watermark has passed it.
+
+    A row without a time is left out: no watermark passes it.
+    """
+    spread = F.pmod(F.xxhash64(*KEY), F.lit(BUCKETS * SLOTS))
+    rows = stream.filter(F.col("event_time").isNotNull()).select(
+        (spread % BUCKETS).alias("bucket"),
+        F.shiftright(spread, BUCKETS.bit_length() - 1).alias("slot"),
         *KEY,
         F.unix_micros("event_time").alias("at"),
         F.col("api_collection_ts_ms").alias("api_ms"),
@@ -133,10 +309,10 @@ def stream_priced_pairs(stream: DataFrame) -> DataFrame:
         "in_stock",
         "event_time",
     )
-    money = lambda c: (F.col(c).cast("decimal(12,0)") / F.lit(100)).cast("decimal(10,2)")
+    money = lambda c: (F.col(c).cast("decimal(12,0)") * F.lit(Decimal("0.01"))).cast("decimal(10,2)")
     return (
-        rows.groupBy(*KEY)
-        .transformWithStateInPandas(PricedPairs(), OUT_DDL, outputMode="append", timeMode="EventTime")
+        rows.groupBy("bucket")
+        .transformWithStateInPandas(PricedBuckets(), OUT_DDL, outputMode="append", timeMode="EventTime")
         .select(
             *KEY,
             F.timestamp_micros("at").alias("event_time"),
