@@ -236,12 +236,15 @@ def current_signals(prices, products, competitors, as_of, settings: Settings = D
     Equal to ``newest_per_key(all_signals(...))``, but the four rules fold into four maxima of
     one aggregation that combines map-side, and texts are only written for the survivors.
     """
-    rules = cases(as_of, settings)
+    return newest_of(with_dimensions(with_low_24h(of_known_competitors(prices, competitors)), products, competitors), cases(as_of, settings))
+
+
+def newest_of(joined: DataFrame, rules: dict[str, Case]) -> DataFrame:
+    """``newest_per_key(emit(joined, *rules.values()))`` by one maximum a rule, for rules that read the price, the stock and ``low_24h``."""
     hit = F.struct("event_time", "price", "in_stock", "low_24h")
     # the number leads the group because rows are sorted by it, and skus begin alike
     per_pair = (
-        with_dimensions(with_low_24h(of_known_competitors(prices, competitors)), products, competitors)
-        .groupBy(
+        joined.groupBy(
             F.xxhash64("product_sku", "competitor_id").alias("_hash"),
             "product_sku", "competitor_id", "platform_price", "price_sensitivity",
         )

@@ -127,8 +127,7 @@ def stream_demand_vs_signals(behavior_stream: DataFrame, signal_stream: DataFram
 
 def signals_of(batch: DataFrame, products: DimReader, competitors: DimReader, as_of, settings: Settings = DEFAULTS) -> DataFrame:
     """Signals of all four rules of a micro-batch of ``stream_priced_pairs`` rows, the newest per pair and kind."""
-    joined = enrich_batch(batch, products, competitors)
-    return signals.newest_per_key(signals.emit(joined, *signals.cases(as_of, settings).values()))
+    return signals.newest_of(enrich_batch(batch, products, competitors), signals.cases(as_of, settings))
 
 
 SIGNAL_ORDER = ("signal_timestamp", "competitor_price", "in_stock")
@@ -145,7 +144,9 @@ def signals_job(
     moves = lambda b: price_movements_of(b, products, competitors, settings)
     found = lambda b: signals_of(b, products, competitors, as_of, settings)
     outputs = [(found, upsert_sink(table, "signals")), (moves, lambda df, batch_id: append(df, movements, batch_id))]
-    return start(stream_priced_pairs(stream), fan_out(outputs), checkpoint, trigger)
+    # a batch is kept while both outputs read it: only what they read
+    priced = stream_priced_pairs(stream).drop("api_collection_ts_ms", "source_sku")
+    return start(priced, fan_out(outputs), checkpoint, trigger)
 
 
 def summary_of(batch: DataFrame, products: DimReader, competitors: DimReader, as_of) -> DataFrame:
