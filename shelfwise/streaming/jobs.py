@@ -146,7 +146,7 @@ def signals_job(
     outputs = [(found, upsert_sink(table, "signals")), (moves, lambda df, batch_id: append(df, movements, batch_id))]
     # a batch is kept while both outputs read it: only what they read
     priced = stream_priced_pairs(stream).drop("api_collection_ts_ms", "source_sku")
-    return start(priced, fan_out(outputs), checkpoint, trigger)
+    return start(priced, fan_out(outputs, f"{checkpoint}/rows"), checkpoint, trigger)
 
 
 def summary_of(batch: DataFrame, products: DimReader, competitors: DimReader, as_of) -> DataFrame:
@@ -299,7 +299,7 @@ def history_and_trends_job(
         (known, lambda df, batch_id: append(df, history, batch_id)),
         (updating.trends_of, upsert_sink(trends, "trends")),
     ]
-    return start(updating.stream_history_beside_trends(stream), fan_out(outputs), checkpoint, trigger)
+    return start(updating.stream_history_beside_trends(stream), fan_out(outputs, f"{checkpoint}/rows"), checkpoint, trigger)
 
 
 def trends_table(path: str) -> KeyedTable:
@@ -311,16 +311,25 @@ def upsert_sink(table: KeyedTable, writer: str = "main") -> BatchSink:
     return lambda df, batch_id: table.upsert(df, batch_id, writer)
 
 
-def fan_out(outputs: Sequence[tuple[BatchOp, BatchSink]]) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that feeds several outputs from one read of the source."""
+def fan_out(outputs: Sequence[tuple[BatchOp, BatchSink]], place: str | None = None) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that feeds several outputs from one read of the source.
+
+    Meanwhile the batch is kept by the executors, or in files at ``place``, which the next batch overwrites: files take
+    a fraction of the disk and none of the memory, and a lost executor costs a re-read.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
+        if place:
+            batch.write.mode("overwrite").option("compression", "zstd").parquet(place)
+            rows = batch.sparkSession.read.schema(batch.schema).parquet(place)
+        else:
+            rows = batch.persist()
         try:
             for op, sink in outputs:
-                sink(op(batch), batch_id)
+                sink(op(rows), batch_id)
         finally:
-            batch.unpersist()
+            if not place:
+                batch.unpersist()
 
     return write
 

@@ -304,20 +304,29 @@ def stream_history_beside_trends(stream: DataFrame) -> DataFrame:
 
     A watermarked aggregate: rows fold before they travel and none passes through Python. All rows of a window leave in
     one batch, so ``history_of`` and ``trends_of`` read them as they are; ``HistoryBesideTrends`` is the same for one key at a time.
+    Event time is the data time where there is one, so a group has one time and its dearest price says how it opens and
+    closes; ``missing`` tells of prices that are null, which come first. Other times stand as their distance to the data
+    time, which takes a fraction of the space in the shuffle and the state.
     """
     cents = (F.col("price") * 100).cast("bigint")
     wide = cents.cast("decimal(19,0)")
-    at = F.unix_micros("event_time")
-    newest = F.max(F.struct(F.unix_micros("kafka_ts").alias("kafka_at"), "source_sku", cents.alias("cents"), "in_stock", F.col("api_collection_ts_ms").alias("api_ms")))
+    timed = F.col("data_ts_ms").isNotNull()
+    waited = F.unix_micros("kafka_ts") - F.col("data_ts_ms") * 1000
+    record = F.struct(
+        waited.alias("kafka_after"), "source_sku", cents.alias("cents"), "in_stock", (F.col("api_collection_ts_ms") - F.col("data_ts_ms")).alias("api_after")
+    )
     return (
-        stream.groupBy("product_sku", "competitor_name", tumbling(F.col("event_time")).alias("w"), F.col("data_ts_ms").alias("data_ms"))
+        stream.groupBy(
+            "product_sku", "competitor_name", tumbling(F.col("event_time")).alias("w"), F.col("data_ts_ms").alias("data_ms"),
+            F.when(~timed, F.unix_micros("event_time")).alias("untimed_at"),
+        )
         .agg(
-            newest.alias("newest"),
+            F.max(F.when(timed, record)).alias("newest"),
             F.count(cents).alias("n"),
             F.sum(cents).alias("total"),
             F.sum(wide * wide).alias("squares"),
-            F.min(F.struct(at.alias("at"), (-cents).alias("cents"))).alias("opened"),
-            F.max(F.struct(at.alias("at"), cents.alias("cents"))).alias("closed"),
+            F.max(cents).alias("dearest"),
+            F.max(cents.isNull()).alias("missing"),
         )
     )
 
@@ -331,14 +340,23 @@ def history_of(rows: DataFrame) -> DataFrame:
         "in_stock",
         "source_sku",
         F.timestamp_millis("data_ms").alias("data_timestamp"),
-        F.timestamp_millis("api_ms").alias("collection_timestamp"),
+        F.timestamp_millis(F.col("data_ms") + F.col("api_after")).alias("collection_timestamp"),
     )
 
 
 def trends_of(rows: DataFrame) -> DataFrame:
     """Five-minute trends of a batch of ``stream_history_beside_trends``."""
-    whole = rows.groupBy("product_sku", "competitor_name", "w").agg(
-        *[F.sum(c).cast("decimal(38,0)").alias(c) for c in ("n", "total", "squares")], F.min("opened").alias("opened"), F.max("closed").alias("closed")
+    key = ["product_sku", "competitor_name", "window_start"]
+    at = F.coalesce(F.col("data_ms") * 1000, "untimed_at").alias("at")
+    several = [F.when(F.col("n") > 1, F.col(c)).alias(c) for c in ("total", "squares")]
+    moments = rows.select("product_sku", "competitor_name", F.col("w.start").alias("window_start"), at, "n", *several, "dearest", "missing")
+    one = F.col("dearest").cast("decimal(19,0)")
+    sums = {"n": F.col("n"), "total": F.coalesce("total", "dearest"), "squares": F.coalesce("squares", one * one)}
+    # few rows of a window fold, so they travel as they are, once: the table the trends go to has the same key
+    whole = moments.repartition(*key).groupBy(*key).agg(
+        *[F.sum(value).cast("decimal(38,0)").alias(c) for c, value in sums.items()],
+        F.min(F.struct("at", F.when(~F.col("missing"), -F.col("dearest")).alias("cents"))).alias("opened"),
+        F.max(F.struct("at", F.col("dearest").alias("cents"))).alias("closed"),
     )
     n, total, exact = F.col("n").cast("decimal(20,0)"), F.col("total").cast("decimal(20,0)"), F.col("total").cast("decimal(19,0)")
     spread = (F.col("n").cast("decimal(10,0)") * F.col("squares").cast("decimal(27,0)") - exact * exact).cast("double")
@@ -349,8 +367,8 @@ def trends_of(rows: DataFrame) -> DataFrame:
     return whole.select(
         "product_sku",
         "competitor_name",
-        F.col("w.start").alias("window_start"),
-        F.col("w.end").alias("window_end"),
+        "window_start",
+        (F.col("window_start") + F.expr("interval 5 minutes")).alias("window_end"),
         average.alias("avg_price"),
         deviation.alias("price_volatility"),
         direction.alias("trend_direction"),
