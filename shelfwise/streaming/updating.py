@@ -358,6 +358,8 @@ def trends_of(rows: DataFrame) -> DataFrame:
         F.min(F.struct("at", F.when(~F.col("missing"), -F.col("dearest")).alias("cents"))).alias("opened"),
         F.max(F.struct("at", F.col("dearest").alias("cents"))).alias("closed"),
     )
+    # a window whose prices are all null has neither average nor deviation
+    whole = whole.withColumn("n", F.nullif("n", F.lit(0)))
     n, total, exact = F.col("n").cast("decimal(20,0)"), F.col("total").cast("decimal(20,0)"), F.col("total").cast("decimal(19,0)")
     spread = (F.col("n").cast("decimal(10,0)") * F.col("squares").cast("decimal(27,0)") - exact * exact).cast("double")
     average = F.round(F.round(total / n / F.lit(100), 6), 2).cast("decimal(10,2)")
